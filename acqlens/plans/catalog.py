@@ -568,3 +568,206 @@ AUC_SQL = """auc_in AS (
 )
 def q_roc_auc(spark, sf):
     return ranks.roc_auc(_churn_scores(spark, sf), "retained_day7", "retention_score")
+
+
+# ============================== O: budget allocation ==============================
+from acqlens.operators import budget  # noqa: E402
+
+_SCEN_VALUES = ", ".join(f"({i}, CAST({b!r} AS DOUBLE), CAST({s!r} AS DOUBLE))" for i, b, s in dims.SCENARIO_ROWS)
+BUDGET_SQL = [
+    f"scen(scenario_id, budget, share) AS (VALUES {_SCEN_VALUES})",
+    "chans(acquisition_channel) AS (VALUES {})".format(", ".join(f"('{c}')" for c in K.CHANNELS)),
+    "sat(acquisition_channel, saturation) AS (VALUES {})".format(
+        ", ".join(f"('{c}', CAST({v!r} AS DOUBLE))" for c, v in K.CHANNEL_SATURATION.items())),
+    "mins(acquisition_channel, min_spend) AS (VALUES {})".format(
+        ", ".join(f"('{c}', CAST(1000.0 AS DOUBLE))" for c in K.CHANNELS)),
+    """stats AS (
+  SELECT acquisition_channel, avg(roas_90d) AS roas_mean, coalesce(stddev_samp(roas_90d), 0.0) AS roas_std
+  FROM players WHERE acquisition_channel IS NOT NULL GROUP BY 1
+)""",
+    f"""inp AS (
+  SELECT s.scenario_id, s.budget, s.share, c.acquisition_channel,
+    coalesce(st.roas_mean, 0.0) AS roas, coalesce(st.roas_std, 0.0) AS roas_std,
+    greatest(coalesce(st.roas_mean, 0.0), {K.ROAS_FLOOR}) AS roas_opt,
+    greatest(coalesce(sa.saturation, {K.DEFAULT_SATURATION}), {K.SATURATION_FLOOR}) AS saturation,
+    coalesce(m.min_spend, 0.0) AS min_spend, s.share * s.budget AS cap
+  FROM scen s CROSS JOIN chans c LEFT JOIN stats st USING (acquisition_channel)
+  LEFT JOIN sat sa USING (acquisition_channel) LEFT JOIN mins m USING (acquisition_channel)
+)""",
+    """valst AS (
+  SELECT scenario_id, budget, share, n_channels, min_total, cap,
+    CASE WHEN budget <= 0 THEN 'bad_budget' WHEN share <= 0 OR share > 1 THEN 'bad_share'
+         WHEN min_total > budget THEN 'min_exceeds_budget'
+         WHEN min_total > n_channels * cap + 1e-6 THEN 'min_exceeds_cap'
+         WHEN max_min > cap THEN 'min_above_cap'
+         WHEN n_channels * cap < budget * (1 - 1e-12) THEN 'cap_below_budget' ELSE 'ok' END AS status
+  FROM (SELECT scenario_id, budget, share, count(*) AS n_channels, sum(min_spend) AS min_total,
+               max(min_spend) AS max_min, any_value(cap) AS cap FROM inp GROUP BY 1, 2, 3)
+)""",
+    """ev0 AS (
+  SELECT i.scenario_id, i.budget, i.roas_opt, i.saturation, i.min_spend, i.cap,
+         sum(i.min_spend) OVER (PARTITION BY i.scenario_id) AS a0,
+         sum(i.saturation * i.roas_opt) OVER (PARTITION BY i.scenario_id) AS c_scale
+  FROM inp i JOIN valst v USING (scenario_id) WHERE v.status = 'ok'
+), ev AS (
+  SELECT scenario_id, budget, a0, c_scale, roas_opt / (1 + min_spend / saturation) AS lam,
+         -min_spend - saturation AS da, saturation * roas_opt AS dc FROM ev0
+  UNION ALL
+  SELECT scenario_id, budget, a0, c_scale, roas_opt / (1 + cap / saturation), saturation + cap,
+         -saturation * roas_opt FROM ev0
+), cum AS (
+  SELECT scenario_id, budget, c_scale, lam,
+         a0 + sum(da) OVER (PARTITION BY scenario_id ORDER BY lam DESC) AS a,
+         sum(dc) OVER (PARTITION BY scenario_id ORDER BY lam DESC) AS c
+  FROM ev
+), piece AS (
+  SELECT scenario_id, arg_min(a, lam) AS a, arg_min(c, lam) AS c, min(lam) AS lam0,
+         any_value(budget) AS budget, any_value(c_scale) AS c_scale
+  FROM cum WHERE a + c / lam <= budget * (1 + 1e-12) GROUP BY 1
+), lam AS (
+  SELECT scenario_id, CASE WHEN c > c_scale * 1e-12 THEN c / (budget - a) ELSE lam0 END AS lam FROM piece
+), alloc AS (
+  SELECT i.*, v.status,
+    CASE WHEN v.status = 'ok' THEN least(greatest(i.saturation * (i.roas_opt / l.lam - 1), i.min_spend), i.cap) END
+      AS allocation
+  FROM inp i JOIN valst v USING (scenario_id) LEFT JOIN lam l USING (scenario_id)
+)""",
+    """rep0 AS (
+  SELECT scenario_id, budget, acquisition_channel, allocation, allocation / budget * 100.0 AS percentage,
+    CASE WHEN allocation > 0 AND roas > 0 AND saturation > 0
+         THEN roas * saturation * ln(1 + allocation / saturation) ELSE 0.0 END AS expected_return,
+    CASE WHEN allocation <= 0 OR saturation <= 0 THEN roas ELSE roas / (1 + allocation / saturation) END
+      AS marginal_roas
+  FROM alloc WHERE status = 'ok'
+), rep AS (
+  SELECT *, round_even(percentage, 1) AS share_pct_r1, round_even(marginal_roas, 2) AS marginal_roas_r2,
+    CASE WHEN abs(allocation) < 500 THEN '$' || format('{:,.2f}', allocation)
+         ELSE '$' || format('{:,}', CAST(round_even(allocation / 1000.0, 0) * 1000 AS BIGINT)) END AS allocation_display,
+    sum(expected_return) OVER (PARTITION BY scenario_id) AS total_expected_return
+  FROM rep0
+)""",
+    f"""sim AS (
+  SELECT a.scenario_id, a.acquisition_channel, d.draw,
+    CASE WHEN a.allocation > 0 AND a.saturation > 0 THEN
+      greatest(greatest(a.roas, {K.ROAS_FLOOR}) + greatest(
+          CASE WHEN a.roas_std > 0 THEN a.roas_std ELSE greatest(a.roas, {K.ROAS_FLOOR}) * {K.ROAS_CV} END,
+          greatest(a.roas, {K.ROAS_FLOOR}) * {K.MIN_STD_FRACTION})
+        * sqrt(-2.0 * ln((('0x' || substr(md5('{K.SEED}|' || CAST(d.draw AS VARCHAR) || '|' || a.acquisition_channel), 1, 13))::BIGINT + 0.5) / 4503599627370496.0))
+        * cos(2.0 * pi() * (('0x' || substr(md5('{K.SEED}|' || CAST(d.draw AS VARCHAR) || '|' || a.acquisition_channel), 14, 13))::BIGINT + 0.5) / 4503599627370496.0),
+      {K.ROAS_FLOOR}) * a.saturation * ln(1 + a.allocation / a.saturation)
+    ELSE 0.0 END AS ret
+  FROM alloc a CROSS JOIN (SELECT range AS draw FROM range({K.MC_SIMULATIONS})) d WHERE a.status = 'ok'
+), tot AS (
+  SELECT scenario_id, draw, sum(ret) AS total FROM sim GROUP BY 1, 2
+), bands AS (
+  SELECT scenario_id, acquisition_channel, quantile_cont(ret, 0.1) AS p10, quantile_cont(ret, 0.5) AS p50,
+         quantile_cont(ret, 0.9) AS p90, avg(ret) AS mean, stddev_pop(ret) AS std FROM sim GROUP BY 1, 2
+  UNION ALL
+  SELECT scenario_id, 'TOTAL', quantile_cont(total, 0.1), quantile_cont(total, 0.5), quantile_cont(total, 0.9),
+         avg(total), stddev_pop(total) FROM tot GROUP BY 1
+)""",
+]
+PB = with_ctes(PLAYERS_CTE, *BUDGET_SQL)
+
+
+def _inputs(spark, sf):
+    p = _players(spark, sf)
+    return budget.scenario_inputs(dims.scenarios(spark), kpis.channel_roas_stats(p),
+                                  dims.saturation_dim(spark), dims.min_spend_dim(spark))
+
+
+def _allocation(spark, sf):
+    return budget.budget_allocation(_inputs(spark, sf))
+
+
+INPUT_DOUBLES = ("budget", "share", "roas", "roas_std", "roas_opt", "saturation", "min_spend", "cap")
+
+
+@register("scenario_inputs", PB + "SELECT * FROM inp", INPUT_DOUBLES)
+def q_scenario_inputs(spark, sf):
+    return _inputs(spark, sf)
+
+
+@register("scenario_validation", PB + "SELECT * FROM valst", ("budget", "share", "min_total", "cap"))
+def q_scenario_validation(spark, sf):
+    return budget.scenario_validation(_inputs(spark, sf))
+
+
+@register(
+    "budget_allocation",
+    PB + "SELECT scenario_id, acquisition_channel, status, allocation FROM alloc",
+    ("allocation",), bits=20,
+)
+def q_budget_allocation(spark, sf):
+    return _allocation(spark, sf).select("scenario_id", "acquisition_channel", "status", "allocation")
+
+
+REPORT_DOUBLES = ("budget", "allocation", "percentage", "expected_return", "marginal_roas", "share_pct_r1",
+                  "marginal_roas_r2", "total_expected_return")
+
+
+@register("allocation_report", PB + "SELECT * FROM rep", REPORT_DOUBLES, bits=20)
+def q_allocation_report(spark, sf):
+    return budget.allocation_report(_allocation(spark, sf))
+
+
+@register(
+    "allocation_totals",
+    PB + """SELECT scenario_id, budget, sum(allocation) AS total_allocation, sum(percentage) AS total_percentage,
+      sum(expected_return) AS total_expected_return, sum(expected_return) / budget AS return_over_budget
+    FROM rep GROUP BY 1, 2""",
+    ("budget", "total_allocation", "total_percentage", "total_expected_return", "return_over_budget"), bits=20,
+)
+def q_allocation_totals(spark, sf):
+    return budget.allocation_totals(budget.allocation_report(_allocation(spark, sf)))
+
+
+@register("mc_bands", PB + "SELECT * FROM bands", ("p10", "p50", "p90", "mean", "std"), bits=16)
+def q_mc_bands(spark, sf):
+    return budget.mc_bands(budget.simulate_returns(_allocation(spark, sf)))
+
+
+@register(
+    "mc_histogram",
+    PB + """, rng AS (SELECT scenario_id, min(total) AS lo, max(total) AS hi FROM tot GROUP BY 1)
+    SELECT scenario_id, bin, lo + bin * (hi - lo) / 40 AS bin_lo, lo + (bin + 1) * (hi - lo) / 40 AS bin_hi, count(*) AS n
+    FROM (SELECT t.scenario_id, lo, hi, CAST(CASE WHEN hi > lo THEN least(floor((total - lo) / ((hi - lo) / 40)), 39)
+                 ELSE 0 END AS INTEGER) AS bin FROM tot t JOIN rng USING (scenario_id))
+    GROUP BY scenario_id, bin, lo, hi""",
+    ("bin_lo", "bin_hi"), bits=16,
+)
+def q_mc_histogram(spark, sf):
+    return budget.mc_histogram(budget.simulate_returns(_allocation(spark, sf)))
+
+
+@register(
+    "allocation_with_bands",
+    PB + """SELECT r.*, b.p10, b.p50, b.p90, b.p90 - b.p50 AS error_plus, b.p50 - b.p10 AS error_minus
+    FROM rep r LEFT JOIN bands b USING (scenario_id, acquisition_channel)""",
+    REPORT_DOUBLES + ("p10", "p50", "p90", "error_plus", "error_minus"), bits=16,
+)
+def q_allocation_with_bands(spark, sf):
+    alloc = _allocation(spark, sf)
+    return budget.allocation_with_bands(budget.allocation_report(alloc), budget.mc_bands(budget.simulate_returns(alloc)))
+
+
+@register(
+    "response_curve",
+    PB + """SELECT i.scenario_id, i.acquisition_channel, x.spend,
+      CASE WHEN x.spend > 0 AND i.roas > 0 AND i.saturation > 0
+           THEN i.roas * i.saturation * ln(1 + x.spend / i.saturation) ELSE 0.0 END AS channel_return,
+      CASE WHEN x.spend <= 0 OR i.saturation <= 0 THEN i.roas ELSE i.roas / (1 + x.spend / i.saturation) END AS marginal_roas
+    FROM inp i CROSS JOIN (SELECT i * 0.1 AS spend FROM range(0, 11) t(i)) x
+    WHERE i.scenario_id = 1""",
+    ("spend", "channel_return", "marginal_roas"), bits=20,
+)
+def q_response_curve(spark, sf):
+    """P16/P17 along a spend grid of 0, 10%, ..., 100% of each channel's saturation... scaled by
+    the scenario's ROAS inputs (grid generated per row, no join)."""
+    i = _inputs(spark, sf).filter(F.col("scenario_id") == 1)
+    g = i.select("scenario_id", "acquisition_channel", "roas", "saturation",
+                 F.explode(F.sequence(F.lit(0), F.lit(10))).alias("k"))
+    spend = F.col("k") * 0.1
+    return g.select("scenario_id", "acquisition_channel", spend.alias("spend"),
+                    X.channel_return(spend, "roas", "saturation").alias("channel_return"),
+                    X.marginal_roas(spend, "roas", "saturation").alias("marginal_roas"))
