@@ -771,3 +771,134 @@ def q_response_curve(spark, sf):
     return g.select("scenario_id", "acquisition_channel", spend.alias("spend"),
                     X.channel_return(spend, "roas", "saturation").alias("channel_return"),
                     X.marginal_roas(spend, "roas", "saturation").alias("marginal_roas"))
+
+
+# ============================== M11-M16: BG/NBD and Gamma-Gamma ==============================
+from acqlens.operators import clv  # noqa: E402
+
+# Fixed parameters for the likelihood / CLV oracles (FIXTURES.md §2.3).
+BG_FIXED = (0.8, 300.0, 0.5, 2.5)   # r, alpha, a, b
+GG_FIXED = (6.0, 4.0, 15.0)         # p, q, v
+
+PRM_SQL = ("prm AS (SELECT CAST({} AS DOUBLE) AS r, CAST({} AS DOUBLE) AS al, CAST({} AS DOUBLE) AS a, "
+           "CAST({} AS DOUBLE) AS b, CAST({} AS DOUBLE) AS p, CAST({} AS DOUBLE) AS q, CAST({} AS DOUBLE) AS v)"
+           ).format(*BG_FIXED, *GG_FIXED)
+
+
+def _clv_sql(src: str, key: str) -> list[str]:
+    """Expected purchases at 0/30/60/90 days and CLV for every row of ``src`` (oracle side)."""
+    return [
+        PRM_SQL,
+        f"""u AS (SELECT {key}, CAST(frequency AS DOUBLE) AS x, CAST(recency AS DOUBLE) AS tx,
+                    CAST("T" AS DOUBLE) AS tt, monetary_value AS m FROM {src})""",
+        """hyp AS (
+  SELECT u.*, hz.t, sum(exp(lgamma(prm.r + u.x + g.k) - lgamma(prm.r + u.x) + lgamma(prm.b + u.x + g.k) - lgamma(prm.b + u.x)
+       - lgamma(prm.a + prm.b + u.x - 1 + g.k) + lgamma(prm.a + prm.b + u.x - 1) - lgamma(g.k + 1.0)
+       + g.k * ln(hz.t / (prm.al + u.tt + hz.t)))) AS s
+  FROM u CROSS JOIN prm CROSS JOIN (VALUES (30.0), (60.0), (90.0)) hz(t) CROSS JOIN range(0, 600) g(k)
+  GROUP BY ALL
+)""",
+        """ep AS (
+  SELECT h.*, (prm.a + prm.b + h.x - 1) / (prm.a - 1)
+      * (1 - pow((prm.al + h.tt) / (prm.al + h.tt + h.t), prm.r + h.x) * h.s)
+      / (1 + CASE WHEN h.x > 0 THEN prm.a / (prm.b + h.x - 1) * pow((prm.al + h.tt) / (prm.al + h.tx), prm.r + h.x)
+                  ELSE 0.0 END) AS e
+  FROM hyp h CROSS JOIN prm
+)""",
+        f"""epw AS (
+  SELECT {key}, any_value(x) AS x, any_value(m) AS m,
+         max(e) FILTER (WHERE t = 30.0) AS e30, max(e) FILTER (WHERE t = 60.0) AS e60,
+         max(e) FILTER (WHERE t = 90.0) AS e90
+  FROM ep GROUP BY 1
+)""",
+        f"""clv AS (
+  SELECT {key}, ((1 - prm.p * x / (prm.p * x + prm.q - 1)) * (prm.p * prm.v / (prm.q - 1))
+                 + prm.p * x / (prm.p * x + prm.q - 1) * m)
+         * (e30 / 1.01 + (e60 - e30) / pow(1.01, 2) + (e90 - e60) / pow(1.01, 3)) AS clv
+  FROM epw CROSS JOIN prm
+)""",
+    ]
+
+
+RD = [TXNS_DROPOUT_CTE, rfm_cte("txns_dropout")]
+
+
+@register(
+    "bgnbd_loglik",
+    with_ctes(*RD, PRM_SQL) + """SELECT user_id,
+      lgamma(prm.r + frequency) - lgamma(prm.r) + prm.r * ln(prm.al) + lgamma(prm.a + prm.b) + lgamma(prm.b + frequency)
+      - lgamma(prm.b) - lgamma(prm.a + prm.b + frequency)
+      + ln(exp(-(prm.r + frequency) * ln(prm.al + "T"))
+           + CASE WHEN frequency > 0 THEN exp(ln(prm.a) - ln(prm.b + frequency - 1) - (prm.r + frequency) * ln(prm.al + recency))
+                  ELSE 0.0 END) AS loglik
+    FROM rfm CROSS JOIN prm""",
+    ("loglik",),
+)
+def q_bgnbd_loglik(spark, sf):
+    return _rfm_dropout(spark, sf).select("user_id", clv.bgnbd_loglik_expr(*BG_FIXED).alias("loglik"))
+
+
+@register(
+    "gamma_gamma_loglik",
+    with_ctes(*RD, PRM_SQL) + """SELECT user_id,
+      lgamma(prm.p * frequency + prm.q) - lgamma(prm.p * frequency) - lgamma(prm.q) + prm.q * ln(prm.v)
+      + (prm.p * frequency - 1) * ln(monetary_value) + prm.p * frequency * ln(frequency)
+      - (prm.p * frequency + prm.q) * ln(frequency * monetary_value + prm.v) AS loglik
+    FROM rfm CROSS JOIN prm WHERE frequency > 0""",
+    ("loglik",),
+)
+def q_gamma_gamma_loglik(spark, sf):
+    r = rfm.repeat_buyers(_rfm_dropout(spark, sf))
+    return r.select("user_id", clv.gamma_gamma_loglik_expr(*GG_FIXED).alias("loglik"))
+
+
+@register(
+    "expected_purchases",
+    with_ctes(*RD, *_clv_sql("rfm", "user_id")) + "SELECT user_id, e30 AS expected_30, e60 AS expected_60, e90 AS expected_90 FROM epw",
+    ("expected_30", "expected_60", "expected_90"),
+)
+def q_expected_purchases(spark, sf):
+    r = _rfm_dropout(spark, sf)
+    return r.select("user_id", *[clv.expected_purchases_expr(float(t), *BG_FIXED).alias(f"expected_{t}")
+                                 for t in (30, 60, 90)])
+
+
+@register(
+    "customer_clv",
+    with_ctes(*RD, *_clv_sql("rfm", "user_id"))
+    + 'SELECT r.user_id, r.frequency, r.recency, r."T", r.monetary_value, c.clv FROM rfm r JOIN clv c USING (user_id) WHERE r.frequency > 0',
+    ("monetary_value", "clv"),
+)
+def q_customer_clv(spark, sf):
+    return clv.customer_clv(_rfm_dropout(spark, sf), BG_FIXED, GG_FIXED)
+
+
+@register(
+    "clv_summary",
+    with_ctes(*RD, *_clv_sql("rfm", "user_id")) + """SELECT count(*) AS n, avg(c.clv) AS mean_clv, min(c.clv) AS min_clv,
+      count(*) FILTER (WHERE c.clv < 0) AS negative FROM rfm r JOIN clv c USING (user_id) WHERE r.frequency > 0""",
+    ("mean_clv", "min_clv"),
+)
+def q_clv_summary(spark, sf):
+    return clv.clv_summary(clv.customer_clv(_rfm_dropout(spark, sf), BG_FIXED, GG_FIXED))
+
+
+@register(
+    "channel_clv",
+    with_ctes(PLAYERS_CTE, *RD, CHANNEL_RFM_SQL, *_clv_sql("channel_rfm", "acquisition_channel"))
+    + "SELECT acquisition_channel, clv AS bgnbd_ltv FROM clv",
+    ("bgnbd_ltv",),
+)
+def q_channel_clv(spark, sf):
+    prof = rfm.channel_rfm(_rfm_dropout(spark, sf), _players(spark, sf))
+    return prof.select("acquisition_channel", clv.clv_expr(BG_FIXED, GG_FIXED).alias("bgnbd_ltv"))
+
+
+@register("bgnbd_fit")
+def q_bgnbd_fit(spark, sf):
+    return clv.fit_bgnbd(_rfm_dropout(spark, sf))
+
+
+@register("gamma_gamma_fit")
+def q_gamma_gamma_fit(spark, sf):
+    return clv.fit_gamma_gamma(_rfm_dropout(spark, sf))
