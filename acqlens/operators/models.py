@@ -1,14 +1,274 @@
-"""Spark ML operators: preprocessing, boosted-tree models, scoring, metrics."""
+"""Spark ML operators: preprocessing, boosted-tree models, scoring, metrics.
+
+Design:
+
+- The mixed preprocessor (ordinal codes for categoricals, standardisation for numerics) is
+  *fitted* by two small aggregates (distinct category values -- bounded by the category
+  cardinality -- and per-column mean / population std) and emitted as a ``SQLTransformer``
+  statement.  The fitted pipeline is therefore a plain ``PipelineModel``
+  (SQLTransformer -> VectorAssembler -> GBT) that saves and loads with Spark ML's writers.
+  Unknown categories map to -1 (``array_position`` returns 0 when absent).
+- Class weighting (negatives / positives on the training split) becomes ``weightCol``.
+- Splits come from :func:`acqlens.operators.ranks.holdout_split` (hash-ordered, exact
+  stratum counts, identical on any partitioning).
+- Metrics are SQL aggregates over the scored test rows (one pass); ROC-AUC uses the
+  distributed tie-averaged rank in ``ranks.roc_auc``.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GBTRegressor
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from acqlens import constants as K
+from acqlens.functions import expressions as X
+from acqlens.operators import ranks
+
 
+# --- A16 -------------------------------------------------------------------------------------
 def class_weight(train: DataFrame, label: str) -> DataFrame:
-    """negatives / max(positives, 1) on the training rows (A16), one global aggregate."""
+    """negatives / max(positives, 1) on the training rows, one global aggregate."""
     return train.agg(
         F.count_if(F.col(label) == 0).alias("negatives"),
         F.count_if(F.col(label) == 1).alias("positives"),
     ).withColumn("class_weight", F.col("negatives") / F.greatest(F.col("positives"), F.lit(1)))
+
+
+# --- M1 / M2: preprocessing --------------------------------------------------------------------
+@dataclass
+class FittedPreprocessor:
+    categories: dict[str, list]          # column -> sorted distinct training values
+    means: dict[str, float]
+    stds: dict[str, float]
+
+    def columns(self) -> list[Column]:
+        out = []
+        for c, values in self.categories.items():
+            arr = F.array(*[F.lit(v) for v in values])
+            out.append((F.array_position(arr, F.col(c)) - 1).cast("int").alias(f"cat_{c}"))
+        for c, m in self.means.items():
+            s = self.stds[c] or 1.0  # constant column: centred only (scikit-learn convention)
+            out.append(((F.col(c).cast("double") - F.lit(m)) / F.lit(s)).alias(f"num_{c}"))
+        return out
+
+    def output_names(self) -> list[str]:
+        return [f"cat_{c}" for c in self.categories] + [f"num_{c}" for c in self.means]
+
+    def sql_statement(self) -> str:
+        parts = []
+        for c, values in self.categories.items():
+            lits = ", ".join(_sql_literal(v) for v in values)
+            parts.append(f"CAST(array_position(array({lits}), `{c}`) - 1 AS INT) AS `cat_{c}`")
+        for c, m in self.means.items():
+            s = self.stds[c] or 1.0
+            parts.append(f"(CAST(`{c}` AS DOUBLE) - ({m!r})) / ({s!r}) AS `num_{c}`")
+        return "SELECT *, " + ", ".join(parts) + " FROM __THIS__"
+
+
+def _sql_literal(v) -> str:
+    if isinstance(v, str):
+        return "'" + v.replace("'", "''") + "'"
+    return repr(v)
+
+
+def fit_preprocessor(train: DataFrame, categorical: list[str], numeric: list[str]) -> FittedPreprocessor:
+    """Distinct category values (bounded) and mean / population std per numeric column."""
+    cats: dict[str, list] = {}
+    if categorical:
+        row = train.agg(*[F.array_sort(F.collect_set(F.col(c))).alias(c) for c in categorical]).first()
+        cats = {c: [v for v in row[c] if v is not None] for c in categorical}
+    means: dict[str, float] = {}
+    stds: dict[str, float] = {}
+    if numeric:
+        row = train.agg(*[F.avg(c).alias(f"m_{c}") for c in numeric],
+                        *[F.stddev_pop(c).alias(f"s_{c}") for c in numeric]).first()
+        means = {c: float(row[f"m_{c}"]) for c in numeric}
+        stds = {c: float(row[f"s_{c}"] or 0.0) for c in numeric}
+    return FittedPreprocessor(cats, means, stds)
+
+
+def preprocessed_features(players: DataFrame) -> DataFrame:
+    pre = fit_preprocessor(players, K.CATEGORICAL_FEATURES, K.NUMERIC_FEATURES)
+    return players.select("user_id", *pre.columns())
+
+
+# --- model pipelines ---------------------------------------------------------------------------
+@dataclass
+class ModelSpec:
+    name: str
+    label: str
+    categorical: list[str]
+    numeric: list[str]
+    kind: str            # "classifier" | "regressor"
+    params: dict
+    stratify: bool
+    weighted: bool
+
+
+RETENTION = ModelSpec("retention", K.RETENTION_TARGET, K.CATEGORICAL_FEATURES, K.NUMERIC_FEATURES,
+                      "classifier", K.RETENTION_GBT, True, True)
+LTV = ModelSpec("ltv", K.LTV_TARGET, K.CATEGORICAL_FEATURES, K.NUMERIC_FEATURES,
+                "regressor", K.LTV_GBT, False, False)
+CHURN = ModelSpec("churn", K.CHURN_TARGET, [], K.CHURN_FEATURE_COLUMNS,
+                  "classifier", K.CHURN_GBT, True, True)
+
+
+def require_columns(df: DataFrame, cols: list[str], what: str) -> None:
+    """fail early, naming every missing column."""
+    missing = [c for c in cols if c not in df.columns]
+    if missing:
+        raise ValueError(f"Missing {what} columns {missing}.")
+
+
+def split(df: DataFrame, spec: ModelSpec, test_size: float = K.TEST_SIZE, seed: int = K.SEED) -> DataFrame:
+    return ranks.holdout_split(df, "user_id", test_size, seed, spec.label if spec.stratify else None)
+
+
+def build_pipeline(spec: ModelSpec, pre: FittedPreprocessor, weight_col: str | None, **overrides) -> Pipeline:
+    params = dict(spec.params, **overrides)
+    assembler = VectorAssembler(inputCols=pre.output_names(), outputCol="features", handleInvalid="keep")
+    common = dict(featuresCol="features", labelCol=spec.label, seed=K.SEED, **params)
+    if spec.kind == "classifier":
+        est = GBTClassifier(**common, **({"weightCol": weight_col} if weight_col else {}))
+    else:
+        est = GBTRegressor(**common)
+    return Pipeline(stages=[SQLTransformer(statement=pre.sql_statement()), assembler, est])
+
+
+def train_model(players: DataFrame, spec: ModelSpec, **overrides) -> tuple[PipelineModel, DataFrame]:
+    """Fit on the training split; returns the model and the *test* rows for evaluation."""
+    require_columns(players, spec.categorical + spec.numeric + [spec.label, "user_id"], spec.name)
+    data = split(players.select("user_id", *spec.categorical, *spec.numeric, spec.label), spec)
+    data = data.withColumn(spec.label, F.col(spec.label).cast("double"))
+    train = data.filter(~F.col("is_test"))
+    test = data.filter(F.col("is_test"))
+    weight_col = None
+    if spec.weighted:
+        cw = class_weight(train, spec.label).first()["class_weight"]
+        train = train.withColumn("w", F.when(F.col(spec.label) == 1, F.lit(float(cw))).otherwise(F.lit(1.0)))
+        weight_col = "w"
+    pre = fit_preprocessor(train, spec.categorical, spec.numeric)
+    model = build_pipeline(spec, pre, weight_col, **overrides).fit(train)
+    return model, test
+
+
+def positive_probability(scored: DataFrame, out: str = "p") -> DataFrame:
+    return scored.withColumn(out, vector_to_array(F.col("probability"))[1])
+
+
+# --- M6 / M7 / M8: metrics ------------------------------------------------------------------------
+def _long(df: DataFrame, cols: list[str]) -> DataFrame:
+    """One-row wide metrics -> (metric, value) rows."""
+    return df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in cols
+    ])).alias("mv")).select("mv.*")
+
+
+def classification_metrics(scored: DataFrame, label: str, score: str, pred: str | None = None,
+                           threshold: float = 0.5) -> DataFrame:
+    """(metric, value): accuracy, precision, recall (0 on zero division), f1, roc_auc.
+
+    The confusion matrix is one global aggregate; ROC-AUC goes through the distributed
+    tie-averaged rank.  The two one-row results are stacked with a union (no join).
+    """
+    yhat = F.col(pred) if pred else (F.col(score) >= threshold).cast("int")
+    y = F.col(label).cast("int")
+    base = scored.select(y.alias("y"), yhat.cast("int").alias("yhat"), F.col(score).alias("s"))
+    cm = base.agg(
+        F.count_if((F.col("y") == 1) & (F.col("yhat") == 1)).alias("tp"),
+        F.count_if((F.col("y") == 0) & (F.col("yhat") == 1)).alias("fp"),
+        F.count_if((F.col("y") == 1) & (F.col("yhat") == 0)).alias("fn"),
+        F.count_if((F.col("y") == 0) & (F.col("yhat") == 0)).alias("tn"),
+    )
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    metrics = cm.select(
+        ((tp + tn) / (tp + tn + fp + fn)).alias("accuracy"),
+        F.coalesce(F.try_divide(tp, tp + fp), F.lit(0.0)).alias("precision"),
+        F.coalesce(F.try_divide(tp, tp + fn), F.lit(0.0)).alias("recall"),
+        F.coalesce(F.try_divide(2 * tp, 2 * tp + fp + fn), F.lit(0.0)).alias("f1"),
+    )
+    auc = ranks.roc_auc(base, "y", "s")
+    return _long(metrics, ["accuracy", "precision", "recall", "f1"]).unionByName(_long(auc, ["roc_auc"]))
+
+
+def regression_metrics(scored: DataFrame, label: str, pred: str) -> DataFrame:
+    """R^2 = 1 - SSE/SST, RMSE, MAE and the number of negative predictions, in one pass."""
+    y, p = F.col(label).cast("double"), F.col(pred).cast("double")
+    agg = scored.agg(
+        F.sum((y - p) * (y - p)).alias("sse"),
+        F.avg(y).alias("ybar"),
+        F.sum(y * y).alias("syy"),
+        F.count(F.lit(1)).alias("n"),
+        F.avg(F.abs(y - p)).alias("mae"),
+        F.count_if(p < 0).alias("negative_predictions"),
+    )
+    sst = F.col("syy") - F.col("n") * F.col("ybar") * F.col("ybar")
+    return agg.select(
+        (1 - F.col("sse") / sst).alias("r2"),
+        F.sqrt(F.col("sse") / F.col("n")).alias("rmse"),
+        "mae",
+        "negative_predictions",
+    )
+
+
+def quality_gates(auc: DataFrame, reg: DataFrame, auc_gate: float = K.AUC_GATE, r2_gate: float = K.R2_GATE) -> DataFrame:
+    """(gate, value, threshold, passed) rows: AUC >= 0.75, R^2 >= 0.70, no negative predictions."""
+    a = auc.select(F.lit("roc_auc").alias("gate"), F.col("roc_auc").cast("double").alias("value"),
+                   F.lit(auc_gate).alias("threshold"), (F.col("roc_auc") >= auc_gate).alias("passed"))
+    r = reg.select(F.lit("r2").alias("gate"), F.col("r2").cast("double").alias("value"),
+                   F.lit(r2_gate).alias("threshold"), (F.col("r2") >= r2_gate).alias("passed"))
+    n = reg.select(F.lit("negative_predictions").alias("gate"), F.col("negative_predictions").cast("double").alias("value"),
+                   F.lit(0.0).alias("threshold"), (F.col("negative_predictions") == 0).alias("passed"))
+    return a.unionByName(r).unionByName(n)
+
+
+def channel_baseline(players: DataFrame) -> DataFrame:
+    """Per-channel mean LTV as a prediction (the simplest LTV model; A13 joined back)."""
+    means = players.groupBy("acquisition_channel").agg(F.avg("ltv_day90").alias("ltv_estimate"))
+    # the means side has one row per channel; AQE broadcasts it at runtime
+    return players.join(means, "acquisition_channel", "left")
+
+
+# --- M3-M5, M9, M10 ------------------------------------------------------------------------------
+def evaluate_classifier(model: PipelineModel, test: DataFrame, spec: ModelSpec) -> DataFrame:
+    scored = positive_probability(model.transform(test))
+    return classification_metrics(scored, spec.label, "p", pred="prediction").select(
+        F.lit(spec.name).alias("model"), "metric", "value")
+
+
+def evaluate_regressor(model: PipelineModel, test: DataFrame, spec: ModelSpec) -> DataFrame:
+    m = regression_metrics(model.transform(test), spec.label, "prediction")
+    return _long(m, m.columns).select(F.lit(spec.name).alias("model"), "metric", "value")
+
+
+def feature_importances(model: PipelineModel, spark) -> DataFrame:
+    """M9: (feature, importance) ascending; a fitted model attribute, one value per feature."""
+    names = model.stages[1].getInputCols()
+    imp = model.stages[-1].featureImportances.toArray().tolist()
+    return spark.createDataFrame(list(zip(names, [float(v) for v in imp])), "feature string, importance double") \
+        .orderBy("importance")
+
+
+def score_players(players: DataFrame, retention: PipelineModel, ltv: PipelineModel, churn: PipelineModel) -> DataFrame:
+    """Table in, table out -- three fitted pipelines applied in sequence."""
+    base = players.select("user_id", *sorted(set(K.FEATURE_COLUMNS + K.CHURN_FEATURE_COLUMNS)))
+    keep = base.columns
+    r = positive_probability(retention.transform(base), "retention_probability").select(*keep, "retention_probability")
+    lt = ltv.transform(r).withColumnRenamed("prediction", "ltv_estimate").select(*keep, "retention_probability", "ltv_estimate")
+    c = positive_probability(churn.transform(lt), "churn_probability")
+    return c.select("user_id", "retention_probability", "ltv_estimate", "churn_probability",
+                    X.risk_band("churn_probability").alias("churn_risk"))
+
+
+def prediction_sanity(scored: DataFrame, pred: str = "ltv_estimate") -> DataFrame:
+    """negative-prediction count and range of a prediction column."""
+    return scored.agg(F.count_if(F.col(pred) < 0).alias("negative_predictions"),
+                      F.min(pred).alias("min_prediction"), F.max(pred).alias("max_prediction"),
+                      F.count(F.lit(1)).alias("rows"))

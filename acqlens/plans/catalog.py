@@ -902,3 +902,195 @@ def q_bgnbd_fit(spark, sf):
 @register("gamma_gamma_fit")
 def q_gamma_gamma_fit(spark, sf):
     return clv.fit_gamma_gamma(_rfm_dropout(spark, sf))
+
+
+# ============================== M1-M10: Spark ML ==============================
+from acqlens.operators import models  # noqa: E402
+from acqlens.session import scratch_path  # noqa: E402
+
+_FITTED: dict[tuple, object] = {}
+
+
+def _memo(spark, sf, key, build):
+    """Train/fit once per (session, data folder, model): later queries reuse the fitted
+    model, as the reference's app reuses its saved model files."""
+    k = (id(spark.sparkContext), sf, key)
+    if k not in _FITTED:
+        _FITTED[k] = build()
+    return _FITTED[k]
+
+
+def _trained(spark, sf, spec):
+    def build():
+        model, test = models.train_model(_players(spark, sf), spec)
+        return model, test.checkpoint(eager=True)
+    return _memo(spark, sf, ("model", spec.name), build)
+
+
+_CATS_SQL = ", ".join(
+    f"CAST(dense_rank() OVER (ORDER BY {c}) - 1 AS INTEGER) AS cat_{c}" for c in K.CATEGORICAL_FEATURES)
+_NUMS_SQL = ", ".join(
+    f"(CAST({c} AS DOUBLE) - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS num_{c}" for c in K.NUMERIC_FEATURES)
+
+
+@register(
+    "preprocessed_features",
+    P + f"SELECT user_id, {_CATS_SQL}, {_NUMS_SQL} FROM players",
+    tuple(f"num_{c}" for c in K.NUMERIC_FEATURES),
+)
+def q_preprocessed_features(spark, sf):
+    return models.preprocessed_features(_players(spark, sf))
+
+
+@register(
+    "classification_metrics",
+    with_ctes(PLAYERS_CTE, CHANNEL_DIM_SQL, COUNTRY_DIM_SQL, ENGAGEMENT_SQL, AUC_SQL) + """, cm AS (
+      SELECT count(*) FILTER (WHERE y = 1 AND yhat = 1) AS tp, count(*) FILTER (WHERE y = 0 AND yhat = 1) AS fp,
+             count(*) FILTER (WHERE y = 1 AND yhat = 0) AS fn, count(*) FILTER (WHERE y = 0 AND yhat = 0) AS tn
+      FROM (SELECT y, CAST(s >= 0.5 AS INTEGER) AS yhat FROM auc_in))
+    SELECT 'accuracy' AS metric, CAST((tp + tn) AS DOUBLE) / (tp + tn + fp + fn) AS value FROM cm
+    UNION ALL SELECT 'precision', coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 0.0) FROM cm
+    UNION ALL SELECT 'recall', coalesce(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 0.0) FROM cm
+    UNION ALL SELECT 'f1', coalesce(CAST(2 * tp AS DOUBLE) / nullif(2 * tp + fp + fn, 0), 0.0) FROM cm
+    UNION ALL SELECT 'roc_auc', (sum(r) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2.0)
+           / (count(*) FILTER (WHERE y = 1) * count(*) FILTER (WHERE y = 0)) FROM auc_r""",
+    ("value",),
+)
+def q_classification_metrics(spark, sf):
+    return models.classification_metrics(_churn_scores(spark, sf), "retained_day7", "retention_score")
+
+
+BASELINE_SQL = """base AS (
+  SELECT p.ltv_day90 AS y, m.ltv_estimate AS yhat FROM players p
+  LEFT JOIN (SELECT acquisition_channel, avg(ltv_day90) AS ltv_estimate FROM players GROUP BY 1) m USING (acquisition_channel)
+), reg AS (
+  SELECT 1 - sum((y - yhat) * (y - yhat)) / sum((y - (SELECT avg(y) FROM base)) * (y - (SELECT avg(y) FROM base))) AS r2,
+         sqrt(avg((y - yhat) * (y - yhat))) AS rmse, avg(abs(y - yhat)) AS mae,
+         count(*) FILTER (WHERE yhat < 0) AS negative_predictions
+  FROM base
+)"""
+
+
+@register(
+    "regression_metrics",
+    with_ctes(PLAYERS_CTE, BASELINE_SQL) + "SELECT * FROM reg",
+    ("r2", "rmse", "mae"),
+)
+def q_regression_metrics(spark, sf):
+    return models.regression_metrics(models.channel_baseline(_players(spark, sf)), "ltv_day90", "ltv_estimate")
+
+
+@register(
+    "quality_gates",
+    with_ctes(PLAYERS_CTE, CHANNEL_DIM_SQL, COUNTRY_DIM_SQL, ENGAGEMENT_SQL, AUC_SQL, BASELINE_SQL) + f""", auc AS (
+      SELECT (sum(r) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2.0)
+           / (count(*) FILTER (WHERE y = 1) * count(*) FILTER (WHERE y = 0)) AS roc_auc FROM auc_r)
+    SELECT 'roc_auc' AS gate, roc_auc AS value, {K.AUC_GATE} AS threshold, roc_auc >= {K.AUC_GATE} AS passed FROM auc
+    UNION ALL SELECT 'r2', r2, {K.R2_GATE}, r2 >= {K.R2_GATE} FROM reg
+    UNION ALL SELECT 'negative_predictions', CAST(negative_predictions AS DOUBLE), 0.0, negative_predictions = 0 FROM reg""",
+    ("value", "threshold"),
+)
+def q_quality_gates(spark, sf):
+    auc = ranks.roc_auc(_churn_scores(spark, sf), "retained_day7", "retention_score")
+    reg = models.regression_metrics(models.channel_baseline(_players(spark, sf)), "ltv_day90", "ltv_estimate")
+    return models.quality_gates(auc, reg)
+
+
+@register("retention_model")
+def q_retention_model(spark, sf):
+    model, test = _trained(spark, sf, models.RETENTION)
+    return models.evaluate_classifier(model, test, models.RETENTION)
+
+
+@register("ltv_model")
+def q_ltv_model(spark, sf):
+    model, test = _trained(spark, sf, models.LTV)
+    return models.evaluate_regressor(model, test, models.LTV)
+
+
+@register("churn_model")
+def q_churn_model(spark, sf):
+    model, test = _trained(spark, sf, models.CHURN)
+    ev = models.evaluate_classifier(model, test, models.CHURN)
+    imp = models.feature_importances(model, spark).select(
+        F.lit("churn").alias("model"), F.concat(F.lit("importance:"), F.col("feature")).alias("metric"),
+        F.col("importance").alias("value"))
+    return ev.unionByName(imp)
+
+
+def _scored(spark, sf):
+    return models.score_players(
+        _players(spark, sf),
+        _trained(spark, sf, models.RETENTION)[0],
+        _trained(spark, sf, models.LTV)[0],
+        _trained(spark, sf, models.CHURN)[0],
+    )
+
+
+@register("score_players")
+def q_score_players(spark, sf):
+    return _scored(spark, sf)
+
+
+@register("prediction_sanity")
+def q_prediction_sanity(spark, sf):
+    return models.prediction_sanity(_scored(spark, sf), "ltv_estimate")
+
+
+@register("ltv_compare")
+def q_ltv_compare(spark, sf):
+    """Model LTV next to the BG/NBD CLV of the player's channel median profile."""
+    rd = _rfm_dropout(spark, sf)
+    bg = _memo(spark, sf, ("fit", "bgnbd"), lambda: clv.params_of(clv.fit_bgnbd(rd), ("r", "alpha", "a", "b")))
+    gg = _memo(spark, sf, ("fit", "gg"), lambda: clv.params_of(clv.fit_gamma_gamma(rd), ("p", "q", "v")))
+    prof = rfm.channel_rfm(rd, _players(spark, sf)).select(
+        "acquisition_channel", clv.clv_expr(bg, gg).alias("bgnbd_ltv"))
+    scored = _scored(spark, sf).join(_players(spark, sf).select("user_id", "acquisition_channel"), "user_id")
+    # the channel side has one row per channel
+    return scored.join(prof, "acquisition_channel", "left").select(
+        "user_id", "acquisition_channel", "ltv_estimate", "bgnbd_ltv",
+        (F.col("ltv_estimate") - F.col("bgnbd_ltv")).alias("ltv_delta"))
+
+
+@register("model_roundtrip")
+def q_model_roundtrip(spark, sf):
+    """Save the fitted retention pipeline, load it back, score the test rows with both."""
+    from pyspark.ml import PipelineModel
+
+    model, test = _trained(spark, sf, models.RETENTION)
+    path = scratch_path(spark, "retention-model")
+    model.write().overwrite().save(path)
+    loaded = PipelineModel.load(path)
+    a = models.positive_probability(model.transform(test), "p_saved").select("user_id", "p_saved")
+    b = models.positive_probability(loaded.transform(test), "p_loaded").select("user_id", "p_loaded")
+    return a.join(b, "user_id").withColumn("identical", F.col("p_saved") == F.col("p_loaded"))
+
+
+# ============================== S3 / ST1: sinks and streaming ==============================
+from acqlens.schemas import PLAYERS_SCHEMA  # noqa: E402
+from acqlens.sources import tables  # noqa: E402
+from acqlens.streaming import roas_stream  # noqa: E402
+
+
+@register("csv_roundtrip", P + "SELECT * FROM players", PLAYER_DOUBLES)
+def q_csv_roundtrip(spark, sf):
+    path = scratch_path(spark, "players-csv")
+    tables.write_dataset(_players(spark, sf), path, fmt="csv")
+    return tables.read_players_csv(spark, path)
+
+
+@register(
+    "roas_trend_stream",
+    P + """SELECT strftime(acquisition_date, '%Y-%m') AS month, acquisition_channel,
+      sum(ltv_day90) AS revenue, sum(cost_per_install) AS spend,
+      CASE WHEN sum(cost_per_install) = 0 THEN NULL ELSE sum(ltv_day90) / sum(cost_per_install) END AS roas
+    FROM players WHERE acquisition_channel IS NOT NULL GROUP BY 1, 2""",
+    ("revenue", "spend", "roas"),
+)
+def q_roas_trend_stream(spark, sf):
+    src = scratch_path(spark, "players-stream-in")
+    _players(spark, sf).repartition(4).write.mode("overwrite").parquet(src)
+    return roas_stream.run_roas_refresh(
+        spark, src, scratch_path(spark, "roas-stream-out"), scratch_path(spark, "roas-stream-ckpt"),
+        max_files_per_trigger=2,
+    )
