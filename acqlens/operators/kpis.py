@@ -179,7 +179,9 @@ def channel_attributes(players: DataFrame, channel_dim: DataFrame, country_dim:
     )
 
 
-def engagement_scores(players: DataFrame, channel_dim: DataFrame, country_dim: DataFrame) -> DataFrame:
+def engagement_scores(players: DataFrame, channel_dim: DataFrame, country_dim: DataFrame,
+                      keep: tuple[str, ...] = ()) -> DataFrame:
+    """P18 scores per player; ``keep`` carries extra player columns through the same projection."""
     p = channel_attributes(players, channel_dim, country_dim)
     idx = X.engagement_index(
         "battles_week1", "win_rate_week1", "trophies_end_week1", "arena_id",
@@ -187,6 +189,7 @@ def engagement_scores(players: DataFrame, channel_dim: DataFrame, country_dim: D
     )
     return p.select(
         "user_id",
+        *keep,
         X.model_trophies("battles_week1", "win_rate_week1").alias("model_trophies"),
         X.battle_mean("engagement", "skill_bias").alias("battle_mean"),
         X.clan_propensity("battles_week1", "win_rate_week1").alias("clan_propensity"),

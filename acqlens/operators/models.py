@@ -258,12 +258,13 @@ def feature_importances(model: PipelineModel, spark) -> DataFrame:
 
 def score_players(players: DataFrame, retention: PipelineModel, ltv: PipelineModel, churn: PipelineModel) -> DataFrame:
     """Table in, table out -- three fitted pipelines applied in sequence."""
-    base = players.select("user_id", *sorted(set(K.FEATURE_COLUMNS + K.CHURN_FEATURE_COLUMNS)))
+    feats = sorted(set(K.FEATURE_COLUMNS + K.CHURN_FEATURE_COLUMNS) - {"acquisition_channel"})
+    base = players.select("user_id", "acquisition_channel", *feats)
     keep = base.columns
     r = positive_probability(retention.transform(base), "retention_probability").select(*keep, "retention_probability")
     lt = ltv.transform(r).withColumnRenamed("prediction", "ltv_estimate").select(*keep, "retention_probability", "ltv_estimate")
     c = positive_probability(churn.transform(lt), "churn_probability")
-    return c.select("user_id", "retention_probability", "ltv_estimate", "churn_probability",
+    return c.select("user_id", "acquisition_channel", "retention_probability", "ltv_estimate", "churn_probability",
                     X.risk_band("churn_probability").alias("churn_risk"))
 
 

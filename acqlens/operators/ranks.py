@@ -140,12 +140,15 @@ def exact_percentiles(
 
 
 def exact_medians(df: DataFrame, value_cols: list[str], group_cols: list[str], n_buckets: int | None = None) -> DataFrame:
-    """Exact interpolated median of several columns per group, as one wide row per group."""
-    out = None
-    for c in value_cols:
-        m = exact_percentiles(df, c, [0.5], group_cols, n_buckets).select(*group_cols, F.col("value").alias(c))
-        out = m if out is None else out.join(m, group_cols, "full")
-    return out
+    """Exact interpolated median of several columns per group, one wide row per group.
+
+    The columns are unpivoted to ``(group, metric, value)`` and ranked in a single pass keyed
+    by ``(group, metric)``, then pivoted back over the known metric names (no distinct pass).
+    """
+    long = df.select(*group_cols, *[F.col(c).cast("double").alias(c) for c in value_cols]).unpivot(
+        group_cols, value_cols, "metric", "v")
+    med = exact_percentiles(long, "v", [0.5], group_cols + ["metric"], n_buckets)
+    return med.groupBy(*group_cols).pivot("metric", value_cols).agg(F.first("value"))
 
 
 def roc_auc(scored: DataFrame, label_col: str, score_col: str, group_cols: list[str] | None = None,

@@ -409,11 +409,9 @@ def q_engagement_score(spark, sf):
 
 def _churn_scores(spark, sf):
     """Players with a deterministic churn probability (1 - P18 retention score) and label."""
-    p = _players(spark, sf)
-    s = kpis.engagement_scores(p, dims.channel_dim(spark), dims.country_dim(spark))
-    return s.join(p.select("user_id", "retained_day7", "churned"), "user_id").withColumn(
-        "churn_probability", 1.0 - F.col("retention_score")
-    )
+    s = kpis.engagement_scores(_players(spark, sf), dims.channel_dim(spark), dims.country_dim(spark),
+                               keep=("retained_day7", "churned"))
+    return s.withColumn("churn_probability", 1.0 - F.col("retention_score"))
 
 
 @register(
@@ -1045,7 +1043,7 @@ def q_ltv_compare(spark, sf):
     gg = _memo(spark, sf, ("fit", "gg"), lambda: clv.params_of(clv.fit_gamma_gamma(rd), ("p", "q", "v")))
     prof = rfm.channel_rfm(rd, _players(spark, sf)).select(
         "acquisition_channel", clv.clv_expr(bg, gg).alias("bgnbd_ltv"))
-    scored = _scored(spark, sf).join(_players(spark, sf).select("user_id", "acquisition_channel"), "user_id")
+    scored = _scored(spark, sf)
     # the channel side has one row per channel
     return scored.join(prof, "acquisition_channel", "left").select(
         "user_id", "acquisition_channel", "ltv_estimate", "bgnbd_ltv",
