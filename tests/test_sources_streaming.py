@@ -17,7 +17,7 @@ def test_csv_roundtrip_is_lossless(spark, players_small):
     path = scratch_path(spark, "test-csv")
     tables.write_dataset(players_small, path, fmt="csv")
     back = tables.read_players_csv(spark, path)
-    assert back.schema == players_small.schema
+    assert [(f.name, f.dataType) for f in back.schema] == [(f.name, f.dataType) for f in players_small.schema]
     assert _sorted(back, ["user_id"]) == _sorted(players_small, ["user_id"])
 
 
