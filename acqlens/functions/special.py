@@ -15,22 +15,30 @@ def _lit(x) -> Column:
     return x if isinstance(x, Column) else F.lit(float(x))
 
 
-def lgamma(z: Column | float) -> Column:
+def _stirling(w: Column) -> Column:
+    inv = 1.0 / w
+    inv2 = inv * inv
+    series = inv * (1.0 / 12 + inv2 * (-1.0 / 360 + inv2 * (1.0 / 1260 + inv2 * (-1.0 / 1680 + inv2 * (1.0 / 1188)))))
+    return (w - 0.5) * F.log(w) - w + _HALF_LN_2PI + series
+
+
+def lgamma(z: Column | float, guard: bool = True) -> Column:
     """ln Gamma(z) for z > 0.
 
-    Shift by 10 with the recurrence (sum of logs, no overflow) and apply Stirling's series
-    through 1/w^9; for w >= 10 the truncation error is below 2e-14.
+    Shift by 10 with the recurrence and apply Stirling's series through 1/w^9 (for w >= 10 the
+    truncation error is below 2e-14).  The shift is one log of the 10-term product; above
+    1e15, where that product could overflow, Stirling is applied to z directly (exact there).
+    ``guard=False`` drops that branch (halving the generated code) where the caller knows
+    z < 1e30; an overflow there yields -inf, never a wrong finite value.
     """
     z = _lit(z)
-    w = z + _SHIFT
-    inv = 1.0 / w
-    inv2 = inv * inv
-    series = inv * (1.0 / 12 + inv2 * (-1.0 / 360 + inv2 * (1.0 / 1260 + inv2 * (-1.0 / 1680 + inv2 * (1.0 / 1188)))))
-    stirling = (w - 0.5) * F.log(w) - w + _HALF_LN_2PI + series
-    shift = F.log(z)
+    prod = z
     for k in range(1, _SHIFT):
-        shift = shift + F.log(z + k)
-    return stirling - shift
+        prod = prod * (z + k)
+    shifted = _stirling(z + _SHIFT) - F.log(prod)
+    if not guard:
+        return shifted
+    return F.when(z >= 1e15, _stirling(z)).otherwise(shifted)
 
 
 def log_add_exp(a: Column, b: Column) -> Column:

@@ -98,57 +98,60 @@ def clv_summary(clv: DataFrame) -> DataFrame:
 
 
 # --- batched optimizer -----------------------------------------------------------------------
+def _stencil(x: np.ndarray, h: float) -> list[np.ndarray]:
+    """Points for a central-difference gradient and Hessian around x (2n + 2n(n-1) points)."""
+    n = len(x)
+    pts = []
+    for i in range(n):
+        for s in (1, -1):
+            e = np.zeros(n)
+            e[i] = s * h
+            pts.append(x + e)
+    for i in range(n):
+        for j in range(i + 1, n):
+            for si, sj in ((1, 1), (1, -1), (-1, 1), (-1, -1)):
+                e = np.zeros(n)
+                e[i], e[j] = si * h, sj * h
+                pts.append(x + e)
+    return pts
+
+
+def _derivatives(fx: float, vals: list[float], n: int, h: float) -> tuple[np.ndarray, np.ndarray]:
+    g = np.array([(vals[2 * i] - vals[2 * i + 1]) / (2 * h) for i in range(n)])
+    H = np.zeros((n, n))
+    for i in range(n):
+        H[i, i] = (vals[2 * i] - 2 * fx + vals[2 * i + 1]) / h**2
+    k = 2 * n
+    for i in range(n):
+        for j in range(i + 1, n):
+            pp, pm, mp, mm = vals[k: k + 4]
+            H[i, j] = H[j, i] = (pp - pm - mp + mm) / (4 * h * h)
+            k += 4
+    return g, H
+
+
 def minimize_batched(
     evaluate: Callable[[list[np.ndarray]], list[float]],
     x0: Sequence[float],
     max_iter: int = 60,
     gtol: float = 1e-7,
-    h: float = 1e-4,
+    h: float = 1e-3,
 ) -> tuple[np.ndarray, float, int, bool]:
     """Damped Newton in log-parameter space; every call to ``evaluate`` is one data pass.
 
-    Each iteration spends two passes: a finite-difference stencil (value, gradient, Hessian:
-    1 + 2n + 2n(n-1) points) and a line search over several step lengths along the
-    Levenberg-damped Newton direction and the steepest-descent direction.
+    A pass evaluates the line-search candidates along the Levenberg-damped Newton direction
+    (and steepest descent) *together with* a finite-difference stencil around the full
+    Newton step.  When that step wins -- the usual case near the optimum -- the next
+    iteration's gradient and Hessian are already known, so an iteration costs one pass.
     """
     x = np.asarray(x0, dtype=float)
     n = len(x)
-    fx = evaluate([x])[0]
+    vals = evaluate([x] + _stencil(x, h))
+    fx, st = vals[0], vals[1:]
     for it in range(1, max_iter + 1):
-        pts = []
-        for i in range(n):
-            for s in (1, -1):
-                e = np.zeros(n)
-                e[i] = s * h
-                pts.append(x + e)
-        hh = 1e-3
-        pairs = []
-        for i in range(n):
-            for j in range(i + 1, n):
-                for si, sj in ((1, 1), (1, -1), (-1, 1), (-1, -1)):
-                    e = np.zeros(n)
-                    e[i], e[j] = si * hh, sj * hh
-                    pairs.append(x + e)
-        diag = []
-        for i in range(n):
-            for s in (1, -1):
-                e = np.zeros(n)
-                e[i] = s * hh
-                diag.append(x + e)
-        vals = evaluate(pts + pairs + diag)
-        fp = vals[: 2 * n]
-        fpair = vals[2 * n: 2 * n + len(pairs)]
-        fdiag = vals[2 * n + len(pairs):]
-        g = np.array([(fp[2 * i] - fp[2 * i + 1]) / (2 * h) for i in range(n)])
-        H = np.zeros((n, n))
-        for i in range(n):
-            H[i, i] = (fdiag[2 * i] - 2 * fx + fdiag[2 * i + 1]) / hh**2
-        k = 0
-        for i in range(n):
-            for j in range(i + 1, n):
-                pp, pm, mp, mm = fpair[k: k + 4]
-                H[i, j] = H[j, i] = (pp - pm - mp + mm) / (4 * hh * hh)
-                k += 4
+        g, H = _derivatives(fx, st, n, h)
+        if not np.all(np.isfinite(g)) or not np.all(np.isfinite(H)):
+            return x, fx, it, False
         if np.linalg.norm(g, np.inf) < gtol:
             return x, fx, it, True
         lam = 0.0
@@ -161,35 +164,57 @@ def minimize_batched(
             except np.linalg.LinAlgError:
                 lam = max(1e-6, lam * 10 if lam else abs(np.diag(H)).max() * 1e-3 + 1e-6)
         gd = -g / max(np.linalg.norm(g), 1e-300)
-        steps = [d * t for t in (1.0, 0.5, 0.25, 0.1, 0.03)] + [gd * t for t in (1.0, 0.3, 0.1, 0.01, 1e-3)]
-        cand = [x + s for s in steps]
-        cvals = evaluate(cand)
+        cand = [x + d * t for t in (1.0, 0.5, 0.25, 0.1, 0.03)] + [x + gd * t for t in (1.0, 0.3, 0.1, 0.01, 1e-3)]
+        out = evaluate(cand + _stencil(x + d, h))
+        cvals, st_full = out[: len(cand)], out[len(cand):]
         best = int(np.argmin(cvals))
-        if cvals[best] < fx - 1e-15 * max(1.0, abs(fx)):
-            moved = np.linalg.norm(cand[best] - x, np.inf)
-            x, fx = cand[best], cvals[best]
-            if moved < 1e-10:
-                return x, fx, it, True
-        else:
+        if not cvals[best] < fx - 1e-15 * max(1.0, abs(fx)):
             return x, fx, it, np.linalg.norm(g, np.inf) < 1e-4
+        moved = np.linalg.norm(cand[best] - x, np.inf)
+        x, fx = cand[best], cvals[best]
+        if moved < 1e-10:
+            return x, fx, it, True
+        if best == 0:
+            st = st_full
+        else:
+            vals = evaluate(_stencil(x, h))
+            st = vals
     return x, fx, max_iter, False
 
 
-def _objective_pass(data: DataFrame, ll: Callable[[list[Column]], Column], n_params: int, penalizer: float,
-                    weight_col: str | None) -> Callable[[list[np.ndarray]], list[float]]:
-    """One Spark job per batch: candidates are fanned out as rows (explode of a literal array,
-    no join) and reduced with ``groupBy(candidate)`` -- map-side partial aggregation leaves
-    one row per candidate per task before the shuffle."""
+def _objective_pass(
+    data: DataFrame,
+    consts: Callable[[np.ndarray], dict[str, float]],
+    prepare: Callable[[dict[str, Column]], dict[str, Column]],
+    ll: Callable[[dict[str, Column]], Column],
+    penalizer: float,
+    weight_col: str | None,
+) -> Callable[[list[np.ndarray]], list[float]]:
+    """One Spark job per batch of candidate parameter vectors.
+
+    Candidates are fanned out per row by exploding a literal array of structs (no join) and
+    reduced by ``groupBy(candidate)`` -- map-side partial aggregation leaves one row per
+    candidate per task.  Per-candidate constants (``lgamma(r)`` ...) are computed on the
+    driver and travel inside the struct; per-row arguments (``r + x`` ...) are projected once
+    as plain columns, so each ``lgamma`` references a column and the generated code stays
+    small and identical across passes.
+    """
     w = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
-    pcols = [F.col(f"_p{j}") for j in range(n_params)]
 
     def evaluate(points: list[np.ndarray]) -> list[float]:
+        cvals = [consts(np.exp(p)) for p in points]
+        names = list(cvals[0])
         cands = F.array(*[
-            F.struct(F.lit(i).alias("_cid"), *[F.lit(float(t)).alias(f"_p{j}") for j, t in enumerate(np.exp(p))])
-            for i, p in enumerate(points)
+            F.struct(F.lit(i).alias("_cid"), *[F.lit(float(c[n])).alias(n) for n in names])
+            for i, c in enumerate(cvals)
         ])
-        fan = data.select("*", F.explode(cands).alias("_c")).select("*", "_c.*")
-        res = fan.groupBy("_cid").agg((F.sum(w * ll(pcols)) / F.sum(w)).alias("f")).collect()
+        fan = data.select(w.alias("_w"), "*", F.explode(cands).alias("_c")).select("*", "_c.*")
+        cols = {n: F.col(n) for n in fan.columns}
+        helpers = prepare(cols)
+        fan = fan.select("_cid", "_w", *[F.col(n) for n in fan.columns if n not in ("_cid", "_w", "_c")],
+                         *[e.alias(k) for k, e in helpers.items()])
+        cols = {n: F.col(n) for n in fan.columns}
+        res = fan.groupBy("_cid").agg((F.sum(F.col("_w") * ll(cols)) / F.sum("_w")).alias("f")).collect()
         got = {row["_cid"]: row["f"] for row in res}
         out = []
         for i, p in enumerate(points):
@@ -201,6 +226,43 @@ def _objective_pass(data: DataFrame, ll: Callable[[list[Column]], Column], n_par
     return evaluate
 
 
+def _bgnbd_consts(t: np.ndarray) -> dict[str, float]:
+    r, al, a, b = (float(v) for v in t)
+    return {"r": r, "al": al, "a": a, "b": b, "lg_r": math.lgamma(r), "lg_b": math.lgamma(b),
+            "lg_ab": math.lgamma(a + b), "r_ln_al": r * math.log(al), "ln_a": math.log(a)}
+
+
+def _bgnbd_prepare(c: dict[str, Column]) -> dict[str, Column]:
+    x = c["frequency"].cast("double")
+    return {"rx": c["r"] + x, "bx": c["b"] + x, "abx": c["a"] + c["b"] + x, "bx1": c["b"] + x - 1}
+
+
+def _bgnbd_ll(c: dict[str, Column]) -> Column:
+    x, tx, T = c["frequency"], c["recency"].cast("double"), c["T"].cast("double")
+    a3 = -c["rx"] * F.log(c["al"] + T)
+    a4 = F.when(x > 0, c["ln_a"] - F.log(c["bx1"]) - c["rx"] * F.log(c["al"] + tx))
+    # arguments are r + x etc. with x a purchase count: far below the product-overflow range
+    return (lgamma(c["rx"], guard=False) - c["lg_r"] + c["r_ln_al"] + c["lg_ab"] + lgamma(c["bx"], guard=False)
+            - c["lg_b"] - lgamma(c["abx"], guard=False) + log_add_exp(a3, a4))
+
+
+def _gg_consts(t: np.ndarray) -> dict[str, float]:
+    p, q, v = (float(x) for x in t)
+    return {"p": p, "q": q, "v": v, "lg_q": math.lgamma(q), "q_ln_v": q * math.log(v)}
+
+
+def _gg_prepare(c: dict[str, Column]) -> dict[str, Column]:
+    x = c["frequency"].cast("double")
+    return {"px": c["p"] * x, "pxq": c["p"] * x + c["q"]}
+
+
+def _gg_ll(c: dict[str, Column]) -> Column:
+    x, m = c["frequency"].cast("double"), c["monetary_value"].cast("double")
+    return (lgamma(c["pxq"], guard=False) - lgamma(c["px"], guard=False) - c["lg_q"] + c["q_ln_v"]
+            + (c["px"] - 1) * F.log(m)
+            + c["px"] * F.log(x) - c["pxq"] * F.log(x * m + c["v"]))
+
+
 def _materialize(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
@@ -222,7 +284,7 @@ def fit_bgnbd(rfm: DataFrame, penalizer: float = K.PENALIZER, x0: Sequence[float
         "frequency", (F.col("recency") * scale).alias("recency"), (F.col("T") * scale).alias("T"), "w")
 
     x, fx, it, ok = minimize_batched(
-        _objective_pass(scaled, lambda c: bgnbd_loglik_expr(*c), 4, penalizer, "w"), np.log(np.asarray(x0)))
+        _objective_pass(scaled, _bgnbd_consts, _bgnbd_prepare, _bgnbd_ll, penalizer, "w"), np.log(np.asarray(x0)))
     r, alpha, a, b = (float(v) for v in np.exp(x))
     spark = rfm.sparkSession
     return spark.createDataFrame(
@@ -240,7 +302,7 @@ def fit_gamma_gamma(rfm: DataFrame, penalizer: float = K.PENALIZER, x0: Sequence
         raise ValueError("No repeat buyers found - cannot fit Gamma-Gamma model")
 
     x, fx, it, ok = minimize_batched(
-        _objective_pass(compact, lambda c: gamma_gamma_loglik_expr(*c), 3, penalizer, "w"), np.log(np.asarray(x0)))
+        _objective_pass(compact, _gg_consts, _gg_prepare, _gg_ll, penalizer, "w"), np.log(np.asarray(x0)))
     p, q, v = (float(t) for t in np.exp(x))
     return rfm.sparkSession.createDataFrame(
         [(p, q, v, float(fx), int(n), it, ok)],
