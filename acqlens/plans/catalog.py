@@ -678,6 +678,8 @@ PB = with_ctes(PLAYERS_CTE, *BUDGET_SQL)
 
 
 def _inputs(spark, sf):
+    """Scenario x channel inputs.  Allocation, report and simulation branches all start from
+    the same channel-statistics aggregate; Spark's exchange reuse runs that scan once."""
     p = _players(spark, sf)
     return budget.scenario_inputs(dims.scenarios(spark), kpis.channel_roas_stats(p),
                                   dims.saturation_dim(spark), dims.min_spend_dim(spark))
