@@ -70,3 +70,9 @@ def channel_rfm(rfm: DataFrame, players: DataFrame, n_buckets: int | None = None
     """
     joined = rfm_with_channel(repeat_buyers(rfm), players).filter(F.col("acquisition_channel").isNotNull())
     return exact_medians(joined, RFM_COLUMNS, ["acquisition_channel"], n_buckets)
+
+
+def channel_profile(profiles: DataFrame, requests: DataFrame) -> DataFrame:
+    """look up the median profile of each requested channel (a keyed join on a table of
+    requests instead of one filter per call; unknown channels get NULLs)."""
+    return requests.select("acquisition_channel").join(profiles, "acquisition_channel", "left")

@@ -54,3 +54,20 @@ def write_dataset(df: DataFrame, path: str, fmt: str = "parquet", partition_by:
         writer.json(path)
     else:
         writer.parquet(path)
+
+
+# --- S6: metrics records -----------------------------------------------------------------
+def save_metrics(metrics: DataFrame, path: str) -> None:
+    """Append one run's metrics (model, metric, value) as JSON lines: a run history."""
+    metrics.coalesce(1).write.mode("append").json(path)
+
+
+def load_metrics(spark: SparkSession, path: str) -> DataFrame | None:
+    """Read the metrics history with an explicit schema; ``None`` when nothing was saved yet."""
+    from acqlens.schemas import METRICS_SCHEMA
+
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        return None
+    return spark.read.schema(METRICS_SCHEMA).json(path)

@@ -56,3 +56,22 @@ def test_dropout_thins_some_customers(spark):
     thin = fixtures.txns_dropout(spark, SF)
     assert thin.count() < full.count()
     assert thin.select("user_id").distinct().count() == full.select("user_id").distinct().count()
+
+
+def test_metrics_history_roundtrip(spark):
+    path = scratch_path(spark, "test-metrics")
+    assert tables.load_metrics(spark, path) is None
+    m = spark.createDataFrame([("churn", "accuracy", 0.9), ("churn", "roc_auc", 0.8)], "model string, metric string, value double")
+    tables.save_metrics(m, path)
+    tables.save_metrics(m, path)
+    back = tables.load_metrics(spark, path)
+    assert back.count() == 4 and set(back.columns) == {"model", "metric", "value"}
+
+
+def test_channel_profile_lookup(spark):
+    from acqlens.operators import rfm
+
+    prof = spark.createDataFrame([("TikTok", 2.0), ("Google", 3.0)], "acquisition_channel string, frequency double")
+    req = spark.createDataFrame([("Google",), ("Nowhere",)], "acquisition_channel string")
+    got = {r.acquisition_channel: r.frequency for r in rfm.channel_profile(prof, req).collect()}
+    assert got == {"Google": 3.0, "Nowhere": None}
