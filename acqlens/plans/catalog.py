@@ -915,7 +915,7 @@ def q_gamma_gamma_fit(spark, sf):
 
 # ============================== M1-M10: Spark ML ==============================
 from acqlens.operators import models  # noqa: E402
-from acqlens.session import scratch_path  # noqa: E402
+from acqlens.session import ensure_checkpoint_dir, scratch_path  # noqa: E402
 
 _FITTED: dict[tuple, object] = {}
 
@@ -931,6 +931,7 @@ def _memo(spark, sf, key, build):
 
 def _trained(spark, sf, spec):
     def build():
+        ensure_checkpoint_dir(spark)
         model, test = models.train_model(_players(spark, sf), spec)
         return model, test.checkpoint(eager=True)
     return _memo(spark, sf, ("model", spec.name), build)
