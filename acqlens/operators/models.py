@@ -78,10 +78,22 @@ def _sql_literal(v) -> str:
     return repr(v)
 
 
-def fit_preprocessor(train: DataFrame, categorical: list[str], numeric: list[str]) -> FittedPreprocessor:
-    """Distinct category values (bounded) and mean / population std per numeric column."""
+MAX_CATEGORIES = 10_000
+
+
+def fit_preprocessor(train: DataFrame, categorical: list[str], numeric: list[str],
+                     max_categories: int = MAX_CATEGORIES) -> FittedPreprocessor:
+    """Distinct category values and mean / population std per numeric column.
+
+    The dictionaries become literals of the fitted model, so their size is checked first
+    with one approximate-distinct pass: an ordinal code over an unbounded key is an error.
+    """
     cats: dict[str, list] = {}
     if categorical:
+        card = train.agg(*[F.approx_count_distinct(c).alias(c) for c in categorical]).first()
+        wide = {c: card[c] for c in categorical if card[c] > max_categories}
+        if wide:
+            raise ValueError(f"categorical columns with more than {max_categories} values: {wide}")
         row = train.agg(*[F.array_sort(F.collect_set(F.col(c))).alias(c) for c in categorical]).first()
         cats = {c: [v for v in row[c] if v is not None] for c in categorical}
     means: dict[str, float] = {}

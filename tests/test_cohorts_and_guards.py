@@ -56,3 +56,18 @@ def test_players_invariants(players_small):
         F.count_if(F.col("install_date") != F.col("acquisition_date")).alias("bad_alias"),
     ).first()
     assert agg.n > 0 and agg.amin >= 1 and agg.amax <= 15 and agg.bad_churn == 0 and agg.bad_alias == 0
+
+
+def test_weighted_retention(spark):
+    df = spark.createDataFrame([(dt.date(2024, 1, 1), dt.date(2024, 1, 9)), (dt.date(2024, 1, 8), dt.date(2024, 1, 8))],
+                               "install_date date, last_login_date date")
+    w = cohorts.weighted_retention(cohorts.prepare_cohort_frame(df)).first()
+    assert (w.d1_weighted, w.d7_weighted, w.d30_weighted) == (50.0, 50.0, 0.0)
+
+
+def test_preprocessor_rejects_unbounded_categories(spark):
+    df = spark.range(50).selectExpr("cast(id as string) as k", "cast(id as double) as x")
+    with pytest.raises(ValueError, match="categorical"):
+        models.fit_preprocessor(df, ["k"], ["x"], max_categories=10)
+    pre = models.fit_preprocessor(df, [], ["x"])
+    assert pre.stds["x"] > 0
