@@ -1120,8 +1120,10 @@ def q_csv_roundtrip(spark, sf):
     ("revenue", "spend", "roas"),
 )
 def q_roas_trend_stream(spark, sf):
-    src = scratch_path(spark, "players-stream-in")
-    _players(spark, sf).repartition(4).write.mode("overwrite").parquet(src)
+    """ST1: the file-source stream reads the materialised players table's folder directly
+    (its part files arrive as micro-batches, two per trigger) -- no copy of the data."""
+    files = _players(spark, sf).inputFiles()
+    src = files[0].rsplit("/", 1)[0]
     return roas_stream.run_roas_refresh(
         spark, src, scratch_path(spark, "roas-stream-out"), scratch_path(spark, "roas-stream-ckpt"),
         max_files_per_trigger=2,
