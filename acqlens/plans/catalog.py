@@ -611,28 +611,36 @@ BUDGET_SQL = [
   FROM (SELECT scenario_id, budget, share, count(*) AS n_channels, sum(min_spend) AS min_total,
                max(min_spend) AS max_min, any_value(cap) AS cap FROM inp GROUP BY 1, 2, 3)
 )""",
-    """ev0 AS (
-  SELECT i.scenario_id, i.budget, i.roas_opt, i.saturation, i.min_spend, i.cap,
-         sum(i.min_spend) OVER (PARTITION BY i.scenario_id) AS a0,
-         sum(i.saturation * i.roas_opt) OVER (PARTITION BY i.scenario_id) AS c_scale
-  FROM inp i JOIN valst v USING (scenario_id) WHERE v.status = 'ok'
-), ev AS (
-  SELECT scenario_id, budget, a0, c_scale, roas_opt / (1 + min_spend / saturation) AS lam,
-         -min_spend - saturation AS da, saturation * roas_opt AS dc FROM ev0
-  UNION ALL
-  SELECT scenario_id, budget, a0, c_scale, roas_opt / (1 + cap / saturation), saturation + cap,
-         -saturation * roas_opt FROM ev0
-), cum AS (
-  SELECT scenario_id, budget, c_scale, lam,
-         a0 + sum(da) OVER (PARTITION BY scenario_id ORDER BY lam DESC) AS a,
-         sum(dc) OVER (PARTITION BY scenario_id ORDER BY lam DESC) AS c
-  FROM ev
-), piece AS (
-  SELECT scenario_id, arg_min(a, lam) AS a, arg_min(c, lam) AS c, min(lam) AS lam0,
-         any_value(budget) AS budget, any_value(c_scale) AS c_scale
-  FROM cum WHERE a + c / lam <= budget * (1 + 1e-12) GROUP BY 1
+    # Independent of the Spark algorithm (cumulative deltas over sorted breakpoints): here
+    # the true clipped total is evaluated at every breakpoint, the budget is bracketed, the
+    # channels are classified inside the bracket and lam is solved from that piece.
+    """okin AS (
+  SELECT i.* FROM inp i JOIN valst v USING (scenario_id) WHERE v.status = 'ok'
+), bp AS (
+  SELECT scenario_id, roas_opt / (1 + min_spend / saturation) AS lam FROM okin
+  UNION
+  SELECT scenario_id, roas_opt / (1 + cap / saturation) FROM okin
+), bptot AS (
+  SELECT b.scenario_id, b.lam, any_value(o.budget) AS budget,
+         sum(least(greatest(o.saturation * (o.roas_opt / b.lam - 1), o.min_spend), o.cap)) AS total
+  FROM bp b JOIN okin o USING (scenario_id) GROUP BY 1, 2
+), br AS (
+  SELECT *, CASE WHEN lam_lo IS NULL THEN lam_hi / 2 ELSE (lam_lo + lam_hi) / 2 END AS lm
+  FROM (SELECT scenario_id, any_value(budget) AS budget,
+               min(lam) FILTER (WHERE total <= budget * (1 + 1e-12)) AS lam_hi,
+               max(lam) FILTER (WHERE total > budget * (1 + 1e-12)) AS lam_lo
+        FROM bptot GROUP BY 1)
+), cls AS (
+  SELECT o.scenario_id, any_value(br.budget) AS budget, any_value(br.lam_hi) AS lam_hi,
+    sum(CASE WHEN o.saturation * (o.roas_opt / br.lm - 1) <= o.min_spend THEN o.min_spend
+             WHEN o.saturation * (o.roas_opt / br.lm - 1) >= o.cap THEN o.cap
+             ELSE -o.saturation END) AS a,
+    sum(CASE WHEN o.saturation * (o.roas_opt / br.lm - 1) > o.min_spend
+              AND o.saturation * (o.roas_opt / br.lm - 1) < o.cap THEN o.saturation * o.roas_opt
+             ELSE 0.0 END) AS c
+  FROM okin o JOIN br USING (scenario_id) GROUP BY 1
 ), lam AS (
-  SELECT scenario_id, CASE WHEN c > c_scale * 1e-12 THEN c / (budget - a) ELSE lam0 END AS lam FROM piece
+  SELECT scenario_id, CASE WHEN c > 0 THEN c / (budget - a) ELSE lam_hi END AS lam FROM cls
 ), alloc AS (
   SELECT i.*, v.status,
     CASE WHEN v.status = 'ok' THEN least(greatest(i.saturation * (i.roas_opt / l.lam - 1), i.min_spend), i.cap) END
