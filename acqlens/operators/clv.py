@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from acqlens import constants as K
 from acqlens.functions.special import hyp2f1, lgamma, log_add_exp
-from acqlens.session import ensure_checkpoint_dir
+from acqlens.session import reliable_checkpoint
 
 
 def _lit(v) -> Column:
@@ -264,8 +264,7 @@ def _gg_ll(c: dict[str, Column]) -> Column:
 
 
 def _materialize(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return reliable_checkpoint(df)
 
 
 # --- M11: BG/NBD fit -------------------------------------------------------------------------

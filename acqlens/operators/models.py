@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from acqlens import constants as K
 from acqlens.functions import expressions as X
 from acqlens.operators import ranks
+from acqlens.session import reliable_checkpoint
 
 
 # --- A16 -------------------------------------------------------------------------------------
@@ -158,7 +159,9 @@ def train_model(players: DataFrame, spec: ModelSpec, **overrides) -> tuple[Pipel
     """Fit on the training split; returns the model and the *test* rows for evaluation."""
     require_columns(players, spec.categorical + spec.numeric + [spec.label, "user_id"], spec.name)
     data = split(players.select("user_id", *spec.categorical, *spec.numeric, spec.label), spec)
-    data = data.withColumn(spec.label, F.col(spec.label).cast("double"))
+    # the split is a global rank: compute it once, on the shared checkpoint folder, so the
+    # training and test sides (and any retry) read the same rows
+    data = reliable_checkpoint(data.withColumn(spec.label, F.col(spec.label).cast("double")))
     train = data.filter(~F.col("is_test"))
     test = data.filter(F.col("is_test"))
     weight_col = None

@@ -954,8 +954,7 @@ def _trained(spark, sf, spec):
     players = _players(spark, sf)
 
     def build(sp):
-        model, test = models.train_model(players, sp)
-        return model, test.checkpoint(eager=True)
+        return models.train_model(players, sp)
 
     def start():
         pool = ThreadPoolExecutor(max_workers=len(_ALL_SPECS), thread_name_prefix="gbt")

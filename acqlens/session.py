@@ -82,3 +82,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def reliable_checkpoint(df):
+    """Write ``df`` to the shared checkpoint folder and cut its lineage, computing it once.
+
+    A reliable checkpoint writes the RDD in a second job; persisting first makes that job
+    read the cached blocks instead of recomputing the plan.  The cache is dropped after.
+    """
+    from pyspark import StorageLevel
+
+    ensure_checkpoint_dir(df.sparkSession)
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
