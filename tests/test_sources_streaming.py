@@ -75,3 +75,17 @@ def test_channel_profile_lookup(spark):
     req = spark.createDataFrame([("Google",), ("Nowhere",)], "acquisition_channel string")
     got = {r.acquisition_channel: r.frequency for r in rfm.channel_profile(prof, req).collect()}
     assert got == {"Google": 3.0, "Nowhere": None}
+
+
+def test_store_rebuilds_when_sources_change(spark):
+    from acqlens.sources import store
+
+    src = scratch_path(spark, "test-store-src")
+    spark.range(5).write.parquet(src)
+    a = store.materialized(spark, "t_store", [src], lambda: spark.read.parquet(src).selectExpr("id * 2 AS v"))
+    assert a.count() == 5
+    again = store.materialized(spark, "t_store", [src], lambda: (_ for _ in ()).throw(AssertionError("rebuilt")))
+    assert again.count() == 5  # unchanged inputs: the stored table is reused, not rebuilt
+    spark.range(7).write.mode("overwrite").parquet(src)
+    b = store.materialized(spark, "t_store", [src], lambda: spark.read.parquet(src).selectExpr("id * 2 AS v"))
+    assert b.count() == 7
