@@ -23,16 +23,36 @@ def clip(x: Column | str, lo: float | Column, hi: float | Column) -> Column:
     return F.least(F.greatest(_c(x), lo_c), hi_c)
 
 
+# --- sorted-cut counting -----------------------------------------------------------------
+def count_cuts(v: Column, cuts: list[float], inclusive: bool = False) -> Column:
+    """Number of ascending ``cuts`` below ``v`` (``<= v`` when ``inclusive``).
+
+    Built as a balanced tree of CASE WHEN over the literal cut points: log2(len) comparisons
+    per row, fully inside whole-stage codegen (a higher-order ``filter`` over an array would
+    fall back to interpreted evaluation and scan every cut).
+    """
+    def below(c):
+        return (F.lit(c) <= v) if inclusive else (F.lit(c) < v)
+
+    def build(lo: int, hi: int) -> Column:
+        if lo >= hi:
+            return F.lit(0)
+        mid = (lo + hi) // 2
+        return F.when(below(cuts[mid]), F.lit(mid - lo + 1) + build(mid + 1, hi)).otherwise(build(lo, mid))
+
+    return build(0, len(cuts))
+
+
 # --- P1: trophy count -> arena id -------------------------------------------------------
 def trophies_to_arena(trophies: Column | str, gates: list[int] | None = None) -> Column:
     """Arena 1..len(gates): truncate, floor at 0, last gate <= value wins, clamp.
 
-    Works for any ascending gate list: counts gates not above the value (a higher-order
-    ``filter`` over a literal array, evaluated in codegen), so irregular gates need no UDF.
+    Works for any ascending gate list (irregular gates need no UDF): the number of gates
+    not above the value, counted with :func:`count_cuts`.
     """
-    gates = gates or K.ARENA_TROPHY_GATES
+    gates = sorted(gates or K.ARENA_TROPHY_GATES)
     t = F.greatest(_c(trophies).cast("long"), F.lit(0))
-    passed = F.size(F.filter(F.array(*[F.lit(g) for g in gates]), lambda g: g <= t))
+    passed = count_cuts(t, gates, inclusive=True)
     return F.least(F.greatest(passed, F.lit(1)), F.lit(len(gates))).cast("int")
 
 

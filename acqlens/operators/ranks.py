@@ -23,12 +23,19 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from acqlens.functions.expressions import count_cuts
+
+
+# Buckets beyond this only lengthen the cut tree; each bucket's window task still holds
+# distinct values / buckets rows and spills when large.
+MAX_BUCKETS = 1024
+
 
 def _bucket_count(df: DataFrame, n_buckets: int | None) -> int:
     if n_buckets:
         return max(1, int(n_buckets))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(8, parts)
+    return min(MAX_BUCKETS, max(8, parts))
 
 
 def value_ranks(
@@ -62,11 +69,7 @@ def value_ranks(
         cuts = sorted(set(float(x) for x in (row["q"] or []) if x is not None and math.isfinite(float(x))))
     else:
         cuts = []
-    if cuts:
-        v = F.col(value_col).cast("double")
-        bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < v))
-    else:
-        bucket = F.lit(0)
+    bucket = count_cuts(F.col(value_col).cast("double"), cuts) if cuts else F.lit(0)
     counts = counts.withColumn("bucket", bucket.cast("int"))
 
     totals = counts.groupBy(*g, "bucket").agg(F.sum("cnt").alias("bcnt"))
