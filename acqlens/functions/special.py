@@ -69,3 +69,32 @@ def hyp2f1(a: Column | float, b: Column | float, c: Column | float, z: Column |
     return F.when(z == 0, F.lit(1.0)).otherwise(
         F.aggregate(F.sequence(F.lit(0), n_terms - 1), init, step, lambda acc: acc["s"])
     )
+
+
+def hyp2f1_multi(a: Column | float, b: Column | float, c: Column | float, zs: list[Column], tol_digits: int = 17) -> list[Column]:
+    """2F1(a, b; c; z) for several z sharing (a, b, c), summed in ONE ``aggregate`` pass.
+
+    The coefficient ratio (a+k)(b+k)/((c+k)(k+1)) is shared; each z keeps its own running
+    term and sum.  The term count is taken for the largest z (the slowest to converge).
+    Returns one Column per z.
+    """
+    a, b, c = _lit(a), _lit(b), _lit(c)
+    zmax = zs[0]
+    for z in zs[1:]:
+        zmax = F.greatest(zmax, z)
+    m = F.greatest(a + b - c - 1, F.lit(0.0))
+    zz = F.least(F.greatest(zmax, F.lit(1e-300)), F.lit(1 - 1e-15))
+    tail = F.ceil(F.lit(tol_digits * math.log(10.0)) / (-F.log(zz)))
+    n_terms = (F.ceil(2 * m * zz / (1 - zz)) + tail + 10).cast("int")
+    n = len(zs)
+    init = F.struct(*[F.lit(1.0).alias(f"t{i}") for i in range(n)], *[F.lit(1.0).alias(f"s{i}") for i in range(n)])
+
+    def step(acc, k):
+        kd = k.cast("double")
+        ratio = (a + kd) * (b + kd) / ((c + kd) * (kd + 1))
+        ts = [acc[f"t{i}"] * ratio * zs[i] for i in range(n)]
+        return F.struct(*[ts[i].alias(f"t{i}") for i in range(n)],
+                        *[(acc[f"s{i}"] + ts[i]).alias(f"s{i}") for i in range(n)])
+
+    res = F.aggregate(F.sequence(F.lit(0), n_terms - 1), init, step)
+    return [F.when(zs[i] == 0, F.lit(1.0)).otherwise(res[f"s{i}"]) for i in range(n)]

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from acqlens import constants as K
-from acqlens.functions.special import hyp2f1, lgamma, log_add_exp
+from acqlens.functions.special import hyp2f1, hyp2f1_multi, lgamma, log_add_exp
 from acqlens.session import reliable_checkpoint
 
 
@@ -74,13 +74,26 @@ def expected_spend_expr(p, q, v, x="frequency", m="monetary_value") -> Column:
     return (1 - w) * (p * v / (q - 1)) + w * m
 
 
+def expected_purchases_multi(ts: Sequence[float], r, alpha, a, b, x="frequency", tx="recency", T="T") -> list[Column]:
+    """E[purchases in (T, T+t]] for several horizons with one shared series pass."""
+    if a == 1:
+        raise ValueError("expected purchases need a != 1")
+    x, tx, T = F.col(x).cast("double"), F.col(tx).cast("double"), F.col(T).cast("double")
+    pos = [float(t) for t in ts if t > 0]
+    hyps = hyp2f1_multi(r + x, b + x, a + b + x - 1, [t / (alpha + T + t) for t in pos]) if pos else []
+    first = (a + b + x - 1) / (a - 1)
+    denom = 1 + F.when(x > 0, a / (b + x - 1) * F.pow((alpha + T) / (alpha + tx), r + x)).otherwise(F.lit(0.0))
+    by_t = {t: first * (1 - F.pow((alpha + T) / (alpha + T + t), r + x) * h) / denom for t, h in zip(pos, hyps)}
+    return [by_t[float(t)] if t > 0 else F.lit(0.0) for t in ts]
+
+
 def clv_expr(bg: Sequence[float], gg: Sequence[float], periods: int = K.CLV_PERIODS,
              period_days: int = K.CLV_PERIOD_DAYS, discount: float = K.CLV_DISCOUNT,
              x="frequency", tx="recency", T="T", m="monetary_value") -> Column:
-    """sum_k spend * (E[k*30] - E[(k-1)*30]) / (1 + d)^k, k = 1..periods."""
+    """sum_k spend * (E[k*30] - E[(k-1)*30]) / (1 + d)^k, k = 1..periods (one series pass)."""
     r, alpha, a, b = bg
     spend = expected_spend_expr(*gg, x=x, m=m)
-    e = [expected_purchases_expr(float(k * period_days), r, alpha, a, b, x, tx, T) for k in range(periods + 1)]
+    e = expected_purchases_multi([k * period_days for k in range(periods + 1)], r, alpha, a, b, x, tx, T)
     total = F.lit(0.0)
     for k in range(1, periods + 1):
         total = total + spend * (e[k] - e[k - 1]) / (1 + discount) ** k

@@ -876,8 +876,8 @@ def q_gamma_gamma_loglik(spark, sf):
 )
 def q_expected_purchases(spark, sf):
     r = _rfm_dropout(spark, sf)
-    return r.select("user_id", *[clv.expected_purchases_expr(float(t), *BG_FIXED).alias(f"expected_{t}")
-                                 for t in (30, 60, 90)])
+    es = clv.expected_purchases_multi([30, 60, 90], *BG_FIXED)
+    return r.select("user_id", *[e.alias(f"expected_{t}") for e, t in zip(es, (30, 60, 90))])
 
 
 @register(

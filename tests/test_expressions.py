@@ -92,3 +92,14 @@ def _hyp_ref(a, b, c, z, n=5000):
 def test_hyp2f1_series(spark, a, b, c, z):
     got = _one(spark, hyp2f1(a, b, c, F.col("z")), "z double", [(z,)])[0]
     assert got == pytest.approx(_hyp_ref(a, b, c, z), rel=1e-11)
+
+
+def test_hyp2f1_multi_matches_single(spark):
+    from acqlens.functions.special import hyp2f1_multi
+
+    df = spark.createDataFrame([(0.05, 0.2, 0.0), (0.3, 0.6, 0.9)], "z1 double, z2 double, z3 double")
+    zs = [F.col("z1"), F.col("z2"), F.col("z3")]
+    multi = df.select(*[c.alias(f"m{i}") for i, c in enumerate(hyp2f1_multi(4.8, 6.5, 6.0, zs))]).collect()
+    for row, src in zip(multi, df.collect()):
+        for i, z in enumerate(src):
+            assert row[f"m{i}"] == pytest.approx(_hyp_ref(4.8, 6.5, 6.0, z), rel=1e-11)
