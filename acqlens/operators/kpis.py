@@ -162,8 +162,13 @@ def channel_mix(players: DataFrame) -> DataFrame:
 
 
 # --- F1 / T2 ---------------------------------------------------------------------------------
-def purchasers(players: DataFrame) -> DataFrame:
-    return players.filter(F.col("is_purchaser") == 1)
+def purchasers(players: DataFrame, require_nonempty: bool = False) -> DataFrame:
+    """purchasers only; optionally fail when there are none (a ``limit(1)`` probe, which
+    stops after the first matching row instead of counting the table)."""
+    out = players.filter(F.col("is_purchaser") == 1)
+    if require_nonempty and not out.limit(1).count():
+        raise ValueError("No purchasers found")
+    return out
 
 
 def sample_players(players: DataFrame, n: int = 5) -> DataFrame:

@@ -288,3 +288,17 @@ def prediction_sanity(scored: DataFrame, pred: str = "ltv_estimate") -> DataFram
     return scored.agg(F.count_if(F.col(pred) < 0).alias("negative_predictions"),
                       F.min(pred).alias("min_prediction"), F.max(pred).alias("max_prediction"),
                       F.count(F.lit(1)).alias("rows"))
+
+
+# --- S4: model persistence -----------------------------------------------------------------
+def save_model(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_model(spark, path: str) -> PipelineModel | None:
+    """Load a saved pipeline; ``None`` when nothing is stored at ``path``."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        return None
+    return PipelineModel.load(path)

@@ -71,3 +71,12 @@ def test_preprocessor_rejects_unbounded_categories(spark):
         models.fit_preprocessor(df, ["k"], ["x"], max_categories=10)
     pre = models.fit_preprocessor(df, [], ["x"])
     assert pre.stds["x"] > 0
+
+
+def test_purchasers_guard_and_model_loader(spark, players_small):
+    from acqlens.session import scratch_path
+
+    assert kpis.purchasers(players_small, require_nonempty=True).count() > 0
+    with pytest.raises(ValueError, match="purchasers"):
+        kpis.purchasers(players_small.withColumn("is_purchaser", F.lit(0)), require_nonempty=True)
+    assert models.load_model(spark, scratch_path(spark, "no-model")) is None
