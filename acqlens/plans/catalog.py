@@ -770,21 +770,21 @@ def q_allocation_with_bands(spark, sf):
 
 @register(
     "response_curve",
-    PB + """SELECT i.scenario_id, i.acquisition_channel, x.spend,
-      CASE WHEN x.spend > 0 AND i.roas > 0 AND i.saturation > 0
-           THEN i.roas * i.saturation * ln(1 + x.spend / i.saturation) ELSE 0.0 END AS channel_return,
-      CASE WHEN x.spend <= 0 OR i.saturation <= 0 THEN i.roas ELSE i.roas / (1 + x.spend / i.saturation) END AS marginal_roas
-    FROM inp i CROSS JOIN (SELECT i * 0.1 AS spend FROM range(0, 11) t(i)) x
-    WHERE i.scenario_id = 1""",
+    PB + """SELECT scenario_id, acquisition_channel, spend,
+      CASE WHEN spend > 0 AND roas > 0 AND saturation > 0
+           THEN roas * saturation * ln(1 + spend / saturation) ELSE 0.0 END AS channel_return,
+      CASE WHEN spend <= 0 OR saturation <= 0 THEN roas ELSE roas / (1 + spend / saturation) END AS marginal_roas
+    FROM (SELECT i.*, x.k * 0.1 * i.saturation AS spend
+          FROM inp i CROSS JOIN (SELECT range AS k FROM range(0, 11)) x WHERE i.scenario_id = 1)""",
     ("spend", "channel_return", "marginal_roas"), bits=20,
 )
 def q_response_curve(spark, sf):
-    """P16/P17 along a spend grid of 0, 10%, ..., 100% of each channel's saturation... scaled by
-    the scenario's ROAS inputs (grid generated per row, no join)."""
+    """P16/P17 on a spend grid of 0, 10%, ..., 100% of each channel's saturation scale, at
+    the channel's observed ROAS (the grid is generated per row; no join)."""
     i = _inputs(spark, sf).filter(F.col("scenario_id") == 1)
     g = i.select("scenario_id", "acquisition_channel", "roas", "saturation",
                  F.explode(F.sequence(F.lit(0), F.lit(10))).alias("k"))
-    spend = F.col("k") * 0.1
+    spend = F.col("k") * 0.1 * F.col("saturation")
     return g.select("scenario_id", "acquisition_channel", spend.alias("spend"),
                     X.channel_return(spend, "roas", "saturation").alias("channel_return"),
                     X.marginal_roas(spend, "roas", "saturation").alias("marginal_roas"))
