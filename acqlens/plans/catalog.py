@@ -931,7 +931,7 @@ _FITTED: dict[tuple, object] = {}
 def _memo(spark, sf, key, build):
     """Train/fit once per (session, data folder, model): later queries reuse the fitted
     model, as the reference's app reuses its saved model files."""
-    k = (id(spark.sparkContext), sf, key)
+    k = (spark.sparkContext.applicationId, sf, key)
     if k not in _FITTED:
         _FITTED[k] = build()
     return _FITTED[k]

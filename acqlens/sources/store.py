@@ -58,7 +58,7 @@ def materialized(
     """Read table ``name`` derived from ``sources``; build and write it first if absent."""
     sig = _fs_signature(spark, sources)
     key = hashlib.sha1(f"{name}|{DEFINITION_VERSION}|{sig}".encode()).hexdigest()[:16]
-    memo = (id(spark.sparkContext), name, key)
+    memo = (spark.sparkContext.applicationId, name, key)
     if memo in _OPENED:
         return _OPENED[memo]
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{key}"
