@@ -5,9 +5,9 @@ global here goes through :func:`value_ranks` instead:
 
 1. collapse to distinct ``(group, value)`` with counts (partial aggregation; a value shared by
    a third of the rows becomes one row);
-2. cut the value axis into ``B`` buckets at approximate quantiles of the distinct values (a
-   bounded list of ``B-1`` numbers, computed once and embedded as literals so every stage
-   and every retry sees the same cut points);
+2. cut the value axis into ``B`` buckets at approximate quantiles (a mergeable sketch over
+   the raw column -- no shuffle -- giving a bounded list of ``B-1`` numbers, computed once and
+   embedded as literals so every stage and every retry sees the same cut points);
 3. total the counts per ``(group, bucket)`` -- a table of at most ``groups x B`` rows -- and
    turn it into offsets with a window over that small table;
 4. inside each ``(group, bucket)`` a partitioned running sum gives the rank within the
@@ -62,8 +62,11 @@ def value_ranks(
     )
     b = _bucket_count(df, n_buckets)
     if b > 1:
+        # cut points from a mergeable sketch over the raw column: map-side partial sketches,
+        # no shuffle of the distinct-value table just to place bucket boundaries (they only
+        # affect balance -- ranks are exact for any cut points)
         probs = [i / b for i in range(1, b)]
-        row = counts.agg(
+        row = df.filter(F.col(value_col).isNotNull()).agg(
             F.percentile_approx(F.col(value_col).cast("double"), probs, 10000).alias("q")
         ).first()
         cuts = sorted(set(float(x) for x in (row["q"] or []) if x is not None and math.isfinite(float(x))))
