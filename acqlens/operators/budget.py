@@ -237,18 +237,25 @@ def mc_bands(sims: DataFrame) -> DataFrame:
 
 
 def mc_histogram(sims: DataFrame, bins: int = 40) -> DataFrame:
-    """Equal-width histogram of simulated totals per scenario; last bin closed."""
+    """Equal-width histogram of simulated totals per scenario (last bin closed), with the
+    scenario's P10 / P50 / P90 markers on every bin row (both keyed by scenario)."""
     t = simulated_totals(sims)
-    rng = t.groupBy("scenario_id").agg(F.min("total").alias("lo"), F.max("total").alias("hi"))
+    stats = t.groupBy("scenario_id").agg(
+        F.min("total").alias("lo"), F.max("total").alias("hi"),
+        F.percentile(F.col("total"), F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("q"),
+    )
     width = (F.col("hi") - F.col("lo")) / bins
     b = F.when(F.col("hi") > F.col("lo"),
                F.least(F.floor((F.col("total") - F.col("lo")) / width), F.lit(bins - 1))).otherwise(F.lit(0))
-    return (
-        t.join(rng, "scenario_id")
+    counts = (
+        t.join(stats.select("scenario_id", "lo", "hi"), "scenario_id")
         .groupBy("scenario_id", b.cast("int").alias("bin"), "lo", "hi")
         .agg(F.count(F.lit(1)).alias("n"))
-        .select("scenario_id", "bin", (F.col("lo") + F.col("bin") * width).alias("bin_lo"),
-                (F.col("lo") + (F.col("bin") + 1) * width).alias("bin_hi"), "n")
+    )
+    return counts.join(stats.select("scenario_id", "q"), "scenario_id").select(
+        "scenario_id", "bin", (F.col("lo") + F.col("bin") * width).alias("bin_lo"),
+        (F.col("lo") + (F.col("bin") + 1) * width).alias("bin_hi"), "n",
+        F.col("q")[0].alias("p10"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p90"),
     )
 
 

@@ -746,12 +746,15 @@ def q_mc_bands(spark, sf):
 
 @register(
     "mc_histogram",
-    PB + """, rng AS (SELECT scenario_id, min(total) AS lo, max(total) AS hi FROM tot GROUP BY 1)
-    SELECT scenario_id, bin, lo + bin * (hi - lo) / 40 AS bin_lo, lo + (bin + 1) * (hi - lo) / 40 AS bin_hi, count(*) AS n
-    FROM (SELECT t.scenario_id, lo, hi, CAST(CASE WHEN hi > lo THEN least(floor((total - lo) / ((hi - lo) / 40)), 39)
+    PB + """, rng AS (SELECT scenario_id, min(total) AS lo, max(total) AS hi, quantile_cont(total, 0.1) AS p10,
+                           quantile_cont(total, 0.5) AS p50, quantile_cont(total, 0.9) AS p90 FROM tot GROUP BY 1)
+    SELECT scenario_id, bin, lo + bin * (hi - lo) / 40 AS bin_lo, lo + (bin + 1) * (hi - lo) / 40 AS bin_hi, count(*) AS n,
+           any_value(p10) AS p10, any_value(p50) AS p50, any_value(p90) AS p90
+    FROM (SELECT t.scenario_id, lo, hi, p10, p50, p90,
+                 CAST(CASE WHEN hi > lo THEN least(floor((total - lo) / ((hi - lo) / 40)), 39)
                  ELSE 0 END AS INTEGER) AS bin FROM tot t JOIN rng USING (scenario_id))
     GROUP BY scenario_id, bin, lo, hi""",
-    ("bin_lo", "bin_hi"), bits=16,
+    ("bin_lo", "bin_hi", "p10", "p50", "p90"), bits=16,
 )
 def q_mc_histogram(spark, sf):
     return budget.mc_histogram(budget.simulate_returns(_allocation(spark, sf)))
