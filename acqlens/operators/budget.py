@@ -264,5 +264,10 @@ def allocation_with_bands(report: DataFrame, bands: DataFrame) -> DataFrame:
     b = bands.filter(F.col("acquisition_channel") != "TOTAL").select(
         "scenario_id", "acquisition_channel", "p10", "p50", "p90")
     return report.join(b, ["scenario_id", "acquisition_channel"], "left").withColumns(
-        {"error_plus": F.col("p90") - F.col("p50"), "error_minus": F.col("p50") - F.col("p10")}
+        {
+            "error_plus": F.col("p90") - F.col("p50"),
+            "error_minus": F.col("p50") - F.col("p10"),
+            "return_p50_display": X.format_usd_k("p50"),
+            "return_band_display": F.concat(X.format_usd_k("p10"), F.lit(" – "), X.format_usd_k("p90")),
+        }
     )

@@ -580,6 +580,12 @@ def q_roc_auc(spark, sf):
 # ============================== O: budget allocation ==============================
 from acqlens.operators import budget  # noqa: E402
 
+def _usd_k_sql(x: str) -> str:
+    """P14 display format in DuckDB SQL (the oracle side of ``expressions.format_usd_k``)."""
+    return (f"CASE WHEN abs({x}) < 500 THEN '$' || format('{{:,.2f}}', {x}) "
+            f"ELSE '$' || format('{{:,}}', CAST(round_even({x} / 1000.0, 0) * 1000 AS BIGINT)) END")
+
+
 _SCEN_VALUES = ", ".join(f"({i}, CAST({b!r} AS DOUBLE), CAST({s!r} AS DOUBLE))" for i, b, s in dims.SCENARIO_ROWS)
 BUDGET_SQL = [
     f"scen(scenario_id, budget, share) AS (VALUES {_SCEN_VALUES})",
@@ -762,7 +768,9 @@ def q_mc_histogram(spark, sf):
 
 @register(
     "allocation_with_bands",
-    PB + """SELECT r.*, b.p10, b.p50, b.p90, b.p90 - b.p50 AS error_plus, b.p50 - b.p10 AS error_minus
+    PB + f"""SELECT r.*, b.p10, b.p50, b.p90, b.p90 - b.p50 AS error_plus, b.p50 - b.p10 AS error_minus,
+      {_usd_k_sql("b.p50")} AS return_p50_display,
+      {_usd_k_sql("b.p10")} || ' – ' || {_usd_k_sql("b.p90")} AS return_band_display
     FROM rep r LEFT JOIN bands b USING (scenario_id, acquisition_channel)""",
     REPORT_DOUBLES + ("p10", "p50", "p90", "error_plus", "error_minus"), bits=16,
 )
