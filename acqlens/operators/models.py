@@ -271,8 +271,30 @@ def feature_importances(model: PipelineModel, spark) -> DataFrame:
         .orderBy("importance")
 
 
+FLAG_COLUMNS = ["clan_member", "pass_royale_active", "pass_royale"]
+
+
+def normalise_profiles(profiles: DataFrame) -> DataFrame:
+    """A table of submitted profiles made model-ready -- boolean flags become 0/1 ints,
+    ``arena_id`` is derived from trophies when absent, trophies/win-rate aliases are filled.
+    Decided from the schema at plan-build time, so the result is a single projection."""
+    types = dict(profiles.dtypes)
+    out = profiles.withColumns(
+        {c: F.col(c).cast("int") for c in FLAG_COLUMNS if types.get(c) == "boolean"}
+    )
+    cols = set(out.columns)
+    if "arena_id" not in cols and "trophies_end_week1" in cols:
+        out = out.withColumn("arena_id", X.trophies_to_arena("trophies_end_week1"))
+    for alias, src in (("trophies", "trophies_end_week1"), ("win_rate", "win_rate_week1"),
+                       ("pass_royale", "pass_royale_active")):
+        if alias not in cols and src in cols:
+            out = out.withColumn(alias, F.col(src))
+    return out
+
+
 def score_players(players: DataFrame, retention: PipelineModel, ltv: PipelineModel, churn: PipelineModel) -> DataFrame:
     """Table in, table out -- three fitted pipelines applied in sequence."""
+    players = normalise_profiles(players)
     feats = sorted(set(K.FEATURE_COLUMNS + K.CHURN_FEATURE_COLUMNS) - {"acquisition_channel"})
     base = players.select("user_id", "acquisition_channel", *feats)
     keep = base.columns

@@ -80,3 +80,12 @@ def test_purchasers_guard_and_model_loader(spark, players_small):
     with pytest.raises(ValueError, match="purchasers"):
         kpis.purchasers(players_small.withColumn("is_purchaser", F.lit(0)), require_nonempty=True)
     assert models.load_model(spark, scratch_path(spark, "no-model")) is None
+
+
+def test_normalise_profiles(spark):
+    df = spark.createDataFrame([(1, True, False, 1250, 0.5)],
+                               "user_id long, clan_member boolean, pass_royale_active boolean, "
+                               "trophies_end_week1 int, win_rate_week1 double")
+    r = models.normalise_profiles(df).first()
+    assert (r.clan_member, r.pass_royale_active, r.arena_id) == (1, 0, 5)
+    assert (r.trophies, r.win_rate, r.pass_royale) == (1250, 0.5, 0)
