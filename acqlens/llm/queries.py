@@ -16,6 +16,19 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_columns(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op1_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from acqlens.llm import packing
+
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from acqlens.llm import minhash
+
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"), params=minhash.MinHashParams(shingle=4))
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 def op6_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     from acqlens.llm import quality
     from acqlens.llm.common import stored
@@ -46,6 +59,7 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_secret_scan, op6_quality_qda, op7_language_id, op10_line_rules)
+    f.__name__: f for f in (
+        op1_bestfit_packing, op2_secret_scan, op5_minhash_dedup, op6_quality_qda, op7_language_id, op10_line_rules)
 }
 ORACLES: dict[str, str] = {}
