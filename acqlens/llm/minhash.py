@@ -204,3 +204,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         names = names.withColumnRenamed("class_id", "component_id")
     # the set key of copies may be held by a third of all rows: one row per key on the other side
     return out.join(names, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                         params: MinHashParams = MinHashParams()) -> DataFrame:
+    """``docs`` with one row per group: the smallest id.  Rows without shingles or id all stay;
+    of rows that repeat an id, one stays if they have shingles."""
+    found = stored(near_duplicates(docs, id_col, text_col, params), "minhash-found").where("doc_id is not null and n_shingles > 0")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_")).distinct()
+    out = docs.join(gone, F.col(id_col) == F.col("gone_"), "left_anti")
+    again = stored(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("again_")), "minhash-again")
+    if again.limit(1).count():
+        single = out.join(again, F.col(id_col) == F.col("again_"), "left_anti")
+        repeated = out.join(again, F.col(id_col) == F.col("again_"), "left_semi")
+        out = single.unionByName(repeated.groupBy(id_col).agg(*(F.first(c).alias(c) for c in docs.columns if c != id_col)).select(*docs.columns))
+    return out

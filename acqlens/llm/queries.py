@@ -22,6 +22,13 @@ def op1_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from acqlens.llm import embeddings
+
+    found = embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from acqlens.llm import minhash
 
@@ -50,6 +57,14 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text", (~learn).alias("held_out")), model).drop("text")
 
 
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from acqlens.llm import mixing
+
+    rated, domains = mixing.document_rates(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return rated.select("doc_id", F.col("tokens_").alias("tokens"), F.col("rate_").alias("rate"),
+                        *(F.col("posterior_")[k].alias(f"p_{d}") for k, d in enumerate(domains)))
+
+
 def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from acqlens.llm import line_rules
 
@@ -60,6 +75,6 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_bestfit_packing, op2_secret_scan, op5_minhash_dedup, op6_quality_qda, op7_language_id, op10_line_rules)
+        op1_bestfit_packing, op2_secret_scan, op4_embedding_dedup, op5_minhash_dedup, op6_quality_qda, op7_language_id, op9_source_mixing, op10_line_rules)
 }
 ORACLES: dict[str, str] = {}
