@@ -36,7 +36,8 @@ class MixParams:
     budget: float | None = None  # tokens; by default those of the corpus
     most_labelled: int = 20_000
     buckets: int = 1 << 17
-    smoothing: float = 0.1
+    smoothing: float = 0.5
+    dependence: float = 0.65  # log densities are divided by the number of 4-grams to this power
     ridge: float = 0.01
     iterations: int = 40
     tolerance: float = 1e-3
@@ -86,6 +87,7 @@ class DomainModel:
     domains: list[str]
     log_prob: np.ndarray  # buckets x domains
     log_prior: np.ndarray
+    dependence: float
 
 
 def domain_of(labels: DataFrame) -> DataFrame:
@@ -106,10 +108,12 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, params: MixParams, id_col:
         counts[some["bucket"].to_numpy(), k] = some["n"].to_numpy()
         docs_of[k] = mine.loc[mine["bucket"] < 0, "n"].sum()
     log_prob = np.log(counts + params.smoothing) - np.log(counts.sum(axis=0) + params.smoothing * params.buckets)
-    return DomainModel(names, log_prob.astype(np.float32), np.log(docs_of / max(docs_of.sum(), 1)) if names else docs_of)
+    return DomainModel(names, log_prob.astype(np.float32), np.log(docs_of / max(docs_of.sum(), 1)) if names else docs_of,
+                       params.dependence)
 
 
 def posteriors(blobs: list[bytes], model: DomainModel) -> np.ndarray:
+    """(texts x domains); 4-grams of one text are far from independent, hence the tempering."""
     k = len(model.domains)
     out = np.full((len(blobs), k), 1 / max(k, 1))
     if not k:
@@ -120,7 +124,7 @@ def posteriors(blobs: list[bytes], model: DomainModel) -> np.ndarray:
         if not len(has):
             continue
         total = np.add.reduceat(model.log_prob[ids], (np.cumsum(n) - n)[has], axis=0, dtype=np.float64)
-        total = (total - total.max(axis=1, keepdims=True)) / np.sqrt(n[has])[:, None] + model.log_prior
+        total = (total - total.max(axis=1, keepdims=True)) / (n[has] ** model.dependence)[:, None] + model.log_prior
         p = np.exp(total - total.max(axis=1, keepdims=True))
         out[lo + has] = p / p.sum(axis=1, keepdims=True)
     return out

@@ -57,6 +57,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text", (~learn).alias("held_out")), model).drop("text")
 
 
+def op8_backoff_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from acqlens.llm import lm_score
+
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from acqlens.llm import mixing
 
@@ -75,6 +81,7 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_bestfit_packing, op2_secret_scan, op4_embedding_dedup, op5_minhash_dedup, op6_quality_qda, op7_language_id, op9_source_mixing, op10_line_rules)
+        op1_bestfit_packing, op2_secret_scan, op4_embedding_dedup, op5_minhash_dedup, op6_quality_qda,
+        op7_language_id, op8_backoff_score, op9_source_mixing, op10_line_rules)
 }
 ORACLES: dict[str, str] = {}
