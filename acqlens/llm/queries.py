@@ -22,6 +22,12 @@ def op1_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from acqlens.llm import substrings
+
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from acqlens.llm import embeddings
 
@@ -81,7 +87,7 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_bestfit_packing, op2_secret_scan, op4_embedding_dedup, op5_minhash_dedup, op6_quality_qda,
+        op1_bestfit_packing, op2_secret_scan, op3_suffix_dedup, op4_embedding_dedup, op5_minhash_dedup, op6_quality_qda,
         op7_language_id, op8_backoff_score, op9_source_mixing, op10_line_rules)
 }
 ORACLES: dict[str, str] = {}
