@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from acqlens.llm.common import map_arrow
 
@@ -158,11 +159,11 @@ def score_texts(texts: list[str | None], model: LangIdModel) -> tuple[list[str],
 
 def predict(docs: DataFrame, model: LangIdModel, text_col: str = "text",
             name_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
-    """``docs`` with the predicted language and its posterior probability added."""
+    """``docs`` with the predicted language and its posterior probability added; columns that
+    have these names already are replaced."""
+    docs = docs.drop(name_col, score_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
-    types = docs.select(F.lit("").alias(name_col), F.lit(0.0).alias(score_col)).schema
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             names, scores = score_texts(b.column(at).to_pylist(), shared.value)
@@ -170,11 +171,7 @@ def predict(docs: DataFrame, model: LangIdModel, text_col: str = "text",
                 [*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                 names=[*b.schema.names, name_col, score_col])
 
-    schema = docs.schema
-    for f in types:
-        schema = type(schema)([x for x in schema if x.name != f.name] + [f])
-    if name_col in docs.columns or score_col in docs.columns:
-        raise ValueError(f"the input already has a column {name_col} or {score_col}; pass other names")
+    schema = T.StructType([*docs.schema.fields, T.StructField(name_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
     return map_arrow(docs, run, schema)
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acqlens.llm.common import chunks, map_arrow, mix64, sequence_hashes, stored, word_hashes
+from acqlens.llm.common import chunks, fresh, map_arrow, mix64, sequence_hashes, stored, word_hashes
 from acqlens.llm.components import components
 
 
@@ -211,11 +211,12 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """``docs`` with one row per group: the smallest id.  Rows without shingles or id all stay;
     of rows that repeat an id, one stays if they have shingles."""
     found = stored(near_duplicates(docs, id_col, text_col, params), "minhash-found").where("doc_id is not null and n_shingles > 0")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_")).distinct()
-    out = docs.join(gone, F.col(id_col) == F.col("gone_"), "left_anti")
-    again = stored(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("again_")), "minhash-again")
+    g = fresh("gone", docs)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(g)).distinct()
+    out = docs.join(gone, F.col(id_col) == F.col(g), "left_anti")
+    again = stored(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(g)), "minhash-again")
     if again.limit(1).count():
-        single = out.join(again, F.col(id_col) == F.col("again_"), "left_anti")
-        repeated = out.join(again, F.col(id_col) == F.col("again_"), "left_semi")
+        single = out.join(again, F.col(id_col) == F.col(g), "left_anti")
+        repeated = out.join(again, F.col(id_col) == F.col(g), "left_semi")
         out = single.unionByName(repeated.groupBy(id_col).agg(*(F.first(c).alias(c) for c in docs.columns if c != id_col)).select(*docs.columns))
     return out

@@ -214,7 +214,9 @@ def with_rates(scored: DataFrame, steps: list[np.ndarray], params: MixParams, po
 
 def document_rates(docs: DataFrame, labels: DataFrame, params: MixParams = MixParams(), id_col: str = "doc_id",
                    text_col: str = "text", with_text: bool = False) -> tuple[DataFrame, list[str]]:
-    """``docs`` (its text only if asked for) with tokens, posteriors and rate; the domains' names."""
+    """``docs`` (its text only if asked for) with tokens_, posterior_ and rate_ (replaced if they
+    are there already), and the domains' names."""
+    docs = docs.drop("tokens_", "posterior_", "rate_")
     model = fit_domains(docs, domain_of(labels), params, id_col, text_col)
     scored = stored(score_domains(docs, model, text_col, with_text), "mix-scored")
     return with_rates(scored, fit_rates(scored, model.domains, params), params), model.domains
@@ -224,8 +226,10 @@ def sample_by_rate(docs: DataFrame, labels: DataFrame, params: MixParams = MixPa
                    text_col: str = "text") -> DataFrame:
     """``docs`` with every row taken as often as its rate says: the whole part, and once more
     with the probability of the rest, decided by a hash of id and text (the same in every run)."""
-    rated, _ = document_rates(docs, labels, params, id_col, text_col, with_text=True)
-    chance = F.pmod(F.xxhash64(F.lit("mix"), F.col(id_col), F.col(text_col)), F.lit(1 << 30)) / (1 << 30)
+    rows = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # out of the way of added columns
+    i, t = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
+    rated, _ = document_rates(rows, labels, params, i, t, with_text=True)
+    chance = F.pmod(F.xxhash64(F.lit("mix"), F.col(i), F.col(t)), F.lit(1 << 30)) / (1 << 30)
     times = (F.floor("rate_") + (chance < F.col("rate_") - F.floor("rate_")).cast("int")).cast("int")
-    return (rated.withColumn("times_", times).where("times_ > 0")
-            .withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("times_")))).select(*docs.columns))
+    taken = rated.withColumn("times_", times).where("times_ > 0").withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("times_"))))
+    return taken.select(*rows.columns).toDF(*docs.columns)

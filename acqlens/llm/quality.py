@@ -75,9 +75,9 @@ def statistics_of(text: str | None) -> list[float]:
 
 
 def document_statistics(docs: DataFrame, text_col: str = "text", out_col: str = "stats") -> DataFrame:
-    """``docs`` without its text and with the statistics as an array of doubles."""
-    if out_col in docs.columns:
-        raise ValueError(f"the input already has a column {out_col}; pass another name")
+    """``docs`` without its text and with the statistics as an array of doubles; a column that
+    has that name already is replaced."""
+    docs = docs.drop(out_col)
     at = docs.columns.index(text_col)
     keep = [i for i in range(len(docs.columns)) if i != at]
     schema = T.StructType([docs.schema[i] for i in keep] + [T.StructField(out_col, T.ArrayType(T.DoubleType()))])
@@ -158,7 +158,8 @@ def score_matrix(x: np.ndarray, model: QdaModel) -> np.ndarray:
 
 
 def score(stats: DataFrame, model: QdaModel, stats_col: str = "stats", out_col: str = "score") -> DataFrame:
-    """``stats`` with the probability of label 1 added."""
+    """``stats`` with the probability of label 1 added (or replaced)."""
+    stats = stats.drop(out_col)
     shared = stats.sparkSession.sparkContext.broadcast(model)
     at = stats.columns.index(stats_col)
 

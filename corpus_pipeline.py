@@ -12,14 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acqlens.llm import langid, minhash, mixing, packing, secrets
-from acqlens.llm.common import id_crc, stored, table
+from acqlens.llm.common import fresh, id_crc, stored, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognised language go; the model learns from the labelled rows."""
     model = langid.fit(docs.where(F.coalesce(id_crc() % 3 != 1, F.lit(False))))
-    scored = langid.predict(docs, model, name_col="lang_pred_", score_col="lang_score_")
-    return scored.where((F.col("lang_pred_") != langid.UNDETERMINED) & (F.col("lang_score_") >= 0.5)).select(*docs.columns)
+    name, score = fresh("lang_pred", docs), fresh("lang_score", docs)
+    scored = langid.predict(docs, model, name_col=name, score_col=score)
+    return scored.where((F.col(name) != langid.UNDETERMINED) & (F.col(score) >= 0.5)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
