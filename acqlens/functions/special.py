@@ -56,9 +56,9 @@ def hyp2f1(a: Column | float, b: Column | float, c: Column | float, z: Column |
     """
     a, b, c, z = _lit(a), _lit(b), _lit(c), _lit(z)
     m = F.greatest(a + b - c - 1, F.lit(0.0))
-    zz = F.least(F.greatest(z, F.lit(1e-300)), F.lit(1 - 1e-15))
+    zz = F.greatest(z, F.lit(1e-300))
     tail = F.ceil(F.lit(tol_digits * math.log(10.0)) / (-F.log(zz)))
-    n_terms = (F.ceil(2 * m * zz / (1 - zz)) + tail + 10).cast("int")
+    n_terms = (F.ceil(2 * m * zz / (1 - zz)) + tail + 10).cast("long")
     init = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"))
 
     def step(acc, k):
@@ -67,7 +67,7 @@ def hyp2f1(a: Column | float, b: Column | float, c: Column | float, z: Column |
         return F.struct(t.alias("t"), (acc["s"] + t).alias("s"))
 
     return F.when(z == 0, F.lit(1.0)).otherwise(
-        F.aggregate(F.sequence(F.lit(0), n_terms - 1), init, step, lambda acc: acc["s"])
+        F.aggregate(F.sequence(F.lit(0).cast("long"), n_terms - 1), init, step, lambda acc: acc["s"])
     )
 
 
@@ -83,9 +83,9 @@ def hyp2f1_multi(a: Column | float, b: Column | float, c: Column | float, zs: li
     for z in zs[1:]:
         zmax = F.greatest(zmax, z)
     m = F.greatest(a + b - c - 1, F.lit(0.0))
-    zz = F.least(F.greatest(zmax, F.lit(1e-300)), F.lit(1 - 1e-15))
+    zz = F.greatest(zmax, F.lit(1e-300))
     tail = F.ceil(F.lit(tol_digits * math.log(10.0)) / (-F.log(zz)))
-    n_terms = (F.ceil(2 * m * zz / (1 - zz)) + tail + 10).cast("int")
+    n_terms = (F.ceil(2 * m * zz / (1 - zz)) + tail + 10).cast("long")
     n = len(zs)
     init = F.struct(*[F.lit(1.0).alias(f"t{i}") for i in range(n)], *[F.lit(1.0).alias(f"s{i}") for i in range(n)])
 
@@ -96,5 +96,5 @@ def hyp2f1_multi(a: Column | float, b: Column | float, c: Column | float, zs: li
         return F.struct(*[ts[i].alias(f"t{i}") for i in range(n)],
                         *[(acc[f"s{i}"] + ts[i]).alias(f"s{i}") for i in range(n)])
 
-    res = F.aggregate(F.sequence(F.lit(0), n_terms - 1), init, step)
+    res = F.aggregate(F.sequence(F.lit(0).cast("long"), n_terms - 1), init, step)
     return [F.when(zs[i] == 0, F.lit(1.0)).otherwise(res[f"s{i}"]) for i in range(n)]

@@ -38,14 +38,22 @@ def scenario_inputs(
     channels: list[str] | None = None,
     default_saturation: float = K.DEFAULT_SATURATION,
 ) -> DataFrame:
-    """One row per (scenario, channel) with clipped optimizer inputs and the unclipped ROAS."""
-    chans = channels or K.CHANNELS
-    sc = scenarios.select("scenario_id", "budget", "share",
-                          F.explode(F.array(*[F.lit(c) for c in chans])).alias("acquisition_channel"))
-    # dimension sides are keyed by channel (bounded by the configured channel list)
+    """One row per (scenario, channel) with clipped optimizer inputs and the unclipped ROAS.
+
+    The channels are those observed in ``channel_stats``, or the given list.
+    """
+    stats = channel_stats.select("acquisition_channel", "roas_mean", "roas_std").filter(F.col("acquisition_channel").isNotNull())
+    if channels:
+        sc = scenarios.select("scenario_id", "budget", "share",
+                              F.explode(F.array(*[F.lit(c) for c in channels])).alias("acquisition_channel"))
+        sc = sc.join(stats, "acquisition_channel", "left")
+    else:  # the scenarios travel as one array (a scalar subquery) and are exploded on every channel
+        every = scenarios.agg(F.collect_list(F.struct("scenario_id", "budget", "share")).alias("every"))
+        sc = (stats.withColumn("every", every.scalar())
+              .select("acquisition_channel", "roas_mean", "roas_std", F.inline("every")))
+    # dimension sides are keyed by channel
     j = (
-        sc.join(channel_stats.select("acquisition_channel", "roas_mean", "roas_std"), "acquisition_channel", "left")
-        .join(F.broadcast(saturation), "acquisition_channel", "left")
+        sc.join(F.broadcast(saturation), "acquisition_channel", "left")
         .join(F.broadcast(min_spend), "acquisition_channel", "left")
     )
     return j.select(

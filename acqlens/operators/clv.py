@@ -100,9 +100,30 @@ def clv_expr(bg: Sequence[float], gg: Sequence[float], periods: int = K.CLV_PERI
     return total
 
 
-def customer_clv(rfm: DataFrame, bg, gg) -> DataFrame:
-    return rfm.filter(F.col("frequency") > 0).select(
-        "user_id", "frequency", "recency", "T", "monetary_value", clv_expr(bg, gg).alias("clv"))
+_TRIPLE = ["frequency", "recency", "T"]
+
+
+def with_expected_purchases(rfm: DataFrame, ts: Sequence[float], bg: Sequence[float]) -> DataFrame:
+    """``rfm`` with ``expected_<t>`` per horizon.
+
+    The expectation depends on three whole numbers only, so the series is summed once per
+    distinct (frequency, recency, T) and joined back.
+    """
+    triples = rfm.groupBy(*_TRIPLE).agg(F.count(F.lit(1)).alias("_n"))
+    es = expected_purchases_multi(ts, *bg)
+    values = triples.select(*_TRIPLE, *[e.alias(f"expected_{t}") for e, t in zip(es, ts)])
+    return rfm.join(values, _TRIPLE)
+
+
+def customer_clv(rfm: DataFrame, bg, gg, periods: int = K.CLV_PERIODS, period_days: int = K.CLV_PERIOD_DAYS,
+                 discount: float = K.CLV_DISCOUNT) -> DataFrame:
+    ts = [k * period_days for k in range(1, periods + 1)]
+    e = with_expected_purchases(rfm.filter(F.col("frequency") > 0), ts, bg)
+    spend, before, total = expected_spend_expr(*gg), F.lit(0.0), F.lit(0.0)
+    for k, t in enumerate(ts, 1):
+        total = total + spend * (F.col(f"expected_{t}") - before) / (1 + discount) ** k
+        before = F.col(f"expected_{t}")
+    return e.select("user_id", *_TRIPLE, "monetary_value", total.alias("clv"))
 
 
 def clv_summary(clv: DataFrame) -> DataFrame:
@@ -281,11 +302,15 @@ def _materialize(df: DataFrame) -> DataFrame:
 
 
 # --- M11: BG/NBD fit -------------------------------------------------------------------------
+BOUNDARY = 1e-3  # a shape parameter below this has run to the edge of its range
+
+
 def fit_bgnbd(rfm: DataFrame, penalizer: float = K.PENALIZER, x0: Sequence[float] = (1.0, 1.0, 1.0, 1.0)) -> DataFrame:
     """Penalised maximum likelihood on all buyers; time scaled to T / max(T) * 10 while fitting.
 
-    Returns one row ``(r, alpha, a, b, objective, customers, iterations, converged)`` with
-    alpha in days.
+    Returns one row ``(r, alpha, a, b, objective, customers, iterations, converged, at_boundary)``
+    with alpha in days.  ``at_boundary`` tells of a shape parameter near 0 (with ``a`` near 0:
+    customers hardly ever drop out), where the data don't determine it.
     """
     compact = _materialize(
         rfm.groupBy("frequency", "recency", "T").agg(F.count(F.lit(1)).alias("w"))
@@ -300,18 +325,20 @@ def fit_bgnbd(rfm: DataFrame, penalizer: float = K.PENALIZER, x0: Sequence[float
     r, alpha, a, b = (float(v) for v in np.exp(x))
     spark = rfm.sparkSession
     return spark.createDataFrame(
-        [(r, alpha / scale, a, b, float(fx), int(stats["n"]), it, ok)],
-        "r double, alpha double, a double, b double, objective double, customers long, iterations int, converged boolean",
+        [(r, alpha / scale, a, b, float(fx), int(stats["n"]), it, ok, min(r, a, b) < BOUNDARY)],
+        "r double, alpha double, a double, b double, objective double, customers long, iterations int, converged boolean, "
+        "at_boundary boolean",
     )
 
 
 # --- M13: Gamma-Gamma fit --------------------------------------------------------------------
 def fit_gamma_gamma(rfm: DataFrame, penalizer: float = K.PENALIZER, x0: Sequence[float] = (1.0, 1.0, 1.0)) -> DataFrame:
     repeat = rfm.filter(F.col("frequency") > 0)
-    compact = _materialize(repeat.groupBy("frequency", "monetary_value").agg(F.count(F.lit(1)).alias("w")))
-    n = compact.agg(F.sum("w").alias("n")).first()["n"]
+    # monetary means hardly ever repeat, so there is nothing to compact
+    compact = _materialize(repeat.select("frequency", "monetary_value", F.lit(1).alias("w")))
+    n = compact.count()
     if not n:
-        raise ValueError("No repeat buyers found - cannot fit Gamma-Gamma model")
+        raise ValueError("the Gamma-Gamma fit needs customers with frequency > 0")
 
     x, fx, it, ok = minimize_batched(
         _objective_pass(compact, _gg_consts, _gg_prepare, _gg_ll, penalizer, "w"), np.log(np.asarray(x0)))
@@ -325,6 +352,8 @@ def fit_gamma_gamma(rfm: DataFrame, penalizer: float = K.PENALIZER, x0: Sequence
 def params_of(fit: DataFrame, names: Sequence[str]) -> tuple[float, ...]:
     """The fitted parameter vector (a one-row result) as Python floats for expression building."""
     row = fit.first()
+    if not row["converged"]:
+        raise ValueError(f"the fit did not converge: {row.asDict()}")
     return tuple(float(row[n]) for n in names)
 
 
@@ -334,7 +363,8 @@ def save_params(fit: DataFrame, path: str) -> None:
 
 
 def load_params(spark, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001  (missing bundle -> None, like the reference loader)
+    """The stored bundle; ``None`` when nothing is stored at ``path`` (other errors are raised)."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
         return None
+    return spark.read.parquet(path)

@@ -244,3 +244,8 @@ def require_columns(df: DataFrame, cols: list[str], what: str = "operator") -> N
     missing = [c for c in cols if c not in df.columns]
     if missing:
         raise ValueError(f"Missing columns {missing} required by {what}.")
+
+
+def small_side(df: DataFrame, most_rows: int = 10_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most_rows`` rows (counted), else as it is."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

@@ -29,17 +29,17 @@ from pyspark.sql import functions as F
 
 from acqlens import constants as K
 from acqlens.functions import expressions as X
-from acqlens.operators import ranks
+from acqlens.operators import kpis, ranks
+from acqlens.operators.kpis import require_columns
 from acqlens.session import reliable_checkpoint
 
 
 # --- A16 -------------------------------------------------------------------------------------
-def class_weight(train: DataFrame, label: str) -> DataFrame:
-    """negatives / max(positives, 1) on the training rows, one global aggregate."""
-    return train.agg(
-        F.count_if(F.col(label) == 0).alias("negatives"),
-        F.count_if(F.col(label) == 1).alias("positives"),
-    ).withColumn("class_weight", F.col("negatives") / F.greatest(F.col("positives"), F.lit(1)))
+def class_weight(train: DataFrame, label: str, count: str | None = None) -> DataFrame:
+    """negatives / max(positives, 1) on the training rows (or on rows that carry a count)."""
+    n = F.col(count) if count else F.lit(1)
+    total = lambda y: F.coalesce(F.sum(F.when(F.col(label) == y, n)), F.lit(0)).cast("long")
+    return train.agg(total(0).alias("negatives"), total(1).alias("positives")).withColumn("class_weight", F.col("negatives") / F.greatest(F.col("positives"), F.lit(1)))
 
 
 # --- M1 / M2: preprocessing --------------------------------------------------------------------
@@ -79,32 +79,22 @@ def _sql_literal(v) -> str:
     return repr(v)
 
 
-MAX_CATEGORIES = 10_000
+def fit_preprocessor(train: DataFrame, categorical: list[str], numeric: list[str]) -> FittedPreprocessor:
+    """Distinct category values and mean / population std per numeric column, in one aggregate.
 
-
-def fit_preprocessor(train: DataFrame, categorical: list[str], numeric: list[str],
-                     max_categories: int = MAX_CATEGORIES) -> FittedPreprocessor:
-    """Distinct category values and mean / population std per numeric column.
-
-    The dictionaries become literals of the fitted model, so their size is checked first
-    with one approximate-distinct pass: an ordinal code over an unbounded key is an error.
+    The dictionaries become literals of the fitted model: categories are meant for columns
+    with few values (channel, country, device), not for keys.
     """
-    cats: dict[str, list] = {}
-    if categorical:
-        card = train.agg(*[F.approx_count_distinct(c).alias(c) for c in categorical]).first()
-        wide = {c: card[c] for c in categorical if card[c] > max_categories}
-        if wide:
-            raise ValueError(f"categorical columns with more than {max_categories} values: {wide}")
-        row = train.agg(*[F.array_sort(F.collect_set(F.col(c))).alias(c) for c in categorical]).first()
-        cats = {c: [v for v in row[c] if v is not None] for c in categorical}
-    means: dict[str, float] = {}
-    stds: dict[str, float] = {}
-    if numeric:
-        row = train.agg(*[F.avg(c).alias(f"m_{c}") for c in numeric],
-                        *[F.stddev_pop(c).alias(f"s_{c}") for c in numeric]).first()
-        means = {c: float(row[f"m_{c}"]) for c in numeric}
-        stds = {c: float(row[f"s_{c}"] or 0.0) for c in numeric}
-    return FittedPreprocessor(cats, means, stds)
+    if not categorical and not numeric:
+        return FittedPreprocessor({}, {}, {})
+    row = train.agg(
+        *[F.array_sort(F.collect_set(F.col(c))).alias(f"c_{c}") for c in categorical],
+        *[F.avg(c).alias(f"m_{c}") for c in numeric],
+        *[F.stddev_pop(c).alias(f"s_{c}") for c in numeric]).first()
+    return FittedPreprocessor(
+        {c: [v for v in row[f"c_{c}"] if v is not None] for c in categorical},
+        {c: float(row[f"m_{c}"] or 0.0) for c in numeric},
+        {c: float(row[f"s_{c}"] or 0.0) for c in numeric})
 
 
 def preprocessed_features(players: DataFrame) -> DataFrame:
@@ -133,13 +123,6 @@ CHURN = ModelSpec("churn", K.CHURN_TARGET, [], K.CHURN_FEATURE_COLUMNS,
                   "classifier", K.CHURN_GBT, True, True)
 
 
-def require_columns(df: DataFrame, cols: list[str], what: str) -> None:
-    """fail early, naming every missing column."""
-    missing = [c for c in cols if c not in df.columns]
-    if missing:
-        raise ValueError(f"Missing {what} columns {missing}.")
-
-
 def split(df: DataFrame, spec: ModelSpec, test_size: float = K.TEST_SIZE, seed: int = K.SEED) -> DataFrame:
     return ranks.holdout_split(df, "user_id", test_size, seed, spec.label if spec.stratify else None)
 
@@ -218,15 +201,13 @@ def regression_metrics(scored: DataFrame, label: str, pred: str) -> DataFrame:
     y, p = F.col(label).cast("double"), F.col(pred).cast("double")
     agg = scored.agg(
         F.sum((y - p) * (y - p)).alias("sse"),
-        F.avg(y).alias("ybar"),
-        F.sum(y * y).alias("syy"),
+        (F.var_pop(y) * F.count(y)).alias("sst"),
         F.count(F.lit(1)).alias("n"),
         F.avg(F.abs(y - p)).alias("mae"),
         F.count_if(p < 0).alias("negative_predictions"),
     )
-    sst = F.col("syy") - F.col("n") * F.col("ybar") * F.col("ybar")
     return agg.select(
-        (1 - F.col("sse") / sst).alias("r2"),
+        (1 - F.col("sse") / F.col("sst")).alias("r2"),
         F.sqrt(F.col("sse") / F.col("n")).alias("rmse"),
         "mae",
         "negative_predictions",
@@ -247,8 +228,7 @@ def quality_gates(auc: DataFrame, reg: DataFrame, auc_gate: float = K.AUC_GATE,
 def channel_baseline(players: DataFrame) -> DataFrame:
     """Per-channel mean LTV as a prediction (the simplest LTV model; A13 joined back)."""
     means = players.groupBy("acquisition_channel").agg(F.avg("ltv_day90").alias("ltv_estimate"))
-    # the means side has one row per channel; AQE broadcasts it at runtime
-    return players.join(means, "acquisition_channel", "left")
+    return players.join(kpis.small_side(means), "acquisition_channel", "left")
 
 
 # --- M3-M5, M9, M10 ------------------------------------------------------------------------------

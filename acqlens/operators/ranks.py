@@ -5,37 +5,23 @@ global here goes through :func:`value_ranks` instead:
 
 1. collapse to distinct ``(group, value)`` with counts (partial aggregation; a value shared by
    a third of the rows becomes one row);
-2. cut the value axis into ``B`` buckets at approximate quantiles (a mergeable sketch over
-   the raw column -- no shuffle -- giving a bounded list of ``B-1`` numbers, computed once and
-   embedded as literals so every stage and every retry sees the same cut points);
-3. total the counts per ``(group, bucket)`` -- a table of at most ``groups x B`` rows -- and
+2. range-partition those rows by ``(group, value)`` and write them once, each with the number
+   of its range (Spark samples the bounds; ranks are exact for any bounds);
+3. total the counts per ``(group, range)`` -- a table of at most groups + ranges rows -- and
    turn it into offsets with a window over that small table;
-4. inside each ``(group, bucket)`` a partitioned running sum gives the rank within the
-   bucket; offset + in-bucket rank is the global rank.
+4. inside each ``(group, range)`` a partitioned running sum gives the rank within the range;
+   offset + in-range rank is the global rank.
 
-Every shuffle is keyed, every task holds about ``distinct values / B`` rows.
+Every shuffle is keyed, and the number of ranges follows the shuffle partitions (or AQE's
+advisory size), so it is not capped.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from acqlens.functions.expressions import count_cuts
-
-
-# Buckets beyond this only lengthen the cut tree; each bucket's window task still holds
-# distinct values / buckets rows and spills when large.
-MAX_BUCKETS = 1024
-
-
-def _bucket_count(df: DataFrame, n_buckets: int | None) -> int:
-    if n_buckets:
-        return max(1, int(n_buckets))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return min(MAX_BUCKETS, max(8, parts))
+from acqlens.session import scratch_path
 
 
 def value_ranks(
@@ -60,20 +46,12 @@ def value_ranks(
         .groupBy(*g, value_col)
         .agg(cnt.alias("cnt"), *[F.sum(c).alias(c) for c in sums])
     )
-    b = _bucket_count(df, n_buckets)
-    if b > 1:
-        # cut points from a mergeable sketch over the raw column: map-side partial sketches,
-        # no shuffle of the distinct-value table just to place bucket boundaries (they only
-        # affect balance -- ranks are exact for any cut points)
-        probs = [i / b for i in range(1, b)]
-        row = df.filter(F.col(value_col).isNotNull()).agg(
-            F.percentile_approx(F.col(value_col).cast("double"), probs, 10000).alias("q")
-        ).first()
-        cuts = sorted(set(float(x) for x in (row["q"] or []) if x is not None and math.isfinite(float(x))))
-    else:
-        cuts = []
-    bucket = count_cuts(F.col(value_col).cast("double"), cuts) if cuts else F.lit(0)
-    counts = counts.withColumn("bucket", bucket.cast("int"))
+    order = [*g, value_col]
+    ranged = counts.repartitionByRange(n_buckets, *order) if n_buckets else counts.repartitionByRange(*order)
+    # written, so that the ranges are the same ones in every later stage and retry
+    path = scratch_path(df.sparkSession, "value-ranks")
+    ranged.withColumn("bucket", F.spark_partition_id()).write.parquet(path)
+    counts = df.sparkSession.read.parquet(path)
 
     totals = counts.groupBy(*g, "bucket").agg(F.sum("cnt").alias("bcnt"))
     by_group = Window.partitionBy(*g) if g else Window.partitionBy()
@@ -86,10 +64,15 @@ def value_ranks(
     in_bucket = Window.partitionBy(*g, "bucket").orderBy(value_col).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    ranked = counts.withColumn("cum", F.sum("cnt").over(in_bucket))
-    # offsets has groups x buckets rows; AQE turns this into a broadcast join at runtime
-    return ranked.join(offsets, g + ["bucket"]).select(
-        *g, value_col, "cnt", *sums, (F.col("offset") + F.col("cum") - F.col("cnt")).alias("before"), "n"
+    ranked = counts.withColumn("cum", F.sum("cnt").over(in_bucket)).alias("r")
+    o = offsets.alias("o")
+    same = F.col("r.bucket") == F.col("o.bucket")
+    for c in g:  # a null group is a group
+        same = same & F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}"))
+    # offsets has about groups + ranges rows; AQE turns this into a broadcast join at runtime
+    return ranked.join(o, same).select(
+        *[F.col(f"r.{c}").alias(c) for c in [*g, value_col, "cnt", *sums]],
+        (F.col("offset") + F.col("cum") - F.col("cnt")).alias("before"), "n"
     )
 
 
@@ -170,7 +153,8 @@ def roc_auc(scored: DataFrame, label_col: str, score_col: str, group_cols: list[
         F.sum("cnt").alias("n"),
     )
     n_neg = F.col("n") - F.col("n_pos")
-    auc = (F.col("rank_sum") - F.col("n_pos") * (F.col("n_pos") + 1) / 2.0) / (F.col("n_pos") * n_neg)
+    pos, neg = F.col("n_pos").cast("double"), n_neg.cast("double")  # their products overflow a long
+    auc = (F.col("rank_sum") - pos * (pos + 1) / 2.0) / (pos * neg)
     return agg.select(*g, F.when((F.col("n_pos") > 0) & (n_neg > 0), auc).alias("roc_auc"))
 
 
@@ -179,6 +163,33 @@ def split_hash(key: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string"))), 1, 15), 16, 10).cast("long")
 
 
+_PREFIX_BITS = 44  # the hash has 60 bits: 2**16 prefixes
+
+
+def holdout_cutoffs(df: DataFrame, key_col: str, test_size: float, seed: int, stratify_col: str | None = None) -> DataFrame:
+    """(stratum, cutoff): the hash of the last test row of each stratum.
+
+    Counts per (stratum, hash prefix) -- at most 65,536 rows per stratum -- show the prefix in
+    which the ``ceil(test_size*n)``-th smallest hash lies and its place there; a second pass
+    over the rows of that prefix alone finds it.  A null stratum is a stratum.
+    """
+    stratum = F.col(stratify_col) if stratify_col else F.lit(0)
+    keyed = df.select(stratum.alias("stratum"), split_hash(F.col(key_col), seed).alias("h")).filter(F.col("h").isNotNull())
+    prefix = F.shiftright("h", _PREFIX_BITS)
+    counts = keyed.groupBy("stratum", prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy("stratum")
+    place = counts.select(
+        "stratum", "prefix", "c",
+        (F.sum("c").over(w.orderBy("prefix")) - F.col("c")).alias("before"),
+        F.ceil(F.sum("c").over(w) * float(test_size)).alias("take"),
+    ).filter((F.col("before") < F.col("take")) & (F.col("before") + F.col("c") >= F.col("take")))
+    k, p = keyed.alias("k"), F.broadcast(place.alias("p"))  # one row per stratum
+    inside = k.join(p, F.col("k.stratum").eqNullSafe(F.col("p.stratum")) & (F.shiftright("k.h", _PREFIX_BITS) == F.col("p.prefix")))
+    numbered = inside.select(F.col("k.stratum").alias("stratum"), F.col("k.h").alias("h"), (F.col("take") - F.col("before")).alias("nth")).withColumn(
+        "i", F.row_number().over(Window.partitionBy("stratum").orderBy("h")))
+    return numbered.filter(F.col("i") == F.col("nth")).select("stratum", F.col("h").alias("cutoff"))
+
+
 def holdout_split(
     df: DataFrame,
     key_col: str,
@@ -190,10 +201,17 @@ def holdout_split(
     """Adds ``is_test``: within each stratum the ``ceil(test_size*n)`` smallest hash keys are test.
 
     Exact per-stratum counts like ``train_test_split``, reproducible on any partitioning
-    (it does not reproduce scikit-learn's permutation).
+    (it does not reproduce scikit-learn's permutation).  Rows are compared with their
+    stratum's cutoff where they are; no row is shuffled.  Rows without a key are training rows.
     """
-    g = [stratify_col] if stratify_col else []
-    keyed = df.withColumn("_h", split_hash(F.col(key_col), seed))
-    r = value_ranks(keyed, "_h", g, n_buckets=n_buckets).select(*g, "_h", "before", "n")
-    test = F.col("before") < F.ceil(F.col("n") * float(test_size))
-    return keyed.join(r, g + ["_h"], "left").withColumn("is_test", test).drop("_h", "before", "n")
+    cut = F.broadcast(holdout_cutoffs(df, key_col, test_size, seed, stratify_col).alias("cut_"))  # one row per stratum
+    stratum = F.col(f"rows_.{stratify_col}") if stratify_col else F.lit(0)
+    test = F.coalesce(split_hash(F.col(f"rows_.{key_col}"), seed) <= F.col("cut_.cutoff"), F.lit(False))
+    return (df.alias("rows_").join(cut, stratum.eqNullSafe(F.col("cut_.stratum")), "left")
+            .select(*[F.col(f"rows_.{c}").alias(c) for c in df.columns], test.alias("is_test")))
+
+
+def train_counts(df: DataFrame, test_size: float, stratify_col: str) -> DataFrame:
+    """(stratum, n): training rows per stratum of :func:`holdout_split`, from the counts alone."""
+    n = F.count(F.lit(1))
+    return df.groupBy(stratify_col).agg((n - F.ceil(n * float(test_size))).alias("n"))

@@ -14,7 +14,7 @@ from acqlens.operators import cohorts, kpis, ranks, rfm
 from acqlens.plans.oracle_sql import (
     PLAYERS_CTE,
     TXNS_CTE,
-    TXNS_DROPOUT_CTE,
+    TXNS_UNITS_CTE,
     rfm_cte,
     with_ctes,
 )
@@ -24,8 +24,8 @@ from acqlens.sources import dims, fixtures, store
 P = with_ctes(PLAYERS_CTE)
 PT = with_ctes(PLAYERS_CTE, TXNS_CTE)
 RFM_RAW = with_ctes(TXNS_CTE, rfm_cte("txns"))
-RFM_DROP = with_ctes(TXNS_DROPOUT_CTE, rfm_cte("txns_dropout"))
-P_RFM_DROP = with_ctes(PLAYERS_CTE, TXNS_DROPOUT_CTE, rfm_cte("txns_dropout"))
+RFM_UNITS = with_ctes(TXNS_UNITS_CTE, rfm_cte("txns_units"))
+P_RFM_UNITS = with_ctes(PLAYERS_CTE, TXNS_UNITS_CTE, rfm_cte("txns_units"))
 
 PLAYER_DOUBLES = (
     "win_rate_week1", "cost_per_install", "ltv_day90", "roas_90d", "win_rate",
@@ -143,14 +143,14 @@ PCM = with_ctes(PLAYERS_CTE, COHORT_SQL, MATRIX_SQL)
 
 @register("cohort_flags", PC + "SELECT * FROM cohort")
 def q_cohort_flags(spark, sf):
-    c = cohorts.prepare_cohort_frame(_players(spark, sf))
+    c = cohorts.cohort_frame(_players(spark, sf))
     return c.select("user_id", "install_week", "retained_d1", "retained_d7", "retained_d30")
 
 
 @register("cohort_legacy_install", P + "SELECT user_id, acquisition_date AS install_date, last_login_date FROM players")
 def q_cohort_legacy_install(spark, sf):
     legacy = _players(spark, sf).drop("install_date")
-    return cohorts.ensure_cohort_columns(legacy).select("user_id", "install_date", "last_login_date")
+    return cohorts.with_activity_dates(legacy).select("user_id", "install_date", "last_login_date")
 
 
 @register(
@@ -161,12 +161,12 @@ def q_cohort_legacy_install(spark, sf):
 )
 def q_cohort_legacy_login(spark, sf):
     legacy = _players(spark, sf).drop("last_login_date")
-    return cohorts.ensure_cohort_columns(legacy).select("user_id", "install_date", "last_login_date")
+    return cohorts.with_activity_dates(legacy).select("user_id", "install_date", "last_login_date")
 
 
 @register("retention_matrix", PCM + "SELECT * FROM matrix", ("D1", "D7", "D30"))
 def q_retention_matrix(spark, sf):
-    return cohorts.retention_matrix(cohorts.prepare_cohort_frame(_players(spark, sf)))
+    return cohorts.retention_matrix(cohorts.cohort_frame(_players(spark, sf)))
 
 
 @register(
@@ -175,7 +175,7 @@ def q_retention_matrix(spark, sf):
     ("d1", "d7", "d30"),
 )
 def q_avg_retention(spark, sf):
-    return cohorts.average_retention(cohorts.retention_matrix(cohorts.prepare_cohort_frame(_players(spark, sf))))
+    return cohorts.average_retention(cohorts.retention_matrix(cohorts.cohort_frame(_players(spark, sf))))
 
 
 @register(
@@ -186,7 +186,7 @@ def q_avg_retention(spark, sf):
     ("retention_pct",),
 )
 def q_retention_curve(spark, sf):
-    return cohorts.retention_curve(cohorts.retention_matrix(cohorts.prepare_cohort_frame(_players(spark, sf))))
+    return cohorts.retention_curve(cohorts.retention_matrix(cohorts.cohort_frame(_players(spark, sf))))
 
 
 @register(
@@ -443,15 +443,15 @@ def q_rfm_summary(spark, sf):
     return rfm.rfm_summary(fixtures.txns(spark, sf), K.OBSERVATION_END)
 
 
-def _rfm_dropout(spark, sf):
-    """RFM of the dropout fixture, materialised like ``players`` (shared by every CLV query)."""
-    return store.materialized(spark, "rfm_dropout", _src(sf, "orders"),
-                              lambda: rfm.rfm_summary(fixtures.txns_dropout(spark, sf), K.OBSERVATION_END))
+def _rfm_units(spark, sf):
+    """RFM of all orders in the window, materialised like ``players`` (shared by every CLV query)."""
+    return store.materialized(spark, "rfm_units", _src(sf, "orders"),
+                              lambda: rfm.rfm_summary(fixtures.txns_units(spark, sf), K.OBSERVATION_END))
 
 
-@register("repeat_buyers", RFM_DROP + "SELECT * FROM rfm WHERE frequency > 0", RFM_DOUBLES)
+@register("repeat_buyers", RFM_UNITS + "SELECT * FROM rfm WHERE frequency > 0", RFM_DOUBLES)
 def q_repeat_buyers(spark, sf):
-    return rfm.repeat_buyers(_rfm_dropout(spark, sf))
+    return rfm.repeat_buyers(_rfm_units(spark, sf))
 
 
 @register(
@@ -475,11 +475,11 @@ CHANNEL_RFM_SQL = """channel_rfm AS (
 
 @register(
     "channel_rfm",
-    with_ctes(PLAYERS_CTE, TXNS_DROPOUT_CTE, rfm_cte("txns_dropout"), CHANNEL_RFM_SQL) + "SELECT * FROM channel_rfm",
+    with_ctes(PLAYERS_CTE, TXNS_UNITS_CTE, rfm_cte("txns_units"), CHANNEL_RFM_SQL) + "SELECT * FROM channel_rfm",
     ("frequency", "recency", "T", "monetary_value"),
 )
 def q_channel_rfm(spark, sf):
-    return rfm.channel_rfm(_rfm_dropout(spark, sf), _players(spark, sf))
+    return rfm.channel_rfm(_rfm_units(spark, sf), _players(spark, sf))
 
 
 # ============================== W: ranks, split, AUC ==============================
@@ -552,8 +552,7 @@ def q_class_weight(spark, sf):
     p = _players(spark, sf)
     out = None
     for label in ("retained_day7", "churned"):
-        train = ranks.holdout_split(p.select("user_id", label), "user_id", K.TEST_SIZE, K.SEED, label)
-        w = models.class_weight(train.filter(~F.col("is_test")), label).select(F.lit(label).alias("label"), "*")
+        w = models.class_weight(ranks.train_counts(p, K.TEST_SIZE, label), label, "n").select(F.lit(label).alias("label"), "*")
         out = w if out is None else out.unionByName(w)
     return out
 
@@ -589,7 +588,7 @@ def _usd_k_sql(x: str) -> str:
 _SCEN_VALUES = ", ".join(f"({i}, CAST({b!r} AS DOUBLE), CAST({s!r} AS DOUBLE))" for i, b, s in dims.SCENARIO_ROWS)
 BUDGET_SQL = [
     f"scen(scenario_id, budget, share) AS (VALUES {_SCEN_VALUES})",
-    "chans(acquisition_channel) AS (VALUES {})".format(", ".join(f"('{c}')" for c in K.CHANNELS)),
+    "chans AS (SELECT DISTINCT acquisition_channel FROM players WHERE acquisition_channel IS NOT NULL)",
     "sat(acquisition_channel, saturation) AS (VALUES {})".format(
         ", ".join(f"('{c}', CAST({v!r} AS DOUBLE))" for c, v in K.CHANNEL_SATURATION.items())),
     "mins(acquisition_channel, min_spend) AS (VALUES {})".format(
@@ -786,14 +785,13 @@ def q_allocation_with_bands(spark, sf):
            THEN roas * saturation * ln(1 + spend / saturation) ELSE 0.0 END AS channel_return,
       CASE WHEN spend <= 0 OR saturation <= 0 THEN roas ELSE roas / (1 + spend / saturation) END AS marginal_roas
     FROM (SELECT i.*, x.k * 0.1 * i.saturation AS spend
-          FROM inp i CROSS JOIN (SELECT range AS k FROM range(0, 11)) x WHERE i.scenario_id = 1)""",
+          FROM inp i CROSS JOIN (SELECT range AS k FROM range(0, 11)) x)""",
     ("spend", "channel_return", "marginal_roas"), bits=20,
 )
 def q_response_curve(spark, sf):
     """P16/P17 on a spend grid of 0, 10%, ..., 100% of each channel's saturation scale, at
     the channel's observed ROAS (the grid is generated per row; no join)."""
-    i = _inputs(spark, sf).filter(F.col("scenario_id") == 1)
-    g = i.select("scenario_id", "acquisition_channel", "roas", "saturation",
+    g = _inputs(spark, sf).select("scenario_id", "acquisition_channel", "roas", "saturation",
                  F.explode(F.sequence(F.lit(0), F.lit(10))).alias("k"))
     spend = F.col("k") * 0.1 * F.col("saturation")
     return g.select("scenario_id", "acquisition_channel", spend.alias("spend"),
@@ -848,7 +846,7 @@ def _clv_sql(src: str, key: str) -> list[str]:
     ]
 
 
-RD = [TXNS_DROPOUT_CTE, rfm_cte("txns_dropout")]
+RD = [TXNS_UNITS_CTE, rfm_cte("txns_units")]
 
 
 @register(
@@ -863,7 +861,7 @@ RD = [TXNS_DROPOUT_CTE, rfm_cte("txns_dropout")]
     ("loglik",),
 )
 def q_bgnbd_loglik(spark, sf):
-    return _rfm_dropout(spark, sf).select("user_id", clv.bgnbd_loglik_expr(*BG_FIXED).alias("loglik"))
+    return _rfm_units(spark, sf).select("user_id", clv.bgnbd_loglik_expr(*BG_FIXED).alias("loglik"))
 
 
 @register(
@@ -876,7 +874,7 @@ def q_bgnbd_loglik(spark, sf):
     ("loglik",),
 )
 def q_gamma_gamma_loglik(spark, sf):
-    r = rfm.repeat_buyers(_rfm_dropout(spark, sf))
+    r = rfm.repeat_buyers(_rfm_units(spark, sf))
     return r.select("user_id", clv.gamma_gamma_loglik_expr(*GG_FIXED).alias("loglik"))
 
 
@@ -886,9 +884,8 @@ def q_gamma_gamma_loglik(spark, sf):
     ("expected_30", "expected_60", "expected_90"),
 )
 def q_expected_purchases(spark, sf):
-    r = _rfm_dropout(spark, sf)
-    es = clv.expected_purchases_multi([30, 60, 90], *BG_FIXED)
-    return r.select("user_id", *[e.alias(f"expected_{t}") for e, t in zip(es, (30, 60, 90))])
+    r = _rfm_units(spark, sf)
+    return clv.with_expected_purchases(r, [30, 60, 90], BG_FIXED).select("user_id", "expected_30", "expected_60", "expected_90")
 
 
 @register(
@@ -898,7 +895,7 @@ def q_expected_purchases(spark, sf):
     ("monetary_value", "clv"),
 )
 def q_customer_clv(spark, sf):
-    return clv.customer_clv(_rfm_dropout(spark, sf), BG_FIXED, GG_FIXED)
+    return clv.customer_clv(_rfm_units(spark, sf), BG_FIXED, GG_FIXED)
 
 
 @register(
@@ -908,7 +905,7 @@ def q_customer_clv(spark, sf):
     ("mean_clv", "min_clv"),
 )
 def q_clv_summary(spark, sf):
-    return clv.clv_summary(clv.customer_clv(_rfm_dropout(spark, sf), BG_FIXED, GG_FIXED))
+    return clv.clv_summary(clv.customer_clv(_rfm_units(spark, sf), BG_FIXED, GG_FIXED))
 
 
 @register(
@@ -918,18 +915,18 @@ def q_clv_summary(spark, sf):
     ("bgnbd_ltv",),
 )
 def q_channel_clv(spark, sf):
-    prof = rfm.channel_rfm(_rfm_dropout(spark, sf), _players(spark, sf))
+    prof = rfm.channel_rfm(_rfm_units(spark, sf), _players(spark, sf))
     return prof.select("acquisition_channel", clv.clv_expr(BG_FIXED, GG_FIXED).alias("bgnbd_ltv"))
 
 
 @register("bgnbd_fit")
 def q_bgnbd_fit(spark, sf):
-    return clv.fit_bgnbd(_rfm_dropout(spark, sf))
+    return clv.fit_bgnbd(_rfm_units(spark, sf))
 
 
 @register("gamma_gamma_fit")
 def q_gamma_gamma_fit(spark, sf):
-    return clv.fit_gamma_gamma(_rfm_dropout(spark, sf))
+    return clv.fit_gamma_gamma(_rfm_units(spark, sf))
 
 
 # ============================== M1-M10: Spark ML ==============================
@@ -940,41 +937,17 @@ _FITTED: dict[tuple, object] = {}
 
 
 def _memo(spark, sf, key, build):
-    """Train/fit once per (session, data folder, model): later queries reuse the fitted
-    model, as the reference's app reuses its saved model files."""
-    k = (spark.sparkContext.applicationId, sf, key)
+    """Train/fit once per session, source version and model; a failed build is not kept."""
+    k = (spark.sparkContext.applicationId, store.signature(spark, _src(sf, "customer", "orders")), key)
     if k not in _FITTED:
         _FITTED[k] = build()
     return _FITTED[k]
 
 
-_ALL_SPECS = (models.RETENTION, models.LTV, models.CHURN)
-
-
 def _trained(spark, sf, spec):
-    """The fitted pipeline and held-out rows for ``spec``.
-
-    The first request starts all three trainings in parallel driver threads (Spark runs
-    jobs from several threads concurrently): boosted-tree training on small data is bound
-    by per-iteration job scheduling, so overlapping the three models hides most of it.
-    Later model queries in the session reuse the finished models.
-    """
-    from concurrent.futures import ThreadPoolExecutor
-
+    """The fitted pipeline and held-out rows for ``spec``; only the requested model is trained."""
     ensure_checkpoint_dir(spark)
-    players = _players(spark, sf)
-
-    def build(sp):
-        return models.train_model(players, sp)
-
-    def start():
-        pool = ThreadPoolExecutor(max_workers=len(_ALL_SPECS), thread_name_prefix="gbt")
-        futs = {sp.name: pool.submit(build, sp) for sp in _ALL_SPECS}
-        pool.shutdown(wait=False)
-        return futs
-
-    futs = _memo(spark, sf, ("models",), start)
-    return futs[spec.name].result()
+    return _memo(spark, sf, ("model", spec.name), lambda: models.train_model(_players(spark, sf), spec))
 
 
 _CATS_SQL = ", ".join(
@@ -1046,6 +1019,15 @@ def q_quality_gates(spark, sf):
     return models.quality_gates(auc, reg)
 
 
+@register("model_gates")
+def q_model_gates(spark, sf):
+    """M8 on the fitted models: held-out ROC-AUC of retention, R^2 and negatives of LTV."""
+    ret, ret_test = _trained(spark, sf, models.RETENTION)
+    ltv, ltv_test = _trained(spark, sf, models.LTV)
+    auc = ranks.roc_auc(models.positive_probability(ret.transform(ret_test)), models.RETENTION.label, "p")
+    return models.quality_gates(auc, models.regression_metrics(ltv.transform(ltv_test), models.LTV.label, "prediction"))
+
+
 @register("retention_model")
 def q_retention_model(spark, sf):
     model, test = _trained(spark, sf, models.RETENTION)
@@ -1090,14 +1072,13 @@ def q_prediction_sanity(spark, sf):
 @register("ltv_compare")
 def q_ltv_compare(spark, sf):
     """Model LTV next to the BG/NBD CLV of the player's channel median profile."""
-    rd = _rfm_dropout(spark, sf)
+    rd = _rfm_units(spark, sf)
     bg = _memo(spark, sf, ("fit", "bgnbd"), lambda: clv.params_of(clv.fit_bgnbd(rd), ("r", "alpha", "a", "b")))
     gg = _memo(spark, sf, ("fit", "gg"), lambda: clv.params_of(clv.fit_gamma_gamma(rd), ("p", "q", "v")))
     prof = rfm.channel_rfm(rd, _players(spark, sf)).select(
         "acquisition_channel", clv.clv_expr(bg, gg).alias("bgnbd_ltv"))
     scored = _scored(spark, sf)
-    # the channel side has one row per channel
-    return scored.join(prof, "acquisition_channel", "left").select(
+    return scored.join(kpis.small_side(prof), "acquisition_channel", "left").select(
         "user_id", "acquisition_channel", "ltv_estimate", "bgnbd_ltv",
         (F.col("ltv_estimate") - F.col("bgnbd_ltv")).alias("ltv_delta"))
 
@@ -1105,12 +1086,10 @@ def q_ltv_compare(spark, sf):
 @register("model_roundtrip")
 def q_model_roundtrip(spark, sf):
     """Save the fitted retention pipeline, load it back, score the test rows with both."""
-    from pyspark.ml import PipelineModel
-
     model, test = _trained(spark, sf, models.RETENTION)
     path = scratch_path(spark, "retention-model")
-    model.write().overwrite().save(path)
-    loaded = PipelineModel.load(path)
+    models.save_model(model, path)
+    loaded = models.load_model(spark, path)
     a = models.positive_probability(model.transform(test), "p_saved").select("user_id", "p_saved")
     b = models.positive_probability(loaded.transform(test), "p_loaded").select("user_id", "p_loaded")
     return a.join(b, "user_id").withColumn("identical", F.col("p_saved") == F.col("p_loaded"))
@@ -1138,11 +1117,9 @@ def q_csv_roundtrip(spark, sf):
     ("revenue", "spend", "roas"),
 )
 def q_roas_trend_stream(spark, sf):
-    """ST1: the file-source stream reads the materialised players table's folder directly
-    (its part files arrive as micro-batches, two per trigger) -- no copy of the data."""
-    files = _players(spark, sf).inputFiles()
-    src = files[0].rsplit("/", 1)[0]
+    """ST1: the file-source stream reads the materialised players table's folder directly,
+    whatever has arrived there in one trigger -- no copy of the data."""
+    _players(spark, sf)
+    src = store.location(spark, "players", _src(sf, "customer", "orders"))
     return roas_stream.run_roas_refresh(
-        spark, src, scratch_path(spark, "roas-stream-out"), scratch_path(spark, "roas-stream-ckpt"),
-        max_files_per_trigger=2,
-    )
+        spark, src, scratch_path(spark, "roas-stream-out"), scratch_path(spark, "roas-stream-ckpt"))

@@ -69,19 +69,11 @@ txns AS (
   FROM orders
 )"""
 
-TXNS_DROPOUT_CTE = f"""
-td0_ AS (
+TXNS_UNITS_CTE = f"""
+txns_units AS (
   SELECT o_custkey AS user_id, CAST(o_orderdate AS DATE) AS transaction_date,
          o_totalprice / 5000.0 AS transaction_amount, {_TYPE_CASE} AS transaction_type
-  FROM orders WHERE CAST(o_orderdate AS DATE) <= DATE '{K.OBSERVATION_END}'
-), td1_ AS (
-  SELECT *, min(transaction_date) OVER (PARTITION BY user_id) AS first_day,
-         ('0x' || substr(md5('cut|' || CAST(user_id AS VARCHAR)), 1, 8))::BIGINT % 1000 AS h
-  FROM td0_
-), txns_dropout AS (
-  SELECT user_id, transaction_date, transaction_amount, transaction_type FROM td1_
-  WHERE h >= 600
-     OR transaction_date <= first_day + CAST(floor((DATE '{K.OBSERVATION_END}' - first_day) * h / 600.0) AS INTEGER)
+  FROM orders
 )"""
 
 

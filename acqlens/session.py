@@ -81,6 +81,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or path
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The configured shared folder itself (``spark.checkpoint.dir``), the same in every session;
+    without that setting, the checkpoint folder of this session."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return (configured or ensure_checkpoint_dir(spark)).rstrip("/")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A unique sub-folder of the checkpoint directory for written intermediate tables."""
     import uuid

@@ -137,34 +137,6 @@ def txns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def dropout_hash(user_id: Column) -> Column:
-    """First 8 hex digits of md5('cut|' || user_id), mod 1000: a partition-independent per-user draw."""
-    hx = F.substring(F.md5(F.concat(F.lit("cut|"), user_id.cast("string"))), 1, 8)
-    return F.conv(hx, 16, 10).cast("long") % 1000
-
-
-def txns_dropout(spark: SparkSession, sf_dir: str, observation_end: str = K.OBSERVATION_END) -> DataFrame:
-    """Transactions thinned per customer so that some customers stop buying (BG/NBD fixture).
-
-    The first-purchase day per customer comes from a partial aggregate joined back on the
-    key (not a window over raw rows), so a hot customer never lands in a single sort task;
-    AQE's skew-join splitting handles a hot key on the large side.
-    """
-    end = F.lit(observation_end).cast("date")
-    o = read_table(spark, sf_dir, "orders")
-    t = o.select(
-        F.col("o_custkey").alias("user_id"),
-        F.to_date("o_orderdate").alias("transaction_date"),
-        (F.col("o_totalprice") / 5000.0).alias("transaction_amount"),
-        _literal_map(K.PRIORITY_TO_TYPE)[F.col("o_orderpriority")].alias("transaction_type"),
-    ).filter(F.col("transaction_date") <= end)
-    first = t.groupBy("user_id").agg(F.min("transaction_date").alias("first_day"))
-    h = dropout_hash(F.col("user_id"))
-    horizon = F.date_add(
-        F.col("first_day"), F.floor(F.datediff(end, F.col("first_day")) * h / 600.0).cast("int")
-    )
-    return (
-        t.join(first, "user_id")
-        .filter((h >= 600) | (F.col("transaction_date") <= horizon))
-        .select("user_id", "transaction_date", "transaction_amount", "transaction_type")
-    )
+def txns_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All purchase transactions with the amount in units of 5000 (the scale of ``ltv_day90``)."""
+    return txns(spark, sf_dir).withColumn("transaction_amount", F.col("transaction_amount") / 5000.0)

@@ -14,14 +14,15 @@ version, mirroring the reference's mtime-keyed data cache: changed inputs get a
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from acqlens.session import ensure_checkpoint_dir
+from acqlens.session import shared_folder
 
 # bump when an adapter definition changes so persisted tables are not reused
-DEFINITION_VERSION = "1"
+DEFINITION_VERSION = "2"
 
 _OPENED: dict[tuple, DataFrame] = {}
 
@@ -49,21 +50,39 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(conf).exists(p)
 
 
+def signature(spark: SparkSession, sources: list[str]) -> str:
+    """Short digest of the source files' size, count and modification time."""
+    return hashlib.sha1(f"{DEFINITION_VERSION}|{_fs_signature(spark, sources)}".encode()).hexdigest()[:16]
+
+
+def location(spark: SparkSession, name: str, sources: list[str]) -> str:
+    """Folder of the derived table for the present version of its sources."""
+    return f"{shared_folder(spark)}/tables/{name}-{signature(spark, [*sources])}"
+
+
 def materialized(
     spark: SparkSession,
     name: str,
     sources: list[str],
     build: Callable[[], DataFrame],
 ) -> DataFrame:
-    """Read table ``name`` derived from ``sources``; build and write it first if absent."""
-    sig = _fs_signature(spark, sources)
-    key = hashlib.sha1(f"{name}|{DEFINITION_VERSION}|{sig}".encode()).hexdigest()[:16]
-    memo = (spark.sparkContext.applicationId, name, key)
+    """Read table ``name`` derived from ``sources``; build and publish it first if absent.
+
+    A build is written beside its place and renamed into it, so readers see a whole table or
+    none; of two sessions that build at once the first to rename wins and both read its table.
+    """
+    path = location(spark, name, sources)
+    memo = (spark.sparkContext.applicationId, path)
     if memo in _OPENED:
         return _OPENED[memo]
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{key}"
-    if not _exists(spark, f"{path}/_SUCCESS"):
-        build().write.mode("overwrite").parquet(path)
+    if not _exists(spark, path):
+        draft = f"{path}.{uuid.uuid4().hex[:12]}"
+        build().write.parquet(draft)
+        jvm = spark.sparkContext._jvm
+        src, dst = jvm.org.apache.hadoop.fs.Path(draft), jvm.org.apache.hadoop.fs.Path(path)
+        fs = src.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if _exists(spark, path) or not fs.rename(src, dst):
+            fs.delete(src, True)
     df = spark.read.parquet(path)
     _OPENED[memo] = df
     return df

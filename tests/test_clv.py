@@ -87,20 +87,53 @@ def test_batched_minimizer_on_quadratic():
     assert ok and np.allclose(x, target, atol=1e-5) and fx < 1e-9
 
 
-def test_fits_on_dropout_fixture(spark):
+def _window_rfm(spark):
     from acqlens import constants as K
     from acqlens.operators import rfm as R
     from acqlens.sources import fixtures
 
-    rd = R.rfm_summary(fixtures.txns_dropout(spark, "/root/testdata/sf0.001"), K.OBSERVATION_END).cache()
+    return R.rfm_summary(fixtures.txns_units(spark, "/root/testdata/sf0.001"), K.OBSERVATION_END)
+
+
+def test_rfm_counts_every_order_in_the_window(spark):
+    from acqlens import constants as K
+
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").where(F.col("o_orderdate") < F.date_add(F.lit(K.OBSERVATION_END).cast("date"), 1))
+    days = orders.select("o_custkey", F.to_date("o_orderdate")).distinct().count()
+    assert _window_rfm(spark).agg(F.sum(F.col("frequency") + 1)).first()[0] == days
+
+
+def test_fits_beat_a_parameter_grid(spark):
+    rd = _window_rfm(spark).cache()
     fit = clv.fit_bgnbd(rd).first()
     assert fit.converged and min(fit.r, fit.alpha, fit.a, fit.b) > 0
-    # the optimum beats nearby points (objective = -mean loglik + penalty on scaled params)
-    start = rd.agg(F.avg(clv.bgnbd_loglik_expr(fit.r, fit.alpha, fit.a, fit.b)).alias("m")).first().m
-    worse = rd.agg(F.avg(clv.bgnbd_loglik_expr(fit.r * 1.3, fit.alpha, fit.a, fit.b)).alias("m")).first().m
-    assert start > worse
+    assert fit.at_boundary == (min(fit.r, fit.a, fit.b) < clv.BOUNDARY)
+    scale = 10.0 / rd.agg(F.max("T")).first()[0]
+    grid = [(r, al, a, b) for r in (0.3, 1.0, 3.0) for al in (60.0, 300.0, 1500.0) for a in (0.01, 0.5) for b in (0.5, 2.5)]
+    means = rd.agg(*[F.avg(clv.bgnbd_loglik_expr(*g)).alias(f"g{i}") for i, g in enumerate(grid + [(fit.r, fit.alpha, fit.a, fit.b)])]).first()
+    # the fit works in scaled days, which shifts every mean log-likelihood alike
+    objective = [-m + clv.K.PENALIZER * (g[0] ** 2 + (g[1] * scale) ** 2 + g[2] ** 2 + g[3] ** 2)
+                 for m, g in zip(means, grid + [(fit.r, fit.alpha, fit.a, fit.b)])]
+    assert objective[-1] <= min(objective[:-1]) + 1e-9
     gg = clv.fit_gamma_gamma(rd).first()
     assert gg.converged and min(gg.p, gg.q, gg.v) > 0
+    repeat = rd.where("frequency > 0")
+    grid = [(p, q, v) for p in (1.0, 4.0, 10.0) for q in (1.5, 4.0, 12.0) for v in (2.0, 15.0, 60.0)] + [(gg.p, gg.q, gg.v)]
+    means = repeat.agg(*[F.avg(clv.gamma_gamma_loglik_expr(*g)).alias(f"g{i}") for i, g in enumerate(grid)]).first()
+    objective = [-m + clv.K.PENALIZER * sum(t * t for t in g) for m, g in zip(means, grid)]
+    assert objective[-1] <= min(objective[:-1]) + 1e-9
+
+
+def test_parameter_bundle_round_trip(spark):
+    from acqlens.session import scratch_path
+
+    path = scratch_path(spark, "bundle")
+    assert clv.load_params(spark, path) is None
+    fit = spark.createDataFrame([(0.5, 2.0, True)], "r double, alpha double, converged boolean")
+    clv.save_params(fit, path)
+    assert clv.params_of(clv.load_params(spark, path), ("r", "alpha")) == (0.5, 2.0)
+    with pytest.raises(ValueError, match="converge"):
+        clv.params_of(fit.withColumn("converged", F.lit(False)), ("r",))
 
 
 def test_gamma_gamma_needs_repeat_buyers(spark):

@@ -9,14 +9,14 @@ from acqlens.operators import cohorts, kpis, models
 def test_legacy_install_and_login_fallbacks(spark):
     base = spark.createDataFrame([(1, dt.date(2024, 1, 1), 10, 3, 1)],
                                  "user_id int, acquisition_date date, days_active int, days_since_last_login int, retained_day7 int")
-    a = cohorts.ensure_cohort_columns(base).first()
+    a = cohorts.with_activity_dates(base).first()
     assert a.install_date == dt.date(2024, 1, 1) and a.last_login_date == dt.date(2024, 1, 8)
-    b = cohorts.ensure_cohort_columns(base.drop("days_active")).first()
+    b = cohorts.with_activity_dates(base.drop("days_active")).first()
     assert b.last_login_date == dt.date(2024, 1, 15)  # retained -> 14 days
-    c = cohorts.ensure_cohort_columns(base.select("user_id", "acquisition_date")).first()
+    c = cohorts.with_activity_dates(base.select("user_id", "acquisition_date")).first()
     assert c.last_login_date == dt.date(2024, 1, 4)  # default 3 days
     with pytest.raises(ValueError):
-        cohorts.ensure_cohort_columns(base.select("user_id"))
+        cohorts.with_activity_dates(base.select("user_id"))
 
 
 def test_retention_matrix_and_empty_average(spark):
@@ -24,10 +24,10 @@ def test_retention_matrix_and_empty_average(spark):
         [(dt.date(2024, 1, 1), dt.date(2024, 1, 1)), (dt.date(2024, 1, 2), dt.date(2024, 2, 20)),
          (dt.date(2024, 1, 3), dt.date(2024, 1, 11)), (dt.date(2024, 1, 8), dt.date(2024, 1, 9))],
         "install_date date, last_login_date date")
-    m = {r.install_week: r for r in cohorts.retention_matrix(cohorts.prepare_cohort_frame(df)).collect()}
+    m = {r.install_week: r for r in cohorts.retention_matrix(cohorts.cohort_frame(df)).collect()}
     w1 = m["2024-01-01/2024-01-07"]
     assert (w1.D1, w1.D7, w1.D30) == (66.7, 66.7, 33.3)
-    empty = cohorts.retention_matrix(cohorts.prepare_cohort_frame(df.filter("false")))
+    empty = cohorts.retention_matrix(cohorts.cohort_frame(df.filter("false")))
     assert cohorts.average_retention(empty).first().asDict() == {"d1": 0.0, "d7": 0.0, "d30": 0.0}
     curve = [r.day_label for r in cohorts.retention_curve(empty).orderBy("position").collect()]
     assert curve == ["D1", "D7", "D30"]
@@ -61,16 +61,15 @@ def test_players_invariants(players_small):
 def test_weighted_retention(spark):
     df = spark.createDataFrame([(dt.date(2024, 1, 1), dt.date(2024, 1, 9)), (dt.date(2024, 1, 8), dt.date(2024, 1, 8))],
                                "install_date date, last_login_date date")
-    w = cohorts.weighted_retention(cohorts.prepare_cohort_frame(df)).first()
+    w = cohorts.weighted_retention(cohorts.cohort_frame(df)).first()
     assert (w.d1_weighted, w.d7_weighted, w.d30_weighted) == (50.0, 50.0, 0.0)
 
 
-def test_preprocessor_rejects_unbounded_categories(spark):
-    df = spark.range(50).selectExpr("cast(id as string) as k", "cast(id as double) as x")
-    with pytest.raises(ValueError, match="categorical"):
-        models.fit_preprocessor(df, ["k"], ["x"], max_categories=10)
-    pre = models.fit_preprocessor(df, [], ["x"])
-    assert pre.stds["x"] > 0
+def test_preprocessor_one_aggregate(spark):
+    df = spark.range(50).selectExpr("cast(id % 7 as string) as k", "cast(id as double) as x")
+    pre = models.fit_preprocessor(df, ["k"], ["x"])
+    assert pre.categories["k"] == [str(i) for i in range(7)] and pre.stds["x"] > 0
+    assert models.fit_preprocessor(df, [], []).output_names() == []
 
 
 def test_purchasers_guard_and_model_loader(spark, players_small):

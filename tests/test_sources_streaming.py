@@ -51,11 +51,34 @@ def test_adapter_is_partition_invariant(spark):
     assert all(x[1] == pytest.approx(y[1], rel=1e-12) for x, y in zip(ra, rb))
 
 
-def test_dropout_thins_some_customers(spark):
-    full = fixtures.txns(spark, SF).filter(F.col("transaction_date") <= "2000-12-31")
-    thin = fixtures.txns_dropout(spark, SF)
-    assert thin.count() < full.count()
-    assert thin.select("user_id").distinct().count() == full.select("user_id").distinct().count()
+def test_units_keep_every_transaction(spark):
+    full, units = fixtures.txns(spark, SF), fixtures.txns_units(spark, SF)
+    assert units.count() == full.count() == spark.read.parquet(f"{SF}/orders.parquet").count()
+
+
+def test_txns_csv_scan(spark):
+    path = scratch_path(spark, "test-txns-csv")
+    full = fixtures.txns(spark, SF)
+    tables.write_dataset(full, path, fmt="csv")
+    back = tables.read_txns_csv(spark, path)
+    assert back.count() == full.count()
+    assert back.agg(F.min("transaction_date"), F.max("transaction_date")).first() == full.agg(F.min("transaction_date"), F.max("transaction_date")).first()
+
+
+def test_stream_of_an_empty_folder_and_of_new_files(spark):
+    from acqlens.operators import kpis
+    from acqlens.schemas import PLAYERS_SCHEMA
+    from acqlens.streaming import roas_stream
+
+    src, out, ckpt = (scratch_path(spark, f"test-stream-{x}") for x in ("in", "out", "ckpt"))
+    spark.createDataFrame([], PLAYERS_SCHEMA).write.parquet(src)
+    assert roas_stream.run_roas_refresh(spark, src, out, ckpt).count() == 0
+    players = spark.createDataFrame(fixtures.players(spark, SF).select(*PLAYERS_SCHEMA.names).collect(), PLAYERS_SCHEMA)
+    for part in (players.where("user_id % 2 = 0"), players.where("user_id % 2 = 1")):  # files that arrive later
+        part.write.mode("append").parquet(src)
+        got = roas_stream.run_roas_refresh(spark, src, out, ckpt)
+    want = {(r.month, r.acquisition_channel): r.revenue for r in kpis.roas_trend(players).collect()}
+    assert {(r.month, r.acquisition_channel): r.revenue for r in got.collect()} == pytest.approx(want)
 
 
 def test_metrics_history_roundtrip(spark):
