@@ -6,8 +6,9 @@ signature coordinate k for every k.  Coordinates are grouped into bands; documen
 on a band are candidates.
 
 Documents with the same set form one class, and only classes are compared.  Within a bucket
-classes are first compared with one pivot; buckets that still hold several components get
-another pivot, and when that no longer pays, the pairs between components are listed.  So
+classes are first compared with one pivot, the class that shares buckets with the most others
+(the text that the copies derive from, as a rule); buckets that still hold several components
+get another pivot, and when that no longer pays, the pairs between components are listed.  So
 every pair of classes in a bucket is compared or known to be connected: nothing is capped, and
 a bucket of n similar texts costs about n comparisons.  Links are confirmed on the full sets.
 
@@ -145,16 +146,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Per row of ``docs``: doc_id, n_shingles, component_id (smallest id reachable)."""
     rows = stored(signatures(docs, id_col, text_col, params), "minhash-signatures")
     classes = rows.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("set_key").agg(
-        F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
-    members = classes.select("id", F.posexplode("bands").alias("band", "key")).select(
-        "id", F.xxhash64("band", "key").alias("bucket"))
+        F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    members = classes.select("id", "n", F.posexplode("bands").alias("band", "key")).select(
+        "id", "n", F.xxhash64("band", "key").alias("bucket"))
     crowded = members.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket")
-    members = stored(members.join(crowded, "bucket"), "minhash-buckets")  # (id, bucket) where several classes meet
+    members = stored(members.join(crowded, "bucket"), "minhash-buckets")  # (id, n, bucket) where several classes meet
     compared = members.select("id").distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).join(compared, "id").dropDuplicates(["id"])
     sets = stored(map_arrow(texts.select("id", "t"), _sets_of(params), "id long, shingles binary"), "minhash-sets")
 
-    labels, tested, edges, number, before = None, None, [], 0, None
+    labels, tested, used, edges, before = None, None, None, [], None
     while True:
         if labels is None:
             open_ = members.withColumn("label", F.col("id"))
@@ -162,22 +163,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             named = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
             several = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
             open_ = stored(named.join(several, "bucket"), "minhash-open")
-        # pairs still unknown: between components that meet in a bucket, less those tested
-        sizes = open_.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(
-            (F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("twice"), F.sum("n").alias("n"))
-        r = sizes.agg(F.coalesce(F.sum("twice"), F.lit(0)) / 2, F.coalesce(F.sum("n"), F.lit(0))).first()
+        # pairs still unknown: between components that meet in a bucket
+        sizes = open_.groupBy("bucket", "label").agg(F.count("*").alias("m")).groupBy("bucket").agg(
+            (F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("twice"), F.sum("m").alias("m"))
+        r = sizes.agg(F.coalesce(F.sum("twice"), F.lit(0)) / 2, F.coalesce(F.sum("m"), F.lit(0))).first()
         unknown, width = float(r[0]), int(r[1])
         if not width:
             break
-        listing = unknown <= 2 * width or before is not None and width > 0.8 * before
-        if listing:  # every remaining pair
+        listing = before is not None and (unknown <= width or unknown > 0.95 * before)
+        sized = lambda m, n: F.lit(params.den) * F.least(m, n) >= F.lit(params.num) * F.greatest(m, n)
+        if listing:  # every remaining pair whose sizes allow a link
             x, y = open_.alias("x"), open_.alias("y")
-            pairs = (x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label")))
+            pairs = (x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label")) & sized(F.col("x.n"), F.col("y.n")))
                      .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")))
-        else:  # one pivot per bucket, another one in each round
-            pivot = open_.groupBy("bucket").agg(F.min_by(F.struct("id", "label"), F.struct(
-                F.xxhash64(F.lit(number), "label" if number % 2 else "id"), "id")).alias("p"))
-            pairs = (open_.join(pivot, "bucket").where(F.col("label") != F.col("p.label"))
+        else:  # one pivot per bucket, each round another one
+            near = open_.groupBy("bucket").agg(F.count("*").alias("m"))
+            reach = open_.join(near, "bucket").groupBy("id").agg(F.sum("m").alias("reach"))
+            free = open_ if used is None else open_.join(used, "id", "left_anti")
+            pivot = stored(free.join(reach, "id").groupBy("bucket").agg(
+                F.max_by(F.struct("id", "n", "label"), F.struct("reach", F.negative("id"))).alias("p")), "minhash-pivots")
+            used = pivot.select("p.id") if used is None else used.unionByName(pivot.select("p.id"))
+            pairs = (open_.join(pivot, "bucket").where((F.col("label") != F.col("p.label")) & sized(F.col("n"), F.col("p.n")))
                      .select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")))
         pairs = pairs.distinct()
         if tested is not None:
@@ -194,7 +200,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         labels = components(every)
         if listing:
             break
-        number, before = number + 1, width
+        before = unknown
     out = rows.select("doc_id", "n_shingles", "set_key")
     names = classes.select("set_key", F.col("id").alias("class_id"))
     if labels is not None:
