@@ -33,7 +33,7 @@ from acqlens.llm.common import sequence_hashes, ship, stored, word_hashes
 class BackoffParams:
     order: int = 2
     backoff: float = 0.4
-    chunk_bytes: int = 16 << 20  # of text; a task holds one chunk
+    chunk_bytes: int = 4 << 20  # of text; a task holds one chunk
 
 
 def pack_sorted(x: np.ndarray) -> bytes:
