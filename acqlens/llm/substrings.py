@@ -44,7 +44,7 @@ from acqlens.llm.lm_score import pack_sorted, unpack_sorted
 class SubstringParams:
     width: int = 50
     gram: int = 24  # at most width
-    chunk_bytes: int = 16 << 20
+    chunk_bytes: int = 4 << 20  # of text; a task holds one chunk
     run_contexts: int = 50_000  # contexts per sorted run
 
 
@@ -104,27 +104,27 @@ def _blobs(chunk: pa.Table) -> list[bytes]:
     return [b"" if n else (t or "").encode("utf-8", "surrogatepass") for t, n in zip(chunk.column("text").to_pylist(), ids)]
 
 
-def _chunk_hashes(blobs: list[bytes], ids: np.ndarray, p: SubstringParams) -> tuple[np.ndarray, np.ndarray]:
+def _block_anchors(blobs: list[bytes], p: SubstringParams) -> list[tuple]:
+    return [(lo, hi, *anchors(blobs[lo:hi], p)) for lo, hi in blocks(blobs)]
+
+
+def _chunk_hashes(found: list[tuple], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct anchor hashes of a chunk, and whether several documents of it have them."""
-    h, doc = [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.int64)]
-    for lo, hi in blocks(blobs):
-        a = anchors(blobs[lo:hi], p)
-        h.append(a[0])
-        doc.append(ids[lo + a[1]])
-    h_, doc_ = np.concatenate(h), np.concatenate(doc)
-    order = np.argsort(h_, kind="stable")
-    u, start = np.unique(h_[order], return_index=True)
+    h = np.concatenate([np.empty(0, dtype=np.uint64)] + [f[2] for f in found])
+    doc = np.concatenate([np.empty(0, dtype=np.int64)] + [ids[f[0] + f[3]] for f in found])
+    order = np.argsort(h, kind="stable")
+    u, start = np.unique(h[order], return_index=True)
     if not len(u):
         return u, np.empty(0, dtype=bool)
-    doc_ = doc_[order]
-    return u, np.minimum.reduceat(doc_, start) != np.maximum.reduceat(doc_, start)
+    doc = doc[order]
+    return u, np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start)
 
 
 def _send(p: SubstringParams, tables: int):
     edges = np.array([(i << 64) // tables for i in range(1, tables)], dtype=np.uint64)
 
     def run(chunk: pa.Table) -> pa.Table:
-        u, several = _chunk_hashes(_blobs(chunk), chunk.column("doc_id").fill_null(0).to_numpy(), p)
+        u, several = _chunk_hashes(_block_anchors(_blobs(chunk), p), chunk.column("doc_id").fill_null(0).to_numpy())
         cuts = np.concatenate(([0], np.searchsorted(u, edges), [len(u)]))
         some = np.flatnonzero(np.diff(cuts))
         return pa.table({
@@ -158,10 +158,10 @@ def _contexts(p: SubstringParams):
         blobs, ids = _blobs(chunk), chunk.column("doc_id").fill_null(0).to_numpy()
         got = sorted(zip(answers.column("part").to_pylist(), answers.column("shared").to_pylist(), answers.column("n").to_pylist()))
         if got:
-            u, _ = _chunk_hashes(blobs, ids, p)
+            found = _block_anchors(blobs, p)
+            u, _ = _chunk_hashes(found, ids)
             wanted = u[np.concatenate([_bits(b, n) for _, b, n in got])]
-            for lo, hi in blocks(blobs):
-                h, doc, first, last = anchors(blobs[lo:hi], p)
+            for lo, hi, h, doc, first, last in found:
                 at = np.searchsorted(wanted, h)
                 at[at == len(wanted)] = 0
                 use = np.flatnonzero(wanted[at] == h) if len(wanted) else []
@@ -195,33 +195,37 @@ def common_prefix(a: bytes, b: bytes, known: int) -> int:
     return known + n - (x.bit_length() + 7) // 8
 
 
-def front_code(strings: list[bytes]) -> tuple[bytes, bytes]:
-    """Shared prefix lengths (2 bytes each) and the remaining bytes of a sorted run."""
-    shared, rest, last = [], [], b""
-    for s in strings:
-        n = common_prefix(last, s, 0)
-        shared.append(n)
-        rest.append(s[n:])
-        last = s
-    return np.array(shared, dtype="<u2").tobytes(), b"".join(len(r).to_bytes(2, "little") + r for r in rest)
+def front_code(rows: np.ndarray) -> tuple[bytes, bytes]:
+    """A sorted run of strings of one width (a matrix of bytes): the prefix length that each
+    shares with the one before, and the bytes after it."""
+    n, width = rows.shape
+    shared = np.zeros(n, dtype="<u2")
+    if n > 1:
+        differ = rows[1:] != rows[:-1]
+        shared[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+    return shared.tobytes(), rows[np.arange(width) >= shared[:, None]].tobytes()
 
 
-def decode(shared: bytes, rest: bytes) -> Iterator[tuple[int, bytes]]:
-    """(shared prefix with the previous string, string) of a front-coded run."""
-    last, at = b"", 0
-    for n in np.frombuffer(shared, dtype="<u2").tolist():
-        size = int.from_bytes(rest[at : at + 2], "little")
-        last = last[:n] + rest[at + 2 : at + 2 + size]
-        at += 2 + size
-        yield n, last
+def decode(shared: bytes, rest: bytes, width: int) -> tuple[list[int], list[bytes]]:
+    """(prefixes shared with the string before, strings) of a front-coded run."""
+    lcp = np.frombuffer(shared, dtype="<u2").astype(np.int64)
+    new = np.arange(width) >= lcp[:, None]
+    rows = np.zeros(new.shape, dtype=np.uint8)
+    rows[new] = np.frombuffer(rest, dtype=np.uint8)
+    place = np.arange(len(lcp))
+    for j in range(width):  # a byte that isn't sent is that of the last string that sent one
+        rows[:, j] = rows[np.maximum.accumulate(np.where(new[:, j], place, 0)), j]
+    raw = rows.tobytes()
+    return lcp.tolist(), [raw[i : i + width] for i in range(0, len(raw), width)]
 
 
-def merge_runs(runs: list[Iterator[tuple[int, bytes]]]) -> Iterator[tuple[int, int]]:
+def merge_runs(decoded: list[tuple[list[int], list[bytes]]]) -> Iterator[tuple[int, int]]:
     """Merge sorted runs with a loser tree: (run, prefix shared with the string before).
 
     Every contestant carries the prefix it shares with the last winner.  The longer one is the
     smaller string; only on a tie bytes are compared, and from the end of that prefix on.
     """
+    runs = [zip(*d) for d in decoded]
     k = 1
     while k < len(runs):
         k *= 2
@@ -264,47 +268,61 @@ def merge_runs(runs: list[Iterator[tuple[int, bytes]]]) -> Iterator[tuple[int, i
             text[win], lcp[win] = None, 0
         else:
             lcp[win], text[win] = head
-        node = (win + k) // 2
+        node, mine = (win + k) // 2, lcp[win]
+        alive = text[win] is not None
         while node:
-            if not beats(win, loser[node]):
-                win, loser[node] = loser[node], win
+            other = loser[node]
+            if text[other] is None or alive and mine > lcp[other]:
+                pass  # the longer known prefix decides without looking at a byte
+            elif not beats(win, other):
+                win, loser[node] = other, win
+                mine, alive = lcp[win], True
             node //= 2
 
 
-def _windows(contexts: list[bytes], docs: list[int], width: int) -> tuple[list[bytes], dict[bytes, int]]:
-    """Distinct windows of a run in order, and the smallest document of each."""
-    least: dict[bytes, int] = {}
-    for c, d in zip(contexts, docs):
-        for i in range(len(c) - width + 1):
-            s = c[i : i + width]
-            if s not in least or least[s] > d:
-                least[s] = d
-    return sorted(least), least
+def _windows(rows: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct windows of a run in order (a matrix of bytes), the smallest document of each,
+    the number of every window of every context among them, and the windows per context."""
+    context = rows.column("context").to_pylist()
+    size = np.array([len(c) for c in context], dtype=np.int64)
+    n = size - width + 1
+    buf = np.frombuffer(b"".join(context), dtype=np.uint8)
+    start = np.repeat(np.cumsum(size) - size - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    every = np.lib.stride_tricks.sliding_window_view(buf, width)[start]
+    order = np.lexsort(np.ascontiguousarray(_words(every).T[::-1]))
+    every = every[order]
+    new = np.concatenate(([True], (every[1:] != every[:-1]).any(axis=1)))
+    number = np.empty(len(order), dtype=np.int64)
+    number[order] = np.cumsum(new) - 1
+    doc = np.repeat(rows.column("doc").to_numpy(), n)[order]
+    return every[new], np.minimum.reduceat(doc, np.flatnonzero(new)), number, n
+
+
+def _words(rows: np.ndarray) -> np.ndarray:
+    """Big-endian 64-bit words of rows of bytes; they compare as the bytes do."""
+    pad = -rows.shape[1] % 8
+    return np.ascontiguousarray(np.pad(rows, ((0, 0), (0, pad)))).view(">u8").astype(np.uint64)
 
 
 def _make_runs(width: int, edges: list[bytes]):
     def run(rows: pa.Table) -> pa.Table:
-        order, least = _windows(rows.column("context").to_pylist(), rows.column("doc").to_pylist(), width)
-        cuts = _cuts(order, edges)
+        order, least, _, _ = _windows(rows, width)
+        raw = order.tobytes()
+        cuts = [0, *(bisect_left(range(len(order)), e, key=lambda i: raw[i * width : (i + 1) * width]) for e in edges), len(order)]
         out: dict[str, list] = {"part": [], "run": [], "shared": [], "rest": [], "docs": []}
-        for part in range(len(cuts) - 1):
-            some = order[cuts[part] : cuts[part + 1]]
-            if some:
-                shared, rest = front_code(some)
-                for name, v in zip(out, (part, rows.column("run")[0].as_py(), shared, rest, np.array([least[s] for s in some], dtype="<i8").tobytes())):
+        for part, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+            if lo < hi:
+                shared, rest = front_code(order[lo:hi])
+                for name, v in zip(out, (part, rows.column("run")[0].as_py(), shared, rest, least[lo:hi].astype("<i8").tobytes())):
                     out[name].append(v)
         return pa.table(out, schema=pa.schema([("part", pa.int32()), ("run", pa.int32()), ("shared", pa.binary()), ("rest", pa.binary()), ("docs", pa.binary())]))
     return run
 
 
-def _cuts(order: list[bytes], edges: list[bytes]) -> list[int]:
-    return [0, *(bisect_left(order, e) for e in edges), len(order)]
-
-
 def _merge(width: int):
     def run(part: pa.Table) -> pa.Table:
         docs = [np.frombuffer(b, dtype="<i8").tolist() for b in part.column("docs").to_pylist()]
-        streams = [decode(s, r) for s, r in zip(part.column("shared").to_pylist(), part.column("rest").to_pylist())]
+        streams = [decode(s, r, width) for s, r in zip(part.column("shared").to_pylist(), part.column("rest").to_pylist())]
         place, answer = [0] * len(docs), [list(d) for d in docs]
         group: list[tuple[int, int]] = []
         least = 0
@@ -330,12 +348,12 @@ def _merge(width: int):
 
 def _masks(width: int):
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        contexts, docs = rows.column("context").to_pylist(), rows.column("doc").to_pylist()
-        order, _ = _windows(contexts, docs, width)
+        _, _, number, n = _windows(rows, width)
         got = sorted(zip(answers.column("part").to_pylist(), answers.column("least").to_pylist()))
-        least = dict(zip(order, np.concatenate([np.frombuffer(b, dtype="<i8") for _, b in got]).tolist())) if got else {}
-        masks = [bytes(least[c[i : i + width]] < d for i in range(len(c) - width + 1)) for c, d in zip(contexts, docs)]
-        return pa.table({"key": rows.column("key"), "mask": pa.array(masks, pa.binary())})
+        least = np.concatenate([np.frombuffer(b, dtype="<i8") for _, b in got])
+        gone = (least[number] < np.repeat(rows.column("doc").to_numpy(), n)).astype(np.uint8).tobytes()
+        ends = np.cumsum(n)
+        return pa.table({"key": rows.column("key"), "mask": pa.array([gone[e - k : e] for e, k in zip(ends, n)], pa.binary())})
     return run
 
 

@@ -119,9 +119,12 @@ def test_suffix_dedup(spark):
 def test_loser_tree_knows_every_prefix():
     rng = random.Random(3)
     for k in (1, 2, 3, 7, 16):
-        runs = [sorted(bytes(rng.choice(b"ab") for _ in range(8)) for _ in range(rng.randint(0, 25))) for _ in range(k)]
+        runs = [sorted(bytes(rng.choice(b"ab\0") for _ in range(8)) for _ in range(rng.randint(0, 25))) for _ in range(k)]
+        coded = [substrings.front_code(np.frombuffer(b"".join(r), dtype=np.uint8).reshape(-1, 8)) for r in runs]
+        decoded = [substrings.decode(*c, 8) for c in coded]
+        assert [d[1] for d in decoded] == runs
         at, out = [0] * k, []
-        for run, shared in substrings.merge_runs([substrings.decode(*substrings.front_code(r)) for r in runs]):
+        for run, shared in substrings.merge_runs(decoded):
             s = runs[run][at[run]]
             at[run] += 1
             assert not out or shared == substrings.common_prefix(out[-1], s, 0)
