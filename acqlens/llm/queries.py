@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acqlens.llm.common import id_crc, table
+from acqlens.llm.oracles import ORACLES  # noqa: F401
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,4 +91,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_bestfit_packing, op2_secret_scan, op3_suffix_dedup, op4_embedding_dedup, op5_minhash_dedup, op6_quality_qda,
         op7_language_id, op8_backoff_score, op9_source_mixing, op10_line_rules)
 }
-ORACLES: dict[str, str] = {}
+

@@ -1,7 +1,11 @@
+import pytest
+
 import corpus_pipeline
 import __spark_entry__ as entry
 from acqlens.llm import queries
+from acqlens.llm.oracles import ORACLES
 from tests.llm.helpers import awkward, frame
+from tools.oracle_check import compare, connect
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -28,3 +32,9 @@ def test_pipeline_stages(spark):
 def test_language_stage_keeps_clean_documents(spark):
     docs = spark.read.parquet(SMALL + "/documents.parquet")
     assert corpus_pipeline.language(spark, docs, SMALL).count() == docs.count()
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_oracle_agreement(spark, name):
+    status, message = compare(spark, connect(SMALL), SMALL, name, queries.QUERIES[name], ORACLES[name])
+    assert status == "OK", message
