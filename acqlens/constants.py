@@ -1,26 +1,4 @@
-"""Fixed values that must equal the reference's for identical results.
-
-Fixed values (kept together, in the reference's natural order):
-
-- channels: TikTok, YouTube, Instagram, Facebook, Google
-- countries: US, UK, DE, JP, BR, FR, KR
-- device types: iOS, Android
-- transaction types: gem_pack, pass_royale, chest_offer, evo_shards, gold_offer
-- arena trophy gates: 0, 300, 600, 900, 1200, 1500, 1800, 2100, 2400, 2700, 3000, 3300, 3600, 3900, 4200
-- channel attributes (channel_prob, cpi_base, base_retention, retention_boost, avg_ltv_multiplier, skill_bias):
-  TikTok 0.25 1.80 0.33 -0.05 1.0 -0.08; Facebook 0.20 3.20 0.40 0.05 1.5 0.02;
-  Google 0.30 3.80 0.42 0.10 2.0 0.05; Instagram 0.15 2.90 0.37 0.02 1.2 0.0;
-  YouTube 0.10 4.50 0.48 0.15 2.5 0.10
-- country engagement: US 1.10, UK 1.05, DE 1.00, JP 1.15, BR 0.90, FR 0.95, KR 1.20
-- trophies per win 30, per loss 27
-- channel saturation: TikTok 12000, YouTube 28000, Instagram 22000, Facebook 25000, Google 30000; default 25000
-- optimizer: max channel share 0.40, saturation floor 1000, roas floor 0.01, Monte Carlo 2000 draws,
-  roas cv 0.15, minimum std 0.05 x mean, seed 42
-- churn threshold 14 idle days; risk bands Low < 0.30 <= Medium < 0.60 <= High
-- retention gates: ROC-AUC 0.75, R^2 0.70
-- model settings: retention/LTV 200 trees, depth 6, step 0.1; churn 200 trees, depth 5, step 0.05; test share 0.2
-- CLV: 3 periods of 30 days, discount 0.01 per period; penalizer 0.01
-"""
+"""Fixed values that must equal the reference's for identical results."""
 
 from __future__ import annotations
 
