@@ -8,9 +8,11 @@ on a band are candidates.
 Documents with the same set form one class, and only classes are compared.  Within a bucket
 classes are first compared with one pivot, the class that shares buckets with the most others
 (the text that the copies derive from, as a rule); buckets that still hold several components
-get another pivot, and when that no longer pays, the pairs between components are listed.  So
-every pair of classes in a bucket is compared or known to be connected: nothing is capped, and
-a bucket of n similar texts costs about n comparisons.  Links are confirmed on the full sets.
+get another pivot, and when that no longer pays, what is left is compared pair by pair within its
+buckets, first by a long sketch of further signature coordinates (crowded buckets in blocks, in
+the tasks), and pairs whose sketches agree nearly as often as linked ones do, four standard
+deviations off at most, on their sets.  So every pair of classes in a bucket is compared or
+known to be connected, and nothing is capped.  Links are confirmed on the full sets.
 
 Defined results: null or empty texts have no shingles and link with nothing (also not with
 each other); a text of fewer words than a shingle is one shingle; repeated rows and equal ids
@@ -37,6 +39,7 @@ class MinHashParams:
     shingle: int = 5
     bands: int = 20
     rows: int = 4  # 20 bands of 4: a pair at 0.8 is missed with probability 3e-5
+    sketch: int = 1024  # coordinates of the sketch, 8 bits each
     num: int = 80  # link where den * intersection >= num * union
     den: int = 100
 
@@ -123,6 +126,79 @@ def _sets_of(p: MinHashParams):
     return run
 
 
+_BLOCK = 512
+_SHIFT = 1 << 16  # the sketch's coordinates lie beyond those of the bands
+
+
+def _sketches(p: MinHashParams):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for raw in b.column(1):
+                ring = (mix64(np.frombuffer(raw.as_buffer(), dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
+                x, a = np.empty_like(ring), np.empty_like(ring)
+                least = np.full(p.sketch, 0xFFFFFFFF, dtype=np.uint32)
+                for k in range(p.sketch):
+                    np.add(ring, np.uint32(_SHIFT + k), out=x)
+                    least[k] = _ring(x, a).min()
+                out.append(least.astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["id", "sketch"])
+    return run
+
+
+def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    held = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        t = t if held is None else pa.concat_tables([held, t])
+        bucket = t.column(0).to_numpy()
+        cut = int(np.searchsorted(bucket, bucket[-1])) if len(bucket) else 0
+        if cut:
+            yield t.slice(0, cut)
+        held = t.slice(cut)
+    if held is not None and len(held):
+        yield held
+
+
+def _agreeing(p: MinHashParams):
+    share = p.num / p.den
+    enough = p.sketch * share - 4 * (p.sketch * share * (1 - share)) ** 0.5
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_buckets(batches):
+            bucket, one, two, block, ids, n, label = (t.column(k).to_numpy() for k in range(7))
+            sketch = np.frombuffer(b"".join(t.column(7).to_pylist()), dtype=np.uint8).reshape(len(t), p.sketch)
+            held, found = t.column(8), []
+            edge = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(one) != 0) | (np.diff(two) != 0)) + 1
+            for s, e in zip(np.concatenate(([0], edge)), np.concatenate((edge, [len(t)]))):
+                for i in range(s, e - 1):
+                    j = np.arange(i + 1, e)
+                    j = j[(label[j] != label[i]) & (p.den * np.minimum(n[j], n[i]) >= p.num * np.maximum(n[j], n[i]))
+                          & ((one[i] == two[i]) | (block[j] != block[i]))]
+                    if len(j):
+                        j = j[(sketch[j] == sketch[i]).sum(axis=1) >= enough]
+                    for k in j:  # a pair is reported in the first of the buckets it shares
+                        if min(set(held[int(i)].as_py()) & set(held[int(k)].as_py())) == bucket[i]:
+                            found.append((min(ids[i], ids[k]), max(ids[i], ids[k])))
+            pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_pydict({"a": pairs[:, 0], "b": pairs[:, 1]})
+    return run
+
+
+def _close_pairs(open_: DataFrame, sets: DataFrame, params: MinHashParams) -> DataFrame:
+    """Pairs of classes of different components that share a bucket and may be linked."""
+    held = open_.groupBy("id").agg(F.collect_set("bucket").alias("held"))  # as many as there are bands at most
+    told = stored(map_arrow(sets.join(held.select("id"), "id").select("id", "shingles"), _sketches(params), "id long, sketch binary"),
+                  "minhash-sketches").join(held, "id")
+    blocks = open_.groupBy("bucket").agg(F.ceil(F.count("*") / _BLOCK).cast("int").alias("k"))
+    rows = (open_.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).join(told, "id")
+            .select("bucket", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block",
+                    "id", "n", "label", "sketch", "held"))
+    return map_arrow(rows.repartition("bucket", "one", "two").sortWithinPartitions("bucket", "one", "two", "id"),
+                     _agreeing(params), "a long, b long")
+
+
 def _verify(p: MinHashParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -172,10 +248,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         listing = before is not None and (unknown <= width or unknown > 0.95 * before)
         sized = lambda m, n: F.lit(params.den) * F.least(m, n) >= F.lit(params.num) * F.greatest(m, n)
-        if listing:  # every remaining pair whose sizes allow a link
-            x, y = open_.alias("x"), open_.alias("y")
-            pairs = (x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label")) & sized(F.col("x.n"), F.col("y.n")))
-                     .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")))
+        if listing:  # every remaining pair
+            pairs = _close_pairs(open_, sets, params)
         else:  # one pivot per bucket, each round another one
             near = open_.groupBy("bucket").agg(F.count("*").alias("m"))
             reach = open_.join(near, "bucket").groupBy("id").agg(F.sum("m").alias("reach"))

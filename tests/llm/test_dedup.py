@@ -52,7 +52,8 @@ def near_copies(n=60):
 
 
 @pytest.mark.parametrize("n", [4, 5])
-def test_minhash_components(spark, n):
+def test_minhash_components(spark, n, monkeypatch):
+    monkeypatch.setattr(minhash, "_BLOCK", 8)  # crowded buckets are divided
     rows = awkward() + [(1000 + i, t, "en", "s", len(t)) + ("",) * 6 for i, t in enumerate(near_copies())]
     got = {}
     for r in minhash.near_duplicates(frame(spark, rows), params=minhash.MinHashParams(shingle=n)).collect():
