@@ -133,16 +133,20 @@ _SHIFT = 1 << 16  # the sketch's coordinates lie beyond those of the bands
 def _sketches(p: MinHashParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for raw in b.column(1):
-                ring = (mix64(np.frombuffer(raw.as_buffer(), dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
-                x, a = np.empty_like(ring), np.empty_like(ring)
-                least = np.full(p.sketch, 0xFFFFFFFF, dtype=np.uint32)
+            raws = [r.as_buffer() for r in b.column(1)]
+            ends = np.cumsum([r.size // 8 for r in raws])
+            lo = 0
+            while lo < len(raws):  # as in band_hashes
+                base = ends[lo - 1] if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(ends, base + 32768, side="right")))
+                part = np.concatenate([np.frombuffer(r, dtype=np.uint64) for r in raws[lo:hi]])
+                part, starts = (mix64(part) >> np.uint64(32)).astype(np.uint32), np.concatenate(([0], ends[lo : hi - 1] - base))
+                x, a, out = np.empty_like(part), np.empty_like(part), np.empty((hi - lo, p.sketch), dtype=np.uint8)
                 for k in range(p.sketch):
-                    np.add(ring, np.uint32(_SHIFT + k), out=x)
-                    least[k] = _ring(x, a).min()
-                out.append(least.astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["id", "sketch"])
+                    np.add(part, np.uint32(_SHIFT + k), out=x)
+                    out[:, k] = np.minimum.reduceat(_ring(x, a), starts).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([r.tobytes() for r in out], pa.binary())], names=["id", "sketch"])
+                lo = hi
     return run
 
 
