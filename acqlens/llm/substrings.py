@@ -7,8 +7,8 @@ id.  Only suffixes that can matter are sorted, cut off at ``width`` bytes:
    hash (leftmost on ties), so equal windows have equal anchors.  Chunks of documents send their
    distinct anchor hashes, sorted and delta-coded, to hash ranges and get one bit back for each:
    does another document have it?
-2. The windows of a shared anchor form one context string.  Equal contexts need no comparison:
-   every document but the smallest loses all of their windows.
+2. The windows of a shared anchor form one context string, known by its hash.  Equal contexts
+   need no comparison: every document but the smallest loses all of their windows.
 3. Different contexts of one anchor can share windows.  Their suffixes are sorted in runs, each
    run front-coded (shared prefix length and the rest), exchanged by key range and merged with
    loser trees that keep the prefix lengths known and compare only the bytes after them.  Equal
@@ -149,38 +149,57 @@ def _shared(part: pa.Table) -> pa.Table:
                      "n": pa.array([len(h) for h in hashes], pa.int32())})
 
 
-_CANDIDATES = "chunk int, key binary, h long, context binary, doc long, at binary"
+def _keyed(found: list[tuple], blobs: list[bytes], wanted: np.ndarray, width: int) -> Iterator[tuple]:
+    """(block, hash, context key, blob, first, last) of the anchors whose hash is in the sorted
+    ``wanted``; the key is a hash of the anchor's context, the bytes of all its windows."""
+    if not len(wanted):
+        return
+    for lo, hi, h, doc, first, last in found:
+        at = np.searchsorted(wanted, h)
+        at[at == len(wanted)] = 0
+        use = np.flatnonzero(wanted[at] == h)
+        if len(use):
+            buf = b"".join(blobs[lo:hi])
+            for x, d, a, z in zip(h[use].view(np.int64).tolist(), doc[use].tolist(), first[use].tolist(), last[use].tolist()):
+                context = buf[a : z + width]
+                yield lo, x, xxhash.xxh64_intdigest(context) - (1 << 63), lo + d, a, z, context
 
 
 def _contexts(p: SubstringParams):
     def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
-        rows: dict[bytes, list] = {}
-        blobs, ids = _blobs(chunk), chunk.column("doc_id").fill_null(0).to_numpy()
+        least: dict[tuple[int, int], int] = {}
         got = sorted(zip(answers.column("part").to_pylist(), answers.column("shared").to_pylist(), answers.column("n").to_pylist()))
         if got:
+            blobs, ids = _blobs(chunk), chunk.column("doc_id").fill_null(0).to_numpy()
             found = _block_anchors(blobs, p)
             u, _ = _chunk_hashes(found, ids)
             wanted = u[np.concatenate([_bits(b, n) for _, b, n in got])]
-            for lo, hi, h, doc, first, last in found:
-                at = np.searchsorted(wanted, h)
-                at[at == len(wanted)] = 0
-                use = np.flatnonzero(wanted[at] == h) if len(wanted) else []
-                buf, base, named = b"".join(blobs[lo:hi]), np.cumsum([0] + [len(b) for b in blobs[lo:hi]]), {}
-                for i in use:
-                    d, a = int(doc[i]), int(first[i])
-                    context = buf[a : int(last[i]) + p.width]
-                    key = hashlib.blake2b(context, digest_size=16).digest()
-                    if d not in named:
-                        named[d] = xxhash.xxh64_intdigest(blobs[lo + d]) >> 1
-                    row = rows.setdefault(key, [int(h[i].view(np.int64)), context, int(ids[lo + d]), []])
-                    row[2] = min(row[2], int(ids[lo + d]))
-                    row[3] += (int(ids[lo + d]), named[d], a - int(base[d]), int(last[i]) - a)
+            number = ids.tolist()
+            for _, h, key, d, _, _, _ in _keyed(found, blobs, wanted, p.width):
+                doc = number[d]
+                if least.get((h, key), doc) >= doc:
+                    least[h, key] = doc
         n = chunk.column("chunk")[0].as_py() if len(chunk) else 0
-        return pa.table({
-            "chunk": pa.array([n] * len(rows), pa.int32()), "key": pa.array(list(rows), pa.binary()),
-            "h": pa.array([r[0] for r in rows.values()], pa.int64()), "context": pa.array([r[1] for r in rows.values()], pa.binary()),
-            "doc": pa.array([r[2] for r in rows.values()], pa.int64()),
-            "at": pa.array([np.array(r[3], dtype="<i8").tobytes() for r in rows.values()], pa.binary())})
+        both = np.array(list(least), dtype=np.int64).reshape(-1, 2)
+        return pa.table({"chunk": pa.array([n] * len(least), pa.int32()), "h": both[:, 0], "key": both[:, 1],
+                         "doc": pa.array(list(least.values()), pa.int64())})
+    return run
+
+
+def _texts_of(p: SubstringParams):
+    """The bytes of the contexts asked for, one copy of each."""
+    def run(chunk: pa.Table, asked: pa.Table) -> pa.Table:
+        docs = dict(zip(zip(asked.column("h").to_pylist(), asked.column("key").to_pylist()), asked.column("doc").to_pylist()))
+        out: dict[str, list] = {"h": [], "key": [], "doc": [], "context": []}
+        if docs:
+            blobs = _blobs(chunk)
+            wanted = np.unique(asked.column("h").to_numpy().view(np.uint64))
+            for _, h, key, _, _, _, context in _keyed(_block_anchors(blobs, p), blobs, wanted, p.width):
+                doc = docs.pop((h, key), None)
+                if doc is not None:
+                    for name, v in zip(out, (h, key, doc, context)):
+                        out[name].append(v)
+        return pa.table(out, schema=pa.schema([("h", pa.int64()), ("key", pa.int64()), ("doc", pa.int64()), ("context", pa.binary())]))
     return run
 
 
@@ -353,42 +372,50 @@ def _masks(width: int):
         least = np.concatenate([np.frombuffer(b, dtype="<i8") for _, b in got])
         gone = (least[number] < np.repeat(rows.column("doc").to_numpy(), n)).astype(np.uint8).tobytes()
         ends = np.cumsum(n)
-        return pa.table({"key": rows.column("key"), "mask": pa.array([gone[e - k : e] for e, k in zip(ends, n)], pa.binary())})
+        return pa.table({"h": rows.column("h"), "key": rows.column("key"), "mask": pa.array([gone[e - k : e] for e, k in zip(ends, n)], pa.binary())})
     return run
 
 
 def _apply(p: SubstringParams, with_kept: bool):
     def run(chunk: pa.Table, found: pa.Table) -> pa.Table:
-        blobs, ids = _blobs(chunk), chunk.column("doc_id").fill_null(0).to_numpy()
-        cover: dict[tuple[int, int], list[np.ndarray]] = {}
-        for at, doc, mask in zip(found.column("at").to_pylist(), found.column("least").to_pylist(), found.column("mask").to_pylist()):
-            for d, name, first, more in np.frombuffer(at, dtype="<i8").reshape(-1, 4).tolist():
-                if d > doc:
-                    starts = np.array([[first, first + more + p.width]])
+        blobs, ids = _blobs(chunk), chunk.column("doc_id").fill_null(0).to_pylist()
+        verdict = dict(zip(zip(found.column("h").to_pylist(), found.column("key").to_pylist()),
+                           zip(found.column("least").to_pylist(), found.column("mask").to_pylist())))
+        cover: dict[int, tuple[list[int], list[int]]] = {}  # per block: starts and ends of covered windows
+        if verdict:
+            wanted = np.unique(found.column("h").to_numpy().view(np.uint64))
+            for lo, h, key, d, a, z, _ in _keyed(_block_anchors(blobs, p), blobs, wanted, p.width):
+                least, mask = verdict.get((h, key), (ids[d], None))
+                starts, ends = cover.setdefault(lo, ([], []))
+                if ids[d] > least:
+                    starts.append(a)
+                    ends.append(z + p.width)
                 elif mask and any(mask):
-                    hit = np.flatnonzero(np.frombuffer(mask, dtype=np.uint8)) + first
-                    starts = np.stack([hit, hit + p.width], axis=1)
-                else:
-                    continue
-                cover.setdefault((d, name), []).append(starts)
+                    hit = [a + i for i, m in enumerate(mask) if m]
+                    starts += hit
+                    ends += [i + p.width for i in hit]
         out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
-        nulls = chunk.column("doc_id").is_null().to_pylist()
-        for i, (b, t) in enumerate(zip(blobs, chunk.column("text").to_pylist())):
-            b = (t or "").encode("utf-8", "surrogatepass") if nulls[i] else b
-            spans = cover.get((int(ids[i]), xxhash.xxh64_intdigest(b) >> 1)) if cover and not nulls[i] else None
-            removed = runs = 0
-            kept = b
-            if spans:
-                edge = np.zeros(len(b) + 1, dtype=np.int64)
-                every = np.concatenate(spans)
-                np.add.at(edge, every[:, 0], 1)
-                np.add.at(edge, every[:, 1], -1)
-                gone = np.cumsum(edge)[:-1] > 0
-                removed = int(gone.sum())
-                runs = int((np.diff(gone.view(np.int8), prepend=np.int8(0)) == 1).sum())
-                kept = np.frombuffer(b, dtype=np.uint8)[~gone].tobytes()
-            for name, v in zip(out, (len(b), removed, runs, hashlib.sha256(kept).hexdigest(), kept if with_kept else b"")):
-                out[name].append(v)
+        texts, nulls = chunk.column("text"), chunk.column("doc_id").is_null().to_pylist()
+        for lo, hi in blocks(blobs):
+            size = sum(map(len, blobs[lo:hi]))
+            starts, ends = cover.get(lo, ((), ()))
+            gone = np.cumsum(np.bincount(starts, minlength=size + 1) - np.bincount(ends, minlength=size + 1))[:size] > 0 if starts else None
+            at = 0
+            for i in range(lo, hi):
+                b = blobs[i]
+                mine = gone[at : at + len(b)] if gone is not None else None
+                at += len(b)
+                if nulls[i]:
+                    b, mine = (texts[i].as_py() or "").encode("utf-8", "surrogatepass"), None
+                removed = runs = 0
+                if mine is not None and mine.any():
+                    removed = int(mine.sum())
+                    runs = int((np.diff(mine.view(np.int8), prepend=np.int8(0)) == 1).sum())
+                    kept = np.frombuffer(b, dtype=np.uint8)[~mine].tobytes()
+                else:
+                    kept = b
+                for name, v in zip(out, (len(b), removed, runs, hashlib.sha256(kept).hexdigest(), kept if with_kept else b"")):
+                    out[name].append(v)
         return pa.table({"doc_id": chunk.column("doc_id"), **{k: pa.array(out[k], pa.int64()) for k in ("n_bytes", "n_removed", "n_spans")},
                          "kept_sha256": pa.array(out["kept_sha256"], pa.string()),
                          **({"kept": pa.array(out["kept"], pa.binary())} if with_kept else {})})
@@ -398,31 +425,44 @@ def _apply(p: SubstringParams, with_kept: bool):
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    params: SubstringParams = SubstringParams(), with_kept: bool = False) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept
-    bytes (a cut may fall inside a character, so they are binary)."""
+    bytes (a cut may fall inside a character, so they are binary).
+
+    Chunks are read again whenever their bytes are needed; what is stored and exchanged between
+    are hashes, and the bytes of contexts that have rivals.
+    """
     spark = docs.sparkSession
     ship(spark)
     tables = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
     n_chunks = max(tables, -(-size // params.chunk_bytes))
     dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
-                        F.pmod(F.xxhash64(id_col, text_col), F.lit(n_chunks)).cast("int").alias("chunk"))
-    sent = dealt.groupBy("chunk").applyInArrow(_send(params, tables), "part int, chunk int, hashes binary, several binary")
+                        F.pmod(F.xxhash64(id_col, text_col), F.lit(n_chunks)).cast("int").alias("chunk")).groupBy("chunk")
+    sent = dealt.applyInArrow(_send(params, tables), "part int, chunk int, hashes binary, several binary")
     shared = sent.groupBy("part").applyInArrow(_shared, "chunk int, part int, shared binary, n int")
-    found = stored(dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_contexts(params), _CANDIDATES), "sub-contexts")
+    found = _stored(dealt.cogroup(shared.groupBy("chunk")).applyInArrow(_contexts(params), "chunk int, h long, key long, doc long"), "sub-found")
 
-    contexts = stored(found.groupBy("key").agg(F.first("h").alias("h"), F.first("context").alias("context"), F.min("doc").alias("doc")), "sub-distinct")
+    contexts = _stored(found.groupBy("h", "key").agg(F.min("doc").alias("doc"), F.min("chunk").alias("chunk")), "sub-distinct")
     several = contexts.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    rivals = stored(contexts.join(several, "h").select("key", "context", "doc"), "sub-rivals")
+    asked = contexts.join(several, "h")
+    rivals = _stored(dealt.cogroup(asked.groupBy("chunk")).applyInArrow(_texts_of(params), "h long, key long, doc long, context binary"), "sub-rivals")
     n_rivals = rivals.count()
     runs = max(1, min(tables, n_rivals), -(-n_rivals // params.run_contexts))
-    sample = rivals.where(F.pmod(F.xxhash64("key"), F.lit(max(1, n_rivals // (64 * tables)))) == 0).limit(256 * tables)
+    sample = rivals.where(F.pmod("key", F.lit(max(1, n_rivals // (64 * tables)))) == 0).limit(256 * tables)
     some = sorted(r[0] for r in sample.select(F.substring("context", 1, params.width)).collect())  # bounded by the partitions
     edges = sorted({bytes(some[i * len(some) // tables]) for i in range(1, tables)}) if some else []
-    dealt_runs = rivals.withColumn("run", F.pmod(F.xxhash64("key"), F.lit(runs)).cast("int"))
-    made = dealt_runs.groupBy("run").applyInArrow(_make_runs(params.width, edges), "part int, run int, shared binary, rest binary, docs binary")
+    dealt_runs = rivals.withColumn("run", F.pmod(F.xxhash64("key"), F.lit(runs)).cast("int")).groupBy("run")
+    made = dealt_runs.applyInArrow(_make_runs(params.width, edges), "part int, run int, shared binary, rest binary, docs binary")
     merged = made.groupBy("part").applyInArrow(_merge(params.width), "run int, part int, least binary")
-    masks = stored(dealt_runs.groupBy("run").cogroup(merged.groupBy("run")).applyInArrow(_masks(params.width), "key binary, mask binary"), "sub-masks")
-    verdict = contexts.select("key", F.col("doc").alias("least")).join(masks, "key", "left")
-    judged = found.select("chunk", "key", "at").join(verdict, "key").select("chunk", "at", "least", "mask")
-    return dealt.groupBy("chunk").cogroup(judged.groupBy("chunk")).applyInArrow(
+    masks = _stored(dealt_runs.cogroup(merged.groupBy("run")).applyInArrow(_masks(params.width), "h long, key long, mask binary"), "sub-masks")
+    verdict = contexts.select("h", "key", F.col("doc").alias("least")).join(masks, ["h", "key"], "left")
+    judged = found.select("chunk", "h", "key").join(verdict, ["h", "key"])
+    return dealt.cogroup(judged.groupBy("chunk")).applyInArrow(
         _apply(params, with_kept), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept)
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """``stored``, and the finished query's shuffle files given up: Spark deletes them once the
+    driver's garbage collection has found the query unreachable, which could take long."""
+    out = stored(df, name)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
