@@ -53,6 +53,35 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+def trimmed(fn: Callable) -> Callable:
+    """``fn`` for tables of one group or chunk, giving the memory it has freed back to the
+    system: Python workers live on between tasks, and the allocators would keep it."""
+    def one(table):
+        try:
+            return fn(table)
+        finally:
+            _give_back()
+
+    def two(left, right):
+        try:
+            return fn(left, right)
+        finally:
+            _give_back()
+
+    return two if fn.__code__.co_argcount == 2 else one
+
+
+def _give_back() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, fn: Callable, schema) -> DataFrame:
     """``df.mapInArrow`` with this package importable on the executors."""
     ship(df.sparkSession)

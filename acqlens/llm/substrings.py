@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acqlens.llm.common import chunks as blocks
-from acqlens.llm.common import mix64, ship, stored
+from acqlens.llm.common import mix64, ship, stored, trimmed
 from acqlens.llm.lm_score import pack_sorted, unpack_sorted
 
 
@@ -87,15 +87,19 @@ def anchors(blobs: list[bytes], p: SubstringParams) -> tuple[np.ndarray, np.ndar
     place = np.arange(len(h), dtype=np.uint64)
     least = sliding_min((h & np.uint64(0xFFFFFFFF00000000)) | place, p.width - p.gram + 1)
     size = np.array([len(b) for b in blobs], dtype=np.int64)
-    doc = np.repeat(np.arange(len(blobs)), size)
-    ok = doc[: len(least)] == doc[p.width - 1 :]
-    at = np.flatnonzero(ok)
-    if not len(at):
+    ends = np.cumsum(size)
+    long_ = size >= p.width
+    if not long_.any():
         return none.astype(np.uint64), none, none, none
-    anchor = (least[at] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    new = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (doc[at[1:]] != doc[at[:-1]]))))
+    step = np.zeros(len(buf) + 1, dtype=np.int8)  # 1 where the starts of a text's windows begin, -1 after the last
+    step[(ends - size)[long_]] += 1
+    step[(ends - p.width + 1)[long_]] -= 1
+    at = np.flatnonzero(np.cumsum(step[: len(least)], dtype=np.int8))
+    anchor = least[at] & np.uint64(0xFFFFFFFF)
+    new = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))  # texts share no anchor
     last = np.append(new[1:] - 1, len(at) - 1)
-    return h[anchor[new]], doc[at[new]], at[new], at[last]
+    first = at[new]
+    return h[anchor[new].astype(np.int64)], np.searchsorted(ends, first, side="right"), first, at[last]
 
 
 def _blobs(chunk: pa.Table) -> list[bytes]:
@@ -437,27 +441,27 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n_chunks = max(tables, -(-size // params.chunk_bytes))
     dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
                         F.pmod(F.xxhash64(id_col, text_col), F.lit(n_chunks)).cast("int").alias("chunk")).groupBy("chunk")
-    sent = dealt.applyInArrow(_send(params, tables), "part int, chunk int, hashes binary, several binary")
-    shared = sent.groupBy("part").applyInArrow(_shared, "chunk int, part int, shared binary, n int")
-    found = _stored(dealt.cogroup(shared.groupBy("chunk")).applyInArrow(_contexts(params), "chunk int, h long, key long, doc long"), "sub-found")
+    sent = dealt.applyInArrow(trimmed(_send(params, tables)), "part int, chunk int, hashes binary, several binary")
+    shared = sent.groupBy("part").applyInArrow(trimmed(_shared), "chunk int, part int, shared binary, n int")
+    found = _stored(dealt.cogroup(shared.groupBy("chunk")).applyInArrow(trimmed(_contexts(params)), "chunk int, h long, key long, doc long"), "sub-found")
 
     contexts = _stored(found.groupBy("h", "key").agg(F.min("doc").alias("doc"), F.min("chunk").alias("chunk")), "sub-distinct")
     several = contexts.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     asked = contexts.join(several, "h")
-    rivals = _stored(dealt.cogroup(asked.groupBy("chunk")).applyInArrow(_texts_of(params), "h long, key long, doc long, context binary"), "sub-rivals")
+    rivals = _stored(dealt.cogroup(asked.groupBy("chunk")).applyInArrow(trimmed(_texts_of(params)), "h long, key long, doc long, context binary"), "sub-rivals")
     n_rivals = rivals.count()
     runs = max(1, min(tables, n_rivals), -(-n_rivals // params.run_contexts))
     sample = rivals.where(F.pmod("key", F.lit(max(1, n_rivals // (64 * tables)))) == 0).limit(256 * tables)
     some = sorted(r[0] for r in sample.select(F.substring("context", 1, params.width)).collect())  # bounded by the partitions
     edges = sorted({bytes(some[i * len(some) // tables]) for i in range(1, tables)}) if some else []
     dealt_runs = rivals.withColumn("run", F.pmod(F.xxhash64("key"), F.lit(runs)).cast("int")).groupBy("run")
-    made = dealt_runs.applyInArrow(_make_runs(params.width, edges), "part int, run int, shared binary, rest binary, docs binary")
-    merged = made.groupBy("part").applyInArrow(_merge(params.width), "run int, part int, least binary")
-    masks = _stored(dealt_runs.cogroup(merged.groupBy("run")).applyInArrow(_masks(params.width), "h long, key long, mask binary"), "sub-masks")
+    made = dealt_runs.applyInArrow(trimmed(_make_runs(params.width, edges)), "part int, run int, shared binary, rest binary, docs binary")
+    merged = made.groupBy("part").applyInArrow(trimmed(_merge(params.width)), "run int, part int, least binary")
+    masks = _stored(dealt_runs.cogroup(merged.groupBy("run")).applyInArrow(trimmed(_masks(params.width)), "h long, key long, mask binary"), "sub-masks")
     verdict = contexts.select("h", "key", F.col("doc").alias("least")).join(masks, ["h", "key"], "left")
     judged = found.select("chunk", "h", "key").join(verdict, ["h", "key"])
     return dealt.cogroup(judged.groupBy("chunk")).applyInArrow(
-        _apply(params, with_kept), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept)
+        trimmed(_apply(params, with_kept)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept)
 
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
