@@ -45,7 +45,7 @@ class SubstringParams:
     width: int = 50
     gram: int = 24  # at most width
     chunk_bytes: int = 4 << 20  # of text; a task holds one chunk
-    run_contexts: int = 50_000  # contexts per sorted run
+    run_contexts: int = 16_000  # contexts per sorted run, and per key range of the merge
 
 
 _B = 0x9E3779B97F4A7C15
@@ -451,9 +451,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rivals = _stored(dealt.cogroup(asked.groupBy("chunk")).applyInArrow(trimmed(_texts_of(params)), "h long, key long, doc long, context binary"), "sub-rivals")
     n_rivals = rivals.count()
     runs = max(1, min(tables, n_rivals), -(-n_rivals // params.run_contexts))
-    sample = rivals.where(F.pmod("key", F.lit(max(1, n_rivals // (64 * tables)))) == 0).limit(256 * tables)
+    sample = rivals.where(F.pmod("key", F.lit(max(1, n_rivals // (64 * max(tables, runs))))) == 0).limit(256 * max(tables, runs))
+    parts = max(tables, runs)
     some = sorted(r[0] for r in sample.select(F.substring("context", 1, params.width)).collect())  # bounded by the partitions
-    edges = sorted({bytes(some[i * len(some) // tables]) for i in range(1, tables)}) if some else []
+    edges = sorted({bytes(some[i * len(some) // parts]) for i in range(1, parts)}) if some else []
     dealt_runs = rivals.withColumn("run", F.pmod(F.xxhash64("key"), F.lit(runs)).cast("int")).groupBy("run")
     made = dealt_runs.applyInArrow(trimmed(_make_runs(params.width, edges)), "part int, run int, shared binary, rest binary, docs binary")
     merged = made.groupBy("part").applyInArrow(trimmed(_merge(params.width)), "run int, part int, least binary")
