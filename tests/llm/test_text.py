@@ -75,6 +75,20 @@ def test_line_rules(spark):
     assert line_rules.judge(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_line_rules_large_host(spark):
+    words = [f"w{k}" for k in range(60)]
+    rows = [(i, " ".join(words) + f"\nown line {'abcdefghij'[i % 10] * (i + 1)}", "en", "big", 1) + ("",) * 6 for i in range(300)]
+    rows += [(1000 + i, "rare line\n" + "".join(f"{i} and {k} are here " for k in range(20)) + "z" * (i + 1), "en", "big", 1) + ("",) * 6 for i in range(20)]
+    filler = spark.range(40_000).selectExpr(
+        "id + 10000 AS doc_id", "concat('q', translate(cast(id AS string), '0123456789', 'abcdefghij')) AS text", "'en' AS lang", "'big' AS source", "1L AS n_chars",
+        *(f"'' AS {c}" for c in ("id", "score", "chunk", "h", "rate_", "gone")))
+    by = {r["id"]: r for r in line_rules.judge(frame(spark, rows).unionByName(filler)).where("id < 10000").collect()}
+    assert len(by) == 320
+    for i in range(300):  # a line of 300 documents is in under 1 % of the host's
+        assert by[i]["removed_words"] == 60 and not by[i]["base_failed"] and not by[i]["kept"]
+    assert all(by[1000 + i]["removed_words"] == 0 for i in range(20))  # no more documents than the limit
+
+
 def prose_line(k):
     import random
 
