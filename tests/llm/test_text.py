@@ -89,6 +89,17 @@ def test_line_rules_large_host(spark):
     assert all(by[1000 + i]["removed_words"] == 0 for i in range(20))  # no more documents than the limit
 
 
+def test_line_rules_count_documents(spark):
+    page = "\n".join(prose_line(k) for k in range(10))
+    rows = [(i, page, "en", "copied", 1) + ("",) * 6 for i in range(500)]  # one text, many documents
+    rows += [(1000, page.upper().replace("\n", "\n\n") + " more", "en", "copied", 1) + ("",) * 6]
+    rows += [(2000, page, "en", "other", 1) + ("",) * 6] * 30  # a repeated row is one document
+    by = {r["id"]: r for r in line_rules.judge(frame(spark, rows)).collect()}
+    assert all(by[i]["removed_words"] == 80 and not by[i]["kept"] for i in range(500))
+    assert by[1000]["removed_words"] == 72 and not by[1000]["kept"]
+    assert by[2000]["removed_words"] == 0
+
+
 def prose_line(k):
     import random
 
