@@ -49,6 +49,20 @@ def test_secret_redaction(spark):
     assert secrets.redact(docs.limit(0)).count() == 0
 
 
+def test_secrets_of_one_owner_in_many_documents(spark):
+    opaque = "ghp0Ab1Cd2Ef3Gh4Ij5Kl6Mn7"
+    page = lambda k: f"{'x ' * k}{opaque} password: hunter2hunter2"
+    rows = [(i, page(i % 250), "en", "one", 1, f"r{i}") + ("",) * 5 for i in range(400)]
+    docs = frame(spark, rows)
+    for r in secrets.digest_columns(secrets.scan(docs)).collect():
+        assert (r["n_live"], r["n_example"]) == (2, 0) and "opaque:" in r["spans"], r
+    assert all(r["text"].endswith("[SECRET] [SECRET]") for r in secrets.redact(docs).collect())
+    copies = frame(spark, [(i, page(0), "en", "one", 1, f"r{i}") + ("",) * 5 for i in range(400)])
+    for rows_, repos in ((docs, 250), (copies, 1)):  # copies of one text within an owner count once
+        found = secrets.scan(rows_, repo_col="id").select("found").collect()
+        assert len(found) == 400 and {(x["repos"], x["live"]) for r in found for x in r[0] if x["o"] < 3} == {(repos, repos <= 200)}
+
+
 def test_line_rules(spark):
     rows = awkward()
     shared = "a line that a whole host shares. " * 9
