@@ -63,6 +63,18 @@ def test_secrets_of_one_owner_in_many_documents(spark):
         assert len(found) == 400 and {(x["repos"], x["live"]) for r in found for x in r[0] if x["o"] < 3} == {(repos, repos <= 200)}
 
 
+def test_opaque_tokens_are_mixed_one_by_one(spark):
+    plain = ["einkeitchzukeitheitlang", "-" * 30, "/usr/share/some/folder/name", "ALLUPPERCASE0123456789X"]
+    opaque = "ghp0Ab1Cd2Ef3Gh4Ij5Kl6Mn7"
+    text = " ".join(plain[:2] + [opaque] + plain[2:] + [opaque + "Z"])
+    docs = frame(spark, [(1, text, "en", "one", 1) + ("",) * 6, (2, " ".join(plain), "en", "one", 1) + ("",) * 6])
+    by = {r["doc_id"]: r for r in secrets.digest_columns(secrets.scan(docs)).collect()}
+    at = [text.index(opaque), text.rindex(opaque)]
+    assert by[1]["spans"] == f"opaque:{at[0]}:{at[0] + 25},opaque:{at[1]}:{at[1] + 26}" and by[2]["spans"] == ""
+    out = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert out == {1: " ".join(plain[:2] + ["[SECRET]"] + plain[2:] + ["[SECRET]"]), 2: " ".join(plain)}
+
+
 def test_line_rules(spark):
     rows = awkward()
     shared = "a line that a whole host shares. " * 9
