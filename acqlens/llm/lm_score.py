@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acqlens.llm.common import sequence_hashes, ship, stored, word_hashes
+from acqlens.llm.common import sequence_hashes, ship, stored, trimmed, word_hashes
 
 
 @dataclass(frozen=True)
 class BackoffParams:
-    order: int = 2
+    order: int = 3
     backoff: float = 0.4
     chunk_bytes: int = 4 << 20  # of text; a task holds one chunk
 
@@ -153,10 +153,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", param
     id_type = docs.schema[id_col].dataType.simpleString()
     dealt = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
                         F.pmod(F.xxhash64(id_col, text_col), F.lit(chunks)).cast("int").alias("chunk"))
-    counted = dealt.groupBy("chunk").applyInArrow(_count(params.order, tables), "part int, chunk int, n int, hashes binary, counts binary")
-    answers = counted.groupBy("part").applyInArrow(_total, "chunk int, n int, part int, totals binary")
+    counted = dealt.groupBy("chunk").applyInArrow(trimmed(_count(params.order, tables)), "part int, chunk int, n int, hashes binary, counts binary")
+    answers = counted.groupBy("part").applyInArrow(trimmed(_total), "chunk int, n int, part int, totals binary")
     scored = stored(dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
-        _score(params), f"doc_id {id_type}, n_words long, part_score double, n_unigram long"), "lm-scored")
+        trimmed(_score(params)), f"doc_id {id_type}, n_words long, part_score double, n_unigram long"), "lm-scored")
     words = scored.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     log_score = F.col("part_score") - F.col("n_unigram") * F.log(F.greatest(F.lit(words) - F.col("n_words"), F.lit(1)).cast("double"))
     return (scored.withColumn("log_score", log_score)

@@ -205,6 +205,15 @@ def test_backoff_scores(spark, order):
     assert lm_score.score(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_backoff_query_uses_trigrams(spark):
+    from acqlens.llm import queries
+
+    small = "/root/testdata/sf0.001"
+    got = {r["doc_id"]: r["log_score"] for r in queries.op8_backoff_score(spark, small).collect()}
+    want = {a: s for a, _, s in naive_backoff([tuple(r) for r in spark.read.parquet(small + "/documents.parquet").select("doc_id", "text").collect()], 3)}
+    assert got.keys() == want.keys() and np.allclose([got[k] for k in want], list(want.values()))
+
+
 def test_language_id(spark):
     syllables = {"en": "the and ing tion her", "de": "der sch ung keit zu ü", "ja": "日 本 語 テ キ"}
     import random
