@@ -34,6 +34,13 @@ class BackoffParams:
     order: int = 3
     backoff: float = 0.4
     chunk_bytes: int = 4 << 20  # of text; a task holds one chunk
+    table_bytes: int = 8 << 20  # of text; a count table holds one hash range's share of its n-grams
+
+
+def deal(size: int, least: int, params: BackoffParams) -> tuple[int, int]:
+    """Numbers of chunks and of count tables for so many bytes of text: both follow the size, so
+    neither task grows with the corpus, and there are at least as many as shuffle partitions."""
+    return max(least, -(-size // params.chunk_bytes)), max(least, -(-size // params.table_bytes))
 
 
 def pack_sorted(x: np.ndarray) -> bytes:
@@ -147,9 +154,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", param
     """Per row: doc_id, n_words, log_score (natural log, summed) and perplexity per word."""
     spark = docs.sparkSession
     ship(spark)
-    tables = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
-    chunks = max(tables, -(-size // params.chunk_bytes))
+    chunks, tables = deal(size, int(spark.conf.get("spark.sql.shuffle.partitions")), params)
     id_type = docs.schema[id_col].dataType.simpleString()
     dealt = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
                         F.pmod(F.xxhash64(id_col, text_col), F.lit(chunks)).cast("int").alias("chunk"))

@@ -205,6 +205,18 @@ def test_backoff_scores(spark, order):
     assert lm_score.score(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_backoff_tables_follow_the_size(spark, monkeypatch):
+    p = lm_score.BackoffParams(chunk_bytes=4000, table_bytes=500)
+    assert lm_score.deal(10, 8, p) == (8, 8) and lm_score.deal(100_000, 8, p) == (25, 200)
+    rows, seen = awkward(), []
+    real = lm_score._count
+    monkeypatch.setattr(lm_score, "_count", lambda order, tables: seen.append(tables) or real(order, tables))
+    got = sorted((str(r["doc_id"]), r["n_words"], r["log_score"]) for r in lm_score.score(frame(spark, rows), params=p).collect())
+    want = sorted((str(a), b, c) for a, b, c in naive_backoff(rows, 3))
+    assert seen == [lm_score.deal(sum(len((r[1] or "").encode()) for r in rows), int(spark.conf.get("spark.sql.shuffle.partitions")), p)[1]] and seen[0] > 50
+    assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want])
+
+
 def test_backoff_query_uses_trigrams(spark):
     from acqlens.llm import queries
 
