@@ -11,6 +11,8 @@ domain totals only: each iteration is one Spark aggregate over the stored (token
 table, K numbers reach the driver, and tasks replay the short list of past steps to get their
 documents' rates, so no rate table is rewritten.
 
+Tokens are those that packing makes of a text, its end mark included.
+
 Defined results: null and empty texts have zero tokens and uniform posteriors; domains without
 any mass are left out and the other weights are rescaled; without labelled rows all rates are 1.
 The classifier learns from at most ``most_labelled`` labelled rows, chosen by a hash of the id.
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from acqlens.llm.common import chunks, map_arrow, stored
+from acqlens.llm.packing import default_vocabulary, encoder
 
 
 @dataclass(frozen=True)
@@ -130,9 +133,17 @@ def posteriors(blobs: list[bytes], model: DomainModel) -> np.ndarray:
     return out
 
 
+def token_counts(texts: list[str | None], vocabulary: str) -> list[int]:
+    """Packed tokens of each text; equal texts are encoded once."""
+    enc = encoder(vocabulary)
+    known = {t: len(enc.encode_ordinary(t)) + 1 if t else 0 for t in set(texts)}
+    return [known[t] for t in texts]
+
+
 def score_domains(docs: DataFrame, model: DomainModel, text_col: str = "text", with_text: bool = False,
-                  tokens_col: str = "tokens_", posterior_col: str = "posterior_") -> DataFrame:
-    """``docs`` with the number of words and the domain posteriors of each whole text."""
+                  tokens_col: str = "tokens_", posterior_col: str = "posterior_", vocabulary: str | None = None) -> DataFrame:
+    """``docs`` with the number of tokens and the domain posteriors of each whole text."""
+    path = vocabulary or default_vocabulary()
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
     keep = [i for i in range(len(docs.columns)) if with_text or i != at]
@@ -141,11 +152,12 @@ def score_domains(docs: DataFrame, model: DomainModel, text_col: str = "text", w
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            blobs = _bytes(b.column(at).to_pylist())
+            texts = b.column(at).to_pylist()
+            blobs = _bytes(texts)
             p = posteriors(blobs, shared.value)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, max(p.shape[1], 1))[: len(b) + 1] if p.size else np.zeros(len(b) + 1), pa.int32()), pa.array(p.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(i) for i in keep), pa.array([len(x.split()) for x in blobs], pa.int64()), lists],
+                [*(b.column(i) for i in keep), pa.array(token_counts(texts, path), pa.int64()), lists],
                 names=[*(b.schema.names[i] for i in keep), tokens_col, posterior_col])
 
     return map_arrow(docs, run, schema)

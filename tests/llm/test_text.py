@@ -289,3 +289,14 @@ def test_mixing(spark):
     none = mixing.sample_by_rate(frame(spark, rows), labels.limit(0), p)
     assert none.count() == len(rows)  # without labels every rate is 1
     assert mixing.sample_by_rate(frame(spark, rows).limit(0), labels, p).count() == 0
+
+
+def test_mixing_counts_packed_tokens(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    texts = [None, "", "one two three", "x7Q" * 700, "日本語テキスト" * 200, prose_line(3), prose_line(3)]
+    docs = frame(spark, [(i, t, "en", "s", 1) + ("",) * 6 for i, t in enumerate(texts)])
+    packed = dict(packing.tokenize(docs).groupBy("doc_id").sum("length").collect())
+    rated, _ = mixing.document_rates(docs.select("doc_id", "text"), labels)
+    got = {r["doc_id"]: r["tokens_"] for r in rated.collect()}
+    assert got == {i: packed[i] if t else 0 for i, t in enumerate(texts)}
+    assert got[3] > 100 and got[4] > 100  # texts without spaces aren't one token
