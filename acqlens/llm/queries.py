@@ -86,9 +86,29 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept", "removed_words")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from acqlens.llm import spelling
+
+    counts = spelling.word_counts(table(spark, sf_dir, "documents"), typo_mod=31)
+    return spelling.variants(counts)
+
+
+def op12_fm_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from acqlens.llm import passages
+
+    return passages.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from acqlens.llm import divergence
+
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_bestfit_packing, op2_secret_scan, op3_suffix_dedup, op4_embedding_dedup, op5_minhash_dedup, op6_quality_qda,
-        op7_language_id, op8_backoff_score, op9_source_mixing, op10_line_rules)
+        op7_language_id, op8_backoff_score, op9_source_mixing, op10_line_rules,
+        op11_spelling_variants, op12_fm_index_dedup, op13_source_divergence)
 }
 

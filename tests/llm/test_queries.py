@@ -13,7 +13,7 @@ SMALL = "/root/testdata/sf0.001"
 def test_registered():
     names = entry.queries()
     assert set(queries.QUERIES) < set(names) and "pipeline" in names
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_stages(spark):
