@@ -83,4 +83,77 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
   CAST(removed_words AS BIGINT) AS removed_words
 FROM r"""
 
-ORACLES: dict[str, str] = {"op3_suffix_dedup": OP3, "op4_embedding_dedup": OP4, "op5_minhash_dedup": OP5, "op10_line_rules": OP10}
+OP11 = rf"""
+WITH RECURSIVE tab AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)))) AS t
+), r AS (
+  SELECT doc_id, translate(run, '{_UPPER}', '{_LOWER}') AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]{{7,}}')) AS run FROM documents) GROUP BY ALL
+), b AS (
+  SELECT run, n, flatten(list_transform(string_split(concat(doc_id, ':', run), ''), lambda x:
+    CASE WHEN unicode(x) < 128 THEN [unicode(x)] ELSE [195, 128 + (unicode(x) & 63)] END)) AS bytes FROM r
+), h AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(bytes, lambda x: x::BIGINT)),
+    lambda c, x: xor(c >> 8, tab.t[(xor(c, x) & 255) + 1]))) AS h FROM b, tab
+), c AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n
+  FROM (SELECT CASE WHEN h % 31 = 0 THEN run[1 : h % length(run)] || run[h % length(run) + 2 :] ELSE run END AS word, n FROM h)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), k AS (
+  SELECT word, i, word[1 : i - 1] AS a, word[i + 1 :] AS z FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM c)
+), one AS (
+  SELECT x.word AS u, y.word AS w FROM k x JOIN k y ON x.i = y.i AND x.a = y.a AND x.z = y.z AND x.word <> y.word
+  UNION SELECT k.word, c.word FROM k JOIN c ON c.word = k.a || k.z
+  UNION SELECT c.word, k.word FROM k JOIN c ON c.word = k.a || k.z
+), near AS (
+  SELECT u, w, n, count(*) OVER (PARTITION BY u) AS n_near, row_number() OVER (PARTITION BY u ORDER BY n DESC, w) AS rank
+  FROM one JOIN c ON c.word = one.w
+), f AS (
+  SELECT c.word, c.n, coalesce(n_near, 0) AS n_near, CASE WHEN near.n >= 10 * c.n THEN w END AS form,
+         CASE WHEN near.n >= 10 * c.n THEN near.n END AS form_n
+  FROM c LEFT JOIN near ON near.u = c.word AND rank = 1
+), chain(word, tip) AS (
+  SELECT word, word FROM f UNION ALL SELECT chain.word, f.form FROM chain JOIN f ON f.word = chain.tip WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, chain.tip AS root, f.n, f.n_near, f.form_n
+FROM f JOIN chain USING (word) JOIN f AS last ON last.word = chain.tip AND last.form IS NULL"""
+
+OP12 = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+x AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS s FROM d),
+g AS (SELECT doc_id, s, w[s] AS word, CASE WHEN s + 19 <= len(w) THEN array_to_string(w[s : s + 19], ' ') END AS g FROM x),
+h AS (SELECT doc_id, s, word, g IS NOT NULL AND row_number() OVER (PARTITION BY g ORDER BY doc_id, s) > 1 AS late FROM g),
+k AS (SELECT doc_id, s, word, bool_or(late) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM h),
+n AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY s) FILTER (WHERE NOT gone) AS kept
+      FROM k GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id)"""
+
+OP13 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents
+), t AS (
+  SELECT r, lang, source, translate(unnest(ts), '{_UPPER}', '{_LOWER}') AS term FROM d
+), kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+grp AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+total AS (SELECT lang, source, CAST(coalesce(sum(n), 0) AS BIGINT) AS total FROM grp LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 1) // (total.total + v.v) AS p,
+         1 + 1000000000 * (k.n + 1) // CAST(v.total + v.v AS BIGINT) AS q
+  FROM grp g JOIN total USING (lang, source) JOIN v USING (lang) JOIN kept k USING (lang) LEFT JOIN c ON (c.lang, c.source, c.term) = (g.lang, g.source, k.term)
+), s AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), o AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON (s.lang, s.source, s.item) = (a.lang, a.source, b.source)
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM o) WHERE part = 'pair' OR rank <= 200"""
+
+ORACLES: dict[str, str] = {"op3_suffix_dedup": OP3, "op4_embedding_dedup": OP4, "op5_minhash_dedup": OP5, "op10_line_rules": OP10, "op11_spelling_variants": OP11, "op12_fm_index_dedup": OP12,
+           "op13_source_divergence": OP13}
