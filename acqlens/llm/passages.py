@@ -238,6 +238,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             F.sum(F.when(F.struct("id", "at") == F.col("m"), F.expr("shiftleft(1L, cast(k as int))")).otherwise(0)).alias("first")))
 
     verdict = contexts.select("h", "ctx", F.col("id").alias("least_id"), F.col("at").alias("least_at")).join(answers, ["h", "ctx"])
+    verdict = stored(verdict, "passage-verdicts")  # both sides of the next join are shuffled as they are, so Spark can split a hot context
     judged = found.join(verdict, ["h", "ctx"]).withColumn("windows", F.expr("cast(ctx & 63 as int)"))
     # the first place of a context keeps the windows found first; at all others every window is late
     late = F.expr("""case when id = least_id and at = least_at
