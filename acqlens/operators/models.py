@@ -1,14 +1,14 @@
-"""Spark ML operators: preprocessing, boosted-tree models, scoring, metrics.
+"""Model operators: preprocessing, boosted trees, scoring, metrics.
 
 Design:
 
-- The mixed preprocessor (ordinal codes for categoricals, standardisation for numerics) is
-  *fitted* by two small aggregates (distinct category values -- bounded by the category
-  cardinality -- and per-column mean / population std) and emitted as a ``SQLTransformer``
-  statement.  The fitted pipeline is therefore a plain ``PipelineModel``
-  (SQLTransformer -> VectorAssembler -> GBT) that saves and loads with Spark ML's writers.
-  Unknown categories map to -1 (``array_position`` returns 0 when absent).
-- Class weighting (negatives / positives on the training split) becomes ``weightCol``.
+- The mixed preprocessor gives ordinal codes to categories and standardises numbers.  Codes are a
+  table (column, value, code), ranked like any other values, so a column may have any number of
+  categories; it is joined where codes are needed, and Spark broadcasts it only below its own
+  limit.  Values not seen in training, and nulls, get -1.
+- The trees are grown by :mod:`acqlens.operators.boosting`; a fitted model is its preprocessor and
+  its trees, and saves and loads as Parquet.
+- Class weighting (negatives / positives on the training split) is a weight per row.
 - Splits come from :func:`acqlens.operators.ranks.holdout_split` (hash-ordered, exact
   stratum counts, identical on any partitioning).
 - Metrics are SQL aggregates over the scored test rows (one pass); ROC-AUC uses the
@@ -17,21 +17,18 @@ Design:
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from acqlens import constants as K
 from acqlens.functions import expressions as X
-from acqlens.operators import kpis, ranks
+from acqlens.operators import boosting, kpis, ranks
 from acqlens.operators.kpis import require_columns
-from acqlens.session import reliable_checkpoint
+from acqlens.session import reliable_checkpoint, scratch_path
 
 
 # --- A16 -------------------------------------------------------------------------------------
@@ -43,63 +40,54 @@ def class_weight(train: DataFrame, label: str, count: str | None = None) -> Data
 
 
 # --- M1 / M2: preprocessing --------------------------------------------------------------------
+def category_codes(train: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, value, code): the distinct values of each column, as text, numbered from 0 in
+    their own order (numbers by size, texts by bytes).  Nulls have no code."""
+    spark = train.sparkSession
+    if not columns:
+        return spark.createDataFrame([], "column string, value string, code int")
+    numeric = {f.name for f in train.schema.fields if isinstance(f.dataType, NumericType)}
+    sortable = [F.when(F.col(c).isNotNull(), F.struct((F.col(c).cast("double") if c in numeric else F.lit(None).cast("double")).alias("number"),
+                                                      F.col(c).cast("string").alias("text"))).alias(c) for c in columns]
+    distinct = train.select(*sortable).unpivot([], columns, "column", "value").distinct()
+    codes = ranks.value_ranks(distinct, "value", ["column"]).select("column", F.col("value.text").alias("value"), F.col("before").cast("int").alias("code"))
+    path = scratch_path(spark, "category-codes")
+    codes.write.parquet(path)
+    return spark.read.schema(codes.schema).parquet(path)
+
+
 @dataclass
 class FittedPreprocessor:
-    categories: dict[str, list]          # column -> sorted distinct training values
+    categorical: list[str]
+    codes: DataFrame                     # (column, value, code) of the training rows
     means: dict[str, float]
     stds: dict[str, float]
 
-    def columns(self) -> list[Column]:
-        out = []
-        for c, values in self.categories.items():
-            arr = F.array(*[F.lit(v) for v in values])
-            out.append((F.array_position(arr, F.col(c)) - 1).cast("int").alias(f"cat_{c}"))
-        for c, m in self.means.items():
-            s = self.stds[c] or 1.0  # constant column: centred only (scikit-learn convention)
-            out.append(((F.col(c).cast("double") - F.lit(m)) / F.lit(s)).alias(f"num_{c}"))
-        return out
-
     def output_names(self) -> list[str]:
-        return [f"cat_{c}" for c in self.categories] + [f"num_{c}" for c in self.means]
-
-    def sql_statement(self) -> str:
-        parts = []
-        for c, values in self.categories.items():
-            lits = ", ".join(_sql_literal(v) for v in values)
-            parts.append(f"CAST(array_position(array({lits}), `{c}`) - 1 AS INT) AS `cat_{c}`")
-        for c, m in self.means.items():
-            s = self.stds[c] or 1.0
-            parts.append(f"(CAST(`{c}` AS DOUBLE) - ({m!r})) / ({s!r}) AS `num_{c}`")
-        return "SELECT *, " + ", ".join(parts) + " FROM __THIS__"
-
+        return [f"cat_{c}" for c in self.categorical] + [f"num_{c}" for c in self.means]
 
-def _sql_literal(v) -> str:
-    if isinstance(v, str):
-        return "'" + v.replace("'", "''") + "'"
-    return repr(v)
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``df`` with a ``cat_`` or ``num_`` column for each input column."""
+        out = df
+        for c in self.categorical:
+            mine = self.codes.where(F.col("column") == c).select(F.col("value").alias(f"key_{c}"), F.col("code").alias(f"code_{c}"))
+            out = out.join(mine, F.col(c).cast("string") == F.col(f"key_{c}"), "left").drop(f"key_{c}")
+        return out.select(
+            *df.columns, *[F.coalesce(F.col(f"code_{c}"), F.lit(-1)).alias(f"cat_{c}") for c in self.categorical],
+            *[((F.col(c).cast("double") - F.lit(m)) / F.lit(self.stds[c] or 1.0)).alias(f"num_{c}") for c, m in self.means.items()])
 
 
 def fit_preprocessor(train: DataFrame, categorical: list[str], numeric: list[str]) -> FittedPreprocessor:
-    """Distinct category values and mean / population std per numeric column, in one aggregate.
-
-    The dictionaries become literals of the fitted model: categories are meant for columns
-    with few values (channel, country, device), not for keys.
-    """
-    if not categorical and not numeric:
-        return FittedPreprocessor({}, {}, {})
-    row = train.agg(
-        *[F.array_sort(F.collect_set(F.col(c))).alias(f"c_{c}") for c in categorical],
-        *[F.avg(c).alias(f"m_{c}") for c in numeric],
-        *[F.stddev_pop(c).alias(f"s_{c}") for c in numeric]).first()
-    return FittedPreprocessor(
-        {c: [v for v in row[f"c_{c}"] if v is not None] for c in categorical},
-        {c: float(row[f"m_{c}"] or 0.0) for c in numeric},
-        {c: float(row[f"s_{c}"] or 0.0) for c in numeric})
+    """Category codes as a table; mean and population std per numeric column from one aggregate
+    (a constant column is only centred)."""
+    row = train.agg(F.lit(0), *[F.avg(c).alias(f"m_{c}") for c in numeric], *[F.stddev_pop(c).alias(f"s_{c}") for c in numeric]).first()
+    return FittedPreprocessor(list(categorical), category_codes(train, categorical),
+                              {c: float(row[f"m_{c}"] or 0.0) for c in numeric}, {c: float(row[f"s_{c}"] or 0.0) for c in numeric})
 
 
 def preprocessed_features(players: DataFrame) -> DataFrame:
     pre = fit_preprocessor(players, K.CATEGORICAL_FEATURES, K.NUMERIC_FEATURES)
-    return players.select("user_id", *pre.columns())
+    return pre.transform(players).select("user_id", *pre.output_names())
 
 
 # --- model pipelines ---------------------------------------------------------------------------
@@ -127,21 +115,33 @@ def split(df: DataFrame, spec: ModelSpec, test_size: float = K.TEST_SIZE, seed:
     return ranks.holdout_split(df, "user_id", test_size, seed, spec.label if spec.stratify else None)
 
 
-def build_pipeline(spec: ModelSpec, pre: FittedPreprocessor, weight_col: str | None, **overrides) -> Pipeline:
-    params = dict(spec.params, **overrides)
-    assembler = VectorAssembler(inputCols=pre.output_names(), outputCol="features", handleInvalid="keep")
-    common = dict(featuresCol="features", labelCol=spec.label, seed=K.SEED, **params)
-    if spec.kind == "classifier":
-        est = GBTClassifier(**common, **({"weightCol": weight_col} if weight_col else {}))
-    else:
-        est = GBTRegressor(**common)
-    return Pipeline(stages=[SQLTransformer(statement=pre.sql_statement()), assembler, est])
+@dataclass
+class FittedModel:
+    spec: ModelSpec
+    pre: FittedPreprocessor
+    trees: boosting.BoostedTrees
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``prediction`` and, for a classifier, ``probability`` of label 1."""
+        margin = self.trees.margin(*self.pre.output_names())
+        scored = self.pre.transform(df).withColumn("margin_", margin)
+        if self.spec.kind == "classifier":
+            p = 1 / (1 + F.exp(-F.col("margin_")))
+            return scored.select(*df.columns, p.alias("probability"), (F.col("margin_") > 0).cast("double").alias("prediction"))
+        return scored.select(*df.columns, F.col("margin_").alias("prediction"))
+
+
+def tree_params(spec: ModelSpec, **overrides) -> boosting.BoostParams:
+    given = dict(spec.params, **overrides)
+    return boosting.BoostParams(kind=spec.kind, trees=given.pop("maxIter"), depth=given.pop("maxDepth"), step=given.pop("stepSize"), **given)
 
 
-def train_model(players: DataFrame, spec: ModelSpec, **overrides) -> tuple[PipelineModel, DataFrame]:
-    """Fit on the training split; returns the model and the *test* rows for evaluation."""
+def train_model(players: DataFrame, spec: ModelSpec, **overrides) -> tuple[FittedModel, DataFrame]:
+    """Fit on the training split; returns the model and the *test* rows for evaluation.  Rows
+    whose label is null (not known yet) belong to neither."""
     require_columns(players, spec.categorical + spec.numeric + [spec.label, "user_id"], spec.name)
-    data = split(players.select("user_id", *spec.categorical, *spec.numeric, spec.label), spec)
+    known = players.where(F.col(spec.label).isNotNull())
+    data = split(known.select("user_id", *spec.categorical, *spec.numeric, spec.label), spec)
     # the split is a global rank: compute it once, on the shared checkpoint folder, so the
     # training and test sides (and any retry) read the same rows
     data = reliable_checkpoint(data.withColumn(spec.label, F.col(spec.label).cast("double")))
@@ -153,12 +153,12 @@ def train_model(players: DataFrame, spec: ModelSpec, **overrides) -> tuple[Pipel
         train = train.withColumn("w", F.when(F.col(spec.label) == 1, F.lit(float(cw))).otherwise(F.lit(1.0)))
         weight_col = "w"
     pre = fit_preprocessor(train, spec.categorical, spec.numeric)
-    model = build_pipeline(spec, pre, weight_col, **overrides).fit(train)
-    return model, test
+    trees = boosting.fit(pre.transform(train), pre.output_names(), spec.label, tree_params(spec, **overrides), weight_col)
+    return FittedModel(spec, pre, trees), test
 
 
 def positive_probability(scored: DataFrame, out: str = "p") -> DataFrame:
-    return scored.withColumn(out, vector_to_array(F.col("probability"))[1])
+    return scored.withColumn(out, F.col("probability"))
 
 
 # --- M6 / M7 / M8: metrics ------------------------------------------------------------------------
@@ -232,23 +232,20 @@ def channel_baseline(players: DataFrame) -> DataFrame:
 
 
 # --- M3-M5, M9, M10 ------------------------------------------------------------------------------
-def evaluate_classifier(model: PipelineModel, test: DataFrame, spec: ModelSpec) -> DataFrame:
+def evaluate_classifier(model: FittedModel, test: DataFrame, spec: ModelSpec) -> DataFrame:
     scored = positive_probability(model.transform(test))
     return classification_metrics(scored, spec.label, "p", pred="prediction").select(
         F.lit(spec.name).alias("model"), "metric", "value")
 
 
-def evaluate_regressor(model: PipelineModel, test: DataFrame, spec: ModelSpec) -> DataFrame:
+def evaluate_regressor(model: FittedModel, test: DataFrame, spec: ModelSpec) -> DataFrame:
     m = regression_metrics(model.transform(test), spec.label, "prediction")
     return _long(m, m.columns).select(F.lit(spec.name).alias("model"), "metric", "value")
 
 
-def feature_importances(model: PipelineModel, spark) -> DataFrame:
+def feature_importances(model: FittedModel, spark) -> DataFrame:
     """M9: (feature, importance) ascending; a fitted model attribute, one value per feature."""
-    names = model.stages[1].getInputCols()
-    imp = model.stages[-1].featureImportances.toArray().tolist()
-    return spark.createDataFrame(list(zip(names, [float(v) for v in imp])), "feature string, importance double") \
-        .orderBy("importance")
+    return spark.createDataFrame(model.trees.importances(), "feature string, importance double").orderBy("importance")
 
 
 FLAG_COLUMNS = ["clan_member", "pass_royale_active", "pass_royale"]
@@ -256,14 +253,14 @@ FLAG_COLUMNS = ["clan_member", "pass_royale_active", "pass_royale"]
 
 def normalise_profiles(profiles: DataFrame) -> DataFrame:
     """A table of submitted profiles made model-ready -- boolean flags become 0/1 ints,
-    ``arena_id`` is derived from trophies when absent, trophies/win-rate aliases are filled.
+    ``arena_id`` is derived from trophies whatever was submitted, trophies/win-rate aliases are filled.
     Decided from the schema at plan-build time, so the result is a single projection."""
     types = dict(profiles.dtypes)
     out = profiles.withColumns(
         {c: F.col(c).cast("int") for c in FLAG_COLUMNS if types.get(c) == "boolean"}
     )
     cols = set(out.columns)
-    if "arena_id" not in cols and "trophies_end_week1" in cols:
+    if "trophies_end_week1" in cols:
         out = out.withColumn("arena_id", X.trophies_to_arena("trophies_end_week1"))
     for alias, src in (("trophies", "trophies_end_week1"), ("win_rate", "win_rate_week1"),
                        ("pass_royale", "pass_royale_active")):
@@ -272,7 +269,7 @@ def normalise_profiles(profiles: DataFrame) -> DataFrame:
     return out
 
 
-def score_players(players: DataFrame, retention: PipelineModel, ltv: PipelineModel, churn: PipelineModel) -> DataFrame:
+def score_players(players: DataFrame, retention: FittedModel, ltv: FittedModel, churn: FittedModel) -> DataFrame:
     """Table in, table out -- three fitted pipelines applied in sequence."""
     players = normalise_profiles(players)
     feats = sorted(set(K.FEATURE_COLUMNS + K.CHURN_FEATURE_COLUMNS) - {"acquisition_channel"})
@@ -293,14 +290,22 @@ def prediction_sanity(scored: DataFrame, pred: str = "ltv_estimate") -> DataFram
 
 
 # --- S4: model persistence -----------------------------------------------------------------
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(model: FittedModel, path: str) -> None:
+    """Trees, category codes and a line of JSON, each in a folder of its own below ``path``."""
+    spark = model.pre.codes.sparkSession
+    about = json.dumps({"spec": model.spec.name, "categorical": model.pre.categorical, "means": model.pre.means, "stds": model.pre.stds})
+    model.pre.codes.write.mode("overwrite").parquet(f"{path}/codes")
+    model.trees.save(spark, f"{path}/trees")
+    spark.createDataFrame([(about,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/model")
 
 
-def load_model(spark, path: str) -> PipelineModel | None:
-    """Load a saved pipeline; ``None`` when nothing is stored at ``path``."""
+def load_model(spark, path: str) -> FittedModel | None:
+    """Load a saved model; ``None`` when nothing is stored at ``path``."""
     jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+    p = jvm.org.apache.hadoop.fs.Path(f"{path}/model")
     if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
         return None
-    return PipelineModel.load(path)
+    about = json.loads(spark.read.text(f"{path}/model").first()["value"])
+    spec = {s.name: s for s in (RETENTION, LTV, CHURN)}[about["spec"]]
+    pre = FittedPreprocessor(about["categorical"], spark.read.schema("column string, value string, code int").parquet(f"{path}/codes"), about["means"], about["stds"])
+    return FittedModel(spec, pre, boosting.BoostedTrees.load(spark, f"{path}/trees"))

@@ -65,13 +65,30 @@ def test_weighted_retention(spark):
     assert (w.d1_weighted, w.d7_weighted, w.d30_weighted) == (50.0, 50.0, 0.0)
 
 
-def test_preprocessor_one_aggregate(spark):
-    df = spark.range(50).selectExpr("cast(id % 7 as string) as k", "cast(id as double) as x")
-    pre = models.fit_preprocessor(df, ["k"], ["x"])
-    assert pre.categories["k"] == [str(i) for i in range(7)] and pre.stds["x"] > 0
+def test_preprocessor_codes_and_scales(spark):
+    df = spark.range(50).selectExpr("cast(id % 12 as string) as k", "cast(id % 12 as int) as i", "cast(id as double) as x", "1.0D as same")
+    pre = models.fit_preprocessor(df, ["k", "i"], ["x", "same"])
+    codes = {(r["column"], r["value"]): r["code"] for r in pre.codes.collect()}
+    assert codes == {**{("k", v): n for n, v in enumerate(sorted(str(i) for i in range(12)))}, **{("i", str(i)): i for i in range(12)}}
+    rows = spark.createDataFrame([("10", 10, 24.5, 1.0), ("new", 99, None, 3.0), (None, None, 0.0, None)], "k string, i int, x double, same double")
+    got = [tuple(r) for r in pre.transform(rows).select(*pre.output_names()).collect()]
+    assert sorted(got, key=str) == sorted([(2, 10, 0.0, 0.0), (-1, -1, None, 2.0), (-1, -1, pytest.approx(-24.5 / pre.stds["x"]), None)], key=str)
     assert models.fit_preprocessor(df, [], []).output_names() == []
 
 
+def test_preprocessor_of_many_categories(spark):
+    """Far more categories than literals could hold; joined without a broadcast."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(300_000).selectExpr("format_string('%07d', id) as k", "id")
+        pre = models.fit_preprocessor(df, ["k"], [])
+        wrong = pre.transform(df.unionByName(spark.sql("select 'unknown' as k, -1L as id"))).where("cat_k <> id").count()
+        assert wrong == 0 and pre.codes.count() == 300_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_purchasers_guard_and_model_loader(spark, players_small):
     from acqlens.session import scratch_path
 
@@ -81,10 +98,11 @@ def test_purchasers_guard_and_model_loader(spark, players_small):
     assert models.load_model(spark, scratch_path(spark, "no-model")) is None
 
 
-def test_normalise_profiles(spark):
-    df = spark.createDataFrame([(1, True, False, 1250, 0.5)],
+@pytest.mark.parametrize("extra, value", [("", ()), (", arena_id int", (14,))])
+def test_normalise_profiles(spark, extra, value):
+    df = spark.createDataFrame([(1, True, False, 1250, 0.5, *value)],
                                "user_id long, clan_member boolean, pass_royale_active boolean, "
-                               "trophies_end_week1 int, win_rate_week1 double")
+                               "trophies_end_week1 int, win_rate_week1 double" + extra)
     r = models.normalise_profiles(df).first()
     assert (r.clan_member, r.pass_royale_active, r.arena_id) == (1, 0, 5)
     assert (r.trophies, r.win_rate, r.pass_royale) == (1250, 0.5, 0)
