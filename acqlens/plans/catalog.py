@@ -929,7 +929,25 @@ def q_gamma_gamma_fit(spark, sf):
     return clv.fit_gamma_gamma(_rfm_units(spark, sf))
 
 
-# ============================== M1-M10: Spark ML ==============================
+# ============================== Point-in-time features ==============================
+from acqlens.plans.oracle_sql import SNAPSHOTS_CTE  # noqa: E402
+from acqlens.sources import snapshots  # noqa: E402
+
+SNAPSHOT_DOUBLES = ("cost_per_install", "win_rate_week1", "ltv_day90", "win_rate", "avg_sessions_per_day", "avg_battle_duration", "total_spend")
+
+
+@register("player_snapshots", with_ctes(SNAPSHOTS_CTE) + "SELECT * FROM snapshots", SNAPSHOT_DOUBLES, bits=20)
+def q_player_snapshots(spark, sf):
+    """Inputs of M3-M5: features as known at each player's cutoff, labels from later days."""
+    return snapshots.player_snapshots(spark, sf)
+
+
+def _snapshots(spark, sf):
+    return store.materialized(spark, "snapshots", _src(sf, "customer", "orders", "lineitem", "events"),
+                              lambda: snapshots.player_snapshots(spark, sf))
+
+
+# ============================== M1-M10: models ==============================
 from acqlens.operators import models  # noqa: E402
 from acqlens.session import ensure_checkpoint_dir, scratch_path  # noqa: E402
 
@@ -938,16 +956,16 @@ _FITTED: dict[tuple, object] = {}
 
 def _memo(spark, sf, key, build):
     """Train/fit once per session, source version and model; a failed build is not kept."""
-    k = (spark.sparkContext.applicationId, store.signature(spark, _src(sf, "customer", "orders")), key)
+    k = (spark.sparkContext.applicationId, store.signature(spark, _src(sf, "customer", "orders", "lineitem", "events")), key)
     if k not in _FITTED:
         _FITTED[k] = build()
     return _FITTED[k]
 
 
 def _trained(spark, sf, spec):
-    """The fitted pipeline and held-out rows for ``spec``; only the requested model is trained."""
+    """The fitted model and held-out rows for ``spec``; only the requested model is trained."""
     ensure_checkpoint_dir(spark)
-    return _memo(spark, sf, ("model", spec.name), lambda: models.train_model(_players(spark, sf), spec))
+    return _memo(spark, sf, ("model", spec.name), lambda: models.train_model(_snapshots(spark, sf), spec))
 
 
 _CATS_SQL = ", ".join(
@@ -1052,7 +1070,7 @@ def q_churn_model(spark, sf):
 
 def _scored(spark, sf):
     return models.score_players(
-        _players(spark, sf),
+        _snapshots(spark, sf),
         _trained(spark, sf, models.RETENTION)[0],
         _trained(spark, sf, models.LTV)[0],
         _trained(spark, sf, models.CHURN)[0],

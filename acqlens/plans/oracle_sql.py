@@ -96,3 +96,56 @@ def rfm_cte(src: str, name: str = "rfm", end: str = K.OBSERVATION_END) -> str:
 
 def with_ctes(*ctes: str) -> str:
     return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n"
+
+_DAYS = f"""
+po AS (SELECT o_orderkey AS k, o_custkey AS u, CAST(o_orderdate AS DATE) AS d, o_totalprice AS amt, o_orderpriority AS pr, o_orderstatus AS st FROM orders),
+pf AS (SELECT u, min(d) AS i, arg_min(st, (d, st)) AS opening FROM po GROUP BY u),
+pl AS (SELECT u, greatest(CAST(l_shipdate AS DATE), po.d) AS d, l_quantity AS q, CAST(l_returnflag <> 'R' AS INTEGER) AS kept, CAST(l_shipdate AS DATE) - po.d AS lag
+       FROM lineitem JOIN po ON l_orderkey = k),
+pe AS (SELECT pf.u, pf.i + CAST(CAST(ts AS DATE) - (SELECT min(CAST(x.ts AS DATE)) FROM events x WHERE x.user_id = e.user_id) AS INTEGER) AS d, event_type, value
+       FROM events e JOIN pf ON pf.u = e.user_id)"""
+
+
+def _known(name: str, cutoff: str) -> str:
+    """Totals of each player's facts up to and including the day ``cutoff`` (an expression of pf)."""
+    return f"""{name} AS (
+  SELECT pf.u, (SELECT count(*) FROM po WHERE po.u = pf.u AND po.d <= {cutoff}) AS n_orders,
+    (SELECT count(DISTINCT d) FROM po WHERE po.u = pf.u AND po.d <= {cutoff}) AS order_days,
+    (SELECT coalesce(sum(amt), 0) FROM po WHERE po.u = pf.u AND po.d <= {cutoff}) AS spend,
+    (SELECT count(*) FROM po WHERE po.u = pf.u AND po.d <= {cutoff} AND pr = '1-URGENT') AS urgent,
+    (SELECT count(*) FROM pl WHERE pl.u = pf.u AND pl.d <= {cutoff}) AS n_items,
+    (SELECT coalesce(sum(q), 0) FROM pl WHERE pl.u = pf.u AND pl.d <= {cutoff}) AS quantity,
+    (SELECT coalesce(sum(kept), 0) FROM pl WHERE pl.u = pf.u AND pl.d <= {cutoff}) AS kept,
+    (SELECT coalesce(sum(lag), 0) FROM pl WHERE pl.u = pf.u AND pl.d <= {cutoff}) AS ship_days,
+    (SELECT count(*) FROM pe WHERE pe.u = pf.u AND pe.d <= {cutoff}) AS n_events,
+    (SELECT count(*) FROM pe WHERE pe.u = pf.u AND pe.d <= {cutoff} AND event_type = 'click') AS clicks,
+    (SELECT coalesce(sum(value), 0) FROM pe WHERE pe.u = pf.u AND pe.d <= {cutoff}) AS event_value
+  FROM pf)"""
+
+
+SNAPSHOTS_CTE = f"""{_DAYS.strip()},
+{_known("kw", "pf.i + 6")}, {_known("kv", "pf.i + 89")}, {_known("kc", f"DATE '{K.OBSERVATION_END}'")}, {_known("kl", f"DATE '{K.OBSERVATION_END}' + 90")},
+snapshots AS (
+  SELECT c.c_custkey AS user_id, pf.i AS install_date, {_CHANNEL_CASE} AS acquisition_channel,
+    ({_COUNTRIES})[c.c_nationkey % 7 + 1] AS country,
+    CASE WHEN pf.opening = 'F' THEN 'iOS' ELSE 'Android' END AS device_type,
+    CAST(kw.n_events > 0 AS INTEGER) AS clan_member, CAST(kw.urgent > 0 AS INTEGER) AS pass_royale_active,
+    greatest(c.c_acctbal, 0) / 2000.0 AS cost_per_install,
+    CAST(1 + least(kw.n_orders + kw.n_items, 13) AS INTEGER) AS king_level,
+    CAST(floor(round(kw.quantity * 30 + kw.event_value, 6)) AS INTEGER) AS trophies_end_week1,
+    CAST(least(kw.n_events + kw.n_items, 60) AS INTEGER) AS battles_week1,
+    CAST(kw.kept + kw.clicks AS DOUBLE) / nullif(kw.n_items + kw.n_events, 0) AS win_rate_week1,
+    CAST(floor(kw.quantity) AS INTEGER) AS cards_upgraded_week1,
+    CASE WHEN pf.i + 89 <= DATE '{K.SNAPSHOT_DATE}' THEN CAST(kv.n_orders > kw.n_orders OR kv.n_events > kw.n_events AS INTEGER) END AS retained_day7,
+    CASE WHEN pf.i + 89 <= DATE '{K.SNAPSHOT_DATE}' THEN (kv.spend - kw.spend) / 5000.0 END AS ltv_day90,
+    CAST(floor(round(kc.quantity * 30 + kc.event_value, 6)) AS INTEGER) AS trophies,
+    CAST(kc.kept + kc.clicks AS DOUBLE) / nullif(kc.n_items + kc.n_events, 0) AS win_rate,
+    CAST(kc.n_items + kc.n_events AS INTEGER) AS matches_played, CAST(kc.order_days AS INTEGER) AS days_active,
+    CAST(kc.urgent > 0 AS INTEGER) AS pass_royale,
+    CASE WHEN pf.i <= DATE '{K.OBSERVATION_END}' THEN 30.0 * kc.n_orders / (DATE '{K.OBSERVATION_END}' - pf.i + 1) END AS avg_sessions_per_day,
+    CAST(kc.ship_days AS DOUBLE) / nullif(kc.n_items, 0) AS avg_battle_duration,
+    kc.spend / 5000.0 AS total_spend,
+    CASE WHEN pf.i <= DATE '{K.OBSERVATION_END}' THEN CAST(kl.n_orders = kc.n_orders AS INTEGER) END AS churned,
+    CAST(least(15, floor(floor(round(kw.quantity * 30 + kw.event_value, 6)) / 300) + 1) AS INTEGER) AS arena_id
+  FROM customer c JOIN pf ON c.c_custkey = pf.u JOIN kw ON kw.u = pf.u JOIN kv ON kv.u = pf.u JOIN kc ON kc.u = pf.u JOIN kl ON kl.u = pf.u
+)"""
