@@ -41,6 +41,23 @@ def lgamma(z: Column | float, guard: bool = True) -> Column:
     return F.when(z >= 1e15, _stirling(z)).otherwise(shifted)
 
 
+def digamma(z: float) -> float:
+    """d/dz ln Gamma(z) for z > 0, by the same shift and series as :func:`lgamma`."""
+    w = z + _SHIFT
+    inv2 = 1.0 / (w * w)
+    series = inv2 * (1.0 / 12 - inv2 * (1.0 / 120 - inv2 * (1.0 / 252 - inv2 * (1.0 / 240 - inv2 / 132))))
+    return math.log(w) - 0.5 / w - series - math.fsum(1.0 / (z + k) for k in range(_SHIFT))
+
+
+def trigamma(z: float) -> float:
+    """Second derivative of ln Gamma(z) for z > 0."""
+    w = z + _SHIFT
+    inv = 1.0 / w
+    inv2 = inv * inv
+    series = inv * inv2 * (1.0 / 6 - inv2 * (1.0 / 30 - inv2 * (1.0 / 42 - inv2 * (1.0 / 30 - inv2 * 5.0 / 66))))
+    return inv + 0.5 * inv2 + series + math.fsum(1.0 / (z + k) ** 2 for k in range(_SHIFT))
+
+
 def log_add_exp(a: Column, b: Column) -> Column:
     """ln(e^a + e^b) without overflow; b may be NULL meaning e^b = 0."""
     m = F.greatest(a, F.coalesce(b, a))
@@ -71,30 +88,21 @@ def hyp2f1(a: Column | float, b: Column | float, c: Column | float, z: Column |
     )
 
 
-def hyp2f1_multi(a: Column | float, b: Column | float, c: Column | float, zs: list[Column], tol_digits: int = 17) -> list[Column]:
-    """2F1(a, b; c; z) for several z sharing (a, b, c), summed in ONE ``aggregate`` pass.
+def hyp2f1_by_depth(a: float, b: float, c: Column, z: Column, least_c: float, near: float = 0.1, most: int = 40) -> Column:
+    """2F1(a, b; c; z) for numbers a, b and columns c >= ``least_c`` and 0 <= z < 1.
 
-    The coefficient ratio (a+k)(b+k)/((c+k)(k+1)) is shared; each z keeps its own running
-    term and sum.  The term count is taken for the largest z (the slowest to converge).
-    Returns one Column per z.
+    Where z <= ``near`` the series is a nested product of as many terms as leave a remainder
+    below 1e-17 for any such c and z: plain arithmetic that Spark compiles.  Other rows, and
+    parameters that would need more than ``most`` terms, go through :func:`hyp2f1`.
     """
-    a, b, c = _lit(a), _lit(b), _lit(c)
-    zmax = zs[0]
-    for z in zs[1:]:
-        zmax = F.greatest(zmax, z)
-    m = F.greatest(a + b - c - 1, F.lit(0.0))
-    zz = F.greatest(zmax, F.lit(1e-300))
-    tail = F.ceil(F.lit(tol_digits * math.log(10.0)) / (-F.log(zz)))
-    n_terms = (F.ceil(2 * m * zz / (1 - zz)) + tail + 10).cast("long")
-    n = len(zs)
-    init = F.struct(*[F.lit(1.0).alias(f"t{i}") for i in range(n)], *[F.lit(1.0).alias(f"s{i}") for i in range(n)])
-
-    def step(acc, k):
-        kd = k.cast("double")
-        ratio = (a + kd) * (b + kd) / ((c + kd) * (kd + 1))
-        ts = [acc[f"t{i}"] * ratio * zs[i] for i in range(n)]
-        return F.struct(*[ts[i].alias(f"t{i}") for i in range(n)],
-                        *[(acc[f"s{i}"] + ts[i]).alias(f"s{i}") for i in range(n)])
-
-    res = F.aggregate(F.sequence(F.lit(0).cast("long"), n_terms - 1), init, step)
-    return [F.when(zs[i] == 0, F.lit(1.0)).otherwise(res[f"s{i}"]) for i in range(n)]
+    depth, term = 0, 1.0
+    while depth <= most and (term > 1e-17 or depth < 4):
+        low = min(abs(least_c + depth), abs(math.ceil(least_c) + depth)) if least_c < 0 else least_c + depth
+        term *= abs((a + depth) * (b + depth)) / (max(low, 1e-9) * (depth + 1)) * near
+        depth += 1
+    if depth > most:
+        return hyp2f1(a, b, c, z)
+    nested = F.lit(1.0)
+    for k in reversed(range(depth)):
+        nested = 1.0 + nested * (z * ((a + k) * (b + k) / (k + 1))) / (c + float(k))
+    return F.when(z <= near, nested).otherwise(hyp2f1(a, b, c, z))

@@ -1,13 +1,18 @@
-"""Histogram gradient boosting: quantile bins stored once, one Spark job per tree level.
+"""Histogram gradient boosting: quantile bins stored once, at most one Spark job per tree level.
 
 The training rows are turned into blocks of bin codes (one byte per feature and row) and written
 once; the margins of the trees grown so far travel with them and are brought up to date every
 ``refresh`` trees, again by a written table, so a lost executor costs a re-read and at most
-``refresh`` trees of arithmetic per row.  A level is one aggregate: every task adds its blocks'
+``refresh`` trees of arithmetic per row.  A job is one aggregate: every task adds its blocks'
 gradients and Hessians into (node, feature, bin) sums, and these arrays, whose size follows from
 the parameters alone, are summed in a tree of tasks.  The driver picks each node's split by its
 second-order gain, and gets leaf values from the same sums.
 
+A job asks for several levels at once: the driver guesses the splits below the open nodes from a
+sample of at most ``guess_rows`` rows, and the job sums all nodes of the guessed tree over all rows.
+A guess that the full sums confirm has its children's sums already; below one that they don't, the
+next job asks again.  So the trees are those of one job per level, the sample only saves jobs.
+
 Bins are weighted quantiles: the distinct values of all features are ranked together by
 ``ranks.value_ranks`` and cut at equal shares of the weight.  Bin 0 holds nulls and NaNs, which
 always go left.  The block jobs are RDD jobs: a level is far too short for a query's planning.
@@ -31,6 +36,7 @@ from acqlens.session import scratch_path, ship
 
 BLOCK_ROWS = 65_536
 FAN_IN = 32  # arrays summed by one task, and by the driver
+MIN_GAIN = 1e-9
 
 
 @dataclass(frozen=True)
@@ -44,7 +50,8 @@ class BoostParams:
     bins: int = 64           # bin 0, for missing values, included; at most 256
     l2: float = 1.0
     min_child_weight: float = 1.0
-    refresh: int = 8
+    refresh: int = 20
+    guess_rows: int = 65_536
 
     def __post_init__(self):
         if not 2 <= self.bins <= 256 or self.kind not in ("classifier", "regressor"):
@@ -165,30 +172,71 @@ def _opened(block, trees: list[Tree], n_features: int) -> tuple[np.ndarray, ...]
     return codes, y, w, margin
 
 
-def _level_sums(p: BoostParams, n_features: int, pending: list[Tree], tree: Tree, nodes: np.ndarray):
-    """A partition's sums[node, feature, bin, (gradient, Hessian)] for the open ``nodes``."""
+def _node_sums(p: BoostParams, codes: np.ndarray, g: np.ndarray, h: np.ndarray, tree: Tree, asked: np.ndarray) -> np.ndarray:
+    """sums[node, feature, bin, (gradient, Hessian)] of the ``asked`` nodes, level by level."""
     place = np.full(len(tree.feature), -1)
-    place[nodes] = np.arange(len(nodes))
+    place[asked] = np.arange(len(asked))
+    out = np.zeros((len(asked), len(codes), p.bins, 2))
+    node, rows = np.zeros(len(g), dtype=np.int32), np.arange(len(g))
+    for _ in range(p.depth):
+        at = place[node]
+        some = np.flatnonzero(at >= 0)
+        if len(some):
+            first = at[some].min()  # the nodes of a level lie together in the sorted ``asked``
+            count = at[some].max() - first + 1
+            cell, of = (at[some] - first) * p.bins, rows[some]
+            for f in range(len(codes)):
+                idx = cell + codes[f, of]
+                for k, v in enumerate((g, h)):
+                    out[first : first + count, f, :, k] += np.bincount(idx, v[of], count * p.bins).reshape(count, p.bins)
+        split = tree.feature[node] >= 0
+        node, rows = node[split], rows[split]
+        if not len(node):
+            break
+        node = 2 * node + np.where(codes[tree.feature[node], rows] > tree.code[node], 2, 1)
+    return out
+
 
+def _job_sums(p: BoostParams, n_features: int, pending: list[Tree], tree: Tree, asked: np.ndarray):
+    """A partition's sums of the ``asked`` nodes."""
     def run(blocks) -> Iterator[np.ndarray]:
         sums = None
         for block in blocks:
             codes, y, w, margin = _opened(block, pending, n_features)
-            g, h = gradients(p.kind, margin, y, w)
-            at = place[tree.leaves(codes, tree.code, len(y))]
-            rows = np.flatnonzero(at >= 0)
-            at, g, h = at[rows] * p.bins, g[rows], h[rows]
-            mine = np.empty((len(nodes), n_features, p.bins, 2))
-            for f in range(n_features):
-                cell = at + codes[f, rows]
-                for k, v in enumerate((g, h)):
-                    mine[:, f, :, k] = np.bincount(cell, v, len(nodes) * p.bins).reshape(len(nodes), p.bins)
+            mine = _node_sums(p, codes, *gradients(p.kind, margin, y, w), tree, asked)
             sums = mine if sums is None else sums + mine
         if sums is not None:
             yield sums
     return run
 
 
+def _sampled(n_features: int, share: float):
+    def run(blocks) -> Iterator[tuple]:
+        for k, block in enumerate(blocks):
+            codes, y, w, margin = _opened(block, [], n_features)
+            some = np.random.default_rng(k).random(len(y)) < share
+            yield codes[:, some], y[some], w[some], margin[some]
+    return run
+
+
+def _guessed(p: BoostParams, tree: Tree, open_: np.ndarray, codes: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[Tree, np.ndarray]:
+    """``tree`` with guessed splits below the ``open_`` nodes, and the nodes to ask for."""
+    guess, nodes, asked = Tree(*(v.copy() for v in tree.__dict__.values())), open_, []
+    while len(nodes):
+        asked.append(nodes)
+        found = best_splits(_node_sums(p, codes, g, h, guess, nodes), p)
+        good = found["gain"] > MIN_GAIN
+        parents = nodes[good]
+        guess.feature[parents], guess.code[parents] = found["feature"][good], found["code"][good]
+        nodes = _inner(np.concatenate((2 * parents + 1, 2 * parents + 2)), p)
+    return guess, np.sort(np.concatenate(asked))
+
+
+def _inner(nodes: np.ndarray, p: BoostParams) -> np.ndarray:
+    """Those of ``nodes`` that may be split, that is, above the last level."""
+    return nodes[nodes < 2**p.depth - 1]
+
+
 def _advance(trees: list[Tree], n_features: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,7 +320,7 @@ def fit(train: DataFrame, features: list[str], label: str, params: BoostParams =
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     data = train.where(F.col(label).isNotNull()).select(
         *[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)], F.col(label).cast("double").alias("y"), w.alias("w"))
-    total = data.agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("wy")).first()
+    total = data.agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("wy"), F.count("*").alias("n")).first()
     if not total["w"] or not d:
         return BoostedTrees(list(features), p, 0.0)
     mean = total["wy"] / total["w"]
@@ -282,7 +330,9 @@ def fit(train: DataFrame, features: list[str], label: str, params: BoostParams =
         base = float(np.log(mean / (1 - mean)))
     edges = quantile_edges(data, [f"x{i}" for i in range(d)], p.bins, "w")
     frame, blocks = _stored(data.mapInArrow(_encode(edges, base), _BLOCK_SCHEMA), "boost-blocks")
-    levels = max(1, int(np.ceil(np.log(max(2, blocks.getNumPartitions())) / np.log(FAN_IN))))
+    share = min(1.0, p.guess_rows / max(1, total["n"]))
+    codes, y, w, margin = (np.concatenate(c, axis=-1) for c in zip(*blocks.mapPartitions(_sampled(d, share)).collect()))
+    w = w / share
     model, pending = BoostedTrees(list(features), p, base), []
     for _ in range(p.trees):
         if len(pending) == p.refresh:
@@ -290,30 +340,50 @@ def fit(train: DataFrame, features: list[str], label: str, params: BoostParams =
             frame, blocks = _stored(frame.mapInArrow(_advance(pending, d), _BLOCK_SCHEMA), "boost-blocks")
             old.unpersist()
             pending = []
-        tree, nodes = Tree.empty(p.depth), np.array([0])
-        for _ in range(p.depth):
-            sums = blocks.mapPartitions(_level_sums(p, d, pending, tree, nodes)).treeReduce(np.add, depth=levels)
-            found = best_splits(sums, p)
-            good = found["gain"] > 1e-9
-            tree.cover[nodes] = found["total"][:, 1]
-            if nodes[0] == 0:
-                tree.value[0] = -p.step * found["total"][0, 0] / (found["total"][0, 1] + p.l2)
-            parents = nodes[good]
-            tree.feature[parents], tree.code[parents], tree.gain[parents] = (found[c][good] for c in ("feature", "code", "gain"))
-            tree.threshold[parents] = [_edge(edges[f], c) for f, c in zip(found["feature"][good], found["code"][good])]
-            for side, name in ((1, "left"), (2, "right")):
-                s = found[name][good]
-                tree.value[2 * parents + side] = -p.step * s[:, 0] / (s[:, 1] + p.l2)
-                tree.cover[2 * parents + side] = s[:, 1]
-            nodes = np.concatenate((2 * parents + 1, 2 * parents + 2))
-            if not len(nodes):
-                break
+        tree, open_ = Tree.empty(p.depth), np.array([0])
+        g, h = gradients(p.kind, margin, y, w)
+        while len(open_):
+            guess, asked = _guessed(p, tree, open_, codes, g, h)
+            sums = _summed(blocks.mapPartitions(_job_sums(p, d, pending, guess, asked)))
+            open_ = _settled(p, tree, guess, open_, asked, sums, edges)
         model.trees.append(tree)
         pending.append(tree)
+        margin = margin + tree.value[tree.leaves(codes, tree.code, len(y))]
     blocks.unpersist()
     return model
 
 
+def _summed(parts) -> np.ndarray:
+    """Sum of the partitions' arrays; more than FAN_IN of them are summed by tasks first."""
+    n = parts.getNumPartitions()
+    if n <= FAN_IN:
+        return np.add.reduce(parts.collect())
+    return parts.treeReduce(np.add, depth=int(np.ceil(np.log(n) / np.log(FAN_IN))))
+
+
+def _settled(p: BoostParams, tree: Tree, guess: Tree, nodes: np.ndarray, asked: np.ndarray, sums: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
+    """Splits of ``nodes`` and, where a guess holds, of the nodes below; returns the nodes whose
+    sums are still to be asked for."""
+    left_open = []
+    while len(nodes):
+        found = best_splits(sums[np.searchsorted(asked, nodes)], p)
+        good = found["gain"] > MIN_GAIN
+        tree.cover[nodes] = found["total"][:, 1]
+        tree.value[nodes] = -p.step * found["total"][:, 0] / (found["total"][:, 1] + p.l2)
+        parents = nodes[good]
+        tree.feature[parents], tree.code[parents], tree.gain[parents] = (found[c][good] for c in ("feature", "code", "gain"))
+        tree.threshold[parents] = [_edge(edges[f], c) for f, c in zip(found["feature"][good], found["code"][good])]
+        for side, name in ((1, "left"), (2, "right")):
+            s = found[name][good]
+            tree.value[2 * parents + side] = -p.step * s[:, 0] / (s[:, 1] + p.l2)
+            tree.cover[2 * parents + side] = s[:, 1]
+        held = (tree.feature[parents] == guess.feature[parents]) & (tree.code[parents] == guess.code[parents])
+        below = [_inner(np.concatenate((2 * of + 1, 2 * of + 2)), p) for of in (parents[held], parents[~held])]
+        left_open.append(below[1])
+        nodes = below[0]
+    return np.concatenate(left_open)
+
+
 def _edge(edges: np.ndarray, code: int) -> float:
     """Largest value of bins 0..code."""
     return -np.inf if code == 0 else float(edges[code - 1]) if code <= len(edges) else np.inf

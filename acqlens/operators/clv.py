@@ -3,12 +3,15 @@
 Formulas: Fader, Hardie & Lee (2005) for BG/NBD; Fader & Hardie (2013) for Gamma-Gamma.
 Times are in days, money in the transaction currency.
 
-Fitting never moves data to the driver.  The RFM table is compressed to distinct
-``(frequency, recency, T)`` with counts (BG/NBD), checkpointed to the shared checkpoint
-directory (lineage cut, survives executor loss), and each optimizer pass is *one* Spark
-job that evaluates a whole batch of parameter vectors: the batch is fanned out per row by
-exploding a literal array (no join) and reduced by ``groupBy(candidate)``.  Only the
-parameter vectors and their objective values cross to the driver.
+Fitting is Newton's method with analytic derivatives: the log-likelihood, its gradient and its
+Hessian are sums over customers, and a step takes them all from one aggregate over the RFM table,
+checkpointed to the shared folder.  The gamma functions depend on a customer's frequency alone, a
+number of days, so they are summed on the driver over the counts per frequency, a table no longer
+than the observation window.  Rows add logarithms and fractions only.
+
+Expected purchases need 2F1(r + x, b + x; a + b + x - 1; z).  By Euler's transformation it is
+(1 - z)^(a - 1 - r - x) 2F1(a + b - 1 - r, a - 1; a + b + x - 1; z), whose power cancels in the
+formula and whose series needs a dozen terms: a projection, with no join or table of values.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from acqlens import constants as K
-from acqlens.functions.special import hyp2f1, hyp2f1_multi, lgamma, log_add_exp
+from acqlens.functions.special import digamma, hyp2f1_by_depth, lgamma, log_add_exp, trigamma
 from acqlens.session import reliable_checkpoint
 
 
@@ -53,18 +56,23 @@ def gamma_gamma_loglik_expr(p, q, v, x="frequency", m="monetary_value") -> Colum
 
 
 # --- M14: expected purchases in (T, T + t] -------------------------------------------------
-def expected_purchases_expr(t: float, r, alpha, a, b, x="frequency", tx="recency", T="T") -> Column:
+def expected_purchases_multi(ts: Sequence[float], r, alpha, a, b, x="frequency", tx="recency", T="T") -> list[Column]:
+    """E[purchases in (T, T + t]] for several horizons t, each a plain expression of a row."""
     if a == 1:
         raise ValueError("expected purchases need a != 1")
-    if t == 0:
-        return F.lit(0.0)
     x, tx, T = F.col(x).cast("double"), F.col(tx).cast("double"), F.col(T).cast("double")
-    z = t / (alpha + T + t)
-    hyp = hyp2f1(r + x, b + x, a + b + x - 1, z)
-    first = (a + b + x - 1) / (a - 1)
-    second = 1 - F.pow((alpha + T) / (alpha + T + t), r + x) * hyp
-    denom = 1 + F.when(x > 0, a / (b + x - 1) * F.pow((alpha + T) / (alpha + tx), r + x)).otherwise(F.lit(0.0))
-    return first * second / denom
+    c = x + (a + b - 1)
+    alive = 1 + F.when(x > 0, a / (b + x - 1) * F.pow((alpha + T) / (alpha + tx), r + x)).otherwise(F.lit(0.0))
+
+    def one(t: float) -> Column:
+        z = t / (T + (alpha + t))
+        return c / (a - 1) * (1 - F.pow(1 - z, a - 1) * hyp2f1_by_depth(a + b - 1 - r, a - 1, c, z, a + b - 1)) / alive
+
+    return [one(float(t)) if t > 0 else F.lit(0.0) for t in ts]
+
+
+def expected_purchases_expr(t: float, r, alpha, a, b, x="frequency", tx="recency", T="T") -> Column:
+    return expected_purchases_multi([t], r, alpha, a, b, x, tx, T)[0]
 
 
 # --- M15: conditional spend and CLV ---------------------------------------------------------
@@ -74,23 +82,10 @@ def expected_spend_expr(p, q, v, x="frequency", m="monetary_value") -> Column:
     return (1 - w) * (p * v / (q - 1)) + w * m
 
 
-def expected_purchases_multi(ts: Sequence[float], r, alpha, a, b, x="frequency", tx="recency", T="T") -> list[Column]:
-    """E[purchases in (T, T+t]] for several horizons with one shared series pass."""
-    if a == 1:
-        raise ValueError("expected purchases need a != 1")
-    x, tx, T = F.col(x).cast("double"), F.col(tx).cast("double"), F.col(T).cast("double")
-    pos = [float(t) for t in ts if t > 0]
-    hyps = hyp2f1_multi(r + x, b + x, a + b + x - 1, [t / (alpha + T + t) for t in pos]) if pos else []
-    first = (a + b + x - 1) / (a - 1)
-    denom = 1 + F.when(x > 0, a / (b + x - 1) * F.pow((alpha + T) / (alpha + tx), r + x)).otherwise(F.lit(0.0))
-    by_t = {t: first * (1 - F.pow((alpha + T) / (alpha + T + t), r + x) * h) / denom for t, h in zip(pos, hyps)}
-    return [by_t[float(t)] if t > 0 else F.lit(0.0) for t in ts]
-
-
 def clv_expr(bg: Sequence[float], gg: Sequence[float], periods: int = K.CLV_PERIODS,
              period_days: int = K.CLV_PERIOD_DAYS, discount: float = K.CLV_DISCOUNT,
              x="frequency", tx="recency", T="T", m="monetary_value") -> Column:
-    """sum_k spend * (E[k*30] - E[(k-1)*30]) / (1 + d)^k, k = 1..periods (one series pass)."""
+    """sum_k spend * (E[k*30] - E[(k-1)*30]) / (1 + d)^k, k = 1..periods."""
     r, alpha, a, b = bg
     spend = expected_spend_expr(*gg, x=x, m=m)
     e = expected_purchases_multi([k * period_days for k in range(periods + 1)], r, alpha, a, b, x, tx, T)
@@ -104,15 +99,8 @@ _TRIPLE = ["frequency", "recency", "T"]
 
 
 def with_expected_purchases(rfm: DataFrame, ts: Sequence[float], bg: Sequence[float]) -> DataFrame:
-    """``rfm`` with ``expected_<t>`` per horizon.
-
-    The expectation depends on three whole numbers only, so the series is summed once per
-    distinct (frequency, recency, T) and joined back.
-    """
-    triples = rfm.groupBy(*_TRIPLE).agg(F.count(F.lit(1)).alias("_n"))
-    es = expected_purchases_multi(ts, *bg)
-    values = triples.select(*_TRIPLE, *[e.alias(f"expected_{t}") for e, t in zip(es, ts)])
-    return rfm.join(values, _TRIPLE)
+    """``rfm`` with ``expected_<t>`` per horizon."""
+    return rfm.withColumns({f"expected_{t}": e for t, e in zip(ts, expected_purchases_multi(ts, *bg))})
 
 
 def customer_clv(rfm: DataFrame, bg, gg, periods: int = K.CLV_PERIODS, period_days: int = K.CLV_PERIOD_DAYS,
@@ -131,174 +119,132 @@ def clv_summary(clv: DataFrame) -> DataFrame:
                    F.count_if(F.col("clv") < 0).alias("negative"))
 
 
-# --- batched optimizer -----------------------------------------------------------------------
-def _stencil(x: np.ndarray, h: float) -> list[np.ndarray]:
-    """Points for a central-difference gradient and Hessian around x (2n + 2n(n-1) points)."""
-    n = len(x)
-    pts = []
-    for i in range(n):
-        for s in (1, -1):
-            e = np.zeros(n)
-            e[i] = s * h
-            pts.append(x + e)
-    for i in range(n):
-        for j in range(i + 1, n):
-            for si, sj in ((1, 1), (1, -1), (-1, 1), (-1, -1)):
-                e = np.zeros(n)
-                e[i], e[j] = si * h, sj * h
-                pts.append(x + e)
-    return pts
-
-
-def _derivatives(fx: float, vals: list[float], n: int, h: float) -> tuple[np.ndarray, np.ndarray]:
-    g = np.array([(vals[2 * i] - vals[2 * i + 1]) / (2 * h) for i in range(n)])
-    H = np.zeros((n, n))
-    for i in range(n):
-        H[i, i] = (vals[2 * i] - 2 * fx + vals[2 * i + 1]) / h**2
-    k = 2 * n
-    for i in range(n):
-        for j in range(i + 1, n):
-            pp, pm, mp, mm = vals[k: k + 4]
-            H[i, j] = H[j, i] = (pp - pm - mp + mm) / (4 * h * h)
-            k += 4
-    return g, H
-
-
-def minimize_batched(
-    evaluate: Callable[[list[np.ndarray]], list[float]],
-    x0: Sequence[float],
-    max_iter: int = 60,
-    gtol: float = 1e-7,
-    h: float = 1e-3,
-) -> tuple[np.ndarray, float, int, bool]:
-    """Damped Newton in log-parameter space; every call to ``evaluate`` is one data pass.
-
-    A pass evaluates the line-search candidates along the Levenberg-damped Newton direction
-    (and steepest descent) *together with* a finite-difference stencil around the full
-    Newton step.  When that step wins -- the usual case near the optimum -- the next
-    iteration's gradient and Hessian are already known, so an iteration costs one pass.
+# --- Newton's method on sums over rows ---------------------------------------------------------
+Evaluation = tuple[float, np.ndarray, np.ndarray]
+
+
+def minimize_newton(evaluate: Callable[[np.ndarray], Evaluation], x0: Sequence[float], max_iter: int = 100,
+                    gtol: float = 1e-8) -> tuple[np.ndarray, float, int, bool]:
+    """(minimum, value, steps, converged) of a function that returns value, gradient and Hessian.
+
+    Every call of ``evaluate`` is one data pass.  A Hessian that isn't positive definite is shifted
+    until it is; steps longer than 2 per coordinate are shortened, and halved until the value falls.
     """
     x = np.asarray(x0, dtype=float)
-    n = len(x)
-    vals = evaluate([x] + _stencil(x, h))
-    fx, st = vals[0], vals[1:]
+    f, g, h = evaluate(x)
     for it in range(1, max_iter + 1):
-        g, H = _derivatives(fx, st, n, h)
-        if not np.all(np.isfinite(g)) or not np.all(np.isfinite(H)):
-            return x, fx, it, False
         if np.linalg.norm(g, np.inf) < gtol:
-            return x, fx, it, True
-        lam = 0.0
+            return x, f, it, True
+        shift = 0.0
         while True:
             try:
-                Hd = H + lam * np.eye(n)
-                np.linalg.cholesky(Hd)
-                d = -np.linalg.solve(Hd, g)
+                np.linalg.cholesky(h + shift * np.eye(len(x)))
                 break
             except np.linalg.LinAlgError:
-                lam = max(1e-6, lam * 10 if lam else abs(np.diag(H)).max() * 1e-3 + 1e-6)
-        gd = -g / max(np.linalg.norm(g), 1e-300)
-        cand = [x + d * t for t in (1.0, 0.5, 0.25, 0.1, 0.03)] + [x + gd * t for t in (1.0, 0.3, 0.1, 0.01, 1e-3)]
-        out = evaluate(cand + _stencil(x + d, h))
-        cvals, st_full = out[: len(cand)], out[len(cand):]
-        best = int(np.argmin(cvals))
-        if not cvals[best] < fx - 1e-15 * max(1.0, abs(fx)):
-            return x, fx, it, np.linalg.norm(g, np.inf) < 1e-4
-        moved = np.linalg.norm(cand[best] - x, np.inf)
-        x, fx = cand[best], cvals[best]
-        if moved < 1e-10:
-            return x, fx, it, True
-        if best == 0:
-            st = st_full
-        else:
-            vals = evaluate(_stencil(x, h))
-            st = vals
-    return x, fx, max_iter, False
-
-
-def _objective_pass(
-    data: DataFrame,
-    consts: Callable[[np.ndarray], dict[str, float]],
-    prepare: Callable[[dict[str, Column]], dict[str, Column]],
-    ll: Callable[[dict[str, Column]], Column],
-    penalizer: float,
-    weight_col: str | None,
-) -> Callable[[list[np.ndarray]], list[float]]:
-    """One Spark job per batch of candidate parameter vectors.
-
-    Candidates are fanned out per row by exploding a literal array of structs (no join) and
-    reduced by ``groupBy(candidate)`` -- map-side partial aggregation leaves one row per
-    candidate per task.  Per-candidate constants (``lgamma(r)`` ...) are computed on the
-    driver and travel inside the struct; per-row arguments (``r + x`` ...) are projected once
-    as plain columns, so each ``lgamma`` references a column and the generated code stays
-    small and identical across passes.
-    """
-    w = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
-
-    def evaluate(points: list[np.ndarray]) -> list[float]:
-        cvals = [consts(np.exp(p)) for p in points]
-        names = list(cvals[0])
-        cands = F.array(*[
-            F.struct(F.lit(i).alias("_cid"), *[F.lit(float(c[n])).alias(n) for n in names])
-            for i, c in enumerate(cvals)
-        ])
-        fan = data.select(w.alias("_w"), "*", F.explode(cands).alias("_c")).select("*", "_c.*")
-        cols = {n: F.col(n) for n in fan.columns}
-        helpers = prepare(cols)
-        fan = fan.select("_cid", "_w", *[F.col(n) for n in fan.columns if n not in ("_cid", "_w", "_c")],
-                         *[e.alias(k) for k, e in helpers.items()])
-        cols = {n: F.col(n) for n in fan.columns}
-        res = fan.groupBy("_cid").agg((F.sum(F.col("_w") * ll(cols)) / F.sum("_w")).alias("f")).collect()
-        got = {row["_cid"]: row["f"] for row in res}
-        out = []
-        for i, p in enumerate(points):
-            v = got.get(i)
-            theta = np.exp(p)
-            out.append(math.inf if v is None or not math.isfinite(v) else -v + penalizer * float(np.sum(theta**2)))
-        return out
+                shift = max(1e-6, shift * 10 if shift else abs(np.diag(h)).max() * 1e-3)
+        d = -np.linalg.solve(h + shift * np.eye(len(x)), g)
+        d *= min(1.0, 2.0 / max(np.linalg.norm(d, np.inf), 1e-300))
+        t = 1.0
+        while True:
+            fx, gx, hx = evaluate(x + t * d)
+            if math.isfinite(fx) and fx <= f + 1e-4 * t * float(g @ d):
+                break
+            t /= 2
+            if t < 1e-6:  # no descent left in the sums' last bits
+                return x, f, it, bool(np.linalg.norm(g, np.inf) < 1e-5)
+        x, f, g, h = x + t * d, fx, gx, hx
+    return x, f, max_iter, False
+
+
+def _penalised(theta: np.ndarray, value: float, grad: np.ndarray, hess: np.ndarray, n: float, penalizer: float) -> Evaluation:
+    """Mean negative log-likelihood plus penalizer * |theta|^2, with derivatives by log(theta)."""
+    g = -grad / n + 2 * penalizer * theta
+    h = -hess / n + 2 * penalizer * np.eye(len(theta))
+    return -value / n + penalizer * float(theta @ theta), theta * g, np.outer(theta, theta) * h + np.diag(theta * g)
+
+
+def _symmetric(size: int, upper: dict[tuple[int, int], float]) -> np.ndarray:
+    h = np.zeros((size, size))
+    for (i, j), v in upper.items():
+        h[i, j] = h[j, i] = v
+    return h
+
+
+def _sums(data: DataFrame, columns: dict[str, Column]) -> dict[str, float]:
+    """Weighted sums of the columns: one aggregate over the rows."""
+    row = data.agg(*[F.sum(F.col("w") * c).alias(n) for n, c in columns.items()]).first()
+    return {n: float(row[n]) for n in columns}
+
+
+def _frequency_counts(data: DataFrame) -> list[tuple[float, float]]:
+    """(frequency, customers): frequencies are days with a purchase, so at most the window's length."""
+    return [(float(r["frequency"]), float(r["n"])) for r in data.groupBy("frequency").agg(F.sum("w").alias("n")).collect()]
+
+
+def _bgnbd_evaluation(data: DataFrame, counts: list[tuple[float, float]], penalizer: float) -> Callable[[np.ndarray], Evaluation]:
+    n = sum(c for _, c in counts)
+    x, tx, T = F.col("frequency").cast("double"), F.col("recency"), F.col("T")
+
+    def evaluate(log_theta: np.ndarray) -> Evaluation:
+        r, al, a, b = theta = np.exp(log_theta)
+        # the mixture of customers still alive (first) and gone after the last purchase (second)
+        mixed = data.select("w", (x + r).alias("rx"), F.log(T + al).alias("ln_end"), F.log(tx + al).alias("ln_last"), (1 / (T + al)).alias("i_end"),
+                            (1 / (tx + al)).alias("i_last"), F.when(x > 0, 1 / (x + (b - 1))).otherwise(F.lit(0.0)).alias("i_b"))
+        mixed = mixed.withColumn("odds", F.when(F.col("i_b") > 0, F.col("i_b") * a * F.exp(F.col("rx") * (F.col("ln_end") - F.col("ln_last")))).otherwise(F.lit(0.0)))
+        mixed = mixed.withColumn("q", F.when(F.col("odds") > 1e300, F.lit(1.0)).otherwise(F.col("odds") / (1 + F.col("odds"))))
+        rx, ln_end, ln_last, i_end, i_last, i_b, q = (F.col(c) for c in ("rx", "ln_end", "ln_last", "i_end", "i_last", "i_b", "q"))
+        p, both = 1 - q, q * (1 - q)
+        # log(1 + odds) without overflow: rows beyond the double range have their logarithm alone
+        log1 = F.when(F.col("odds") > 1e300, F.log(F.greatest(i_b * a, F.lit(1e-300))) + rx * (ln_end - ln_last)).otherwise(F.log1p("odds"))
+        apart = [ln_last - ln_end, rx * (i_last - i_end), F.lit(-1.0 / a), i_b]
+        s = _sums(mixed, {
+            "f": log1 - rx * ln_end, "g0": -(p * ln_end + q * ln_last), "g1": -rx * (p * i_end + q * i_last), "g2": q / a, "g3": -q * i_b,
+            **{f"h{i}{j}": both * apart[i] * apart[j] for i in range(4) for j in range(i, 4)},
+            "k01": -(p * i_end + q * i_last), "k11": rx * (p * i_end * i_end + q * i_last * i_last), "k22": -q / (a * a), "k33": q * i_b * i_b})
+        lg = [math.lgamma(v) for v in (r, a + b, b)]
+        di = [digamma(v) for v in (r, a + b, b)]
+        tri = [trigamma(v) for v in (r, a + b, b)]
+        f = s["f"] + n * r * math.log(al)
+        g = np.array([s[f"g{i}"] for i in range(4)]) + np.array([n * math.log(al), n * r / al, 0.0, 0.0])
+        h = {(i, j): s[f"h{i}{j}"] + s.get(f"k{i}{j}", 0.0) for i in range(4) for j in range(i, 4)}
+        h[0, 1] += n / al
+        h[1, 1] -= n * r / al**2
+        for k, c in counts:
+            f += c * (math.lgamma(r + k) - lg[0] + lg[1] + math.lgamma(b + k) - lg[2] - math.lgamma(a + b + k))
+            ab, ab2 = di[1] - digamma(a + b + k), tri[1] - trigamma(a + b + k)
+            g += c * np.array([digamma(r + k) - di[0], 0.0, ab, ab + digamma(b + k) - di[2]])
+            h[0, 0] += c * (trigamma(r + k) - tri[0])
+            h[2, 2] += c * ab2
+            h[2, 3] += c * ab2
+            h[3, 3] += c * (ab2 + trigamma(b + k) - tri[2])
+        return _penalised(theta, f, g, _symmetric(4, h), n, penalizer)
 
     return evaluate
 
 
-def _bgnbd_consts(t: np.ndarray) -> dict[str, float]:
-    r, al, a, b = (float(v) for v in t)
-    return {"r": r, "al": al, "a": a, "b": b, "lg_r": math.lgamma(r), "lg_b": math.lgamma(b),
-            "lg_ab": math.lgamma(a + b), "r_ln_al": r * math.log(al), "ln_a": math.log(a)}
-
-
-def _bgnbd_prepare(c: dict[str, Column]) -> dict[str, Column]:
-    x = c["frequency"].cast("double")
-    return {"rx": c["r"] + x, "bx": c["b"] + x, "abx": c["a"] + c["b"] + x, "bx1": c["b"] + x - 1}
-
-
-def _bgnbd_ll(c: dict[str, Column]) -> Column:
-    x, tx, T = c["frequency"], c["recency"].cast("double"), c["T"].cast("double")
-    a3 = -c["rx"] * F.log(c["al"] + T)
-    a4 = F.when(x > 0, c["ln_a"] - F.log(c["bx1"]) - c["rx"] * F.log(c["al"] + tx))
-    # arguments are r + x etc. with x a purchase count: far below the product-overflow range
-    return (lgamma(c["rx"], guard=False) - c["lg_r"] + c["r_ln_al"] + c["lg_ab"] + lgamma(c["bx"], guard=False)
-            - c["lg_b"] - lgamma(c["abx"], guard=False) + log_add_exp(a3, a4))
-
-
-def _gg_consts(t: np.ndarray) -> dict[str, float]:
-    p, q, v = (float(x) for x in t)
-    return {"p": p, "q": q, "v": v, "lg_q": math.lgamma(q), "q_ln_v": q * math.log(v)}
+def _gamma_gamma_evaluation(data: DataFrame, counts: list[tuple[float, float]], penalizer: float) -> Callable[[np.ndarray], Evaluation]:
+    n = sum(c for _, c in counts)
+    x, m = F.col("frequency").cast("double"), F.col("monetary_value").cast("double")
+    fixed = _sums(data, {"ln_m": F.log(m), "x_ln_m": x * F.log(m), "x_ln_x": x * F.log(x)})
+
+    def evaluate(log_theta: np.ndarray) -> Evaluation:
+        p, q, v = theta = np.exp(log_theta)
+        spent = data.select("w", x.alias("x"), F.log(x * m + v).alias("l"), (1 / (x * m + v)).alias("i"))
+        x_, l, i = F.col("x"), F.col("l"), F.col("i")
+        s = _sums(spent, {"l": l, "xl": x_ * l, "i": i, "xi": x_ * i, "ii": i * i, "xii": x_ * i * i})
+        f = n * (q * math.log(v) - math.lgamma(q)) + p * fixed["x_ln_m"] - fixed["ln_m"] + p * fixed["x_ln_x"] - p * s["xl"] - q * s["l"]
+        g = np.array([fixed["x_ln_m"] + fixed["x_ln_x"] - s["xl"], n * (math.log(v) - digamma(q)) - s["l"], n * q / v - p * s["xi"] - q * s["i"]])
+        h = {(0, 0): 0.0, (0, 1): 0.0, (0, 2): -s["xi"], (1, 1): -n * trigamma(q), (1, 2): n / v - s["i"], (2, 2): -n * q / v**2 + p * s["xii"] + q * s["ii"]}
+        for k, c in counts:
+            f += c * (math.lgamma(p * k + q) - math.lgamma(p * k))
+            up, down, up2, down2 = digamma(p * k + q), digamma(p * k), trigamma(p * k + q), trigamma(p * k)
+            g += c * np.array([k * (up - down), up, 0.0])
+            h[0, 0] += c * k * k * (up2 - down2)
+            h[0, 1] += c * k * up2
+            h[1, 1] += c * up2
+        return _penalised(theta, f, g, _symmetric(3, h), n, penalizer)
 
-
-def _gg_prepare(c: dict[str, Column]) -> dict[str, Column]:
-    x = c["frequency"].cast("double")
-    return {"px": c["p"] * x, "pxq": c["p"] * x + c["q"]}
-
-
-def _gg_ll(c: dict[str, Column]) -> Column:
-    x, m = c["frequency"].cast("double"), c["monetary_value"].cast("double")
-    return (lgamma(c["pxq"], guard=False) - lgamma(c["px"], guard=False) - c["lg_q"] + c["q_ln_v"]
-            + (c["px"] - 1) * F.log(m)
-            + c["px"] * F.log(x) - c["pxq"] * F.log(x * m + c["v"]))
-
-
-def _materialize(df: DataFrame) -> DataFrame:
-    return reliable_checkpoint(df)
+    return evaluate
 
 
 # --- M11: BG/NBD fit -------------------------------------------------------------------------
@@ -312,16 +258,11 @@ def fit_bgnbd(rfm: DataFrame, penalizer: float = K.PENALIZER, x0: Sequence[float
     with alpha in days.  ``at_boundary`` tells of a shape parameter near 0 (with ``a`` near 0:
     customers hardly ever drop out), where the data don't determine it.
     """
-    compact = _materialize(
-        rfm.groupBy("frequency", "recency", "T").agg(F.count(F.lit(1)).alias("w"))
-    )
+    compact = reliable_checkpoint(rfm.groupBy("frequency", "recency", "T").agg(F.count(F.lit(1)).alias("w")))
     stats = compact.agg(F.max("T").alias("tmax"), F.sum("w").alias("n")).first()
     scale = 10.0 / float(stats["tmax"])
-    scaled = compact.select(
-        "frequency", (F.col("recency") * scale).alias("recency"), (F.col("T") * scale).alias("T"), "w")
-
-    x, fx, it, ok = minimize_batched(
-        _objective_pass(scaled, _bgnbd_consts, _bgnbd_prepare, _bgnbd_ll, penalizer, "w"), np.log(np.asarray(x0)))
+    scaled = compact.select("frequency", (F.col("recency") * scale).alias("recency"), (F.col("T") * scale).alias("T"), "w")
+    x, fx, it, ok = minimize_newton(_bgnbd_evaluation(scaled, _frequency_counts(scaled), penalizer), np.log(np.asarray(x0)))
     r, alpha, a, b = (float(v) for v in np.exp(x))
     spark = rfm.sparkSession
     return spark.createDataFrame(
@@ -334,14 +275,12 @@ def fit_bgnbd(rfm: DataFrame, penalizer: float = K.PENALIZER, x0: Sequence[float
 # --- M13: Gamma-Gamma fit --------------------------------------------------------------------
 def fit_gamma_gamma(rfm: DataFrame, penalizer: float = K.PENALIZER, x0: Sequence[float] = (1.0, 1.0, 1.0)) -> DataFrame:
     repeat = rfm.filter(F.col("frequency") > 0)
-    # monetary means hardly ever repeat, so there is nothing to compact
-    compact = _materialize(repeat.select("frequency", "monetary_value", F.lit(1).alias("w")))
-    n = compact.count()
-    if not n:
+    data = reliable_checkpoint(repeat.select("frequency", "monetary_value", F.lit(1).alias("w")))
+    counts = _frequency_counts(data)
+    if not counts:
         raise ValueError("the Gamma-Gamma fit needs customers with frequency > 0")
-
-    x, fx, it, ok = minimize_batched(
-        _objective_pass(compact, _gg_consts, _gg_prepare, _gg_ll, penalizer, "w"), np.log(np.asarray(x0)))
+    n = sum(c for _, c in counts)
+    x, fx, it, ok = minimize_newton(_gamma_gamma_evaluation(data, counts, penalizer), np.log(np.asarray(x0)))
     p, q, v = (float(t) for t in np.exp(x))
     return rfm.sparkSession.createDataFrame(
         [(p, q, v, float(fx), int(n), it, ok)],

@@ -97,6 +97,31 @@ def test_margins_brought_up_to_date_change_nothing(rows):
     assert grown[0] == grown[1] == grown[2]
 
 
+def test_bad_guesses_cost_jobs_only(rows, monkeypatch):
+    """Trees guessed from a few rows, or from all, are the same trees."""
+    small = rows.limit(800).repartition(3).cache()
+    jobs, summed = [], boosting._summed
+    monkeypatch.setattr(boosting, "_summed", lambda parts: (jobs.append(1), summed(parts))[1])
+    grown = []
+    for n in (20, 100, 10_000):
+        grown.append(table(boosting.fit(small, FEATURES, "y", BoostParams(trees=4, depth=4, guess_rows=n))))
+        assert len(jobs) <= 16
+        if n > 800:
+            assert len(jobs) <= 8
+        jobs.clear()
+    assert grown[0] == grown[1] == grown[2]
+
+
+def test_sums_of_many_partitions(rows, monkeypatch):
+    monkeypatch.setattr(boosting, "FAN_IN", 2)
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 50)
+    small = rows.limit(600).repartition(5).cache()
+    p = BoostParams(trees=2, depth=3)
+    many = table(boosting.fit(small, FEATURES, "y", p))
+    monkeypatch.undo()
+    assert many == table(boosting.fit(small, FEATURES, "y", p))
+
+
 def test_weights_count_like_copies(rows):
     small = rows.limit(300).withColumn("w", F.when(F.col("y") == 1, 3.0).otherwise(1.0)).cache()
     copies = small.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("w").cast("int"))))
