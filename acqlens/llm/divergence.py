@@ -14,7 +14,6 @@ both with its own multiplicities, which add up.
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -25,56 +24,56 @@ from pyspark.sql import functions as F
 
 from acqlens.llm.common import map_arrow, stored
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 SCALE = 1_000_000_000
-_FLUSH = 300_000  # distinct (group, term) a task holds before it hands its counts on
-_LONG = 1 << 22
+_FLUSH = 500_000  # distinct (group, term) a task holds before it hands its counts on
 _NODES = 100_000  # items of rows in one tree
 _LOW = 32  # corrections are summed as high and low halves, exact for up to 2**31 terms a task
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    run = re.compile(TERM)
-    held: defaultdict = defaultdict(dict)  # (lang, source) -> term -> [occurrences, documents]
-    size = 0
+# UTF-8 bytes: letters of ASCII lower-cased, bytes of other characters kept, the rest blanks
+_LETTERS = bytes(b if b >= 0x80 or chr(b).islower() else b + 32 if chr(b).isupper() else 32 for b in range(256))
 
-    def lowered(w: str) -> str:  # A-Z only
-        return w.lower() if w.isascii() else w.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
-    def out() -> pa.RecordBatch:
-        rows = [(g[0], g[1], t, n, d) for g, terms in held.items() for t, (n, d) in (terms or {None: (0, 0)}).items()]
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: defaultdict = defaultdict(lambda: (Counter(), Counter()))  # (lang, source) -> occurrences and documents of each term
+    names = ["lang", "source", "term", "n", "docs"]
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for (lang, source), (n, docs) in held.items():
+            terms = list(n)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([lang] * len(terms), pa.string()), pa.array([source] * len(terms), pa.string()), pa.array(terms, pa.binary()).cast(pa.string()),
+                pa.array(n.values(), pa.int64(), size=len(terms)), pa.array([docs[t] for t in terms], pa.int64())], names)
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()))],
-                                          ["lang", "source", "term", "n", "docs"])
 
+    seen = set()
+    size = 0
     for batch in batches:
-        for text, lang, source in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            terms = held[lang or "", source or ""]
+        for text, lang, source in zip(batch.column(0).cast(pa.binary()), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            group = lang or "", source or ""
+            seen.add(group)
+            text = text.as_py()
             if not text:
                 continue
-            mine: dict[str, int] = {}
-            for w, n in Counter(run.findall(text) if len(text) < _LONG else (m.group() for m in run.finditer(text))).items():
-                w = lowered(w)
-                mine[w] = mine.get(w, 0) + n
-            before = len(terms)
-            for w, n in mine.items():
-                at = terms.get(w)
-                if at is None:
-                    terms[w] = [n, 1]
-                else:
-                    at[0] += n
-                    at[1] += 1
-            size += len(terms) - before
+            n, docs = held[group]
+            before = len(n)
+            terms = text.translate(_LETTERS).split()
+            n.update(terms)
+            docs.update(set(terms))
+            size += len(n) - before
             if size > _FLUSH:
-                yield out()
+                yield from out()
                 size = 0
-    if held:
-        yield out()
+    yield from out()
+    if seen:
+        langs, sources = zip(*seen)
+        nothing = pa.array([0] * len(seen), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(sources, pa.string()), pa.array([None] * len(seen), pa.string()), nothing, nothing], names)
 
 
 def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """(lang, source, term, n, docs): occurrences of each term in a group, and documents that have
-    it.  A group without terms has a row with a null term."""
+    it.  Every group has a row with a null term besides."""
     counted = map_arrow(docs.select(text_col, lang_col, source_col), _count, "lang string, source string, term string, n long, docs long")
     return counted.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
