@@ -123,27 +123,43 @@ def clv_summary(clv: DataFrame) -> DataFrame:
 Evaluation = tuple[float, np.ndarray, np.ndarray]
 
 
+FLOOR = 1e-12  # a parameter that runs towards 0 ends here
+
+
 def minimize_newton(evaluate: Callable[[np.ndarray], Evaluation], x0: Sequence[float], max_iter: int = 100,
                     gtol: float = 1e-8) -> tuple[np.ndarray, float, int, bool]:
-    """(minimum, value, steps, converged) of a function that returns value, gradient and Hessian.
+    """(minimum, value, steps, converged) by logarithms of positive parameters, of a function that
+    returns value, gradient and Hessian.
 
     Every call of ``evaluate`` is one data pass.  A Hessian that isn't positive definite is shifted
     until it is; steps longer than 2 per coordinate are shortened, and halved until the value falls.
+    A parameter that is small and still falling is put to FLOOR at once, if that lowers the value
+    (by logarithms the way to 0 would take a step per factor e), and stays there.
     """
-    x = np.asarray(x0, dtype=float)
+    x, floor = np.asarray(x0, dtype=float), math.log(FLOOR)
     f, g, h = evaluate(x)
+    free = x > floor
     for it in range(1, max_iter + 1):
+        g = np.where(free, g, 0.0)
         if np.linalg.norm(g, np.inf) < gtol:
             return x, f, it, True
-        shift = 0.0
+        hf, shift = h[np.ix_(free, free)], 0.0
         while True:
             try:
-                np.linalg.cholesky(h + shift * np.eye(len(x)))
+                np.linalg.cholesky(hf + shift * np.eye(len(hf)))
                 break
             except np.linalg.LinAlgError:
-                shift = max(1e-6, shift * 10 if shift else abs(np.diag(h)).max() * 1e-3)
-        d = -np.linalg.solve(h + shift * np.eye(len(x)), g)
+                shift = max(1e-6, shift * 10 if shift else abs(np.diag(hf)).max() * 1e-3)
+        d = np.zeros(len(x))
+        d[free] = -np.linalg.solve(hf + shift * np.eye(len(hf)), g[free])
         d *= min(1.0, 2.0 / max(np.linalg.norm(d, np.inf), 1e-300))
+        falling = free & (x < math.log(1e-2)) & (g > 0) & (d < -0.5)
+        if falling.any():
+            jump = np.where(falling, floor, x + d)
+            fx, gx, hx = evaluate(jump)
+            if math.isfinite(fx) and fx <= f:
+                x, f, g, h, free = jump, fx, gx, hx, free & ~falling
+                continue
         t = 1.0
         while True:
             fx, gx, hx = evaluate(x + t * d)
@@ -176,6 +192,12 @@ def _sums(data: DataFrame, columns: dict[str, Column]) -> dict[str, float]:
     return {n: float(row[n]) for n in columns}
 
 
+def _with(data: DataFrame, **numbers: float) -> DataFrame:
+    """``data`` with constant columns.  They come from a one-row array rather than from literals,
+    so the compiled code is the same in every step and is compiled once."""
+    return data.select("*", F.inline(F.array(F.struct(*[F.lit(float(v)).alias(n) for n, v in numbers.items()]))))
+
+
 def _frequency_counts(data: DataFrame) -> list[tuple[float, float]]:
     """(frequency, customers): frequencies are days with a purchase, so at most the window's length."""
     return [(float(r["frequency"]), float(r["n"])) for r in data.groupBy("frequency").agg(F.sum("w").alias("n")).collect()]
@@ -188,19 +210,21 @@ def _bgnbd_evaluation(data: DataFrame, counts: list[tuple[float, float]], penali
     def evaluate(log_theta: np.ndarray) -> Evaluation:
         r, al, a, b = theta = np.exp(log_theta)
         # the mixture of customers still alive (first) and gone after the last purchase (second)
-        mixed = data.select("w", (x + r).alias("rx"), F.log(T + al).alias("ln_end"), F.log(tx + al).alias("ln_last"), (1 / (T + al)).alias("i_end"),
-                            (1 / (tx + al)).alias("i_last"), F.when(x > 0, 1 / (x + (b - 1))).otherwise(F.lit(0.0)).alias("i_b"))
-        mixed = mixed.withColumn("odds", F.when(F.col("i_b") > 0, F.col("i_b") * a * F.exp(F.col("rx") * (F.col("ln_end") - F.col("ln_last")))).otherwise(F.lit(0.0)))
+        mixed = _with(data, r_=r, al_=al, a_=a, b_=b).select(
+            "w", "a_", (x + F.col("r_")).alias("rx"), F.log(T + F.col("al_")).alias("ln_end"), F.log(tx + F.col("al_")).alias("ln_last"),
+            (1 / (T + F.col("al_"))).alias("i_end"), (1 / (tx + F.col("al_"))).alias("i_last"),
+            F.when(x > 0, 1 / (x + F.col("b_") - 1)).otherwise(F.lit(0.0)).alias("i_b"))
+        mixed = mixed.withColumn("odds", F.when(F.col("i_b") > 0, F.col("i_b") * F.col("a_") * F.exp(F.col("rx") * (F.col("ln_end") - F.col("ln_last")))).otherwise(F.lit(0.0)))
         mixed = mixed.withColumn("q", F.when(F.col("odds") > 1e300, F.lit(1.0)).otherwise(F.col("odds") / (1 + F.col("odds"))))
         rx, ln_end, ln_last, i_end, i_last, i_b, q = (F.col(c) for c in ("rx", "ln_end", "ln_last", "i_end", "i_last", "i_b", "q"))
         p, both = 1 - q, q * (1 - q)
         # log(1 + odds) without overflow: rows beyond the double range have their logarithm alone
-        log1 = F.when(F.col("odds") > 1e300, F.log(F.greatest(i_b * a, F.lit(1e-300))) + rx * (ln_end - ln_last)).otherwise(F.log1p("odds"))
-        apart = [ln_last - ln_end, rx * (i_last - i_end), F.lit(-1.0 / a), i_b]
+        log1 = F.when(F.col("odds") > 1e300, F.log(F.greatest(i_b * F.col("a_"), F.lit(1e-300))) + rx * (ln_end - ln_last)).otherwise(F.log1p("odds"))
+        apart = [ln_last - ln_end, rx * (i_last - i_end), -1 / F.col("a_"), i_b]
         s = _sums(mixed, {
-            "f": log1 - rx * ln_end, "g0": -(p * ln_end + q * ln_last), "g1": -rx * (p * i_end + q * i_last), "g2": q / a, "g3": -q * i_b,
+            "f": log1 - rx * ln_end, "g0": -(p * ln_end + q * ln_last), "g1": -rx * (p * i_end + q * i_last), "g2": q / F.col("a_"), "g3": -q * i_b,
             **{f"h{i}{j}": both * apart[i] * apart[j] for i in range(4) for j in range(i, 4)},
-            "k01": -(p * i_end + q * i_last), "k11": rx * (p * i_end * i_end + q * i_last * i_last), "k22": -q / (a * a), "k33": q * i_b * i_b})
+            "k01": -(p * i_end + q * i_last), "k11": rx * (p * i_end * i_end + q * i_last * i_last), "k22": -q / (F.col("a_") * F.col("a_")), "k33": q * i_b * i_b})
         lg = [math.lgamma(v) for v in (r, a + b, b)]
         di = [digamma(v) for v in (r, a + b, b)]
         tri = [trigamma(v) for v in (r, a + b, b)]
@@ -229,7 +253,8 @@ def _gamma_gamma_evaluation(data: DataFrame, counts: list[tuple[float, float]],
 
     def evaluate(log_theta: np.ndarray) -> Evaluation:
         p, q, v = theta = np.exp(log_theta)
-        spent = data.select("w", x.alias("x"), F.log(x * m + v).alias("l"), (1 / (x * m + v)).alias("i"))
+        all_spent = x * m + F.col("v_")
+        spent = _with(data, v_=v).select("w", x.alias("x"), F.log(all_spent).alias("l"), (1 / all_spent).alias("i"))
         x_, l, i = F.col("x"), F.col("l"), F.col("i")
         s = _sums(spent, {"l": l, "xl": x_ * l, "i": i, "xi": x_ * i, "ii": i * i, "xii": x_ * i * i})
         f = n * (q * math.log(v) - math.lgamma(q)) + p * fixed["x_ln_m"] - fixed["ln_m"] + p * fixed["x_ln_x"] - p * s["xl"] - q * s["l"]
