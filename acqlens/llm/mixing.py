@@ -133,17 +133,16 @@ def posteriors(blobs: list[bytes], model: DomainModel) -> np.ndarray:
     return out
 
 
-def token_counts(texts: list[str | None], vocabulary: str) -> list[int]:
+def token_counts(texts: list[str | None], vocabulary: str | None = None) -> list[int]:
     """Packed tokens of each text; equal texts are encoded once."""
     enc = encoder(vocabulary)
-    known = {t: len(enc.encode_ordinary(t)) + 1 if t else 0 for t in set(texts)}
+    known = {t: len(enc.encode(t)) + 1 if t else 0 for t in set(texts)}
     return [known[t] for t in texts]
 
 
 def score_domains(docs: DataFrame, model: DomainModel, text_col: str = "text", with_text: bool = False,
                   tokens_col: str = "tokens_", posterior_col: str = "posterior_", vocabulary: str | None = None) -> DataFrame:
     """``docs`` with the number of tokens and the domain posteriors of each whole text."""
-    path = vocabulary or default_vocabulary()
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
     keep = [i for i in range(len(docs.columns)) if with_text or i != at]
@@ -157,7 +156,7 @@ def score_domains(docs: DataFrame, model: DomainModel, text_col: str = "text", w
             p = posteriors(blobs, shared.value)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, max(p.shape[1], 1))[: len(b) + 1] if p.size else np.zeros(len(b) + 1), pa.int32()), pa.array(p.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(i) for i in keep), pa.array(token_counts(texts, path), pa.int64()), lists],
+                [*(b.column(i) for i in keep), pa.array(token_counts(texts, vocabulary), pa.int64()), lists],
                 names=[*(b.schema.names[i] for i in keep), tokens_col, posterior_col])
 
     return map_arrow(docs, run, schema)

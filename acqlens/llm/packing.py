@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import json
 import logging
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -45,13 +46,19 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encoder(path: str):
-    """Encoder for a byte-level BPE vocabulary file, kept per worker.
+class Encoder:
+    """Ids of a byte-level BPE vocabulary file, as the tokenizers library gives them with its
+    defaults: added tokens are found in the text first, the rest is split by the pattern.
 
-    The file's ids are its merge ranks, so the merging itself can be done by tiktoken, which
-    gives the same ids as the tokenizers library several times faster (tested).
+    The file's ids are its merge ranks, so the merging itself can be done by tiktoken, which gives
+    the same ids several times faster (tested).  Runs of LONG or more white-space characters are
+    cut out before the pattern sees them, as it recurses over them: by the pattern all of such a
+    run but the character that may lead the next word is one piece.
     """
-    if path not in _ENCODERS:
+
+    LONG = 4096
+
+    def __init__(self, path: str):
         import public_tokenizers
         import tiktoken
 
@@ -60,9 +67,42 @@ def encoder(path: str):
         byte_of.update({chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(printable)))})
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
-        special = {x["content"] for x in file.get("added_tokens", [])}
-        ranks = {bytes(byte_of[c] for c in t): i for t, i in file["model"]["vocab"].items() if t not in special}
-        _ENCODERS[path] = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.added = {x["content"]: x["id"] for x in file.get("added_tokens", [])}
+        ranks = {bytes(byte_of[c] for c in t): i for t, i in file["model"]["vocab"].items() if t not in self.added}
+        self.bpe = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.marks = re.compile("|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True)) or r"(?!)")
+        self.spaces = re.compile(f"[{_WHITE}]{{{self.LONG},}}")
+
+    def encode(self, text: str) -> list[int]:
+        if not any(x in text for x in self.added):
+            return self._plain(text)
+        out, at = [], 0
+        for m in self.marks.finditer(text):
+            out += self._plain(text[at : m.start()])
+            out.append(self.added[m.group()])
+            at = m.end()
+        return out + self._plain(text[at:])
+
+    def _plain(self, text: str) -> list[int]:
+        if len(text) < self.LONG:
+            return self.bpe.encode_ordinary(text)
+        out, at = [], 0
+        for m in self.spaces.finditer(text):
+            end = m.end() if m.end() == len(text) else m.end() - 1
+            out += self.bpe.encode_ordinary(text[at : m.start()])
+            out += self.bpe._encode_single_piece(text[m.start() : end])
+            at = end
+        return out + self.bpe.encode_ordinary(text[at:])
+
+
+_WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"  # the characters of Unicode's White_Space
+
+
+def encoder(path: str | None = None) -> Encoder:
+    """Encoder of a vocabulary file (the default one, where this process runs), kept per worker."""
+    path = path or default_vocabulary()
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
 
 
@@ -76,18 +116,17 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vo
              capacity: int = 1024, with_ids: bool = False) -> DataFrame:
     """One row per piece: uid, doc_id, piece, start, length, ids_crc32 and, if asked for, ``ids``
     (little-endian unsigned 32-bit).  ``uid`` is unique once the result is stored."""
-    path = vocabulary or default_vocabulary()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text_"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     schema = f"uid long, doc_id {id_type}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, uid = encoder(path), TaskContext.get().partitionId() << 33
+        enc, uid = encoder(vocabulary), TaskContext.get().partitionId() << 33
         for b in batches:
             texts, at, cols, known = b.column(1).to_pylist(), [], [[], [], [], [], []], {}
             for i, text in enumerate(texts):
                 if text not in known:
-                    ids = np.asarray(enc.encode_ordinary(text or "") + [END], dtype="<u4")
+                    ids = np.asarray(enc.encode(text or "") + [END], dtype="<u4")
                     raw = ids.tobytes()
                     known[text] = [(s, n, zlib.crc32(raw[4 * s : 4 * (s + n)]), raw[4 * s : 4 * (s + n)] if with_ids else None)
                                    for s, n in piece_bounds(len(ids), capacity)]

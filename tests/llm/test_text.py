@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from acqlens.llm import langid, line_rules, lm_score, mixing, packing, quality, secrets
 from tests.llm.helpers import WORD, awkward, frame, prose
@@ -132,6 +133,31 @@ def prose_line(k):
     return prose(random.Random(k), 8)
 
 
+def test_encoder_on_long_white_space_and_marks():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    enc = packing.encoder()
+    mark = "<|endoftext|>"
+    texts = [f"hello {mark} world", mark, mark * 3, f" {mark}\n\n{mark} x", "<|endoftext|", ""]
+    for white in (" ", "\n", "\t\r\n ", "\u3000", "\x85 ", "\x1c", "\u200b"):
+        for n in (4095, 4096, 5000, 20_000):
+            run = (white * n)[:n]
+            texts += [run, run + "word", "word" + run, f"a{run}b{run} c", run + "'s", run + "\x1f" + run, f"{run}{mark}{run}x", run + "é" + run]
+    for text in texts:
+        assert enc.encode(text) == tok.encode(text, add_special_tokens=False).ids, (len(text), text[:20], text[-20:])
+    for white in (" ", "\n"):  # the library itself takes these in pieces
+        assert len(enc.encode("a" + white * 5_000_000 + "b")) > 2_000_000
+
+
+def test_operators_on_megabytes_of_white_space(spark):
+    docs = spark.createDataFrame([(1, "a" + " " * 2_000_000 + "b"), (2, "\n" * 1_500_000), (3, "plain <|endoftext|> text")], "doc_id long, text string")
+    got = {r.doc_id: r.n for r in packing.tokenize(docs).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    assert got == {1: 2_000_002, 2: 750_001, 3: len(packing.encoder().encode("plain <|endoftext|> text")) + 1}
+    assert dict(zip((1, 2, 3), mixing.token_counts([r.text for r in docs.orderBy("doc_id").collect()]))) == got
+
+
 def test_packing(spark, monkeypatch):
     monkeypatch.setattr(packing, "ROWS_PER_TASK", 40)  # several ranges, so that matches cross them
     import public_tokenizers
@@ -139,7 +165,6 @@ def test_packing(spark, monkeypatch):
 
     rows = awkward() + [(3000 + i, prose_line(i) * (i % 17 + 1), "en", "s", 1) + ("",) * 6 for i in range(150)]
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     out = packing.pack_documents(frame(spark, rows), with_ids=True).toPandas()
     want = Counter()
     for r in rows:
