@@ -6,8 +6,8 @@ every scenario row is solved and simulated on executors:
 - the concave allocation is solved exactly from its KKT conditions: with multiplier
   ``lam`` each channel spends ``clip(sat * (roas / lam - 1), min, cap)``; the total is
   monotone in ``lam`` and piecewise ``A + C / lam`` between 2n breakpoints, so cumulative
-  sums over the breakpoints sorted by ``lam`` (a window partitioned by scenario) locate the
-  active piece and give ``lam`` in closed form -- no iterative solver, one keyed shuffle;
+  sums over the breakpoints sorted by ``lam`` (range-partitioned, so that one scenario may
+  take many tasks) locate the active piece and give ``lam`` in closed form;
 - Monte Carlo draws are rows (``explode(sequence(...))`` per scenario/channel); normals come
   from md5 of (seed, draw, channel) via Box-Muller, so results are identical on any
   partitioning and on any retry after an executor loss.
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 from acqlens import constants as K
 from acqlens.functions import expressions as X
+from acqlens.operators import kpis
+from acqlens.session import scratch_path
 
 STATUS_OK = "ok"
 
@@ -91,32 +93,40 @@ def scenario_validation(inputs: DataFrame) -> DataFrame:
 
 
 # --- O2 / W5 -------------------------------------------------------------------------------
-def _solve_lambda(inputs_ok: DataFrame) -> DataFrame:
-    """(scenario_id, lam): the KKT multiplier of every feasible scenario."""
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _solve_lambda(inputs_ok: DataFrame, scenarios: DataFrame, n_ranges: int | None = None) -> DataFrame:
+    """(scenario_id, lam): the KKT multiplier of every feasible scenario.
+
+    As lam falls, a channel leaves its minimum at one breakpoint and reaches its cap at another, and
+    the total spend between two breakpoints is a + c / lam.  The breakpoints of all scenarios are
+    range-partitioned together by (scenario, falling lam) and written once; totals per (scenario,
+    range) become offsets, and running sums inside the ranges do the rest.  So a scenario may have
+    any number of campaigns: it is spread over as many tasks as its share of the breakpoints.
+    """
     r, s, lo, hi = F.col("roas_opt"), F.col("saturation"), F.col("min_spend"), F.col("cap")
-    by_s = Window.partitionBy("scenario_id")
-    # window totals first, then the 2-way fan-out (a window next to a generator in one
-    # projection would be evaluated over the exploded rows)
-    base = inputs_ok.select(
-        "scenario_id", "budget", "roas_opt", "saturation", "min_spend", "cap",
-        F.sum("min_spend").over(by_s).alias("a0"),
-        F.sum(s * r).over(by_s).alias("c_scale"),
-    )
-    events = base.select(
-        "scenario_id", "budget", "a0", "c_scale",
-        F.explode(F.array(
-            # at lam = roas / (1 + min/sat) the channel leaves its minimum
-            F.struct((r / (1 + lo / s)).alias("lam"), (-lo - s).alias("da"), (s * r).alias("dc")),
-            # at lam = roas / (1 + cap/sat) it reaches its cap
-            F.struct((r / (1 + hi / s)).alias("lam"), (s + hi).alias("da"), (-s * r).alias("dc")),
-        )).alias("e"),
-    ).select("scenario_id", "budget", "a0", "c_scale", "e.*")
-    w = Window.partitionBy("scenario_id").orderBy(F.desc("lam"))  # RANGE frame: ties move together
-    cum = events.select(
-        "scenario_id", "budget", "c_scale", "lam",
-        (F.col("a0") + F.sum("da").over(w)).alias("a"),
-        F.sum("dc").over(w).alias("c"),
-    )
+    events = inputs_ok.select("scenario_id", F.explode(F.array(
+        # at lam = roas / (1 + min/sat) the channel leaves its minimum
+        F.struct((r / (1 + lo / s)).alias("lam"), (-lo - s).alias("da"), (s * r).alias("dc")),
+        # at lam = roas / (1 + cap/sat) it reaches its cap
+        F.struct((r / (1 + hi / s)).alias("lam"), (s + hi).alias("da"), (-s * r).alias("dc")),
+    )).alias("e")).groupBy("scenario_id", "e.lam").agg(F.sum("e.da").alias("da"), F.sum("e.dc").alias("dc"))  # ties move together
+    order = ["scenario_id", F.desc("lam")]
+    ranged = events.repartitionByRange(n_ranges, *order) if n_ranges else events.repartitionByRange(*order)
+    points = _stored(ranged.withColumn("range", F.spark_partition_id()), "breakpoints")  # the same ranges in every later stage
+
+    before = Window.partitionBy("scenario_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = points.groupBy("scenario_id", "range").agg(F.sum("da").alias("sa"), F.sum("dc").alias("sc")).select(
+        "scenario_id", "range", F.coalesce(F.sum("sa").over(before), F.lit(0.0)).alias("a1"), F.coalesce(F.sum("sc").over(before), F.lit(0.0)).alias("c1"))
+    within = Window.partitionBy("scenario_id", "range").orderBy(F.desc("lam")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = points.select("scenario_id", "range", "lam", F.sum("da").over(within).alias("a2"), F.sum("dc").over(within).alias("c2"))
+    totals = kpis.small_side(scenarios.select("scenario_id", "budget", F.col("min_total").alias("a0"), "c_scale"))
+    cum = run.join(kpis.small_side(offsets), ["scenario_id", "range"]).join(totals, "scenario_id").select(
+        "scenario_id", "budget", "c_scale", "lam", (F.col("a0") + F.col("a1") + F.col("a2")).alias("a"), (F.col("c1") + F.col("c2")).alias("c"))
     total_at = F.col("a") + F.col("c") / F.col("lam")
     piece = (
         cum.filter(total_at <= F.col("budget") * (1 + 1e-12))
@@ -131,15 +141,21 @@ def _solve_lambda(inputs_ok: DataFrame) -> DataFrame:
     )
 
 
-def budget_allocation(inputs: DataFrame) -> DataFrame:
-    """Optimal spend per (scenario, channel); NULL allocation for infeasible scenarios."""
-    status = scenario_validation(inputs).select("scenario_id", "status")
-    with_status = inputs.join(status, "scenario_id")
-    lam = _solve_lambda(with_status.filter(F.col("status") == STATUS_OK))
+def budget_allocation(inputs: DataFrame, n_ranges: int | None = None) -> DataFrame:
+    """Optimal spend per (scenario, channel); NULL allocation for infeasible scenarios.
+
+    The inputs are written once, so that the steps don't compute them again; results per scenario
+    are joined back as a broadcast below a checked number of rows.
+    """
+    inputs = _stored(inputs, "scenario-inputs")
+    scale = inputs.groupBy("scenario_id").agg(F.sum(F.col("saturation") * F.col("roas_opt")).alias("c_scale"))
+    scenarios = _stored(scenario_validation(inputs).join(scale, "scenario_id"), "scenarios")
+    with_status = inputs.join(kpis.small_side(scenarios.select("scenario_id", "status")), "scenario_id")
+    lam = _stored(_solve_lambda(with_status.filter(F.col("status") == STATUS_OK), scenarios, n_ranges), "multipliers")
     x = X.clip(
         F.col("saturation") * (F.col("roas_opt") / F.col("lam") - 1), F.col("min_spend"), F.col("cap")
     )
-    return with_status.join(lam, "scenario_id", "left").withColumn(
+    return with_status.join(kpis.small_side(lam), "scenario_id", "left").withColumn(
         "allocation", F.when(F.col("status") == STATUS_OK, x)
     ).drop("lam")
 
@@ -155,15 +171,14 @@ def allocation_report(allocation: DataFrame) -> DataFrame:
         ret.alias("expected_return"),
         X.marginal_roas("allocation", "roas", "saturation").alias("marginal_roas"),
     )
-    by_s = Window.partitionBy("scenario_id")  # one partition per scenario: #channels rows
+    total = rep.groupBy("scenario_id").agg(F.sum("expected_return").alias("total_expected_return"))
     return rep.withColumns(
         {
             "share_pct_r1": F.bround("percentage", 1),
             "marginal_roas_r2": F.bround("marginal_roas", 2),
             "allocation_display": X.format_usd_k("allocation"),
-            "total_expected_return": F.sum("expected_return").over(by_s),
         }
-    )
+    ).join(kpis.small_side(total), "scenario_id")
 
 
 def allocation_totals(report: DataFrame) -> DataFrame:

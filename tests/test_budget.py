@@ -103,3 +103,34 @@ def test_hash_normal_moments(spark):
     df = spark.range(20000).select(budget.hash_normal(42, F.col("id"), F.lit("x")).alias("z"))
     m = df.agg(F.avg("z").alias("m"), F.stddev("z").alias("s")).first()
     assert abs(m["m"]) < 0.03 and abs(m["s"] - 1) < 0.03
+
+
+@pytest.mark.parametrize("ranges", [None, 8])
+def test_one_scenario_of_many_campaigns(spark, ranges):
+    """200,000 campaigns of one scenario, next to a small one, against bisection."""
+    n = 200_000
+    roas = F.expr("0.2D + (id * 7919 % 10007) / 2500.0D")
+    big = spark.range(n).select(F.lit(1).alias("scenario_id"), F.lit(5e8).alias("budget"), F.col("id").cast("string").alias("acquisition_channel"),
+                                roas.alias("roas"), (1000.0 + F.col("id") * 31 % 977).alias("saturation"), (F.col("id") % 3 * 10.0).alias("min_spend"))
+    small = big.where("id < 50").withColumns({"scenario_id": F.lit(2), "budget": F.lit(20_000.0)})
+    inputs = big.unionByName(small).withColumns({
+        "share": F.when(F.col("scenario_id") == 1, 2e-5).otherwise(0.05), "roas_std": F.lit(0.0), "roas_opt": F.col("roas")}).withColumn(
+        "cap", F.col("share") * F.col("budget"))
+    got = budget.budget_allocation(inputs, ranges).select("scenario_id", F.col("acquisition_channel").cast("int").alias("k"), "status", "allocation",
+                                                          "roas", "saturation", "min_spend", "cap", "budget").toPandas()
+    assert set(got.status) == {"ok"}
+    for _, g in got.groupby("scenario_id"):
+        want = _bisect(g.budget.iloc[0], g.roas.to_numpy(), g.saturation.to_numpy(), g.min_spend.to_numpy(), g.cap.to_numpy())
+        assert np.allclose(g.allocation.to_numpy(), want, rtol=1e-7, atol=1e-6)
+        assert g.allocation.sum() == pytest.approx(g.budget.iloc[0], rel=1e-9)
+    if ranges:
+        points = spark.read.parquet(sorted_paths(spark, "breakpoints")[-1])
+        assert points.where("scenario_id = 1").select("range").distinct().count() > 4
+
+
+def sorted_paths(spark, name):
+    import glob
+    import os
+
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    return sorted(glob.glob(f"{folder}/{name}-*"), key=os.path.getmtime)
