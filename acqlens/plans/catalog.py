@@ -414,24 +414,25 @@ def q_engagement_score(spark, sf):
     return kpis.engagement_scores(_players(spark, sf), dims.channel_dim(spark), dims.country_dim(spark))
 
 
-def _churn_scores(spark, sf):
-    """Players with a deterministic churn probability (1 - P18 retention score) and label."""
-    s = kpis.engagement_scores(_players(spark, sf), dims.channel_dim(spark), dims.country_dim(spark),
-                               keep=("retained_day7", "churned"))
-    return s.withColumn("churn_probability", 1.0 - F.col("retention_score"))
+ACTIVITY_SQL = "CAST(days_active AS DOUBLE) / (days_active + 5.0)"
+
+
+def _activity_scores(spark, sf):
+    """Players with a score from the data, active days / (active days + 5), and their labels."""
+    p = _players(spark, sf).select("user_id", "retained_day7", "churned", "days_active")
+    score = F.col("days_active").cast("double") / (F.col("days_active") + 5.0)
+    return p.withColumn("retention_score", score).withColumn("churn_probability", 1.0 - score)
 
 
 @register(
     "risk_bands",
-    PDE + """SELECT user_id, 1.0 - 1.0 / (1.0 + exp(-10.0 * (engagement_index - 0.38))) AS churn_probability,
-      CASE WHEN 1.0 - 1.0 / (1.0 + exp(-10.0 * (engagement_index - 0.38))) < 0.30 THEN 'Low'
-           WHEN 1.0 - 1.0 / (1.0 + exp(-10.0 * (engagement_index - 0.38))) < 0.60 THEN 'Medium'
-           ELSE 'High' END AS churn_risk
-    FROM eng""",
+    P + f"""SELECT user_id, 1.0 - {ACTIVITY_SQL} AS churn_probability,
+      CASE WHEN 1.0 - {ACTIVITY_SQL} < 0.30 THEN 'Low' WHEN 1.0 - {ACTIVITY_SQL} < 0.60 THEN 'Medium' ELSE 'High' END AS churn_risk
+    FROM players""",
     ("churn_probability",),
 )
 def q_risk_bands(spark, sf):
-    return kpis.risk_bands(_churn_scores(spark, sf)).select("user_id", "churn_probability", "churn_risk")
+    return kpis.risk_bands(_activity_scores(spark, sf)).select("user_id", "churn_probability", "churn_risk")
 
 
 # ============================== RFM ==============================
@@ -557,8 +558,8 @@ def q_class_weight(spark, sf):
     return out
 
 
-AUC_SQL = """auc_in AS (
-  SELECT retained_day7 AS y, 1.0 / (1.0 + exp(-10.0 * (engagement_index - 0.38))) AS s FROM eng
+AUC_SQL = f"""auc_in AS (
+  SELECT retained_day7 AS y, {ACTIVITY_SQL} AS s FROM players
 ), auc_r AS (
   SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS r FROM auc_in
 )"""
@@ -566,14 +567,14 @@ AUC_SQL = """auc_in AS (
 
 @register(
     "roc_auc",
-    with_ctes(PLAYERS_CTE, CHANNEL_DIM_SQL, COUNTRY_DIM_SQL, ENGAGEMENT_SQL, AUC_SQL) + """
+    with_ctes(PLAYERS_CTE, AUC_SQL) + """
     SELECT (sum(r) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2.0)
            / (count(*) FILTER (WHERE y = 1) * count(*) FILTER (WHERE y = 0)) AS roc_auc
     FROM auc_r""",
     ("roc_auc",),
 )
 def q_roc_auc(spark, sf):
-    return ranks.roc_auc(_churn_scores(spark, sf), "retained_day7", "retention_score")
+    return ranks.roc_auc(_activity_scores(spark, sf), "retained_day7", "retention_score")
 
 
 # ============================== O: budget allocation ==============================
@@ -985,7 +986,7 @@ def q_preprocessed_features(spark, sf):
 
 @register(
     "classification_metrics",
-    with_ctes(PLAYERS_CTE, CHANNEL_DIM_SQL, COUNTRY_DIM_SQL, ENGAGEMENT_SQL, AUC_SQL) + """, cm AS (
+    with_ctes(PLAYERS_CTE, AUC_SQL) + """, cm AS (
       SELECT count(*) FILTER (WHERE y = 1 AND yhat = 1) AS tp, count(*) FILTER (WHERE y = 0 AND yhat = 1) AS fp,
              count(*) FILTER (WHERE y = 1 AND yhat = 0) AS fn, count(*) FILTER (WHERE y = 0 AND yhat = 0) AS tn
       FROM (SELECT y, CAST(s >= 0.5 AS INTEGER) AS yhat FROM auc_in))
@@ -998,7 +999,7 @@ def q_preprocessed_features(spark, sf):
     ("value",),
 )
 def q_classification_metrics(spark, sf):
-    return models.classification_metrics(_churn_scores(spark, sf), "retained_day7", "retention_score")
+    return models.classification_metrics(_activity_scores(spark, sf), "retained_day7", "retention_score")
 
 
 BASELINE_SQL = """base AS (
@@ -1023,7 +1024,7 @@ def q_regression_metrics(spark, sf):
 
 @register(
     "quality_gates",
-    with_ctes(PLAYERS_CTE, CHANNEL_DIM_SQL, COUNTRY_DIM_SQL, ENGAGEMENT_SQL, AUC_SQL, BASELINE_SQL) + f""", auc AS (
+    with_ctes(PLAYERS_CTE, AUC_SQL, BASELINE_SQL) + f""", auc AS (
       SELECT (sum(r) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2.0)
            / (count(*) FILTER (WHERE y = 1) * count(*) FILTER (WHERE y = 0)) AS roc_auc FROM auc_r)
     SELECT 'roc_auc' AS gate, roc_auc AS value, {K.AUC_GATE} AS threshold, roc_auc >= {K.AUC_GATE} AS passed FROM auc
@@ -1032,7 +1033,7 @@ def q_regression_metrics(spark, sf):
     ("value", "threshold"),
 )
 def q_quality_gates(spark, sf):
-    auc = ranks.roc_auc(_churn_scores(spark, sf), "retained_day7", "retention_score")
+    auc = ranks.roc_auc(_activity_scores(spark, sf), "retained_day7", "retention_score")
     reg = models.regression_metrics(models.channel_baseline(_players(spark, sf)), "ltv_day90", "ltv_estimate")
     return models.quality_gates(auc, reg)
 
@@ -1116,7 +1117,7 @@ def q_model_roundtrip(spark, sf):
 # ============================== S3 / ST1: sinks and streaming ==============================
 from acqlens.schemas import PLAYERS_SCHEMA  # noqa: E402
 from acqlens.sources import tables  # noqa: E402
-from acqlens.streaming import roas_stream  # noqa: E402
+from acqlens.streaming import orders_stream, roas_stream  # noqa: E402
 
 
 @register("csv_roundtrip", P + "SELECT * FROM players", PLAYER_DOUBLES)
@@ -1126,14 +1127,13 @@ def q_csv_roundtrip(spark, sf):
     return tables.read_players_csv(spark, path)
 
 
-@register(
-    "roas_trend_stream",
-    P + """SELECT strftime(acquisition_date, '%Y-%m') AS month, acquisition_channel,
+ROAS_TREND_SQL = P + """SELECT strftime(acquisition_date, '%Y-%m') AS month, acquisition_channel,
       sum(ltv_day90) AS revenue, sum(cost_per_install) AS spend,
       CASE WHEN sum(cost_per_install) = 0 THEN NULL ELSE sum(ltv_day90) / sum(cost_per_install) END AS roas
-    FROM players WHERE acquisition_channel IS NOT NULL GROUP BY 1, 2""",
-    ("revenue", "spend", "roas"),
-)
+    FROM players WHERE acquisition_channel IS NOT NULL GROUP BY 1, 2"""
+
+
+@register("roas_trend_stream", ROAS_TREND_SQL, ("revenue", "spend", "roas"))
 def q_roas_trend_stream(spark, sf):
     """ST1: the file-source stream reads the materialised players table's folder directly,
     whatever has arrived there in one trigger -- no copy of the data."""
@@ -1141,3 +1141,10 @@ def q_roas_trend_stream(spark, sf):
     src = store.location(spark, "players", _src(sf, "customer", "orders"))
     return roas_stream.run_roas_refresh(
         spark, src, scratch_path(spark, "roas-stream-out"), scratch_path(spark, "roas-stream-ckpt"))
+
+
+@register("roas_trend_orders", ROAS_TREND_SQL, ("revenue", "spend", "roas"))
+def q_roas_trend_orders(spark, sf):
+    """ST1 from the orders: state per customer, orders in any order (the whole history may be late)."""
+    return orders_stream.refresh(spark, _src(sf, "orders")[0], tables.read_table(spark, sf, "customer"),
+                                 scratch_path(spark, "orders-stream-out"), scratch_path(spark, "orders-stream-ckpt"), lateness="3650 days")
