@@ -916,13 +916,19 @@ def q_clv_summary(spark, sf):
     ("bgnbd_ltv",),
 )
 def q_channel_clv(spark, sf):
-    prof = rfm.channel_rfm(_rfm_units(spark, sf), _players(spark, sf))
-    return prof.select("acquisition_channel", clv.clv_expr(BG_FIXED, GG_FIXED).alias("bgnbd_ltv"))
+    """M16, with F4's lookup of each observed channel's median profile."""
+    players = _players(spark, sf)
+    wanted = players.select("acquisition_channel").where("acquisition_channel is not null").distinct()
+    prof = rfm.channel_profile(rfm.channel_rfm(_rfm_units(spark, sf), players), wanted)
+    return prof.where("frequency is not null").select("acquisition_channel", clv.clv_expr(BG_FIXED, GG_FIXED).alias("bgnbd_ltv"))
 
 
 @register("bgnbd_fit")
 def q_bgnbd_fit(spark, sf):
-    return clv.fit_bgnbd(_rfm_units(spark, sf))
+    """The fit's parameter bundle as it is stored for scoring."""
+    path = scratch_path(spark, "bgnbd")
+    clv.save_params(clv.fit_bgnbd(_rfm_units(spark, sf)), path)
+    return clv.load_params(spark, path)
 
 
 @register("gamma_gamma_fit")
@@ -1115,7 +1121,7 @@ def q_model_roundtrip(spark, sf):
 
 
 # ============================== S3 / ST1: sinks and streaming ==============================
-from acqlens.schemas import PLAYERS_SCHEMA  # noqa: E402
+from acqlens.schemas import PLAYERS_SCHEMA, TXNS_SCHEMA  # noqa: E402
 from acqlens.sources import tables  # noqa: E402
 from acqlens.streaming import orders_stream, roas_stream  # noqa: E402
 
@@ -1133,6 +1139,57 @@ ROAS_TREND_SQL = P + """SELECT strftime(acquisition_date, '%Y-%m') AS month, acq
     FROM players WHERE acquisition_channel IS NOT NULL GROUP BY 1, 2"""
 
 
+@register(
+    "scan_txns_csv",
+    with_ctes(TXNS_CTE) + """SELECT CASE o_orderkey % 50 WHEN 0 THEN 'transaction_date' WHEN 1 THEN 'fields' ELSE 'accepted' END AS outcome,
+      count(*) AS n, CAST(sum(CASE WHEN o_orderkey % 50 > 1 THEN round(o_totalprice * 100) ELSE 0 END) AS BIGINT) AS cents
+    FROM orders GROUP BY 1""",
+)
+def q_scan_txns_csv(spark, sf):
+    """S2 from CSV with its rejects: a part of the lines is written with a broken date or without
+    the last field; they land in the quarantine, the others in the table."""
+    o = tables.read_table(spark, sf, "orders")
+    key = F.col("o_orderkey") % 50
+    date = F.when(key == 0, "no date").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    fields = [F.col("o_custkey").cast("string"), date, F.col("o_totalprice").cast("decimal(18,2)").cast("string")]
+    line = F.concat_ws(",", *fields, F.when(key != 1, "gem_pack"))
+    path = scratch_path(spark, "txns-csv")
+    # lines as they are: one column whose name is the header and whose text isn't quoted
+    o.select(line.alias(",".join(TXNS_SCHEMA.names))).write.option("header", True).option("sep", "\u0001").option("quote", "").csv(path)
+    rows, rejects = tables.read_csv_checked(spark, path, TXNS_SCHEMA)
+    accepted = rows.select(F.lit("accepted").alias("outcome"), F.round(F.col("transaction_amount") * 100).cast("long").alias("c"))
+    both = accepted.unionByName(rejects.select(F.col("reason").alias("outcome"), F.lit(0).cast("long").alias("c")))
+    return both.groupBy("outcome").agg(F.count("*").alias("n"), F.sum("c").alias("cents"))
+
+
+@register("partitioned_rewrite", P + "SELECT user_id, acquisition_date, ltv_day90 * 2 AS ltv_day90, acquisition_channel FROM players WHERE acquisition_channel = 'Google'",
+          ("ltv_day90",))
+def q_partitioned_rewrite(spark, sf):
+    """S3: a dataset by channel, one channel rewritten, that channel read back by its partition."""
+    p = _players(spark, sf).select("user_id", "acquisition_date", "ltv_day90", "acquisition_channel")
+    path = scratch_path(spark, "players-by-channel")
+    tables.write_dataset(p, path, partition_by=["acquisition_channel"])
+    google = p.where("acquisition_channel = 'Google'").withColumn("ltv_day90", F.col("ltv_day90") * 2)
+    tables.write_dataset(google, path, partition_by=["acquisition_channel"])
+    return spark.read.schema(p.schema).parquet(path).where("acquisition_channel = 'Google'")
+
+
+@register(
+    "metrics_history",
+    with_ctes(PLAYERS_CTE, BASELINE_SQL) + """SELECT model, metric, value, CAST(runs AS BIGINT) AS runs FROM (
+      SELECT 'baseline' AS model, unnest(['r2', 'rmse', 'mae']) AS metric, unnest([r2, rmse, mae]) AS value, 2 AS runs FROM reg)""",
+    ("value",),
+)
+def q_metrics_history(spark, sf):
+    """The metrics of two runs of the channel-mean model appended to a history and read back."""
+    m = models.regression_metrics(models.channel_baseline(_players(spark, sf)), "ltv_day90", "ltv_estimate")
+    long = m.select(F.lit("baseline").alias("model"), F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in ("r2", "rmse", "mae")])))
+    path = scratch_path(spark, "metrics-history")
+    for _ in range(2):
+        tables.save_metrics(long, path)
+    return tables.load_metrics(spark, path).groupBy("model", "metric").agg(F.avg("value").alias("value"), F.count("*").alias("runs"))
+
+
 @register("roas_trend_stream", ROAS_TREND_SQL, ("revenue", "spend", "roas"))
 def q_roas_trend_stream(spark, sf):
     """ST1: the file-source stream reads the materialised players table's folder directly,

@@ -112,3 +112,41 @@ def test_store_rebuilds_when_sources_change(spark):
     spark.range(7).write.mode("overwrite").parquet(src)
     b = store.materialized(spark, "t_store", [src], lambda: spark.read.parquet(src).selectExpr("id * 2 AS v"))
     assert b.count() == 7
+
+
+def test_csv_rejects_add_up(spark):
+    path = scratch_path(spark, "test-bad-csv")
+    lines = ["user_id,transaction_date,transaction_amount,transaction_type", "1,2024-01-02,3.5,gem_pack", "2,02.01.2024,3.5,gem_pack", "3,2024-01-02,3.5",
+             "4,2024-01-02,3.5,gem_pack,more", "x,2024-01-02,3.5,gem_pack", "5,2024-01-02,three,gem_pack", '6,2024-01-02,1.0,"a, b"', "7,,2.0,gem_pack"]
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(path)
+    rows, rejects = tables.read_csv_checked(spark, path, tables.TXNS_SCHEMA)
+    assert {(r.user_id, r.transaction_amount, r.transaction_type) for r in rows.collect()} == {(1, 3.5, "gem_pack"), (6, 1.0, "a, b"), (7, 2.0, "gem_pack")}
+    assert rows.where("transaction_date is null").select("user_id").collect() == [(7,)]
+    assert rows.select("user_id").count() == 3
+    got = {r.line: r.reason for r in rejects.collect()}
+    assert got == {lines[2]: "transaction_date", lines[3]: "fields", lines[4]: "fields", lines[5]: "user_id", lines[6]: "transaction_amount"}
+    assert rejects.where(F.col("file").contains("test-bad-csv")).count() == 5
+
+
+def test_partitioned_rewrite_leaves_other_files(spark, players_small):
+    import glob
+    import os
+
+    path = scratch_path(spark, "test-partitions")
+    p = players_small.select("user_id", "ltv_day90", "acquisition_channel")
+    tables.write_dataset(p, path, partition_by=["acquisition_channel"])
+    local = path.removeprefix("file:")
+
+    def files():
+        return {f: os.path.getmtime(f) for f in glob.glob(f"{local}/*/*.parquet")}
+
+    before = files()
+    tables.write_dataset(p.where("acquisition_channel = 'Google'").withColumn("ltv_day90", F.lit(0.0)), path, partition_by=["acquisition_channel"])
+    after = files()
+    assert {f for f in before if "=Google" not in f} == {f for f in after if "=Google" not in f}
+    assert all(before[f] == after[f] for f in after if "=Google" not in f)
+    assert not {f for f in before if "=Google" in f} & set(after)
+    back = spark.read.schema(p.schema).parquet(path)
+    assert back.count() == p.count() and back.where("acquisition_channel = 'Google'").agg(F.sum("ltv_day90")).first()[0] == 0.0
+    plan = back.where("acquisition_channel = 'Google'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(acquisition_channel" in plan
