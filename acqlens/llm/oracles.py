@@ -63,19 +63,15 @@ WITH d AS (
   SELECT doc_id, i, array_to_string(w[i : i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)
 ), rep AS (SELECT doc_id, i FROM tri QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
 cov AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM rep, (SELECT unnest([0, 1, 2]) AS j) GROUP BY doc_id),
-texts AS (SELECT DISTINCT host, t, ls FROM d),
-ln AS (SELECT host, t, len(regexp_extract_all(x, '{_WORD}')) AS words,
+ln AS (SELECT doc_id, host, len(regexp_extract_all(x, '{_WORD}')) AS words,
          regexp_replace(lower(array_to_string(regexp_extract_all(x, '{_WORD}'), ' ')), '[0-9]', '0', 'g') AS norm
-       FROM (SELECT host, t, unnest(ls) AS x FROM texts)),
-total AS (SELECT host, count(*) AS n FROM texts GROUP BY host),
-freq AS (SELECT ln.host, norm FROM ln JOIN total ON total.host IS NOT DISTINCT FROM ln.host GROUP BY ln.host, norm, total.n
-         HAVING count(DISTINCT t) > 20 AND count(DISTINCT t) * 100 > total.n * 10),
-lost AS (SELECT ln.host, t, sum(words) AS n FROM ln JOIN freq ON freq.host IS NOT DISTINCT FROM ln.host AND freq.norm = ln.norm
-         GROUP BY ln.host, t),
+       FROM (SELECT doc_id, host, unnest(ls) AS x FROM d)),
+freq AS (SELECT host, norm FROM ln GROUP BY host, norm HAVING count(DISTINCT doc_id) > 20),
+lost AS (SELECT doc_id, sum(words) AS n FROM ln JOIN freq ON freq.host IS NOT DISTINCT FROM ln.host AND freq.norm = ln.norm GROUP BY doc_id),
 r AS (SELECT d.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
     length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
     len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words, coalesce(lost.n, 0) AS removed_words
-  FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN lost USING (host, t))
+  FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN lost USING (doc_id))
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
   CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
