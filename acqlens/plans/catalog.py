@@ -18,7 +18,7 @@ from acqlens.plans.oracle_sql import (
     rfm_cte,
     with_ctes,
 )
-from acqlens.plans.registry import register
+from acqlens.plans.registry import REGISTRY, register
 from acqlens.sources import dims, fixtures, store
 
 P = with_ctes(PLAYERS_CTE)
@@ -1205,3 +1205,50 @@ def q_roas_trend_orders(spark, sf):
     """ST1 from the orders: state per customer, orders in any order (the whole history may be late)."""
     return orders_stream.refresh(spark, _src(sf, "orders")[0], tables.read_table(spark, sf, "customer"),
                                  scratch_path(spark, "orders-stream-out"), scratch_path(spark, "orders-stream-ckpt"), lateness="3650 days")
+
+
+# ============================== Shares per source file ==============================
+from acqlens.operators import sketches  # noqa: E402
+from acqlens.sources import shares  # noqa: E402
+
+
+def _player_shares(spark, sf, name, share):
+    """Shares of the files of the stored players table."""
+    _players(spark, sf)
+    folder = store.location(spark, "players", _src(sf, "customer", "orders"))
+    return shares.maintained(spark, name, folder, PLAYERS_SCHEMA, share)[0]
+
+
+@register("roas_trend_maintained", ROAS_TREND_SQL, ("revenue", "spend", "roas"))
+def q_roas_trend_maintained(spark, sf):
+    """A3 merged from sums per file, month and channel."""
+    def share(rows, version):
+        known = rows.where("acquisition_channel is not null and acquisition_date is not null")
+        return known.groupBy(*version, X.month_label("acquisition_date").alias("month"), "acquisition_channel").agg(
+            F.sum("ltv_day90").alias("revenue"), F.sum("cost_per_install").alias("spend"))
+
+    merged = _player_shares(spark, sf, "roas-trend", share).groupBy("month", "acquisition_channel").agg(
+        F.sum("revenue").alias("revenue"), F.sum("spend").alias("spend"))
+    return merged.withColumn("roas", X.safe_ratio("revenue", "spend"))
+
+
+@register("retention_matrix_maintained", REGISTRY["retention_matrix"].sql, REGISTRY["retention_matrix"].doubles, REGISTRY["retention_matrix"].bits)
+def q_retention_matrix_maintained(spark, sf):
+    """A4 merged from counts per file and install week."""
+    days = [(label, f"retained_d{d}") for label, d in cohorts.RETENTION_DAYS]
+
+    def share(rows, version):
+        frame = cohorts.cohort_frame(rows).where("install_week is not null")
+        return frame.groupBy(*version, "install_week").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for _, c in days])
+
+    merged = _player_shares(spark, sf, "retention", share).groupBy("install_week").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for _, c in days])
+    return merged.select("install_week", *[F.bround(F.col(c) / F.col("n") * 100.0, 1).alias(label) for label, c in days])
+
+
+@register("channel_sketch_medians")
+def q_channel_sketch_medians(spark, sf):
+    """A9 beyond exact sorts: medians per channel merged from sketches per install day."""
+    values = ["ltv_day90", "cost_per_install", "days_active"]
+    p = _players(spark, sf).where("acquisition_channel is not null")
+    daily = sketches.sketch(p, ["acquisition_channel", "install_date"], values)
+    return sketches.quantiles(daily, ["acquisition_channel"], values)
