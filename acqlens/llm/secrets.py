@@ -8,11 +8,10 @@ many owners or repositories hold is a copied example.  Without repositories the
 alone: documents do not stand in for them, since their number grows with the corpus.  Opaque tokens are reported as spans
 only when they look live, so the frequency decides what the scan adds.
 
-Positions come from the ordered matches of one pattern: no pattern looks around itself, so the
-next match is also the first place where its text occurs after the previous match.
+Positions come from the matches of a pattern and the pieces between them, by running sums.
 
-Defined results: null or empty texts have no spans; equal rows get equal results; null owners
-count as one owner; rows are told apart by id, owner, repository and text, so clashing extra
+Defined results: null or empty texts have no spans; very long texts and texts with very many
+matches take time in proportion; equal rows get equal results; null owners count as one owner; rows are told apart by id, owner, repository and text, so clashing extra
 columns don't matter.
 """
 
@@ -45,16 +44,37 @@ def _quoted(s: str) -> str:
     return "r'" + s + "'" if "'" not in s else "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+_BLOCK = 128  # lengths summed at a time
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """SQL: ``body`` with ``name`` standing for ``value``, computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _total(array: str, first: str, count: str) -> str:
+    return f"aggregate(slice({array}, {first}, {count}), 0, (a, x) -> a + x)"
+
+
 def _spans(kind: int, pattern: str, value: str, keep: str) -> str:
-    """SQL: spans of one pattern in ``t``, from its ordered non-overlapping matches ``m``, of which
-    those that ``keep`` holds for are taken (the others still move the place to look from)."""
-    at = "locate(m, t, a.p)"
-    return f"""aggregate(regexp_extract_all(t, {_quoted(pattern)}, 0),
-        named_struct('p', 1, 'o', cast(array() as array<{_SPAN}>)),
-        (a, m) -> named_struct('p', {at} + char_length(m), 'o', case when {keep} then concat(a.o, array(cast(named_struct(
-            's', {at} - 1, 'o', {kind}, 'e', {at} - 1 + char_length(m), 'h', sha2({value}, 256),
-            'w', char_length({value})) as {_SPAN}))) else a.o end),
-        a -> a.o)"""
+    """SQL: spans of one pattern in ``t``, of those matches ``m`` that ``keep`` holds for.
+
+    The pieces of text between the matches come from splitting by the same pattern, so a match
+    starts where the lengths of all before it end.  These running sums are taken in blocks: the time
+    grows with the text and the number of matches, not with their product.
+    """
+    empty, regex = f"cast(array() as array<{_SPAN}>)", _quoted(pattern)
+    block = f"(i div {_BLOCK})"
+    start = f"starts[{block}] + {_total('lens', f'cast({block} * {_BLOCK} + 1 as int)', f'i % {_BLOCK}')} + char_length(between[i])"
+    spans = f"""transform(filter(transform(ms, (m, i) -> named_struct('m', m, 's', {start})), x -> {_let('m', 'x.m', f'({keep})')}),
+        x -> {_let('m', 'x.m', f"""cast(named_struct('s', x.s, 'o', {kind}, 'e', x.s + char_length(m), 'h', sha2({value}, 256),
+            'w', char_length({value})) as {_SPAN})""")})"""
+    blocks = f"sequence(0, cast((size(ms) - 1) div {_BLOCK} as int))"
+    spans = _let("starts", f"transform({blocks}, b -> {_total('sums', '1', 'b')})", spans)
+    spans = _let("sums", f"transform({blocks}, b -> {_total('lens', f'b * {_BLOCK} + 1', str(_BLOCK))})", spans)
+    spans = _let("lens", "transform(ms, (m, i) -> char_length(between[i]) + char_length(m))", spans)
+    spans = _let("between", f"split(t, {regex}, -1)", spans)
+    return _let("ms", f"regexp_extract_all(t, {regex}, 0)", f"case when exists(ms, m -> {keep}) then {spans} else {empty} end")
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str, repo_col: str | None, owner_col: str,
@@ -65,13 +85,11 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, repo_col: str | None
         F.col(owner_col).cast("string").alias("owner"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     value = f"regexp_extract(m, {_quoted(ASSIGN)}, 2)"
     assign = _spans(0, ASSIGN, value, f"char_length({value}) >= {params.shortest_value}")
-    opaque = f"filter(regexp_extract_all(t, {_quoted(OPAQUE)}, 0), m -> {MIXED})"
-    opaque_spans = _spans(3, OPAQUE, "m", MIXED)
     spans = f"""case when t = '' then cast(array() as array<{_SPAN}>) else array_sort(concat(
         {assign},
         {_spans(1, ACCESS, "m", "true")},
         {_spans(2, HEX, "m", "true")},
-        case when size({opaque}) = 0 then cast(array() as array<{_SPAN}>) else {opaque_spans} end)) end"""
+        {_spans(3, OPAQUE, "m", MIXED)})) end"""
     return rows.select("id", "repo", "owner", F.sha2("t", 256).alias("digest"), F.expr(spans).alias("spans"))
 
 
@@ -88,6 +106,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
     rows = stored(candidates(docs, id_col, text_col, repo_col, owner_col, params), "secret-candidates")
     key = ["id", "repo", "owner", "digest"]
     each = rows.where(F.size("spans") > 0).dropDuplicates(key).select(*key, F.explode("spans").alias("x"))
+    each = stored(each, "secret-spans")  # plain rows on both sides of the join below: Spark can split a value that most texts hold
     live = F.col("owners") <= params.most_owners
     if repo_col is None:
         held = (each.groupBy(F.col("x.h").alias("h"), "owner").agg(F.lit(1).alias("one"))
@@ -98,7 +117,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
                 .groupBy("h", "owner").agg(F.count("*").alias("repos"))
                 .groupBy("h").agg(F.sum("repos").alias("repos"), F.count("*").alias("owners")))
         live &= F.col("repos") <= params.most_repositories
-    judged = (each.withColumn("h", F.col("x.h")).join(held, "h")
+    judged = (each.withColumn("h", F.col("x.h")).join(stored(held, "secret-holders"), "h")
               .select(*key, F.struct("x.s", "x.o", "x.e", "x.h", live.alias("live"), "owners", "repos").alias("x")))
     # a document's own spans: bounded by its length
     per_doc = judged.groupBy(*key).agg(F.array_sort(F.collect_list("x")).alias("found"))

@@ -133,6 +133,23 @@ def prose_line(k):
     return prose(random.Random(k), 8)
 
 
+def test_secrets_in_a_text_of_very_many(spark):
+    """20,000 matches in one text: found where plain search finds them, and in time."""
+    import time
+
+    words = [f"naïve {k} token='v{k:08d}x' 😀" if k % 3 else f"{k:032x} AKIA{k:016d}" for k in range(20_000)]
+    text = " ".join(words)
+    docs = spark.createDataFrame([(1, text, "s"), (2, "password = short12345", "s")], "doc_id long, text string, source string")
+    secrets.scan(docs.where("doc_id = 2")).collect()
+    began = time.time()
+    got = {r.id: r.base for r in secrets.scan(docs).select("id", "base").collect()}
+    assert time.time() - began < 60
+    want = []
+    for kind, pattern in enumerate((re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), re.compile("AKIA[A-Z0-9]{12,}"), re.compile("[0-9a-f]{32,}"))):
+        want += [(m.start(), kind, m.end()) for m in pattern.finditer(text) if kind or len(m.group(1)) >= 8]
+    assert [(x.s, x.o, x.e) for x in got[1]] == sorted(want) and len(want) > 25_000
+
+
 def test_encoder_on_long_white_space_and_marks():
     import public_tokenizers
     from tokenizers import Tokenizer
