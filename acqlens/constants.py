@@ -27,6 +27,21 @@ COUNTRY_ENGAGEMENT: dict[str, float] = {
     "US": 1.10, "UK": 1.05, "DE": 1.00, "JP": 1.15, "BR": 0.90, "FR": 0.95, "KR": 1.20,
 }
 
+# Fixed values of the linear player scores: constant, {input: (unit, weight)}, bounds.
+# A score is constant + sum of weight * input / unit, kept within its bounds.
+LINEAR_SCORES: dict[str, tuple[float, dict[str, tuple[float, float]], tuple[float, float] | None]] = {
+    "battle_mean": (10.0, {"engagement": (1, 4.0), "skill_bias": (1, 20.0)}, (3.0, 55.0)),
+    "clan_propensity": (0.12, {"battles": (60, 0.45), "win_rate": (1, 0.25)}, (0.05, 0.85)),
+    "pass_propensity": (0.04, {"trophies": (4500, 0.10), "win_rate": (1, 0.06), "cards": (80, 0.08)}, (0.01, 0.35)),
+    "engagement_index": (-0.12, {
+        "battles": (60, 0.22), "win_rate": (1, 0.28), "trophies": (4500, 0.18), "arena": (15, 0.10), "clan": (1, 0.12), "pass": (1, 0.05),
+        "retention_boost": (1, 1.0), "base_retention": (1, 0.30)}, None),
+    "purchase_propensity": (0.04, {"pass": (1, 0.35), "ltv_pct_rank": (1, 0.30), "retained": (1, 0.08), "cards": (80, 0.10)}, (0.0, 0.88)),
+}
+RETENTION_SLOPE, RETENTION_MIDDLE = 10.0, 0.38  # logistic curve over the engagement index
+TROPHY_WALL = (500, 1200)
+IOS_FACTOR = 1.06
+
 TROPHIES_PER_WIN = 30
 TROPHIES_PER_LOSS = 27
 

@@ -147,52 +147,33 @@ def marginal_roas(spend: Column | str, roas_: Column | str, sat: Column | str) -
     return F.when((s <= 0) | (k <= 0), r).otherwise(r / (1.0 + s / k))
 
 
-# --- P18: deterministic progression scores ---------------------------------------------
-def model_trophies(battles: Column | str, win_rate: Column | str) -> Column:
-    wins = F.floor(_c(battles) * _c(win_rate))
-    losses = _c(battles) - wins
-    return clip(wins * K.TROPHIES_PER_WIN - losses * K.TROPHIES_PER_LOSS, 0, 4500).cast("int")
-
-
-def battle_mean(engagement: Column | str, skill_bias: Column | str) -> Column:
-    return clip(8 + _c(engagement) * 4 + (_c(skill_bias) + 0.1) * 20, 3.0, 55.0)
-
-
-def clan_propensity(battles: Column | str, win_rate: Column | str) -> Column:
-    return clip(0.12 + (_c(battles) / 60.0) * 0.45 + _c(win_rate) * 0.25, 0.05, 0.85)
-
-
-def pass_propensity(trophies: Column | str, win_rate: Column | str, cards: Column | str) -> Column:
-    return clip(
-        0.04 + (_c(trophies) / 4500.0) * 0.10 + _c(win_rate) * 0.06 + _c(cards) / 80.0 * 0.08, 0.01, 0.35
-    )
+# --- P18 / P19: player scores ------------------------------------------------------------
+def linear_score(name: str, **inputs: Column | str) -> Column:
+    """A score of ``constants.LINEAR_SCORES`` from its inputs, each a column."""
+    constant, terms, bounds = K.LINEAR_SCORES[name]
+    if set(inputs) != set(terms):
+        raise ValueError(f"{name} takes {sorted(terms)}")
+    total = F.lit(constant)
+    for term, (unit, weight) in terms.items():
+        total = total + _c(inputs[term]) * (weight / unit)
+    return clip(total, *bounds) if bounds else total
 
 
-def engagement_index(
-    battles, win_rate, trophies, arena, clan, pass_, retention_boost, base_retention
-) -> Column:
-    return (
-        (_c(battles) / 60.0) * 0.22
-        + _c(win_rate) * 0.28
-        + (_c(trophies) / 4500.0) * 0.18
-        + (_c(arena) / 15.0) * 0.10
-        + _c(clan) * 0.12
-        + _c(pass_) * 0.05
-        + _c(retention_boost)
-        + (_c(base_retention) - 0.40) * 0.30
-    )
+def model_trophies(battles: Column | str, win_rate: Column | str) -> Column:
+    won = F.floor(_c(battles) * _c(win_rate))
+    return clip(won * (K.TROPHIES_PER_WIN + K.TROPHIES_PER_LOSS) - _c(battles) * K.TROPHIES_PER_LOSS, 0, 4500).cast("int")
 
 
 def retention_score(index: Column | str) -> Column:
-    return 1.0 / (1.0 + F.exp(-10.0 * (_c(index) - 0.38)))
+    return 1 / (1 + F.exp((K.RETENTION_MIDDLE - _c(index)) * K.RETENTION_SLOPE))
 
 
 def trophy_wall(trophies: Column | str) -> Column:
-    return _c(trophies).between(500, 1200).cast("int")
+    return _c(trophies).between(*K.TROPHY_WALL).cast("int")
 
 
 def device_factor(device: Column | str) -> Column:
-    return F.when(_c(device) == "iOS", F.lit(1.06)).otherwise(F.lit(1.0))
+    return F.when(_c(device) == "iOS", K.IOS_FACTOR).otherwise(1.0)
 
 
 def login_gap_score(win_rate, battles, clan, pass_, sessions) -> Column:
@@ -204,12 +185,3 @@ def login_gap_score(win_rate, battles, clan, pass_, sessions) -> Column:
         - _c(pass_) * 4
         - F.least(_c(sessions), F.lit(6.0)) * 1.5
     )
-
-
-# --- P19: purchase propensity -----------------------------------------------------------
-def purchase_propensity(pass_, ltv_pct_rank, retained, cards) -> Column:
-    return clip(
-        0.04 + _c(pass_) * 0.35 + _c(ltv_pct_rank) * 0.30 + _c(retained) * 0.08 + (_c(cards) / 80.0) * 0.10,
-        0.0,
-        0.88,
-    )

@@ -167,7 +167,7 @@ def purchasers(players: DataFrame, require_nonempty: bool = False) -> DataFrame:
     stops after the first matching row instead of counting the table)."""
     out = players.filter(F.col("is_purchaser") == 1)
     if require_nonempty and not out.limit(1).count():
-        raise ValueError("No purchasers found")
+        raise ValueError("the table has no purchasers")
     return out
 
 
@@ -188,19 +188,18 @@ def engagement_scores(players: DataFrame, channel_dim: DataFrame, country_dim: D
                       keep: tuple[str, ...] = ()) -> DataFrame:
     """P18 scores per player; ``keep`` carries extra player columns through the same projection."""
     p = channel_attributes(players, channel_dim, country_dim)
-    idx = X.engagement_index(
-        "battles_week1", "win_rate_week1", "trophies_end_week1", "arena_id",
-        "clan_member", "pass_royale_active", "retention_boost", "base_retention",
-    )
+    week = {"battles": "battles_week1", "win_rate": "win_rate_week1"}
+    index = X.linear_score("engagement_index", **week, trophies="trophies_end_week1", arena="arena_id", clan="clan_member",
+                           retention_boost="retention_boost", base_retention="base_retention", **{"pass": "pass_royale_active"})
     return p.select(
         "user_id",
         *keep,
         X.model_trophies("battles_week1", "win_rate_week1").alias("model_trophies"),
-        X.battle_mean("engagement", "skill_bias").alias("battle_mean"),
-        X.clan_propensity("battles_week1", "win_rate_week1").alias("clan_propensity"),
-        X.pass_propensity("trophies_end_week1", "win_rate_week1", "cards_upgraded_week1").alias("pass_propensity"),
-        idx.alias("engagement_index"),
-        X.retention_score(idx).alias("retention_score"),
+        X.linear_score("battle_mean", engagement="engagement", skill_bias="skill_bias").alias("battle_mean"),
+        X.linear_score("clan_propensity", **week).alias("clan_propensity"),
+        X.linear_score("pass_propensity", trophies="trophies_end_week1", win_rate="win_rate_week1", cards="cards_upgraded_week1").alias("pass_propensity"),
+        index.alias("engagement_index"),
+        X.retention_score(index).alias("retention_score"),
         X.trophy_wall("trophies_end_week1").alias("trophy_wall"),
         X.device_factor("device_type").alias("device_factor"),
         X.login_gap_score(
@@ -236,6 +235,7 @@ def feature_projection(players: DataFrame) -> DataFrame:
 
 
 def churn_feature_projection(players: DataFrame) -> DataFrame:
+    """The churn model's inputs and label."""
     return players.select("user_id", *K.CHURN_FEATURE_COLUMNS, K.CHURN_TARGET)
 
 

@@ -202,6 +202,13 @@ def q_rounded_metrics(spark, sf):
     return kpis.rounded_metrics(_players(spark, sf))
 
 
+@register("churn_features", P + f"SELECT user_id, {', '.join(K.CHURN_FEATURE_COLUMNS)}, {K.CHURN_TARGET} FROM players",
+          ("win_rate", "avg_sessions_per_day", "avg_battle_duration", "total_spend"))
+def q_churn_features(spark, sf):
+    """P20, the churn model's columns."""
+    return kpis.churn_feature_projection(_players(spark, sf))
+
+
 @register(
     "feature_projection",
     P + f"SELECT user_id, {', '.join(K.FEATURE_COLUMNS)}, retained_day7, ltv_day90 FROM players",
@@ -512,8 +519,9 @@ def q_ltv_pct_rank(spark, sf):
 def q_purchase_propensity(spark, sf):
     p = _players(spark, sf).select("user_id", "ltv_day90", "pass_royale_active", "retained_day7", "cards_upgraded_week1")
     r = ranks.pct_rank(p, "ltv_day90", "ltv_pct_rank")
-    return r.select("user_id", "ltv_pct_rank", X.purchase_propensity(
-        "pass_royale_active", "ltv_pct_rank", "retained_day7", "cards_upgraded_week1").alias("purchase_propensity"))
+    return r.select("user_id", "ltv_pct_rank", X.linear_score(
+        "purchase_propensity", ltv_pct_rank="ltv_pct_rank", retained="retained_day7", cards="cards_upgraded_week1",
+        **{"pass": "pass_royale_active"}).alias("purchase_propensity"))
 
 
 def _split_sql(label: str, name: str) -> str:

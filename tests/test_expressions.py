@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from acqlens.functions import expressions as X
-from acqlens.functions.special import hyp2f1, lgamma
+from acqlens.functions.special import hyp2f1, hyp2f1_by_depth, lgamma
 
 
 def _one(spark, expr, schema, rows):
@@ -94,12 +94,19 @@ def test_hyp2f1_series(spark, a, b, c, z):
     assert got == pytest.approx(_hyp_ref(a, b, c, z), rel=1e-11)
 
 
-def test_hyp2f1_multi_matches_single(spark):
-    from acqlens.functions.special import hyp2f1_multi
+@pytest.mark.parametrize("a, b, c", [(1.2, -0.5, 2.0), (4.8, 6.5, 6.0), (5000.2, 2.0, 5002.0), (-3.1, -0.99, 0.4)])
+def test_hyp2f1_by_depth_matches_the_series(spark, a, b, c):
+    """Nested products for small z, the summed series for the rest, both for several c."""
+    rows = [(z, c + k) for z in (0.0, 1e-6, 0.05, 0.1, 0.11, 0.5, 0.9) for k in (0.0, 1.0, 30.0)]
+    df = spark.createDataFrame(rows, "z double, c double")
+    got = {(r.z, r.c): r.f for r in df.select("z", "c", hyp2f1_by_depth(a, b, F.col("c"), F.col("z"), c).alias("f")).collect()}
+    for (z, k), v in got.items():
+        assert v == pytest.approx(_hyp_ref(a, b, k, z), rel=1e-11)
 
-    df = spark.createDataFrame([(0.05, 0.2, 0.0), (0.3, 0.6, 0.9)], "z1 double, z2 double, z3 double")
-    zs = [F.col("z1"), F.col("z2"), F.col("z3")]
-    multi = df.select(*[c.alias(f"m{i}") for i, c in enumerate(hyp2f1_multi(4.8, 6.5, 6.0, zs))]).collect()
-    for row, src in zip(multi, df.collect()):
-        for i, z in enumerate(src):
-            assert row[f"m{i}"] == pytest.approx(_hyp_ref(4.8, 6.5, 6.0, z), rel=1e-11)
+
+def test_linear_scores(spark):
+    df = spark.createDataFrame([(60.0, 1.0), (0.0, 0.0)], "b double, w double")
+    got = [r[0] for r in df.select(X.linear_score("clan_propensity", battles="b", win_rate="w")).collect()]
+    assert got == pytest.approx([0.82, 0.12])
+    with pytest.raises(ValueError, match="takes"):
+        X.linear_score("clan_propensity", battles="b")
