@@ -32,7 +32,9 @@ def test_entry_smoke(spark):
 FAST = ["scan_players", "roas_trend", "kpi_cards", "retention_matrix", "avg_retention", "rfm_summary",
         "channel_rfm", "ltv_pct_rank", "holdout_split", "roc_auc", "budget_allocation", "allocation_report",
         "mc_bands", "bgnbd_loglik", "expected_purchases", "customer_clv", "channel_clv", "preprocessed_features",
-        "classification_metrics", "quality_gates", "label_balance", "null_profile", "engagement_score"]
+        "classification_metrics", "quality_gates", "label_balance", "null_profile", "engagement_score",
+        "player_snapshots", "roas_trend_maintained", "retention_matrix_maintained", "scan_txns_csv", "partitioned_rewrite",
+        "metrics_history", "churn_features", "roas_trend_orders", "risk_bands"]
 
 
 @pytest.fixture(scope="module")
