@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acqlens.operators import ranks
@@ -268,6 +268,7 @@ class BoostedTrees:
     def margin(self, *columns: Column | str) -> Column:
         """Margin of rows given as one numeric column per feature."""
         trees, base = self.trees, self.base
+        ship(SparkSession.active())
 
         @F.pandas_udf("double")
         def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
