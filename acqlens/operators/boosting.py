@@ -1,17 +1,19 @@
 """Histogram gradient boosting: quantile bins stored once, at most one Spark job per tree level.
 
 The training rows are turned into blocks of bin codes (one byte per feature and row) and written
-once; the margins of the trees grown so far travel with them and are brought up to date every
-``refresh`` trees, again by a written table, so a lost executor costs a re-read and at most
-``refresh`` trees of arithmetic per row.  A job is one aggregate: every task adds its blocks'
-gradients and Hessians into (node, feature, bin) sums, and these arrays, whose size follows from
-the parameters alone, are summed in a tree of tasks.  The driver picks each node's split by its
-second-order gain, and gets leaf values from the same sums.
+once; the margins of the trees grown so far travel with them.  Each tree is added to the margins
+once, in blocks kept by the executors, and every ``refresh`` trees to a written table, so a lost
+executor costs a re-read and at most ``refresh`` trees of arithmetic per row.  A job is one
+aggregate: every task adds its blocks' gradients and Hessians into (node, feature, bin) sums, these
+arrays, whose size follows from the parameters alone, are added up by tasks for a few nodes each,
+and the same tasks pick the split of each node by its second-order gain.  The driver gets a split
+and six sums per node, whatever the number of tasks, and leaf values come from these.
 
 A job asks for several levels at once: the driver guesses the splits below the open nodes from a
 sample of at most ``guess_rows`` rows, and the job sums all nodes of the guessed tree over all rows.
 A guess that the full sums confirm has its children's sums already; below one that they don't, the
-next job asks again.  So the trees are those of one job per level, the sample only saves jobs.
+next job asks again.  A level whose guesses mostly fail is guessed no more.  So the trees are those
+of one job per level, the sample only saves jobs.
 
 Bins are weighted quantiles: the distinct values of all features are ranked together by
 ``ranks.value_ranks`` and cut at equal shares of the weight.  Bin 0 holds nulls and NaNs, which
@@ -35,7 +37,10 @@ from acqlens.operators import ranks
 from acqlens.session import scratch_path, ship
 
 BLOCK_ROWS = 65_536
-FAN_IN = 32  # arrays summed by one task, and by the driver
+FILE_ROWS = 2 * BLOCK_ROWS
+FAN_IN = 32  # arrays of a node summed by one task
+NODES = 8  # nodes whose sums meet in one task
+GUESS_TRIALS = 5
 MIN_GAIN = 1e-9
 
 
@@ -197,16 +202,28 @@ def _node_sums(p: BoostParams, codes: np.ndarray, g: np.ndarray, h: np.ndarray,
     return out
 
 
-def _job_sums(p: BoostParams, n_features: int, pending: list[Tree], tree: Tree, asked: np.ndarray):
-    """A partition's sums of the ``asked`` nodes."""
-    def run(blocks) -> Iterator[np.ndarray]:
+def _job_sums(p: BoostParams, n_features: int, tree: Tree, asked: np.ndarray):
+    """A partition's sums of the ``asked`` nodes, as (share of the nodes, (partition, sums))."""
+    def run(index: int, blocks) -> Iterator[tuple]:
         sums = None
         for block in blocks:
-            codes, y, w, margin = _opened(block, pending, n_features)
+            codes, y, w, margin = _opened(block, [], n_features)
             mine = _node_sums(p, codes, *gradients(p.kind, margin, y, w), tree, asked)
             sums = mine if sums is None else sums + mine
         if sums is not None:
-            yield sums
+            for share in range(_shares(asked)):
+                yield share, (index, sums[share * NODES : (share + 1) * NODES])
+    return run
+
+
+def _shares(asked: np.ndarray) -> int:
+    return -(-len(asked) // NODES)
+
+
+def _job_splits(p: BoostParams):
+    def run(shares) -> Iterator[tuple]:
+        for share, (_, sums) in shares:
+            yield share, best_splits(sums, p)
     return run
 
 
@@ -219,11 +236,16 @@ def _sampled(n_features: int, share: float):
     return run
 
 
-def _guessed(p: BoostParams, tree: Tree, open_: np.ndarray, codes: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[Tree, np.ndarray]:
-    """``tree`` with guessed splits below the ``open_`` nodes, and the nodes to ask for."""
+def _guessed(p: BoostParams, tree: Tree, open_: np.ndarray, codes: np.ndarray, g: np.ndarray, h: np.ndarray, record: np.ndarray) -> tuple[Tree, np.ndarray]:
+    """``tree`` with guessed splits below the ``open_`` nodes, and the nodes to ask for.
+    ``record`` has per level how many times it was guessed and how many times rightly."""
     guess, nodes, asked = Tree(*(v.copy() for v in tree.__dict__.values())), open_, []
+    worth = (record[:, 0] < GUESS_TRIALS) | (2 * record[:, 1] >= record[:, 0])
     while len(nodes):
         asked.append(nodes)
+        nodes = nodes[worth[_level(nodes)]]
+        if not len(nodes):
+            break
         found = best_splits(_node_sums(p, codes, g, h, guess, nodes), p)
         good = found["gain"] > MIN_GAIN
         parents = nodes[good]
@@ -232,11 +254,21 @@ def _guessed(p: BoostParams, tree: Tree, open_: np.ndarray, codes: np.ndarray, g
     return guess, np.sort(np.concatenate(asked))
 
 
+def _level(nodes: np.ndarray) -> np.ndarray:
+    return np.log2(nodes + 1).astype(int)
+
+
 def _inner(nodes: np.ndarray, p: BoostParams) -> np.ndarray:
     """Those of ``nodes`` that may be split, that is, above the last level."""
     return nodes[nodes < 2**p.depth - 1]
 
 
+def _added(tree: Tree, n_features: int):
+    def run(block: dict) -> dict:
+        return {**block, "margin": _opened(block, [tree], n_features)[3].tobytes()}
+    return run
+
+
 def _advance(trees: list[Tree], n_features: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -330,44 +362,74 @@ def fit(train: DataFrame, features: list[str], label: str, params: BoostParams =
         mean = min(max(mean, 1e-6), 1 - 1e-6)
         base = float(np.log(mean / (1 - mean)))
     edges = quantile_edges(data, [f"x{i}" for i in range(d)], p.bins, "w")
+    # files of some size: a task's time should be in its rows, and each task has sums of its own
+    data = data.coalesce(-(-total["n"] // FILE_ROWS))
     frame, blocks = _stored(data.mapInArrow(_encode(edges, base), _BLOCK_SCHEMA), "boost-blocks")
     share = min(1.0, p.guess_rows / max(1, total["n"]))
     codes, y, w, margin = (np.concatenate(c, axis=-1) for c in zip(*blocks.mapPartitions(_sampled(d, share)).collect()))
     w = w / share
-    model, pending = BoostedTrees(list(features), p, base), []
+    model, pending, old, record = BoostedTrees(list(features), p, base), [], None, np.zeros((p.depth, 2), dtype=int)
     for _ in range(p.trees):
         if len(pending) == p.refresh:
-            old = blocks
+            last = blocks
             frame, blocks = _stored(frame.mapInArrow(_advance(pending, d), _BLOCK_SCHEMA), "boost-blocks")
-            old.unpersist()
+            last.unpersist()
             pending = []
         tree, open_ = Tree.empty(p.depth), np.array([0])
         g, h = gradients(p.kind, margin, y, w)
         while len(open_):
-            guess, asked = _guessed(p, tree, open_, codes, g, h)
-            sums = _summed(blocks.mapPartitions(_job_sums(p, d, pending, guess, asked)))
-            open_ = _settled(p, tree, guess, open_, asked, sums, edges)
+            guess, asked = _guessed(p, tree, open_, codes, g, h, record)
+            shares = _summed((blocks.mapPartitionsWithIndex(_job_sums(p, d, guess, asked)), _shares(asked)))
+            parts = [f for _, f in sorted(shares.mapPartitions(_job_splits(p)).collect(), key=lambda r: r[0])]
+            found = {c: np.concatenate([f[c] for f in parts]) for c in parts[0]}
+            open_ = _settled(p, tree, guess, open_, asked, found, edges, record)
+            if old is not None:  # the job has made the blocks that follow
+                old.unpersist()
+                old = None
         model.trees.append(tree)
         pending.append(tree)
         margin = margin + tree.value[tree.leaves(codes, tree.code, len(y))]
-    blocks.unpersist()
+        if len(pending) < p.refresh:
+            old, blocks = blocks, blocks.map(_added(tree, d)).persist(StorageLevel.MEMORY_AND_DISK)
+    for b in (old, blocks):
+        if b is not None:
+            b.unpersist()
     return model
 
 
-def _summed(parts) -> np.ndarray:
-    """Sum of the partitions' arrays; more than FAN_IN of them are summed by tasks first."""
-    n = parts.getNumPartitions()
-    if n <= FAN_IN:
-        return np.add.reduce(parts.collect())
-    return parts.treeReduce(np.add, depth=int(np.ceil(np.log(n) / np.log(FAN_IN))))
+def _summed(parts):
+    """The partitions' arrays of each share of the nodes, added in the partitions' order, as an RDD;
+    ``parts`` is the RDD of :func:`_job_sums` and the number of shares.  At most FAN_IN arrays of a
+    share meet in a task; with more partitions, their sums are added up in the same way."""
+    sums, shares = parts
+    left = sums.getNumPartitions()
+    while left > 1:
+        fan, left = FAN_IN, -(-left // FAN_IN)
+        keyed = sums.map(_keyed(fan, left))
+        sums = keyed.partitionBy(shares * left, int).mapPartitions(_reduced(left))
+    return sums
+
+
+def _keyed(fan: int, groups: int):
+    return lambda r: (r[0] * groups + r[1][0] // fan, r[1])
+
+
+def _reduced(groups: int):
+    def run(rows) -> Iterator[tuple]:
+        held: dict[int, list] = {}
+        for key, part in rows:
+            held.setdefault(key, []).append(part)
+        for key, some in held.items():
+            yield key // groups, (key % groups, np.add.reduce([s for _, s in sorted(some, key=lambda part: part[0])]))
+    return run
 
 
-def _settled(p: BoostParams, tree: Tree, guess: Tree, nodes: np.ndarray, asked: np.ndarray, sums: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
-    """Splits of ``nodes`` and, where a guess holds, of the nodes below; returns the nodes whose
-    sums are still to be asked for."""
+def _settled(p: BoostParams, tree: Tree, guess: Tree, nodes: np.ndarray, asked: np.ndarray, splits: dict[str, np.ndarray], edges: list[np.ndarray], record: np.ndarray) -> np.ndarray:
+    """Splits of ``nodes`` and, where a guess holds, of the nodes below, from the ``splits`` of the
+    ``asked`` nodes; returns the nodes still to be asked for."""
     left_open = []
     while len(nodes):
-        found = best_splits(sums[np.searchsorted(asked, nodes)], p)
+        found = {c: v[np.searchsorted(asked, nodes)] for c, v in splits.items()}
         good = found["gain"] > MIN_GAIN
         tree.cover[nodes] = found["total"][:, 1]
         tree.value[nodes] = -p.step * found["total"][:, 0] / (found["total"][:, 1] + p.l2)
@@ -379,6 +441,8 @@ def _settled(p: BoostParams, tree: Tree, guess: Tree, nodes: np.ndarray, asked:
             tree.value[2 * parents + side] = -p.step * s[:, 0] / (s[:, 1] + p.l2)
             tree.cover[2 * parents + side] = s[:, 1]
         held = (tree.feature[parents] == guess.feature[parents]) & (tree.code[parents] == guess.code[parents])
+        for level in np.unique(_level(parents[guess.feature[parents] >= 0])):
+            record[level] += 1, held[_level(parents) == level].all()
         below = [_inner(np.concatenate((2 * of + 1, 2 * of + 2)), p) for of in (parents[held], parents[~held])]
         left_open.append(below[1])
         nodes = below[0]

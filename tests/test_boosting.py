@@ -161,3 +161,31 @@ def test_best_split_is_the_largest_gain():
                 gains[f, c] = a + b - t
         best = max(gains, key=gains.get)
         assert (found["feature"][n], found["code"][n]) == best
+
+
+def test_the_driver_gets_splits_not_sums(rows, monkeypatch):
+    """What a job sends to the driver doesn't grow with its partitions, nor with the bins."""
+    import pickle
+
+    from pyspark import RDD
+
+    sizes, collect = [], RDD.collect
+
+    def weighed(rdd):
+        got = collect(rdd)
+        sizes.append(len(pickle.dumps(got)))
+        return got
+
+    monkeypatch.setattr(RDD, "collect", weighed)
+    monkeypatch.setattr(boosting, "FILE_ROWS", 100)
+    boosting.fit(rows.limit(600).repartition(6), FEATURES, "y", BoostParams(trees=3, depth=4, guess_rows=1))
+    assert len(sizes) > 3 and max(sizes) < 10_000
+
+
+def test_levels_guessed_wrongly_are_guessed_no_more(rows, monkeypatch):
+    calls, node_sums = [], boosting._node_sums
+    monkeypatch.setattr(boosting, "_node_sums", lambda *a: (calls.append(1), node_sums(*a))[1])
+    small = rows.limit(800).withColumn("y", (F.rand(1) > 0.5).cast("double")).repartition(2).cache()
+    p = BoostParams(trees=30, depth=3, guess_rows=20)
+    model = boosting.fit(small, FEATURES, "y", p)
+    assert len(model.trees) == 30 and len(calls) < 90  # one per level and tree, or more, where all are guessed
