@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from acqlens import constants as K
 from acqlens.operators import models, ranks
 from acqlens.session import scratch_path
+from tests.conftest import SF_SMALL
 
 
 @pytest.fixture(scope="module")
@@ -74,3 +75,12 @@ def test_no_row_shuffle_without_static_broadcast(spark, players_small):
             assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_fits_run_side_by_side(spark):
+    from threading import Barrier
+
+    from acqlens.plans import catalog
+
+    both = Barrier(2)
+    assert catalog._side_by_side(spark, SF_SMALL, *[lambda k=k: (both.wait(60), k)[1] for k in range(2)]) == [0, 1]
