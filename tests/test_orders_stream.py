@@ -59,3 +59,35 @@ def test_day_sums_against_all_orders():
             first = min(d for d, _ in seen)
             assert sum(known.values()) == sum(c for d, c in seen if d < first + 90) and min(known) == first
             assert len(known) <= 90
+
+
+def test_a_customer_costs_three_calls():
+    """Rows in, rows out, and one read, one write and one timer for a new customer."""
+    from pyspark.sql import Row
+
+    calls = []
+
+    class Fake:
+        held = None
+
+        def exists(self):
+            calls.append("exists")
+            return self.held is not None
+
+        def get(self):
+            calls.append("get")
+            return self.held
+
+        def update(self, value):
+            calls.append("update")
+            self.held = value
+
+        def registerTimer(self, at):
+            calls.append("registerTimer")
+
+    p = orders_stream.FirstDays()
+    p.handle = p.state = Fake()
+    got = list(p.handleInputRows((7,), iter([Row(d=3, cents=5), Row(d=1, cents=2)]), None))
+    assert got == [Row(u=7, old_install=None, old_cents=None, install=1, cents=7)]
+    assert calls == ["get", "registerTimer", "update"]
+    assert list(p.handleInputRows((7,), iter([Row(d=2, cents=1)]), None)) == [Row(u=7, old_install=1, old_cents=7, install=1, cents=8)]
