@@ -5,7 +5,9 @@ n-grams, sorted by hash and delta-coded, go to the count tables, which are parti
 range.  There the chunks' rows are summed per n-gram and every chunk gets the totals of its own
 n-grams back, in its own order; joined to the chunk's exploded n-grams they give each
 occurrence its counts, summed per document.  An n-gram travels once per chunk however often it
-occurs, so frequent words make no hot key, and the exchanged counts grow with the corpus.
+occurs, so frequent words make no hot key, and the exchanged counts grow with the corpus.  Words
+and bigrams are counted first, then the longer n-grams length by length: only the totals, a
+byte or so for each, are kept from one round to the next.
 
 Counts leave the scored document itself out.  S(w | context) is the relative frequency if the
 n-gram occurs elsewhere, else ``backoff`` times the score with one context word less; a word
@@ -19,14 +21,16 @@ are scored apart (copies count as occurrences elsewhere).
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acqlens.llm.common import sequence_hashes, ship, stored, trimmed, word_hashes
+from acqlens.llm.common import discard, sequence_hashes, ship, stored_alone, trimmed, word_hashes
 
 
 @dataclass(frozen=True)
@@ -44,17 +48,27 @@ def deal(size: int, least: int, params: BackoffParams) -> tuple[int, int]:
 
 
 def pack_sorted(x: np.ndarray) -> bytes:
-    """Ascending 64-bit numbers as deltas of as many bytes as the largest needs."""
+    """Ascending 64-bit numbers as deltas of the number of bytes that takes least, those too large
+    for it listed after them."""
     d = np.diff(x, prepend=np.uint64(0))
-    n = max(1, (int(d.max()).bit_length() + 7) // 8) if len(d) else 1
-    return bytes([n]) + d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].tobytes()
+    n, large = 8, np.zeros(len(d), dtype=bool)
+    while n > 1:
+        more = d >= np.uint64((1 << 8 * (n - 1)) - 1)
+        if 8 * (np.count_nonzero(more) - np.count_nonzero(large)) > len(d):
+            break
+        n, large = n - 1, more
+    head = np.where(large, np.uint64((1 << 8 * n) - 1), d).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n]
+    return bytes([n]) + len(d).to_bytes(8, "little") + head.tobytes() + d[large].astype("<u8").tobytes()
 
 
 def unpack_sorted(b: bytes) -> np.ndarray:
-    raw = np.frombuffer(b, dtype=np.uint8, offset=1).reshape(-1, b[0])
-    wide = np.zeros((len(raw), 8), dtype=np.uint8)
-    wide[:, : b[0]] = raw
-    return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64)
+    n, size = b[0], int.from_bytes(b[1:9], "little")
+    wide = np.zeros((size, 8), dtype=np.uint8)
+    wide[:, :n] = np.frombuffer(b, dtype=np.uint8, count=n * size, offset=9).reshape(-1, n)
+    d = wide.view("<u8").ravel()
+    if n < 8:
+        d[d == np.uint64((1 << 8 * n) - 1)] = np.frombuffer(b, dtype="<u8", offset=9 + n * size)
+    return np.cumsum(d, dtype=np.uint64)
 
 
 def pack_counts(x: np.ndarray) -> bytes:
@@ -70,12 +84,12 @@ def unpack_counts(b: bytes) -> np.ndarray:
     return out
 
 
-def _ngrams(texts: list[str | None], order: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+def _ngrams(texts: list[str | None], lengths: Iterable[int]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """Words per text, and for each length the start positions and hashes of its n-grams."""
     words, per = word_hashes([(t or "").encode("utf-8", "surrogatepass").lower() for t in texts])
     doc = np.repeat(np.arange(len(per)), per)
     out = []
-    for k in range(1, order + 1):
+    for k in lengths:
         h = sequence_hashes(words, k)
         at = np.flatnonzero(doc[: len(h)] == doc[k - 1 :]) if len(h) else np.empty(0, dtype=np.int64)
         out.append((at, h[at]))
@@ -83,12 +97,13 @@ def _ngrams(texts: list[str | None], order: int) -> tuple[np.ndarray, list[tuple
 
 
 def _count(order: int, tables: int):
+    """A function for each round, which counts a chunk's n-grams of one or two lengths."""
     edges = np.array([(i << 64) // tables for i in range(1, tables)], dtype=np.uint64)
 
-    def run(chunk: pa.Table) -> pa.Table:
+    def run(chunk: pa.Table, lengths: tuple[int, ...]) -> pa.Table:
         rows: dict[str, list] = {"part": [], "chunk": [], "n": [], "hashes": [], "counts": []}
-        _, grams = _ngrams(chunk.column("text").to_pylist(), order)
-        for n, (_, h) in enumerate(grams, 1):
+        _, grams = _ngrams(chunk.column("text").to_pylist(), lengths)
+        for n, (_, h) in zip(lengths, grams):
             u, c = np.unique(h, return_counts=True)
             cuts = np.concatenate(([0], np.searchsorted(u, edges), [len(u)]))
             for part in np.flatnonzero(np.diff(cuts)):
@@ -96,7 +111,10 @@ def _count(order: int, tables: int):
                 for name, v in zip(rows, (int(part), chunk.column("chunk")[0].as_py(), n, pack_sorted(u[s]), pack_counts(c[s]))):
                     rows[name].append(v)
         return pa.table(rows, schema=pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("n", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())]))
-    return run
+
+    def of(lengths: tuple[int, ...]):
+        return lambda chunk: run(chunk, lengths)
+    return [of(lengths) for lengths in ((1, 2)[:order], *((n,) for n in range(3, order + 1)))]
 
 
 def _total(part: pa.Table) -> pa.Table:
@@ -117,7 +135,7 @@ def _total(part: pa.Table) -> pa.Table:
 
 def _score(p: BackoffParams):
     def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
-        per, grams = _ngrams(chunk.column("text").to_pylist(), p.order)
+        per, grams = _ngrams(chunk.column("text").to_pylist(), range(1, p.order + 1))
         doc = np.repeat(np.arange(len(per)), per)
         where = list(zip(answers.column("n").to_pylist(), answers.column("part").to_pylist(), range(len(answers))))
         counts = []  # for each length: counts elsewhere of the n-gram that starts at a position
@@ -159,10 +177,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", param
     id_type = docs.schema[id_col].dataType.simpleString()
     dealt = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
                         F.pmod(F.xxhash64(id_col, text_col), F.lit(chunks)).cast("int").alias("chunk"))
-    counted = dealt.groupBy("chunk").applyInArrow(trimmed(_count(params.order, tables)), "part int, chunk int, n int, hashes binary, counts binary")
-    answers = counted.groupBy("part").applyInArrow(trimmed(_total), "chunk int, n int, part int, totals binary")
-    scored = stored(dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
+    rounds = []
+    for count in _count(params.order, tables):
+        counted = dealt.groupBy("chunk").applyInArrow(trimmed(count), "part int, chunk int, n int, hashes binary, counts binary")
+        rounds.append(stored_alone(counted.groupBy("part").applyInArrow(trimmed(_total), "chunk int, n int, part int, totals binary"), "lm-totals"))
+    answers = reduce(DataFrame.unionByName, rounds)
+    scored = stored_alone(dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
         trimmed(_score(params)), f"doc_id {id_type}, n_words long, part_score double, n_unigram long"), "lm-scored")
+    discard(*rounds)
     words = scored.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     log_score = F.col("part_score") - F.col("n_unigram") * F.log(F.greatest(F.lit(words) - F.col("n_words"), F.lit(1)).cast("double"))
     return (scored.withColumn("log_score", log_score)

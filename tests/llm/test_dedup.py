@@ -117,6 +117,29 @@ def test_suffix_dedup(spark):
     assert substrings.remove_repeats(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_only_windows_that_occur_again_are_sorted():
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    shared = prose(rng, 30).encode()[:70]
+    rows = [pa.table({"run": pa.array([r] * 20, pa.int32()), "h": list(range(20)), "key": list(range(20)), "doc": list(range(100 * r, 100 * r + 20)),
+                      "context": pa.array([shared if i == 3 else prose(rng, 30).encode()[:70] for i in range(20)], pa.binary())}) for r in range(3)]
+    sent = pa.concat_tables(substrings._send_windows(50, 4)(r) for r in rows).to_pandas()
+    answers = pa.concat_tables(substrings._shared(pa.Table.from_pandas(part, preserve_index=False)) for _, part in sent.groupby("part"))
+    for r, x in enumerate(rows):
+        mine = answers.filter(pa.compute.equal(answers.column("chunk"), r))
+        made = substrings._make_runs(50, [])(x, mine)
+        (got,) = [substrings.decode(*c, 50)[1] for c in zip(made.column("shared").to_pylist(), made.column("rest").to_pylist())]
+        assert got == sorted(shared[i : i + 50] for i in range(21))  # 21 of 420
+
+
+def test_anchor_hashes_fill_the_ranges():
+    rng = random.Random(9)
+    h = substrings.anchors([prose(rng, 20_000).encode()], substrings.SubstringParams())[0]
+    counts = np.bincount((h >> np.uint64(60)).astype(int), minlength=16)
+    assert counts.max() < 1.3 * len(h) / 16
+
+
 def test_loser_tree_knows_every_prefix():
     rng = random.Random(3)
     for k in (1, 2, 3, 7, 16):
@@ -136,6 +159,11 @@ def test_loser_tree_knows_every_prefix():
 def test_sorted_and_count_coding():
     x = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 500, dtype=np.uint64) * np.uint64(2))
     assert (lm_score.unpack_sorted(lm_score.pack_sorted(x)) == x).all()
+    dense = np.cumsum(np.full(1000, 200, dtype=np.uint64))
+    far = np.append(dense, [np.uint64(1 << 63), np.uint64((1 << 64) - 1)])
+    for y in (dense, far, far[:0], far[-1:]):
+        assert (lm_score.unpack_sorted(lm_score.pack_sorted(y)) == y).all()
+    assert len(lm_score.pack_sorted(far)) < 1100  # two large gaps don't widen all the others
     c = np.array([1, 254, 255, 256, 10**12, 0])
     assert (lm_score.unpack_counts(lm_score.pack_counts(c)) == c).all()
 
