@@ -259,6 +259,20 @@ def test_backoff_tables_follow_the_size(spark, monkeypatch):
     assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want])
 
 
+def test_backoff_counts_travel_in_rounds(spark, monkeypatch):
+    rounds = []
+    real = lm_score.stored_alone
+
+    def seen(df, name):
+        out = real(df, name)
+        if name == "lm-totals":
+            rounds.append(sorted(r[0] for r in out.select("n").distinct().collect()))
+        return out
+    monkeypatch.setattr(lm_score, "stored_alone", seen, raising=False)
+    lm_score.score(frame(spark, awkward()), params=lm_score.BackoffParams(order=4)).collect()
+    assert rounds == [[1, 2], [3], [4]]
+
+
 def test_backoff_query_uses_trigrams(spark):
     from acqlens.llm import queries
 
