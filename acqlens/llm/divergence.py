@@ -73,9 +73,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """(lang, source, term, n, docs): occurrences of each term in a group, and documents that have
-    it.  Every group has a row with a null term besides."""
+    it.  Every group has a row with a null term besides.  All rows of a language's term lie in one
+    partition."""
     counted = map_arrow(docs.select(text_col, lang_col, source_col), _count, "lang string, source string, term string, n long, docs long")
-    return counted.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return counted.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def _share(n: str, total: str, terms: str) -> Column:
@@ -89,9 +90,17 @@ def _f(p: str, q: str) -> str:
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (lang, items: [(source, share, share of nothing)] by source, terms), sorted by lang and
     items, into corrections (lang, a, b, high, low) of f(a, b)."""
+    known: dict[tuple, dict] = {}  # equal items are one object, made once
+
     def rows() -> Iterator[tuple]:
         for batch in batches:
-            yield from zip(batch.column("lang").to_pylist(), batch.column("items").to_pylist(), batch.column("terms").to_pylist())
+            items = batch.column("items")
+            fields = (items.values.field(name).to_pylist() for name in ("source", "p", "zero"))
+            flat = [known.get(x) or known.setdefault(x, dict(zip(("source", "p", "zero"), x))) for x in zip(*fields)]
+            cuts = items.offsets.to_pylist()
+            yield from zip(batch.column("lang").to_pylist(), (flat[a:z] for a, z in zip(cuts, cuts[1:])), batch.column("terms").to_pylist())
+            if len(known) > _NODES:
+                known.clear()
 
     held: list[tuple] = []
     size, lang = 0, None
@@ -115,7 +124,7 @@ class Tree:
         for items, n in rows:
             same = 0
             for x, y in zip(items, before):
-                if x != y:
+                if x is not y and x != y:
                     break
                 same += 1
             del path[same:]
@@ -182,14 +191,15 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     are read as ''.  Repeated rows count again; empty and very long texts need no care; an empty
     table gives no rows.  Ties of value are ordered by item.
     """
-    counts = stored(term_counts(docs, text_col, lang_col, source_col), "audit-counts")
-    kept = counts.where("term is not null").groupBy("lang", "term").agg(
-        F.sum("docs").alias("docs"), F.sum("n").alias("n"), F.collect_list(F.struct("source", "n")).alias("sources")).where(F.col("docs") >= at_least)
-    kept = stored(kept.select("lang", "term", "n", "sources"), "audit-kept")
+    counts = term_counts(docs, text_col, lang_col, source_col).groupBy("lang", "term").agg(
+        F.sum("docs").alias("docs"), F.sum("n").alias("n"), F.collect_list(F.struct("source", "n")).alias("sources"))
+    counts = stored(counts.where((F.col("docs") >= at_least) | F.col("term").isNull()).select("lang", "term", "n", "sources"), "audit-kept")
+    kept = counts.where("term is not null")
+    occur = counts.where("term is null").select("lang", F.explode("sources.source").alias("source"))  # every group
     langs = kept.groupBy("lang").agg(F.sum("n").alias("lang_total"), F.count("*").alias("v"))
     one = kept.select("lang", "term", F.col("n").alias("lang_n"), F.explode("sources").alias("s")).select("lang", "term", "lang_n", "s.source", "s.n")
     totals = one.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    groups = stored(counts.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(langs, "lang", "left").select(
+    groups = stored(occur.join(totals, ["lang", "source"], "left").join(langs, "lang", "left").select(
         "lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("v", F.lit(0)).alias("v"), F.coalesce("lang_total", F.lit(0)).alias("lang_total"))
         .withColumn("zero", F.when(F.col("v") > 0, _share("0", "total", "v"))), "audit-groups")
 
