@@ -47,20 +47,58 @@ def deal(size: int, least: int, params: BackoffParams) -> tuple[int, int]:
     return max(least, -(-size // params.chunk_bytes)), max(least, -(-size // params.table_bytes))
 
 
-def pack_sorted(x: np.ndarray) -> bytes:
-    """Ascending 64-bit numbers as deltas of the number of bytes that takes least, those too large
-    for it listed after them."""
-    d = np.diff(x, prepend=np.uint64(0))
+def _narrow(d: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """The number of bytes per delta that takes least, the deltas' bytes, and which are too large for it."""
     n, large = 8, np.zeros(len(d), dtype=bool)
     while n > 1:
         more = d >= np.uint64((1 << 8 * (n - 1)) - 1)
         if 8 * (np.count_nonzero(more) - np.count_nonzero(large)) > len(d):
             break
         n, large = n - 1, more
-    head = np.where(large, np.uint64((1 << 8 * n) - 1), d).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n]
+    return n, np.where(large, np.uint64((1 << 8 * n) - 1), d).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n], large
+
+
+def pack_sorted(x: np.ndarray) -> bytes:
+    """Ascending 64-bit numbers as deltas of the number of bytes that takes least, those too large
+    for it listed after them."""
+    d = np.diff(x, prepend=np.uint64(0))
+    n, head, large = _narrow(d)
     return bytes([n]) + len(d).to_bytes(8, "little") + head.tobytes() + d[large].astype("<u8").tobytes()
 
 
+def pack_pieces(x: np.ndarray, cuts: np.ndarray) -> list[bytes]:
+    """``pack_sorted`` of every piece between neighbouring ``cuts``, none of them empty, made at
+    once: the pieces get small where there are many, and share one number of bytes."""
+    d = np.diff(x, prepend=np.uint64(0))
+    d[cuts[:-1]] = x[cuts[:-1]]
+    n, head, large = _narrow(d)
+    before = np.concatenate(([0], np.cumsum(large)))[cuts].tolist()
+    head, rest, cuts = head.tobytes(), d[large].astype("<u8").tobytes(), cuts.tolist()
+    return [bytes([n]) + (z - a).to_bytes(8, "little") + head[n * a : n * z] + rest[8 * i : 8 * j]
+            for a, z, i, j in zip(cuts, cuts[1:], before, before[1:])]
+
+
+def unpack_pieces(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all pieces one after the other, and how many each has."""
+    width = np.array([b[0] for b in pieces], dtype=np.int64)
+    size = np.array([int.from_bytes(b[1:9], "little") for b in pieces], dtype=np.int64)
+    d = np.empty(size.sum(), dtype=np.uint64)
+    for n in np.unique(width).tolist():
+        own = np.flatnonzero(width == n).tolist()
+        wide = np.zeros((size[own].sum(), 8), dtype=np.uint8)
+        wide[:, :n] = np.frombuffer(b"".join(pieces[i][9 : 9 + n * k] for i, k in zip(own, size[own].tolist())), dtype=np.uint8).reshape(-1, n)
+        part = wide.view("<u8").ravel()
+        if n < 8:
+            part[part == np.uint64((1 << 8 * n) - 1)] = np.frombuffer(b"".join(pieces[i][9 + n * k :] for i, k in zip(own, size[own].tolist())), dtype="<u8")
+        if len(own) == len(pieces):
+            d = part
+        else:
+            d[np.repeat(width == n, size)] = part
+    x = np.cumsum(d, dtype=np.uint64)
+    start = (np.cumsum(size) - size)[size > 0]
+    return x - np.repeat(x[start] - d[start], size[size > 0]), size
+
+
 def unpack_sorted(b: bytes) -> np.ndarray:
     n, size = b[0], int.from_bytes(b[1:9], "little")
     wide = np.zeros((size, 8), dtype=np.uint8)

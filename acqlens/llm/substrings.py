@@ -9,12 +9,14 @@ id.  Only suffixes that can matter are sorted, cut off at ``width`` bytes:
    does another document have it?
 2. The windows of a shared anchor form one context string, known by its hash.  Equal contexts
    need no comparison: every document but the smallest loses all of their windows.
-3. Different contexts of one anchor can share windows.  Runs of contexts first learn, as in step
-   1, which windows occur in several of them: a window whose hash occurs once has no equal.  The
-   other suffixes are sorted in runs, each run front-coded (shared prefix length and the rest),
-   exchanged by key range and merged with loser trees that keep the prefix lengths known and
-   compare only the bytes after them.  Equal neighbours share the smallest document, which goes
-   back to the runs.
+3. Different contexts of one anchor can share windows.  As equal windows have equal anchors, the
+   contexts are dealt by anchor to regions of some runs each, and no region has anything to merge
+   with another: what runs and key ranges exchange grows with the contexts, not their square.
+   Runs first learn, as in step 1, which windows occur in several contexts: a window whose hash
+   occurs once has no equal.  The other suffixes are sorted in runs, each run front-coded (shared
+   prefix length and the rest), exchanged by key range and merged with loser trees that keep the
+   prefix lengths known and compare only the bytes after them.  Equal neighbours share the
+   smallest document, which goes back to the runs.
 4. Chunks remove the covered bytes from their documents.
 
 What occurs in many documents travels once per chunk or run, so copied passages make no hot
@@ -27,22 +29,23 @@ don't remove each other; rows with a null id lose nothing and remove nothing.
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from acqlens.llm.common import chunks as blocks
-from acqlens.llm.common import discard, mix64, running_sums, ship, stored_alone, stretch_hashes, trimmed
-from acqlens.llm.lm_score import pack_sorted, unpack_sorted
+from acqlens.llm.common import discard, mix64, powers, running_sums, ship, stored_alone, stretch_hashes, trimmed
+from acqlens.llm.lm_score import pack_pieces, unpack_pieces
 
 
-_BLOCK = 1 << 17  # bytes of text worked on at a time, so that the arrays stay in the processor's cache
+_BLOCK = 1 << 15  # bytes of text worked on at a time, so that the arrays stay in the processor's cache
 
 
 @dataclass(frozen=True)
@@ -51,6 +54,7 @@ class SubstringParams:
     gram: int = 24  # at most width
     chunk_bytes: int = 4 << 20  # of text; a task holds one chunk
     run_contexts: int = 16_000  # contexts per sorted run, and per key range of the merge
+    region_runs: int = 16  # runs per region, about
 
 
 def gram_hashes(run: np.ndarray, k: int) -> np.ndarray:
@@ -58,6 +62,14 @@ def gram_hashes(run: np.ndarray, k: int) -> np.ndarray:
     return stretch_hashes(run, slice(0, len(run) - k), slice(k, None))
 
 
+def gram_order(run: np.ndarray, k: int) -> np.ndarray:
+    """A number for every k consecutive bytes whose upper half orders them: their hash before its
+    last mixing, which only its lower half needs."""
+    h = run[k:] - run[:-k]
+    h *= powers(len(run))[1][: len(h)]
+    return h
+
+
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     size = 1
     while size * 2 <= w:
@@ -78,21 +90,25 @@ def anchors(blobs: list[bytes], p: SubstringParams) -> list[np.ndarray]:
     if not long_.any():
         return none
     run = running_sums(buf)
-    h = gram_hashes(run, p.gram)
-    place = np.arange(len(h), dtype=np.uint64)
-    least = sliding_min((h & np.uint64(0xFFFFFFFF00000000)) | place, p.width - p.gram + 1)
+    least = gram_order(run, p.gram)
+    least &= np.uint64(0xFFFFFFFF00000000)
+    least |= np.arange(len(least), dtype=np.uint64)
+    least = sliding_min(least, p.width - p.gram + 1)
     ends = np.cumsum(size)
-    step = np.zeros(len(buf) + 1, dtype=np.int8)  # 1 where the starts of a text's windows begin, -1 after the last
-    step[(ends - size)[long_]] += 1
-    step[(ends - p.width + 1)[long_]] -= 1
-    at = np.flatnonzero(np.cumsum(step[: len(least)], dtype=np.int8))
-    anchor = least[at] & np.uint64(0xFFFFFFFF)
-    new = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))  # texts share no anchor
-    last = at[np.append(new[1:] - 1, len(at) - 1)]
-    first = at[new]
+    new = np.empty(len(least) + 1, dtype=bool)  # where an anchor's windows begin, or those across two texts
+    new[0] = True
+    np.not_equal(least[1:], least[:-1], out=new[1:-1])
+    new[np.minimum((ends - size)[long_], len(least))] = True
+    new[np.minimum((ends - p.width + 1)[long_], len(least))] = True
+    first = np.flatnonzero(new[:-1])
+    last = np.append(first[1:], len(least)) - 1
+    blob = np.searchsorted(ends, first, side="right")
+    use = np.flatnonzero(first + p.width <= ends[blob])
+    first, last, blob = first[use], last[use], blob[use]
+    anchor = (least[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     key = stretch_hashes(run, first, last + p.width).view(np.int64)
     # hashed again: the smallest of a window's hashes would crowd the first hash ranges
-    return [mix64(h[anchor[new].astype(np.int64)]), key, np.searchsorted(ends, first, side="right"), first, last]
+    return [mix64(stretch_hashes(run, anchor, anchor + p.gram)), key, blob, first, last]
 
 
 def _blobs(chunk: pa.Table) -> list[bytes]:
@@ -111,25 +127,51 @@ def _chunk_anchors(blobs: list[bytes], p: SubstringParams) -> list[np.ndarray]:
     return [np.concatenate(x) for x in zip(*found)]
 
 
+def _groups(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Order by ``h``, where in it each number's group begins, the groups' sizes, and the distinct numbers."""
+    order = np.argsort(h)
+    x = h[order]
+    start = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))[: len(x)]
+    return order, start, np.diff(np.append(start, len(x))), x[start]
+
+
 def _chunk_hashes(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct anchor hashes of a chunk, and whether several documents of it have them."""
-    order = np.argsort(h, kind="stable")
-    u, start = np.unique(h[order], return_index=True)
+    order, start, _, u = _groups(h)
     if not len(u):
         return u, np.empty(0, dtype=bool)
     doc = doc[order]
     return u, np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start)
 
 
+def _bit_places(size: np.ndarray) -> np.ndarray:
+    """Where the bits of pieces of so many bits are, if each piece begins a byte of its own."""
+    room = -(-size // 8) * 8
+    return np.arange(size.sum()) + np.repeat(np.cumsum(room) - room - (np.cumsum(size) - size), size)
+
+
+def _pack_bits(bits: np.ndarray, size: np.ndarray) -> list[bytes]:
+    room = -(-size // 8)
+    wide = np.zeros(8 * room.sum(), dtype=bool)
+    wide[_bit_places(size)] = bits
+    raw = np.packbits(wide).tobytes()
+    return [raw[e - k : e] for e, k in zip(np.cumsum(room).tolist(), room.tolist())]
+
+
+def _unpack_bits(pieces: list[bytes], size: np.ndarray) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b"".join(pieces), dtype=np.uint8))[_bit_places(size)].astype(bool)
+
+
 def _by_range(chunk: int, u: np.ndarray, several: np.ndarray, tables: int) -> pa.Table:
     """A chunk's sorted hashes and their marks, cut up by hash range."""
     edges = np.array([(i << 64) // tables for i in range(1, tables)], dtype=np.uint64)
     cuts = np.concatenate(([0], np.searchsorted(u, edges), [len(u)]))
     some = np.flatnonzero(np.diff(cuts))
+    cuts = np.append(cuts[some], len(u))
     return pa.table({
         "part": pa.array(some, pa.int32()), "chunk": pa.array([chunk] * len(some), pa.int32()),
-        "hashes": pa.array([pack_sorted(u[cuts[i] : cuts[i + 1]]) for i in some], pa.binary()),
-        "several": pa.array([np.packbits(several[cuts[i] : cuts[i + 1]]).tobytes() for i in some], pa.binary())})
+        "hashes": pa.array(pack_pieces(u, cuts) if len(some) else [], pa.binary()),
+        "several": pa.array(_pack_bits(several, np.diff(cuts)), pa.binary())})
 
 
 def _send(p: SubstringParams, tables: int):
@@ -140,19 +182,14 @@ def _send(p: SubstringParams, tables: int):
     return run
 
 
-def _bits(b: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(b, dtype=np.uint8), count=n).astype(bool)
-
-
 def _shared(part: pa.Table) -> pa.Table:
-    hashes = [unpack_sorted(x) for x in part.column("hashes").to_pylist()]
-    several = np.concatenate([_bits(b, len(h)) for b, h in zip(part.column("several").to_pylist(), hashes)])
-    _, back, n = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
-    yes = (n > 1) | (np.bincount(back, weights=several) > 0)
-    ends = np.cumsum([len(h) for h in hashes])
+    h, size = unpack_pieces(part.column("hashes").to_pylist())
+    several = _unpack_bits(part.column("several").to_pylist(), size)
+    order, start, n, _ = _groups(h)
+    yes = np.empty(len(h), dtype=bool)
+    yes[order] = np.repeat((n > 1) | np.logical_or.reduceat(several[order], start), n)
     return pa.table({"chunk": part.column("chunk"), "part": part.column("part"),
-                     "shared": pa.array([np.packbits(yes[back[e - len(h) : e]]).tobytes() for h, e in zip(hashes, ends)], pa.binary()),
-                     "n": pa.array([len(h) for h in hashes], pa.int32())})
+                     "shared": pa.array(_pack_bits(yes, size), pa.binary()), "n": pa.array(size, pa.int32())})
 
 
 def _heads(h: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,21 +201,26 @@ def _heads(h: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _match(h: np.ndarray, key: np.ndarray, in_h: np.ndarray, in_key: np.ndarray) -> np.ndarray:
     """For each (h, key) its place among the distinct pairs (in_h, in_key), or -1."""
+    seen = np.zeros(1 << 22, dtype=bool)  # most have no equal, and needn't be sorted
+    seen[in_key.view(np.uint64) >> np.uint64(42)] = True
+    some = np.flatnonzero(seen[key.view(np.uint64) >> np.uint64(42)])
     n = len(in_h)
-    order, head = _heads(np.concatenate((in_h, h)), np.concatenate((in_key, key)))
+    order, head = _heads(np.concatenate((in_h, h[some])), np.concatenate((in_key, key[some])))
     at = np.empty(len(order), dtype=np.int64)
     at[order] = np.repeat(order[head], np.diff(np.append(head, len(order))))
-    return np.where(at[n:] < n, at[n:], -1)
+    out = np.full(len(h), -1)
+    out[some] = np.where(at[n:] < n, at[n:], -1)
+    return out
 
 
 def _pairs_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return rows.column("h").to_numpy().view(np.uint64), rows.column("key").to_numpy()
 
 
-def _marked(u: np.ndarray, answers: pa.Table) -> np.ndarray:
-    """The hashes of a chunk's sorted ``u`` that the hash ranges answered yes for."""
+def _told(answers: pa.Table) -> np.ndarray:
+    """What the hash ranges said of a chunk's distinct hashes, in their order."""
     got = sorted(zip(answers.column("part").to_pylist(), answers.column("shared").to_pylist(), answers.column("n").to_pylist()))
-    return u[np.concatenate([_bits(b, n) for _, b, n in got])]
+    return _unpack_bits([b for _, b, _ in got], np.array([n for _, _, n in got], dtype=np.int64))
 
 
 def _contexts(p: SubstringParams):
@@ -187,7 +229,8 @@ def _contexts(p: SubstringParams):
         h, key, doc, _, _ = _chunk_anchors(_blobs(chunk) if len(answers) else [], p)
         number = chunk.column("doc_id").fill_null(0).to_numpy()[doc]
         if len(answers):
-            use = np.isin(h, _marked(_chunk_hashes(h, number)[0], answers))
+            order, _, n, _ = _groups(h)
+            use = order[np.repeat(_told(answers), n)]
             h, key, number = h[use], key[use], number[use]
         order, head = _heads(h, key)
         number = number[order]
@@ -203,9 +246,11 @@ def _texts_of(p: SubstringParams):
     def run(chunk: pa.Table, asked: pa.Table) -> pa.Table:
         blobs = _blobs(chunk) if len(asked) else []
         h, key, _, first, last = _chunk_anchors(blobs, p)
-        at, place = np.unique(_match(h, key, *_pairs_of(asked)), return_index=True)
-        place = place[at >= 0]
-        asked = asked.select(["h", "key", "doc"]).take(pa.array(at[at >= 0]))
+        at = _match(h, key, *_pairs_of(asked))
+        hit = np.flatnonzero(at >= 0)
+        at, place = np.unique(at[hit], return_index=True)
+        place = hit[place]
+        asked = asked.select(["h", "key", "doc"]).take(pa.array(at))
         buf = b"".join(blobs)
         return asked.append_column("context", pa.array([buf[a : z + p.width] for a, z in zip(first[place].tolist(), last[place].tolist())], pa.binary()))
     return run
@@ -222,14 +267,16 @@ def common_prefix(a: bytes, b: bytes, known: int) -> int:
     return known + n - (x.bit_length() + 7) // 8
 
 
-def front_code(rows: np.ndarray) -> tuple[bytes, bytes]:
+def front_code(rows: np.ndarray, heads: np.ndarray | None = None) -> tuple[bytes, bytes]:
     """A sorted run of strings of one width (a matrix of bytes): the prefix length that each
-    shares with the one before, and the bytes after it."""
+    shares with the one before, and the bytes after it.  Those at ``heads`` are given in full."""
     n, width = rows.shape
     shared = np.zeros(n, dtype="<u2")
     if n > 1:
         differ = rows[1:] != rows[:-1]
         shared[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+    if heads is not None:
+        shared[heads] = 0
     return shared.tobytes(), rows[np.arange(width) >= shared[:, None]].tobytes()
 
 
@@ -270,6 +317,9 @@ def merge_runs(decoded: list[tuple[list[int], list[bytes]]]) -> Iterator[tuple[i
             return b is None
         if lcp[i] != lcp[j]:
             return lcp[i] > lcp[j]
+        if a == b:
+            lcp[j] = len(a)
+            return True
         n = common_prefix(a, b, lcp[i])
         first = a[n:] <= b[n:]
         lcp[j if first else i] = n
@@ -299,11 +349,12 @@ def merge_runs(decoded: list[tuple[list[int], list[bytes]]]) -> Iterator[tuple[i
         alive = text[win] is not None
         while node:
             other = loser[node]
-            if text[other] is None or alive and mine > lcp[other]:
+            theirs = lcp[other]
+            if text[other] is None or alive and mine > theirs:
                 pass  # the longer known prefix decides without looking at a byte
-            elif not beats(win, other):
+            elif not alive or mine < theirs or not beats(win, other):
                 win, loser[node] = other, win
-                mine, alive = lcp[win], True
+                mine, alive = theirs, True
             node //= 2
 
 
@@ -322,28 +373,35 @@ def _windows(rows: pa.Table, width: int, answers: pa.Table) -> tuple[np.ndarray,
     smallest document of each, the places of all among the run's windows and their numbers among
     the distinct ones; and the windows per context."""
     buf, start, h, n = _window_hashes(rows, width)
-    u, back = np.unique(h, return_inverse=True)
-    use = np.flatnonzero(np.isin(u, _marked(u, answers), assume_unique=True)[back])
+    order, _, times, _ = _groups(h)
+    told = _told(answers)
+    use, times = order[np.repeat(told, times)], times[told]
     every = np.lib.stride_tricks.sliding_window_view(buf, width)[start[use]]
-    order = np.lexsort(np.ascontiguousarray(_words(every).T[::-1]))
-    every = every[order]
-    new = np.concatenate(([True], (every[1:] != every[:-1]).any(axis=1)))[: len(order)]
-    number = np.empty(len(order), dtype=np.int64)
-    number[order] = np.cumsum(new) - 1
-    doc = np.repeat(rows.column("doc").to_numpy(), n)[use][order]
-    least = np.minimum.reduceat(doc, np.flatnonzero(new)) if len(order) else doc
-    return every[new], least, use, number, n
-
-
-def _words(rows: np.ndarray) -> np.ndarray:
-    """Big-endian 64-bit words of rows of bytes; they compare as the bytes do."""
-    pad = -rows.shape[1] % 8
-    return np.ascontiguousarray(np.pad(rows, ((0, 0), (0, pad)))).view(">u8").astype(np.uint64)
+    head = np.cumsum(times) - times
+    first = every[head]  # one of each hash is sorted, unless different windows share one
+    same = (every == np.repeat(first, times, axis=0)).all()
+    sort = _strings(first if same else every)
+    by = np.argsort(sort)
+    sort = sort[by]
+    new = np.concatenate(([True], sort[1:] != sort[:-1]))[: len(by)]
+    number = np.empty(len(by), dtype=np.int64)
+    number[by] = np.cumsum(new) - 1
+    if same:
+        number = np.repeat(number, times)
+    doc = np.repeat(rows.column("doc").to_numpy(), n)[use]
+    least = np.full(np.count_nonzero(new), np.iinfo(np.int64).max)
+    np.minimum.at(least, number, doc)
+    return (first if same else every)[by[new]], least, use, number, n
+
+
+def _strings(rows: np.ndarray) -> np.ndarray:
+    """Rows of bytes as strings of their width, which compare as the bytes do."""
+    return np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel()
 
 
 def _send_windows(width: int, tables: int):
     def run(rows: pa.Table) -> pa.Table:
-        u, times = np.unique(_window_hashes(rows, width)[2], return_counts=True)
+        _, _, times, u = _groups(_window_hashes(rows, width)[2])
         return _by_range(rows.column("run")[0].as_py(), u, times > 1, tables)
     return run
 
@@ -351,41 +409,64 @@ def _send_windows(width: int, tables: int):
 def _make_runs(width: int, edges: list[bytes]):
     def run(rows: pa.Table, shared: pa.Table) -> pa.Table:
         order, least, _, _, _ = _windows(rows, width, shared)
-        raw = order.tobytes()
-        cuts = [0, *(bisect_left(range(len(order)), e, key=lambda i: raw[i * width : (i + 1) * width]) for e in edges), len(order)]
-        out: dict[str, list] = {"part": [], "run": [], "shared": [], "rest": [], "docs": []}
-        for part, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
-            if lo < hi:
-                for name, v in zip(out, (part, rows.column("run")[0].as_py(), *front_code(order[lo:hi]), least[lo:hi].astype("<i8").tobytes())):
-                    out[name].append(v)
-        return pa.table(out, schema=pa.schema([("part", pa.int32()), ("run", pa.int32()), ("shared", pa.binary()), ("rest", pa.binary()), ("docs", pa.binary())]))
+        cuts = np.concatenate(([0], np.searchsorted(_strings(order), np.array(edges, dtype=f"S{width}")), [len(order)]))
+        some = np.flatnonzero(np.diff(cuts))
+        cuts = np.append(cuts[some], len(order))
+        prefix, rest = front_code(order, cuts[:-1])
+        sent = np.concatenate(([0], np.cumsum(width - np.frombuffer(prefix, dtype="<u2").astype(np.int64))))[cuts]
+        docs = least.astype("<i8").tobytes()
+        return pa.table({
+            "part": pa.array(some, pa.int32()), "run": pa.array([rows.column("run")[0].as_py()] * len(some), pa.int32()),
+            **{name: pa.array([raw[a:z] for a, z in zip(at, at[1:])], pa.binary())
+               for name, raw, at in (("shared", prefix, (2 * cuts).tolist()), ("rest", rest, sent.tolist()), ("docs", docs, (8 * cuts).tolist()))}})
+    return run
+
+
+@dataclass(frozen=True)
+class Region:
+    """A share of the anchors: number of its first run and of its first key range, how many of each, and
+    the key ranges' edges."""
+    first: int
+    runs: int
+    edges: list[bytes]
+
+
+def _region_of(rows: pa.Table, regions: list[Region]) -> Region:
+    return regions[bisect_right(regions, rows.column("run")[0].as_py(), key=lambda r: r.first) - 1]
+
+
+def _numbered(made: pa.Table, first: int) -> pa.Table:
+    """Parts of one region as parts of all."""
+    return made.set_column(made.schema.get_field_index("part"), "part", pc.add(made.column("part"), pa.scalar(first, pa.int32())))
+
+
+def _send_region(width: int, regions: list[Region]):
+    def run(rows: pa.Table) -> pa.Table:
+        r = _region_of(rows, regions)
+        return _numbered(_send_windows(width, r.runs)(rows), r.first)
+    return run
+
+
+def _make_region(width: int, regions: list[Region]):
+    def run(rows: pa.Table, shared: pa.Table) -> pa.Table:
+        r = _region_of(rows, regions)
+        return _numbered(_make_runs(width, r.edges)(rows, shared), r.first)
     return run
 
 
 def _merge(width: int):
     def run(part: pa.Table) -> pa.Table:
-        docs = [np.frombuffer(b, dtype="<i8").tolist() for b in part.column("docs").to_pylist()]
-        streams = [decode(s, r, width) for s, r in zip(part.column("shared").to_pylist(), part.column("rest").to_pylist())]
-        place, answer = [0] * len(docs), [list(d) for d in docs]
-        group: list[tuple[int, int]] = []
-        least = 0
-
-        def close() -> None:
-            for r, i in group:
-                answer[r][i] = least
-
-        for r, shared in merge_runs(streams):
-            d = docs[r][place[r]]
-            if group and shared == width:
-                least = min(least, d)
-            else:
-                close()
-                group, least = [], d
-            group.append((r, place[r]))  # one entry per run at most
-            place[r] += 1
-        close()
+        docs = [np.frombuffer(b, dtype="<i8") for b in part.column("docs").to_pylist()]
+        lcp, text = decode(*(b"".join(part.column(c).to_pylist()) for c in ("shared", "rest")), width)  # a run's first shares nothing
+        ends = np.cumsum([len(d) for d in docs]).tolist()
+        out = np.array(list(merge_runs([(lcp[e - len(d) : e], text[e - len(d) : e]) for e, d in zip(ends, docs)])), dtype=np.int64)
+        place = np.argsort(out[:, 0], kind="stable")  # of the runs' strings, one run after the other
+        doc = np.empty(len(out), dtype=np.int64)
+        doc[place] = np.concatenate(docs)
+        new = out[:, 1] < width
+        answer = np.minimum.reduceat(doc, np.flatnonzero(new))[np.cumsum(new) - 1][place].astype("<i8")
         return pa.table({"run": part.column("run"), "part": part.column("part"),
-                         "least": pa.array([np.array(a, dtype="<i8").tobytes() for a in answer], pa.binary())})
+                         "least": pa.array([answer[e - len(d) : e].tobytes() for e, d in zip(ends, docs)], pa.binary())})
     return run
 
 
@@ -426,32 +507,59 @@ def _apply(p: SubstringParams, with_kept: bool):
         texts, nulls = chunk.column("text"), chunk.column("doc_id").is_null().to_pylist()
         base = 0
         for lo, hi in blocks(blobs, _BLOCK):
-            size = sum(map(len, blobs[lo:hi]))
-            a, z = np.searchsorted(starts, (base, base + size))  # a stretch lies in one text, so as many end as start
-            gone = np.cumsum(np.bincount(starts[a:z] - base, minlength=size + 1) - np.bincount(ends[a:z] - base, minlength=size + 1))[:size] > 0 if z > a else None
-            base += size
-            at = 0
-            for i in range(lo, hi):
-                b = blobs[i]
-                mine = gone[at : at + len(b)] if gone is not None else None
-                at += len(b)
+            size = np.array([len(b) for b in blobs[lo:hi]], dtype=np.int64)
+            at = np.concatenate(([0], np.cumsum(size)))
+            a, z = np.searchsorted(starts, (base, base + at[-1]))  # a stretch lies in one text, so as many end as start
+            removed = runs = np.zeros(hi - lo, dtype=np.int64)
+            kept = blobs[lo:hi]
+            if z > a:
+                gone = np.cumsum(np.bincount(starts[a:z] - base, minlength=at[-1] + 1) - np.bincount(ends[a:z] - base, minlength=at[-1] + 1))[: at[-1]] > 0
+                begun = gone.copy()
+                begun[1:] &= ~gone[:-1]
+                begun[at[:-1][size > 0]] = gone[at[:-1][size > 0]]
+                before, begun = (np.concatenate(([0], np.cumsum(x)))[at] for x in (gone, begun))
+                removed, runs = np.diff(before), np.diff(begun)
+                rest = np.frombuffer(b"".join(kept), dtype=np.uint8)[~gone].tobytes()
+                cuts = (at - before).tolist()
+                kept = [rest[i:j] for i, j in zip(cuts, cuts[1:])]
+            base += at[-1]
+            for i, b, one in zip(range(lo, hi), blobs[lo:hi], kept):
                 if nulls[i]:
-                    b, mine = (texts[i].as_py() or "").encode("utf-8", "surrogatepass"), None
-                removed = runs = 0
-                if mine is not None and mine.any():
-                    removed = int(mine.sum())
-                    runs = int((np.diff(mine.view(np.int8), prepend=np.int8(0)) == 1).sum())
-                    kept = np.frombuffer(b, dtype=np.uint8)[~mine].tobytes()
-                else:
-                    kept = b
-                for name, v in zip(out, (len(b), removed, runs, hashlib.sha256(kept).hexdigest(), kept if with_kept else b"")):
-                    out[name].append(v)
+                    b = one = (texts[i].as_py() or "").encode("utf-8", "surrogatepass")
+                out["n_bytes"].append(len(b))
+                out["kept_sha256"].append(hashlib.sha256(one).hexdigest())
+                out["kept"].append(one if with_kept else b"")
+            out["n_removed"] += removed.tolist()
+            out["n_spans"] += runs.tolist()
         return pa.table({"doc_id": chunk.column("doc_id"), **{k: pa.array(out[k], pa.int64()) for k in ("n_bytes", "n_removed", "n_spans")},
                          "kept_sha256": pa.array(out["kept_sha256"], pa.string()),
                          **({"kept": pa.array(out["kept"], pa.binary())} if with_kept else {})})
     return run
 
 
+def _deal_runs(rivals: DataFrame, n_rivals: int, runs: int, p: SubstringParams) -> tuple[DataFrame, list[Region]]:
+    """Contexts with the runs they are in, and the regions.  A region has runs by its contexts, so
+    a crowded anchor's is as finely cut as the others; the driver gets a count per region and an
+    edge per key range."""
+    n = -(-runs // p.region_runs)
+    dealt = rivals.withColumn("region", F.pmod(F.xxhash64("h"), F.lit(n)).cast("int"))
+    size = dict(map(tuple, dealt.groupBy("region").count().collect()))
+    each = max(1, -(-n_rivals // runs))
+    per = [max(1, -(-size.get(i, 0) // each)) for i in range(n)]
+    first = list(accumulate(per, initial=0))[:n]
+    own = F.element_at(F.lit(per), F.col("region") + 1)
+    one = Window.partitionBy("region")
+    sample = dealt.where(F.pmod("key", F.lit(max(1, n_rivals // (64 * runs)))) == 0).select(
+        "region", own.alias("runs"), F.substring("context", 1, p.width).alias("edge"))
+    sample = sample.select("region", "runs", "edge", F.row_number().over(one.orderBy("edge")).alias("i"), F.count("*").over(one).alias("n"))
+    edges = sample.where("i < n and floor(i * runs / n) > floor((i - 1) * runs / n)").select("region", "edge").collect()
+    found: list[set[bytes]] = [set() for _ in range(n)]
+    for region, edge in edges:
+        found[region].add(bytes(edge))
+    return (dealt.withColumn("run", F.element_at(F.lit(first), F.col("region") + 1) + F.pmod(F.xxhash64("key"), own).cast("int")),
+            [Region(*x) for x in zip(first, per, map(sorted, found))])
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    params: SubstringParams = SubstringParams(), with_kept: bool = False) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept
@@ -478,15 +586,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rivals = stored_alone(dealt.cogroup(asked.groupBy("chunk")).applyInArrow(trimmed(_texts_of(params)), "h long, key long, doc long, context binary"), "sub-rivals")
     n_rivals = rivals.count()
     runs = max(1, min(tables, n_rivals), -(-n_rivals // params.run_contexts))
-    sample = rivals.where(F.pmod("key", F.lit(max(1, n_rivals // (64 * max(tables, runs))))) == 0).limit(256 * max(tables, runs))
-    parts = max(tables, runs)
-    some = sorted(r[0] for r in sample.select(F.substring("context", 1, params.width)).collect())  # bounded by the partitions
-    edges = sorted({bytes(some[i * len(some) // parts]) for i in range(1, parts)}) if some else []
-    dealt_runs = rivals.withColumn("run", F.pmod(F.xxhash64("key"), F.lit(runs)).cast("int")).groupBy("run")
-    sent = dealt_runs.applyInArrow(trimmed(_send_windows(params.width, parts)), "part int, chunk int, hashes binary, several binary")
+    rivals_in, regions = _deal_runs(rivals, n_rivals, runs, params)
+    dealt_runs = rivals_in.groupBy("run")
+    sent = dealt_runs.applyInArrow(trimmed(_send_region(params.width, regions)), "part int, chunk int, hashes binary, several binary")
     again = stored_alone(sent.groupBy("part").applyInArrow(trimmed(_shared), "chunk int, part int, shared binary, n int").withColumnRenamed("chunk", "run"), "sub-again")
     made = dealt_runs.cogroup(again.groupBy("run")).applyInArrow(
-        trimmed(_make_runs(params.width, edges)), "part int, run int, shared binary, rest binary, docs binary")
+        trimmed(_make_region(params.width, regions)), "part int, run int, shared binary, rest binary, docs binary")
     merged = made.groupBy("part").applyInArrow(trimmed(_merge(params.width)), "run int, part int, least binary")
     answers = again.unionByName(merged.select("run", "part", F.col("least").alias("shared"), F.lit(None).cast("int").alias("n")))
     masks = stored_alone(dealt_runs.cogroup(answers.groupBy("run")).applyInArrow(trimmed(_masks(params.width)), "h long, key long, mask binary"), "sub-masks")

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from acqlens.llm import components, embeddings, lm_score, minhash, substrings
@@ -117,6 +118,70 @@ def test_suffix_dedup(spark):
     assert substrings.remove_repeats(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_runs_exchange_with_their_region_only(spark, monkeypatch):
+    """What runs and key ranges exchange grows with the runs, not their square."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(60):
+        passage = prose(rng, 20)
+        for k in range(4):
+            rows.append((4 * i + k, prose(rng, 4) + passage[3 * k : len(passage) - k] + prose(rng, 4), "en", "s", 1) + ("",) * 6)
+    kept, stored_alone = {}, substrings.stored_alone
+
+    def count(df, name):
+        out = stored_alone(df, name)
+        kept[name] = out.count()
+        return out
+
+    monkeypatch.setattr(substrings, "stored_alone", count)
+    got = Counter(tuple(r) for r in substrings.remove_repeats(frame(spark, rows), params=substrings.SubstringParams(run_contexts=3)).collect())
+    assert got == naive_repeats(rows)
+    runs = -(-kept["sub-rivals"] // 3)
+    assert runs > 100
+    assert kept["sub-again"] < 24 * runs  # a run and a range that have hashes in common; over 60 a run if all met
+
+
+def test_a_crowded_anchor_has_several_runs(spark):
+    p = substrings.SubstringParams(run_contexts=10, region_runs=4)
+    rows = [(7 if i < 300 else i, i * 2654435761 % (1 << 40), i, b"%050d" % i + b"x") for i in range(400)]
+    dealt, regions = substrings._deal_runs(spark.createDataFrame(rows, "h long, key long, doc long, context binary"), 400, 40, p)
+    got = dealt.collect()
+    sizes = Counter(r["run"] for r in got)
+    assert len(got) == 400 and len(regions) == 10 and max(sizes.values()) < 40
+    assert {r["run"] for r in got} <= set(range(regions[-1].first + regions[-1].runs))
+    home = [substrings._region_of(pa.table({"run": [r["run"]]}), regions).first for r in got]
+    assert len({(r["h"], f) for r, f in zip(got, home)}) == 101  # equal anchors, one region
+    for r, after in zip(regions, regions[1:] + [None]):
+        assert len(r.edges) < r.runs and r.edges == sorted(set(r.edges)) and (after is None or after.first == r.first + r.runs)
+
+
+def test_packed_pieces():
+    rng = np.random.default_rng(2)
+    for n in (1, 7, 3000):
+        x = np.sort(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        cuts = np.unique(np.concatenate(([0, n], rng.integers(0, n, 9))))
+        pieces = lm_score.pack_pieces(x, cuts)
+        for a, z, b in zip(cuts, cuts[1:], pieces):
+            assert (lm_score.unpack_sorted(b) == x[a:z]).all()
+        y, size = lm_score.unpack_pieces([*pieces, lm_score.pack_sorted(x[:0]), lm_score.pack_sorted(x)])
+        assert (y == np.concatenate((x, x))).all() and size.tolist() == [*np.diff(cuts), 0, n]
+        bits = rng.random(n) < 0.5
+        assert (substrings._unpack_bits(substrings._pack_bits(bits, np.diff(cuts)), np.diff(cuts)) == bits).all()
+
+
+def test_windows_of_one_hash_are_told_apart(monkeypatch):
+    rng = random.Random(21)
+    text = [prose(rng, 30).encode()[:60] for _ in range(6)]
+    rows = pa.table({"run": pa.array([0] * 12, pa.int32()), "doc": list(range(12)), "context": pa.array(text * 2, pa.binary())})
+    sent = substrings._shared(substrings._send_windows(50, 1)(rows))
+    want = substrings._windows(rows, 50, sent)
+    real = substrings._window_hashes
+    monkeypatch.setattr(substrings, "_window_hashes", lambda *a: (*real(*a)[:2], real(*a)[2] % np.uint64(5), real(*a)[3]))
+    got = substrings._windows(rows, 50, substrings._shared(substrings._send_windows(50, 1)(rows)))
+    assert (want[0] == got[0]).all() and (want[1] == got[1]).all() and len(want[0]) == 66
+    assert (want[3][np.argsort(want[2])] == got[3][np.argsort(got[2])]).all()
+
+
 def test_only_windows_that_occur_again_are_sorted():
     import pyarrow as pa
 
